@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and order-free checksum: equal for equal edge sets."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: no node has two parents, and no parent has one."""
+    parents = edges.groupBy("u").agg(F.count("*").alias("n"))
+    chained = edges.select(F.col("v").alias("u")).distinct().withColumn("parent", F.lit(True))
+    return parents.join(chained, "u", "left").filter("n > 1 or parent").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -38,16 +40,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = materialize(links, "links")
-    state = _state(links)
-    if state[0]:
-        for _ in range(max_rounds):
-            links = materialize(_small_star(_large_star(links)), "links")
-            now = _state(links)
-            if now == state:
-                break
-            state = now
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    for _ in range(max_rounds):
+        if _settled(links):
+            break
+        links = materialize(_small_star(_large_star(links)), "links")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(roots)
