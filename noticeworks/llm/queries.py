@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import host_rules, mixing, simhash
 from .common import table
 
 
@@ -15,8 +15,100 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, width=3, radius=2, blocks=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_sizes(docs, weights=(3, 1, 2), share=1.5).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM documents),
+stats AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, 2 * source_size AS cap,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0))
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM stats
+  WINDOW before AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN cap / weight > level
+              THEN weight * (SELECT arg_min(level, cap / weight) FROM levels WHERE cap / weight > level)
+              ELSE cap::DOUBLE END AS target
+  FROM levels),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs
+  FROM targets),
+units AS (
+  SELECT source, key, doc_id, size, count(*) AS copies FROM sized GROUP BY ALL),
+reached AS (
+  SELECT u.*, b.source_size, b.target, b.epochs, floor(b.target + 0.5)::BIGINT - b.epochs * b.source_size AS rest,
+         coalesce(sum(u.size * u.copies) OVER (PARTITION BY u.source ORDER BY u.key, u.doc_id, u.size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM units u JOIN budgets b ON u.source IS NOT DISTINCT FROM b.source)
+SELECT s.doc_id, s.size, r.source_size, r.target,
+       (r.epochs * s.size + greatest(0, least(r.size, (r.rest - r.before) // r.copies)))::BIGINT AS taken
+FROM sized s JOIN reached r ON s.source IS NOT DISTINCT FROM r.source AND s.key = r.key
+ AND s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.size = r.size
+"""
+
+
+def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return host_rules.judge(docs, most=0.5).select(*columns)
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (
+  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+repeated AS (
+  SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM twice, (VALUES (0), (1), (2)) AS near(k) GROUP BY r),
+lines AS (
+  SELECT r, sum(n - 1)::BIGINT AS n
+  FROM (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
+measured AS (
+  SELECT d.doc_id, d.source, len(w.w)::BIGINT AS n_words,
+         length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words
+  FROM docs d JOIN words w USING (r) LEFT JOIN lines l USING (r) LEFT JOIN repeated p USING (r)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+hosts AS (
+  SELECT source, count(*) AS n, sum(base_failed::BIGINT) AS failures FROM judged GROUP BY source),
+moments AS (
+  SELECT avg(failures / n) AS m, var_pop(failures / n) AS v FROM hosts),
+prior AS (
+  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM moments),
+rates AS (
+  SELECT source, (failures + m * strength) / (n + strength) AS rate FROM hosts, prior)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= 0.5 AS kept
+FROM judged j JOIN rates h ON j.source IS NOT DISTINCT FROM h.source
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_mixing_to_target_weights": op3_mixing_to_target_weights,
+    "op7_host_quality_rules": op7_host_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing_to_target_weights": OP3_SQL,
+    "op7_host_quality_rules": OP7_SQL,
+}
