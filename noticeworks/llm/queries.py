@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, mixing, simhash
+from . import decontaminate, host_rules, mixing, simhash, token_blocks, token_counts
 from .common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, width=3, radius=2, blocks=4).select("doc_id", "fingerprint", "component_id")
@@ -58,6 +63,11 @@ FROM sized s JOIN reached r ON s.source IS NOT DISTINCT FROM r.source AND s.key
 """
 
 
+def op5_token_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_blocks.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return written.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -102,10 +112,17 @@ FROM judged j JOIN rates h ON j.source IS NOT DISTINCT FROM h.source
 """
 
 
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mixing_to_target_weights": op3_mixing_to_target_weights,
+    "op5_token_id_blocks": op5_token_id_blocks,
     "op7_host_quality_rules": op7_host_quality_rules,
+    "op10_prefix_token_counts": op10_prefix_token_counts,
 }
 
 ORACLES: dict[str, str] = {
