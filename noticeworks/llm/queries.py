@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, mixing, simhash, token_blocks, token_counts
+from . import decontaminate, host_rules, mixing, quality, simhash, token_blocks, token_counts, toxicity
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op5_token_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -112,6 +116,10 @@ FROM judged j JOIN rates h ON j.source IS NOT DISTINCT FROM h.source
 """
 
 
+def op9_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -121,7 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mixing_to_target_weights": op3_mixing_to_target_weights,
     "op5_token_id_blocks": op5_token_id_blocks,
+    "op6_toxicity": op6_toxicity,
     "op7_host_quality_rules": op7_host_quality_rules,
+    "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
 
