@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, mixing, quality, simhash, token_blocks, token_counts, toxicity
+from . import decontaminate, host_rules, mixing, pii, quality, simhash, token_blocks, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -63,6 +63,72 @@ FROM sized s JOIN reached r ON s.source IS NOT DISTINCT FROM r.source AND s.key
 """
 
 
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE rules(rule, action, rule_host, rule_path) AS (VALUES
+  ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+  ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+  ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+seen AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*[^?#]*(\??[^#]*)', 1) AS query
+  FROM pages),
+tags AS (
+  SELECT host, path, query, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\s[^>]*>')) AS tag FROM seen WHERE host <> ''),
+found AS (
+  SELECT *, replace(CASE
+      WHEN regexp_matches(tag, '(?i)^<link\s') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(tag, '(?i)^<meta\s') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+      ELSE '' END, '&amp;', '&') AS address
+  FROM tags),
+resolved AS (
+  SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query AS u, CASE
+      WHEN regexp_matches(address, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN address
+      WHEN address LIKE '//%' THEN 'http:' || address
+      WHEN address LIKE '/%' THEN 'http://' || host || address
+      WHEN address LIKE '?%' THEN 'http://' || host || path || address
+      WHEN address LIKE '#%' THEN 'http://' || host || path || query
+      ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || address END AS url
+  FROM found WHERE address <> ''),
+targets AS (
+  SELECT u, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^(?s:.*?)://[^/?#]*[^?#]*(\??[^#]*)', 1) AS query
+  FROM resolved),
+edges AS (
+  SELECT u, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS v FROM targets WHERE host <> ''),
+both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach(a, b) AS (
+  SELECT u, v FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u),
+places AS (
+  SELECT host, path FROM seen UNION
+  SELECT regexp_extract(b, '^([^/?#]*)', 1), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM reach),
+judged AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path),
+shared AS (
+  SELECT a, CASE WHEN bool_or(action = 'allow') THEN 'allow' ELSE 'block' END AS action
+  FROM reach JOIN judged ON host = regexp_extract(b, '^([^/?#]*)', 1) AND path = regexp_extract(b, '^[^/?#]*([^?#]*)', 1)
+  GROUP BY a)
+SELECT page_id, s.host, s.path, j.rule, coalesce(j.action, h.action, 'allow') AS verdict
+FROM seen s LEFT JOIN judged j ON s.host = j.host AND s.path = j.path
+LEFT JOIN shared h ON h.a = s.host || CASE WHEN s.path = '' THEN '/' ELSE s.path END || s.query
+"""
+
+
 def op5_token_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_blocks.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return written.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -116,6 +182,10 @@ FROM judged j JOIN rates h ON j.source IS NOT DISTINCT FROM h.source
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -128,14 +198,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mixing_to_target_weights": op3_mixing_to_target_weights,
+    "op4_url_filter": op4_url_filter,
     "op5_token_id_blocks": op5_token_id_blocks,
     "op6_toxicity": op6_toxicity,
     "op7_host_quality_rules": op7_host_quality_rules,
+    "op8_pii": op8_pii,
     "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing_to_target_weights": OP3_SQL,
+    "op4_url_filter": OP4_SQL,
     "op7_host_quality_rules": OP7_SQL,
 }

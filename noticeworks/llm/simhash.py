@@ -94,6 +94,47 @@ def hamming_links(prints: DataFrame, radius: int = 2, blocks: int = 4, bucket: i
     return paired.union(starred).select(F.col("fp").alias("u"), F.col("fq").alias("v")).distinct()
 
 
+def similarity(a: str | None, b: str | None, width: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles; two texts without words are alike."""
+    x, y = set(shingles(a or "", width)), set(shingles(b or "", width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_links(links: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose texts are similar enough; docs: fp and text. One text stands for a fingerprint."""
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
+    texts = materialize(docs.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "texts")
+    paired = links.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+    return paired.filter(similar("a", "b") >= least - 1e-12).select("u", "v")
+
+
+def keep_first(docs: DataFrame, width: int = 3, radius: int = 4, blocks: int = 7, verify_width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of the least id.
+
+    Links are fingerprints over `width` words within the radius, verified by the similarity of `verify_width`-word
+    shingles. Copies, of case and white space too, share a fingerprint and are one group, as are all texts without
+    words. A row without an id stays only where its group has no id. Of repeated rows one stays. The columns are
+    those of docs, whatever their names.
+    """
+    columns = docs.columns
+    held = materialize(docs.select(F.struct(*columns).alias("row"), fingerprint_column(F.col("text"), width).alias("fp")), "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "fp")
+    distinct = materialize(held.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    links = similar_links(materialize(hamming_links(distinct.select("fp"), radius, blocks), "near"), held, verify_width, least)
+    parts = connected_components(links).withColumnRenamed("node", "fp")
+    placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
+    chosen = materialize(kept.join(held.groupBy("fp", "doc_id").agg(F.count("*").alias("n")), (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("kept_id", "kept_fp", "n"), "kept")
+    same = (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    once = held.join(chosen.filter("n = 1"), same, "left_semi").select("row")
+    twice = held.join(chosen.filter("n > 1"), same, "left_semi").groupBy("fp", "doc_id").agg(F.min("row").alias("row")).select("row")
+    return once.union(twice).select("row.*")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """doc_id, fp (signed fingerprint), fingerprint (16 hex digits) and component_id for every row of docs.
 
