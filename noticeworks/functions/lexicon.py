@@ -15,7 +15,11 @@ NO_EDUCATION = "^(?:暂未公布|暂未确定|待定|另行通知|详见(?:公
 ANY_EDUCATION = "无要求|不限学历|学历不限|不作学历要求|无学历要求|学历不作要求|不限"
 EDUCATION = (("博士研究生及以上", "博士"), ("硕士研究生及以上", "硕士|研究生"), ("本科及以上", "本科|学士"), ("大专及以上", "大专|专科|高职"))
 ANY_MAJOR = "不限专业|专业不限|无专业要求|不作专业要求|专业不作要求|各类专业|所有专业|不限报考专业|不限制专业|专业不限制|无专业限制|^专业\\s*[:：]?\\s*(?:不限|无)|^(?:不限|无)$"
-PARTY_WORDS = ("中共党员", "限党员", "须为党员", "党员身份")
+PARTY_WORDS = ("中共党员", "中共预备党员", "预备党员", "限党员", "面向党员", "须为中共党员", "须中共党员", "限中共党员")
+ANY_MAJOR_WORDS = ("专业不限", "不限专业", "专业要求不限", "不作限制")
 REGION_ENDINGS = "特别行政区|壮族自治区|回族自治区|维吾尔自治区|自治区|自治州|地区|盟|省|市|区|县"
 #: Ordered: the first whose number is in range decides.
-AGE_LIMITS = (r"(\d{1,3})\s*周?岁\s*(?:及)?以下", r"年龄[^\d]{0,8}(\d{1,3})\s*周?岁", r"不超过\s*(\d{1,3})\s*周?岁")
+AGE_LIMITS = (r"(\d{1,3})\s*周岁\s*及?\s*以[下内]", r"(\d{1,3})\s*周岁以下", r"不超过\s*(\d{1,3})\s*周岁", r"(\d{1,3})\s*岁\s*及?\s*以下", r"年龄\s*(?:在\s*)?(\d{1,3})\s*周岁")
+#: The matcher of bare texts has its own order and words.
+TEXT_AGE_LIMITS = (r"(\d{1,3})\s*周岁以下", r"不超过\s*(\d{1,3})\s*周岁", r"(\d{1,3})\s*周岁\s*及\s*以下", r"(\d{1,3})\s*岁\s*及\s*以下", r"年龄\s*(?:在\s*)?(\d{1,3})\s*周岁")
+TEXT_PARTY_WORDS = ("中共党员", "限党员", "面向党员", "须为中共党员", "须中共党员", "限中共党员")

@@ -94,8 +94,8 @@ def major_label(c: Column) -> Column:
     return F.when(any_major(c), "不限专业").when(F.size(names) > 0, F.array_join(names, "、")).otherwise("无要求")
 
 
-def age_limit(c: Column) -> Column:
-    return first_number(text(c), L.AGE_LIMITS, 1, 199)
+def age_limit(c: Column, patterns=L.AGE_LIMITS) -> Column:
+    return first_number(text(c), patterns, 1, 199)
 
 
 def needs_party(c: Column, words=L.PARTY_WORDS) -> Column:

@@ -1,0 +1,54 @@
+"""Grids of wrapped tab lines to rows: quoted cells are closed first, then a header names the columns."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Logical columns by the header words that name them, in order of precedence.
+COLUMNS = (("post_code", "岗位代码|职位代码|岗位编号"), ("post_name", "岗位名称|招聘岗位|职位名称|岗位"), ("organization", "主管部门|招聘单位|用人单位|单位名称|单位"), ("slots", "计划数|招聘人数|招聘计划|人数"), ("education", "学历"), ("major", "专业"), ("age", "年龄"), ("seq", "序号"))
+STOP = "^(?:注|备注|说明|合计|总计)[:：]?"
+
+
+def close_quotes(lines: DataFrame, keys: Sequence[str], order: str, line: str) -> DataFrame:
+    """keys, order, line: a line whose quotes are open takes in those up to the one that closes them."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    marked = lines.withColumn("_open", F.coalesce(F.sum(quotes).over(w), F.lit(0)) % 2)
+    run = marked.withColumn("_row", F.sum(F.when(F.col("_open") == 0, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(order)))
+    parts = F.array_sort(F.collect_list(F.struct(order, line)))
+    joined = F.array_join(F.transform(parts, lambda x: x[line]), "\n")
+    return run.groupBy(*keys, "_row").agg(F.min(order).alias(order), joined.alias(line)).drop("_row")
+
+
+def cells(line: Column) -> Column:
+    """array<string>: between tabs, outer quotes off and white space collapsed."""
+    return F.transform(F.split(line, "\t"), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), r"\s+", " ")))
+
+
+def header_map(header: Column, columns: Sequence[tuple[str, str]] = COLUMNS) -> Column:
+    """map<string, int>: for each logical column the first cell whose text names it and no earlier column has."""
+    pairs = [F.struct(F.lit(name).alias("key"), F.array_position(_named(header, pattern), True).alias("value")) for name, pattern in columns]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"] > 0))
+
+
+def _named(header: Column, pattern: str) -> Column:
+    return F.transform(header, lambda c: c.rlike(pattern))
+
+
+def parse(lines: DataFrame, keys: Sequence[str], order: str = "line_no", line: str = "line", columns: Sequence[tuple[str, str]] = COLUMNS) -> DataFrame:
+    """keys, order and the logical columns of each data row, one document's lines being one group of the keys.
+
+    The header is the first row that names three columns. Data rows come after it, up to one that starts with a
+    note, and have at least two cells that aren't empty. A column that the header lacks is null.
+    """
+    rows = close_quotes(lines, keys, order, line).withColumn("cells", cells(F.col(line)))
+    named = rows.withColumn("names", header_map(F.col("cells"), columns))
+    heads = named.filter(F.size("names") >= 3).groupBy(*keys).agg(F.min_by("names", order).alias("header"), F.min(order).alias("header_at"))
+    stops = rows.filter(F.get("cells", 0).rlike(STOP)).select(*keys, order).join(heads, list(keys)).filter(F.col(order) > F.col("header_at")).groupBy(*keys).agg(F.min(order).alias("stop_at"))
+    body = rows.join(heads, list(keys)).join(stops, list(keys), "left").filter((F.col(order) > F.col("header_at")) & (F.col(order) < F.coalesce("stop_at", F.lit(2**31 - 1))))
+    filled = body.filter(F.size(F.filter("cells", lambda c: c != "")) >= 2)
+    return filled.select(*keys, order, *[F.get("cells", F.try_element_at("header", F.lit(name)).cast("int") - 1).alias(name) for name, _ in columns])

@@ -1,10 +1,502 @@
-"""Registered queries over the reference's own operators, and their SQL."""
+"""Registered queries over the notice operators, and equal SQL for each that SQL can express.
+
+The driver's tables stand in for postings (orders), sources (customer, supplier), structured rows (lineitem), crawl
+events, list and detail pages and raw texts. Rules in Chinese run over small fixtures, given alike to both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, rules, urls
+from ..functions import lexicon as L
+from ..functions.text import hits
+from ..operators import dedupe, grid, matching, merging, sequences, snapshots
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NOW = "1998-01-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def now() -> Column:
+    return F.lit(NOW).cast("timestamp")
+
+
+def fixture(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    return spark.createDataFrame(rows, columns)
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """The fixture as an SQL relation."""
+
+    def cell(v) -> str:
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS f({names})"
+
+
+# --- scans, joins, ranking, pages -------------------------------------------------------------------------------
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live and pending postings with their source and its region; F stands for deleted."""
+    o = t(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'")
+    c, n = t(spark, sf_dir, "customer"), t(spark, sf_dir, "nation")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+
+
+@query("""
+SELECT o_orderkey AS posting, c_name AS source, n_name AS city, o_orderdate AS published,
+       CASE WHEN o_orderpriority LIKE '1%' THEN 'PERFECT' WHEN o_orderpriority LIKE '5%' THEN 'CONFLICT' ELSE 'NORMAL' END AS status
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderstatus <> 'F'
+ORDER BY CASE status WHEN 'PERFECT' THEN 0 WHEN 'NORMAL' THEN 1 ELSE 2 END, published DESC NULLS LAST, posting LIMIT 20""")
+def feed_ranked(spark, sf_dir):
+    """The first page of the live feed by match status, newest first."""
+    status = F.when(F.col("o_orderpriority").startswith("1"), "PERFECT").when(F.col("o_orderpriority").startswith("5"), "CONFLICT").otherwise("NORMAL")
+    feed = _postings(spark, sf_dir).select(F.col("o_orderkey").alias("posting"), F.col("c_name").alias("source"), F.col("n_name").alias("city"), F.col("o_orderdate").alias("published"), status.alias("status"))
+    return sequences.page(feed, [matching.rank(F.col("status")), F.desc_nulls_last("published"), F.col("posting")], 1)
+
+
+@query("SELECT o_orderkey AS posting, o_custkey AS source, o_orderdate AS published FROM orders WHERE o_orderstatus <> 'F' ORDER BY published DESC NULLS LAST, posting LIMIT 20 OFFSET 40")
+def pagination_page_n(spark, sf_dir):
+    """The third page."""
+    live = t(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("posting"), F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("published"))
+    return sequences.page(live, [F.desc_nulls_last("published"), F.col("posting")], 3)
+
+
+@query("SELECT o_orderkey AS posting, o_orderdate AS deleted_at, c_name AS source FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+def trash_list(spark, sf_dir):
+    """Deleted postings with their source; the list's order is the reader's."""
+    o, c = t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), t(spark, sf_dir, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select(F.col("o_orderkey").alias("posting"), F.col("o_orderdate").alias("deleted_at"), F.col("c_name").alias("source"))
+
+
+@query("SELECT s_suppkey, s_name, n_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_name, s_suppkey) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY place <= 3")
+def multi_key_sources(spark, sf_dir):
+    """Each city's first three sources by priority, then name."""
+    s, n = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "nation")
+    joined = s.join(n, s.s_nationkey == n.n_nationkey)
+    order = [F.desc_nulls_last("s_acctbal"), F.col("s_name"), F.col("s_suppkey")]
+    return dedupe.ranked(joined.withColumn("place", F.row_number().over(sequences.W.partitionBy("s_nationkey").orderBy(*order))), ["s_nationkey"], order, 3).select("s_suppkey", "s_name", "n_name", "place")
+
+
+@query("SELECT event_type, CASE WHEN count(*) FILTER (value < 1) * 50 > count(*) THEN 'BROKEN' ELSE 'HEALTHY' END AS status, count(*) AS n, count(DISTINCT user_id) AS sources, max(ts) AS last_run FROM events GROUP BY event_type")
+def health_summary(spark, sf_dir):
+    """State of each kind of crawl."""
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.when(F.count_if(F.col("value") < 1) * 50 > F.count("*"), "BROKEN").otherwise("HEALTHY").alias("status"), F.count("*").alias("n"), F.count_distinct("user_id").alias("sources"), F.max("ts").alias("last_run"))
+
+
+# --- snapshots ---------------------------------------------------------------------------------------------------
+
+
+def _snapshot(spark, sf_dir) -> DataFrame:
+    deleted = F.col("o_orderstatus") == "F"
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("posting"), F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("deadline"), deleted.alias("is_deleted"), F.when(deleted, F.col("o_orderdate")).alias("deleted_at"))
+
+
+EXPIRED = "NOT is_deleted AND deadline + INTERVAL 5 DAY < TIMESTAMP '1998-01-01'"
+SNAPSHOT = "SELECT o_orderkey AS posting, o_custkey AS source, o_orderdate AS deadline, o_orderstatus = 'F' AS is_deleted, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders"
+
+
+@query(f"WITH s AS ({SNAPSHOT}) SELECT posting, source, deadline, is_deleted OR deadline + INTERVAL 5 DAY < TIMESTAMP '{NOW}' AS is_deleted, CASE WHEN {EXPIRED} THEN TIMESTAMP '{NOW}' ELSE deleted_at END AS deleted_at FROM s")
+def expire_snapshot(spark, sf_dir):
+    """Postings past their deadline and grace are deleted softly."""
+    return snapshots.soft_delete(_snapshot(spark, sf_dir), dates.is_expired(F.col("deadline"), now(), 5), now())
+
+
+@query(f"WITH s AS ({SNAPSHOT}) SELECT count(*) AS n, count(*) FILTER ({EXPIRED}) AS expired, count(*) FILTER (is_deleted AND deleted_at < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS purged, count(*) FILTER (NOT is_deleted AND deadline >= TIMESTAMP '{NOW}') AS visible FROM s")
+def janitor_counts(spark, sf_dir):
+    """What one run of the janitor does."""
+    s = _snapshot(spark, sf_dir)
+    expired = ~F.col("is_deleted") & dates.is_expired(F.col("deadline"), now(), 5)
+    old = F.col("is_deleted") & (F.col("deleted_at") < F.timestamp_add("DAY", F.lit(-7), now()))
+    return s.agg(F.count("*").alias("n"), F.count_if(expired).alias("expired"), F.count_if(old).alias("purged"), F.count_if(~F.col("is_deleted") & dates.is_visible(F.col("deadline"), now())).alias("visible"))
+
+
+@query(f"WITH s AS ({SNAPSHOT}) SELECT * FROM s WHERE NOT coalesce(is_deleted AND deleted_at < TIMESTAMP '{NOW}' - INTERVAL 7 DAY, false)")
+def purge_snapshot(spark, sf_dir):
+    """Without what was deleted more than a week ago."""
+    return snapshots.purge(_snapshot(spark, sf_dir), now())
+
+
+@query(f"WITH s AS ({SNAPSHOT}) SELECT posting, source, deadline, is_deleted AND source % 7 <> 0 AS is_deleted, CASE WHEN source % 7 <> 0 THEN deleted_at END AS deleted_at FROM s")
+def restore_snapshot(spark, sf_dir):
+    """K6, K7: some sources' postings come back from the trash."""
+    return snapshots.restore(_snapshot(spark, sf_dir), F.col("source") % 7 == 0)
+
+
+@query("""
+WITH new AS (
+  SELECT l_orderkey AS posting, arg_max(l_suppkey, (l_shipdate, l_linenumber)) AS source, arg_max(l_shipdate, (l_shipdate, l_linenumber)) AS deadline
+  FROM (SELECT l_orderkey + 100 AS l_orderkey, l_suppkey, l_shipdate, l_linenumber FROM lineitem) GROUP BY 1)
+SELECT coalesce(o_orderkey, posting) AS posting, CASE WHEN o_orderkey IS NULL THEN source ELSE o_custkey END AS source, coalesce(deadline, o_orderdate) AS deadline,
+       CASE WHEN o_orderkey IS NULL THEN false ELSE o_orderstatus = 'F' END AS is_deleted, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at
+FROM orders FULL JOIN new ON o_orderkey = posting""")
+def upsert_snapshot(spark, sf_dir):
+    """K1, K3: a batch whose last row of a key wins sets deadlines and adds postings; deleted ones stay deleted."""
+    batch = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 100).alias("posting"), F.col("l_suppkey").alias("source"), F.col("l_shipdate").alias("deadline"), F.lit(False).alias("is_deleted"), F.lit(None).cast("timestamp").alias("deleted_at"), F.struct("l_shipdate", "l_linenumber").alias("at"))
+    last = batch.groupBy("posting").agg(F.max_by(F.struct("source", "deadline", "is_deleted", "deleted_at"), "at").alias("r")).select("posting", "r.*")
+    return snapshots.upsert(_snapshot(spark, sf_dir), last, ["posting"], ["deadline"], [F.col("deadline")])
+
+
+@query("SELECT s_suppkey, s_name, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_shipdate >= TIMESTAMP '1999-06-01') AS in_use FROM supplier")
+def delete_guard_semi(spark, sf_dir):
+    """A source with live children can't be deleted."""
+    s, used = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "lineitem").filter("l_shipdate >= TIMESTAMP '1999-06-01'").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("in_use", F.lit(True))
+    return s.join(used, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("in_use", F.lit(False)).alias("in_use"))
+
+
+@query("SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.page_id AND e.event_type = 'purchase')")
+def anti_join_seen_links(spark, sf_dir):
+    """Pages that no event of a kind has taken in yet."""
+    seen = t(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("page_id"))
+    return snapshots.without(t(spark, sf_dir, "pages").select("page_id", "url"), seen, ["page_id"])
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text)")
+def stale_placeholder_delete(spark, sf_dir):
+    """K2, U4: texts that aren't in the set of titles."""
+    return snapshots.without(t(spark, sf_dir, "documents").select("doc_id", "text"), t(spark, sf_dir, "benchmark"), ["text"]).select("doc_id")
+
+
+@query("""
+WITH cursors AS (SELECT user_id, max(ts) FILTER (event_type = 'view') AS last FROM events GROUP BY user_id)
+SELECT event_id, e.user_id, ts FROM events e LEFT JOIN cursors c USING (user_id)
+WHERE coalesce(CASE WHEN event_type <> 'error' THEN ts END >= last - INTERVAL 48 HOUR, true)""")
+def incremental_cutoff(spark, sf_dir):
+    """What is new since each source's cursor less 48 hours; undated rows stay."""
+    e = t(spark, sf_dir, "events")
+    cursors = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("last"))
+    dated = e.withColumn("published", F.when(F.col("event_type") != "error", F.col("ts")))
+    return snapshots.after_cursor(dated, cursors, "user_id", "published", "last").select("event_id", "user_id", "ts")
+
+
+# --- text and page rules -----------------------------------------------------------------------------------------
+
+WORDS = ("that", "the", "und", "que", "les", "con", "der", "este", "pour", "with")
+ONE_OF = " + ".join(f"contains(text, '{w}')::INT" for w in WORDS)
+FLAT = r"trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT doc_id, {ONE_OF} AS n_hits, {ONE_OF} >= 3 OR ({ONE_OF} >= 2 AND length({FLAT}) > 36) AS is_menu FROM documents")
+def keyword_hits(spark, sf_dir):
+    """Words of a list in each text, and the menu test over them."""
+    d = t(spark, sf_dir, "documents")
+    return d.select("doc_id", hits(F.col("text"), WORDS).alias("n_hits"), rules.is_navigation(F.col("text"), WORDS, "Start").alias("is_menu"))
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN {FLAT} = '' THEN 'empty' WHEN length({FLAT}) < 150 THEN 'short' WHEN {ONE_OF} > 4 THEN 'spam'
+       WHEN NOT (contains({FLAT}, 'ing') OR contains({FLAT}, 'ung') OR contains({FLAT}, 'tion')) THEN 'off_topic' END AS reason FROM documents""")
+def content_gate_reason(spark, sf_dir):
+    """The first reason to turn a text away."""
+    return t(spark, sf_dir, "documents").select("doc_id", rules.content_reason(F.col("text"), ("ing", "ung", "tion"), WORDS, 150, 4).alias("reason"))
+
+
+@query("SELECT doc_id, contains(source, 'src1') OR (contains(text, 'idiot') AND contains(text, 'this')) AS blocked, contains(source || chr(10) || text, 'tion') AS on_track FROM documents")
+def red_list_gate(spark, sf_dir):
+    """result notices by title or by all markers, and the track's words."""
+    d = t(spark, sf_dir, "documents")
+    return d.select("doc_id", rules.is_result_notice(F.col("source"), F.col("text"), ("src1",), ("idiot", "this")).alias("blocked"), rules.on_track(F.col("source"), F.col("text"), ("tion",)).alias("on_track"))
+
+
+@query(r"SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1') AND p_size BETWEEN 5 AND 30")
+def composite_keyword_filter(spark, sf_dir):
+    """a keyword over several fields beside plain filters."""
+    p = t(spark, sf_dir, "part")
+    return p.filter(F.col("p_size").between(5, 30) & F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("brand#1"))).select("p_partkey", "p_name")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, count(*) AS n_rows, nullif(sum(CASE WHEN floor(l_quantity) > 10 THEN floor(l_quantity)::BIGINT - 10 END), 0) AS slots,
+  arg_min(nullif(CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END, ''), (l_linenumber, l_partkey, l_suppkey, l_returnflag)) FILTER (l_returnflag <> 'N') AS gender FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS posting, n_rows, slots::BIGINT AS slots, gender FROM s""")
+def requirements_rollup(spark, sf_dir):
+    """A1, A2: rows of a posting to one: sum of positive slots, first value that isn't empty."""
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", (F.floor("l_quantity") - 10).alias("slots"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("gender"), F.array("l_linestatus").alias("majors"))
+    return merging.roll_up(rows, ["posting"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], ["gender"], "slots", "majors").select("posting", "n_rows", "slots", "gender")
+
+
+@query("""
+SELECT o_orderkey AS posting, CASE WHEN sum(l_quantity) FILTER (l_quantity > 40) IS NULL THEN 0 ELSE sum(floor(l_quantity)::BIGINT) FILTER (l_quantity > 40) END::BIGINT AS slots
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O' GROUP BY 1 HAVING slots = 0""")
+def incomplete_rows(spark, sf_dir):
+    """Postings without a date or slots."""
+    o, li = t(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'"), t(spark, sf_dir, "lineitem")
+    sums = li.filter("l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.floor("l_quantity")).alias("n"))
+    found = o.join(sums, "o_orderkey", "left").select(F.col("o_orderkey").alias("posting"), F.coalesce("n", F.lit(0)).cast("long").alias("slots"))
+    return found.filter(rules.is_incomplete(F.lit(None), F.lit(None), F.col("slots")))
+
+
+@query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def first_of_dedupe(spark, sf_dir):
+    """The first document of each text; texts meet by a hash and are then compared."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return dedupe.pick(d, ["text"], [F.col("doc_id")]).select("doc_id", "source", "lang")
+
+
+@query("SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1")
+def best_of_dedupe(spark, sf_dir):
+    """The best-scored row of each key, the first of equals."""
+    return dedupe.pick(t(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], [-F.col("n_chars"), F.col("doc_id")])
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS all_words FROM documents)
+SELECT doc_id, len(all_words) AS n_distinct FROM w""")
+def distinct_ordered_tokens(spark, sf_dir):
+    """Distinct words of each text, order kept."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1))).cast("long").alias("n_distinct"))
+
+
+ITEMS = [(1, "一级建造师|建造师|教师资格证|资格证|教师资格证"), (2, "a|ab|abc|x"), (3, "x")]
+
+
+@query(f"SELECT id, array_to_string([x FOR x IN list_distinct(string_split(items, '|')) IF true], '') IS NOT NULL AS ok, CASE id WHEN 1 THEN '一级建造师|教师资格证' WHEN 2 THEN 'abc|x' ELSE 'x' END AS kept FROM {values(ITEMS, 'id, items')}")
+def dominated_items(spark, sf_dir):
+    """Items that are part of another go."""
+    f = fixture(spark, ITEMS, "id int, items string")
+    return f.select("id", F.lit(True).alias("ok"), F.array_join(dedupe.undominated(F.split("items", r"\|")), "|").alias("kept"))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+       lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host, len(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"#]+)"', 1))) AS n_links FROM pages""")
+def html_title_and_links(spark, sf_dir):
+    """Title, host and distinct links of each page."""
+    return t(spark, sf_dir, "pages").select("page_id", F.coalesce(urls.title(F.col("html")), F.lit("")).alias("title"), urls.host(F.col("url")).alias("host"), F.size(urls.links(F.col("html"))).cast("long").alias("n_links"))
+
+
+NORMAL = r"lower(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '(?i)/index\.html?$', ''), '^([a-zA-Z]+://[^/]+/.*)/$', '\1'))"
+
+
+@query(f"SELECT {NORMAL} AS url_key, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")
+def url_key_join(spark, sf_dir):
+    """Pages by their address in normal form."""
+    return t(spark, sf_dir, "pages").groupBy(urls.normal(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT page_id, (CASE WHEN regexp_matches(lower(url), '\.org') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(url), 'blog\.|www\.') THEN 3 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(url), '\.html?(?:\?|#|$)') THEN -1 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '#') THEN -5 ELSE 0 END) AS score FROM pages""")
+def page_url_score(spark, sf_dir):
+    """Points for what an address looks like."""
+    points = ((r"\.org", 2), (r"blog\.|www\.", 3), (r"\.html?(?:\?|#|$)", -1), ("#", -5))
+    return t(spark, sf_dir, "pages").select("page_id", urls.score(F.col("url"), points).alias("score"))
+
+
+FAMILIES = [("size", "medium"), ("size", "small"), ("size", "large"), ("offer", "promo"), ("offer", "promo pack"), ("plain", "stand")]
+
+
+@query(f"SELECT p_partkey, family FROM part JOIN {values(FAMILIES, 'family, term')} ON contains(lower(p_type), term) OR contains(term, lower(p_type)) GROUP BY ALL")
+def theta_family_match(spark, sf_dir):
+    """Types to families by containment either way; the terms are a fixed small list."""
+    p, f = t(spark, sf_dir, "part"), fixture(spark, FAMILIES, "family string, term string")
+    kind = F.lower("p_type")
+    return p.join(F.broadcast(f), F.contains(kind, F.col("term")) | F.contains(F.col("term"), kind)).select("p_partkey", "family").distinct()
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, value FROM events")
+def json_props_typed(spark, sf_dir):
+    """A typed field out of JSON."""
+    return t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "value")
+
+
+@query("""
+WITH r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
+SELECT conv_id, min(turn) AS first, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS merged FROM r GROUP BY conv_id, run""")
+def pending_row_merge(spark, sf_dir):
+    """Lines that continue one are joined to it."""
+    return sequences.merge_continuations(t(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text")
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT % 50 END AS given, ts FROM events),
+runs AS (SELECT *, count(given) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM r)
+SELECT event_id, user_id, coalesce(first_value(given) OVER w, 0) + row_number() OVER w - CASE WHEN run > 0 THEN 1 ELSE 0 END AS seq
+FROM runs WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id)""")
+def auto_sequence(spark, sf_dir):
+    """Numbers that are written restart the count."""
+    e = t(spark, sf_dir, "events").withColumn("given", F.when(F.col("event_type") == "purchase", F.floor("value") % 50))
+    return sequences.running_number(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("given")).select("event_id", "user_id", "seq")
+
+
+# --- rules in Chinese, over fixtures -----------------------------------------------------------------------------
+
+TITLES = [(1, "某大学2026年公开招聘专任教师公告"), (2, "首页 机构设置"), (3, "关于公布笔试成绩的通知"), (4, "招聘岗位"), (5, "某学院辅导员选聘计划"), (6, "拟聘用人员公示招聘"), (7, "首页"), (8, "机构设置职能简介" + "字" * 28), (9, "机构设置职能简介" + "字" * 29), (10, None), (11, "人事处2026年度工作总结"), (12, "领导分工 部门职责 联系方式 招聘")]
+NAV = " + ".join(f"contains(v, '{w}')::INT" for w in L.NAV_WORDS)
+
+
+@query(f"""
+WITH x AS (SELECT id, trim(regexp_replace(coalesce(title, ''), '[\\s\\x{{3000}}\\x{{00a0}}]+', ' ', 'g')) AS v FROM {values(TITLES, 'id, title')}),
+y AS (SELECT *, v <> '' AND (regexp_matches(v, '^首页(?: |$)') OR {NAV} >= 3 OR ({NAV} >= 2 AND length(v) > 36)) AS menu,
+  regexp_matches(v, '{"|".join(L.CORE_WORDS)}') AS core, regexp_matches(v, '{"|".join(f"(?:{p})" for p in L.OTHER_NOTICES)}') AS other FROM x)
+SELECT id, menu, core, menu OR other AS other, length(v) >= 6 AND core AND NOT menu AND NOT other AS admitted FROM y""")
+def title_admission_zh(spark, sf_dir):
+    """Which titles are admitted."""
+    f, c = fixture(spark, TITLES, "id int, title string"), F.col("title")
+    return f.select("id", rules.is_navigation(c).alias("menu"), rules.has_core_word(c).alias("core"), rules.is_other_notice(c).alias("other"), rules.is_admitted(c).alias("admitted"))
+
+
+DEADLINES = [(1, "2026-05-10"), (2, "2026-2-31 前"), (3, "截止2026年5月9日"), (4, "另行通知"), (5, None), (6, "2026-05-05"), (7, "2025年13月1日"), (8, "长期"), (9, "2026-05-15"), (10, "no date")]
+AT = "2026-05-10 12:00:00"
+
+
+@query(f"""
+WITH p AS (SELECT id, trim(coalesce(deadline, '')) AS v FROM {values(DEADLINES, 'id, deadline')}),
+q AS (SELECT id, v, v = '' OR regexp_matches(v, '{L.NO_DEADLINE}') AS placeholder, regexp_matches(v, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AS iso FROM p),
+n AS (SELECT *, CASE WHEN iso THEN '^(\\d{{4}})-(\\d{{1,2}})-(\\d{{1,2}})' ELSE '(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日' END AS shape FROM q),
+e AS (SELECT id, placeholder, CASE WHEN NOT placeholder THEN try_cast(CASE WHEN iso THEN regexp_extract(v, '^(\\d{{4}})-', 1) ELSE regexp_extract(v, '(\\d{{4}})年\\d{{1,2}}月\\d{{1,2}}日', 1) END AS INT) END AS y,
+  try_cast(CASE WHEN iso THEN regexp_extract(v, '^\\d{{4}}-(\\d{{1,2}})-', 1) ELSE regexp_extract(v, '\\d{{4}}年(\\d{{1,2}})月\\d{{1,2}}日', 1) END AS INT) AS m,
+  try_cast(CASE WHEN iso THEN regexp_extract(v, '^\\d{{4}}-\\d{{1,2}}-(\\d{{1,2}})', 1) ELSE regexp_extract(v, '\\d{{4}}年\\d{{1,2}}月(\\d{{1,2}})日', 1) END AS INT) AS d FROM n),
+f AS (SELECT id, placeholder, (make_date(y, 1, 1) + to_months(m - 1) + to_days(d - 1))::TIMESTAMP + INTERVAL 86399 SECOND AS ends FROM e)
+SELECT id, placeholder, ends, coalesce(ends + INTERVAL 5 DAY < TIMESTAMP '{AT}', false) AS expired, coalesce(ends < TIMESTAMP '{AT}', true) AS archivable, coalesce(ends >= TIMESTAMP '{AT}', false) AS visible,
+  ceil(date_diff('second', TIMESTAMP '{AT}', ends) / 86400.0)::INT AS days FROM f""")
+def deadline_parse_zh(spark, sf_dir):
+    """Deadlines as written, and what follows from them."""
+    f, at, c = fixture(spark, DEADLINES, "id int, deadline string"), F.lit(AT).cast("timestamp"), F.col("deadline")
+    end = dates.deadline_end(c)
+    return f.select("id", dates.is_placeholder(c).alias("placeholder"), end.alias("ends"), dates.is_expired(end, at, 5).alias("expired"), dates.is_archivable_text(c, at).alias("archivable"), dates.is_visible(end, at).alias("visible"), dates.days_left(end, at).alias("days"))
+
+
+LEVELS = [(1, "全日制硕士研究生及以上", "硕士研究生及以上"), (2, "博士", "博士研究生及以上"), (3, "本科学历", "本科及以上"), (4, "大专及以上", "大专及以上"), (5, "不限", "无要求"), (6, "详见公告", ""), (7, None, ""), (8, "学历要求：大学本科及以上学历", "本科及以上"), (9, "高中", ""), (10, "大学专科", "大专及以上")]
+
+
+@query(f"SELECT id, label FROM {values(LEVELS, 'id, level, label')}")
+def education_canon_zh(spark, sf_dir):
+    """Levels of education as one of five labels; the SQL holds the expected ones."""
+    return fixture(spark, LEVELS, "id int, level string, expected string").select("id", rules.education(F.col("level")).alias("label"))
+
+
+MAJORS = [(1, "(1) 教育学 0402 (2) 心理学", "教育学、心理学"), (2, "专业不限", "不限专业"), (3, "会计学、财务管理，会计学", "会计学、财务管理"), (4, None, "无要求"), (5, "不限", "不限专业"), (6, "A01", "无要求"), (7, "计算机科学与技术0812/软件工程", "计算机科学与技术、软件工程")]
+
+
+@query(f"SELECT id, label FROM {values(MAJORS, 'id, major, label')}")
+def major_names_zh(spark, sf_dir):
+    """Names of majors without marks and codes; the SQL holds the expected ones."""
+    return fixture(spark, MAJORS, "id int, major string, expected string").select("id", rules.major_label(F.col("major")).alias("label"))
+
+
+JOBS = [(1, "年龄35周岁以下，专业不限", None, "PERFECT"), (2, "年龄不超过30周岁，须为中共党员", None, "CONFLICT"), (3, "计算机专业", "25周岁及以下", "CONFLICT"), (4, "法学专业", None, "NORMAL"), (5, "软件工程专业优先", "40周岁以下", "PERFECT"), (6, None, None, "NORMAL"), (7, "200周岁以下，不超过27周岁，软件工程", None, "CONFLICT"), (8, "中共党员优先，软件工程", None, "CONFLICT")]
+
+
+@query(f"SELECT id, status FROM {values(JOBS, 'id, job, age_text, status')}")
+def match_status_zh(spark, sf_dir):
+    """One profile (28, no member, software engineering) against postings; the SQL holds the expected status."""
+    f = fixture(spark, JOBS, "id int, job string, age_text string, expected string")
+    return f.select("id", matching.status(F.lit(28), F.lit(False), F.lit("软件工程"), F.col("age_text"), F.col("job"), F.array().cast("array<string>"))["status"].alias("status"))
+
+
+@query(f"SELECT CASE WHEN id IN (1, 4, 6) THEN 'NORMAL' WHEN id IN (2, 7, 8) THEN 'CONFLICT' WHEN id = 5 THEN 'PERFECT' ELSE 'NORMAL' END AS status, count(*) AS n FROM {values(JOBS, 'id, job, age_text, expected')} GROUP BY 1")
+def text_matcher_tally(spark, sf_dir):
+    """The matcher of bare texts, counted by status."""
+    f = fixture(spark, JOBS, "id int, job string, age_text string, expected string")
+    return f.groupBy(matching.text_status(F.lit(28), F.lit(False), F.lit("软件工程"), F.col("job")).alias("status")).agg(F.count("*").alias("n"))
+
+
+PLACES = [(1, "山东省·济南市"), (2, "上海"), (3, "湖南省"), (4, ""), (5, None), (6, "山东·青岛")]
+
+
+@query(f"SELECT id, coalesce(id IN (1, 4, 5, 6), false) AS in_province, coalesce(id IN (1, 2, 3, 4, 5), false) AS in_city FROM {values(PLACES, 'id, place')}")
+def region_wildcard_match(spark, sf_dir):
+    """A province or a city against places; empty parts fit anything. The SQL holds the expected flags."""
+    f, every = fixture(spark, PLACES, "id int, place string"), F.lit("全部")
+    return f.select("id", rules.region_matches(F.col("place"), F.lit("山东省"), every).alias("in_province"), rules.region_matches(F.col("place"), every, F.lit("济南市")).alias("in_city"))
+
+
+KINDS = [(1, "博士后招聘"), (2, "某县事业单位"), (3, "某高校辅导员"), (4, "地方编制求职"), (5, "其他"), (6, None)]
+
+
+@query(f"SELECT id, CASE id WHEN 1 THEN '博士/申博/博后' WHEN 2 THEN '地方编制求职' WHEN 3 THEN '高校院所招聘' WHEN 4 THEN '地方编制求职' ELSE '' END AS track FROM {values(KINDS, 'id, kind')}")
+def track_category(spark, sf_dir):
+    """A written category to one of three tracks."""
+    return fixture(spark, KINDS, "id int, kind string").select("id", rules.track(F.col("kind")).alias("track"))
+
+
+TEXTS = [(1, "工作表: Sheet1"), (2, "----"), (3, "正常的招聘公告正文内容"), (4, "only latin letters in a text that is longer than forty"), (5, "short latin"), (6, ".nav{color:red}"), (7, None), (8, "Ã©"), (9, "x" * 39 + "中"), (10, "x" * 40 + "中"), (11, "x" * 40 + "中文")]
+
+
+@query(f"SELECT id, id NOT IN (3, 5, 9, 11) AS garbled FROM {values(TEXTS, 'id, body')}")
+def garbled_flag(spark, sf_dir):
+    """sheet marks, junk and texts without ideographs."""
+    return fixture(spark, TEXTS, "id int, body string").select("id", rules.is_garbled(F.col("body")).alias("garbled"))
+
+
+MERGES = [(1, "2026-05-01", "2026-06-01", 3, 5), (2, None, "2026-06-01", None, 5), (3, "", "", 2, None), (4, "2026-05-01", None, None, None)]
+
+
+@query(f"SELECT id, coalesce(nullif(a, ''), nullif(b, '')) AS deadline, CASE WHEN nullif(a, '') IS NOT NULL THEN 'text' WHEN nullif(b, '') IS NOT NULL THEN 'table' END AS origin, coalesce(m, n) AS headcount FROM {values(MERGES, 'id, a, b, n, m')}")
+def merge_precedence(spark, sf_dir):
+    """The text's deadline before the table's, the table's headcount before the text's."""
+    f = fixture(spark, MERGES, "id int, a string, b string, n int, m int")
+    a, b = F.nullif(F.col("a"), F.lit("")), F.nullif(F.col("b"), F.lit(""))
+    return f.select("id", merging.prefer(F.col("a"), F.col("b")).alias("deadline"), F.when(a.isNotNull(), "text").when(b.isNotNull(), "table").alias("origin"), F.coalesce("m", "n").alias("headcount"))
+
+
+CASCADE = [(1, "a|b", "c", "d"), (2, None, "c", "d"), (3, None, None, "d"), (4, None, None, None)]
+
+
+@query(f"SELECT id, CASE WHEN x IS NOT NULL THEN 'x' WHEN y IS NOT NULL THEN 'y' WHEN z IS NOT NULL THEN 'z' END AS origin, coalesce(x, y, z) AS rows_text FROM {values(CASCADE, 'id, x, y, z')}")
+def cascade_first_nonempty(spark, sf_dir):
+    """Of several readings of a document, the first that found rows."""
+    f = fixture(spark, CASCADE, "id int, x string, y string, z string")
+    found = merging.first_candidates(f.select("id", *[F.split(c, r"\|").alias(c) for c in "xyz"]), list("xyz"))
+    return found.select("id", "origin", F.array_join("rows", "|").alias("rows_text"))
+
+
+BLOCKS = [(1, "岗位：教师 人数：3 学历：本科"), (2, "人数：2 岗位：辅导员"), (3, "无")]
+
+
+@query(f"SELECT id, CASE id WHEN 1 THEN '岗位：=教师|人数：=3|学历：=本科' WHEN 2 THEN '人数：=2|岗位：=辅导员' ELSE '' END AS parts FROM {values(BLOCKS, 'id, body')}")
+def marker_lead_slices(spark, sf_dir):
+    """What stands between labels; the SQL holds the expected parts."""
+    parts = sequences.labelled_slices(F.col("body"), ["岗位：", "人数：", "学历："])
+    return fixture(spark, BLOCKS, "id int, body string").select("id", F.array_join(F.transform(parts, lambda p: F.concat(p["label"], F.lit("="), p["value"])), "|").alias("parts"))
+
+
+GRACES = [(1, "5"), (2, "-3"), (3, "400"), (4, "x"), (5, None), (6, "2.5"), (7, "0")]
+
+
+@query(f"SELECT id, coalesce(least(greatest(floor(try_cast(days AS DOUBLE) + 0.5), 0), 365), 5)::INT AS grace FROM {values(GRACES, 'id, days')}")
+def grace_days(spark, sf_dir):
+    """The grace setting, rounded and held to its range."""
+    return fixture(spark, GRACES, "id int, days string").select("id", dates.grace(F.col("days")).alias("grace"))
+
+
+# --- grids and streams -------------------------------------------------------------------------------------------
+
+GRID = [("a", i, x) for i, x in enumerate(["某地招聘公告", "序号\t招聘单位\t岗位名称\t计划数\t学历\t专业", '1\t第一中学\t教师\t4\t本科\t"数学', '应用数学"', "2\t第二中学\t校医\t1\t大专\t临床医学", "", "备注：面试另行通知", "3\t不是\t数据\t9\t本科\t无"])]
+GRID_ROWS = [("a", 2, "第一中学", "教师", "4", "数学 应用数学"), ("a", 4, "第二中学", "校医", "1", "临床医学")]
+
+
+@query(f"SELECT doc, line_no, organization, post_name, slots, major FROM {values(GRID_ROWS, 'doc, line_no, organization, post_name, slots, major')}")
+def grid_lines_to_rows(spark, sf_dir):
+    """Wrapped tab lines to rows; the SQL holds the expected rows."""
+    f = fixture(spark, GRID, "doc string, line_no int, line string")
+    return grid.parse(f, ["doc"]).select("doc", "line_no", "organization", "post_name", "slots", "major")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL")
+def stream_dedupe_available_now(spark, sf_dir):
+    """Events that a stream took in once each, by source and type."""
+    once = ingest.distinct_within(ingest.read_files(spark, sf_dir, "events"), ["event_id"], "ts")
+    return ingest.run_available(once, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
