@@ -16,9 +16,12 @@ LINES = "sourceUrl string, lineCount long, fetchedAt string, lines array<string>
 CELLS = "path string, sheet string, row int, cells array<string>, error string"
 
 
-def read_line_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(source_url, line_no, line): the lines of cached pages; broken or empty files give none."""
-    cached = spark.read.schema(LINES).option("multiLine", True).json(path)
+def read_line_cache(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(source_url, line_no, line): the lines of cached pages; broken or empty files give none.
+
+    multi_line: each file is one record over many lines; else each line is one, as write_line_cache has it.
+    """
+    cached = spark.read.schema(LINES).option("multiLine", multi_line).json(path)
     return cached.select(F.col("sourceUrl").alias("source_url"), F.posexplode("lines").alias("line_no", "line"))
 
 
