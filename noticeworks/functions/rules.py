@@ -58,6 +58,14 @@ def is_scrape_junk(c: Column) -> Column:
     return (trim(v) != "") & (v.rlike(r"^首页\s") | is_navigation(v) | v.rlike(r"(?i)\.[a-zA-Z][\w-]*\s*\{|dropselect|simpleselect|li\.hover") | v.rlike(r"\{\s*[^}]{0,120}\}") | v.rlike(r"(?:^|[·•.])\s*\.[a-zA-Z_-]"))
 
 
+def cut_scrape_junk(c: Column) -> Column:
+    """What stands before the first style rule or footer, unless that is nothing, without closing dots."""
+    v = trim(c)
+    junk = r"[·•.]\s*\.[a-zA-Z_-]|\.[a-zA-Z_-][\w-]*\s*\{|\s*\{[^}]*\}|\s*中国政府网\s*[|｜]"
+    at = F.regexp_instr(v, F.lit(junk))
+    return trim(F.regexp_replace(F.when(at > 1, trim(F.left(v, at - 1))).otherwise(v), r"[·•.]+\z", ""))
+
+
 def is_garbled(c: Column, least_cjk: int = 2, longer_than: int = 40) -> Column:
     v = trim(c)
     cjk = F.length(F.regexp_replace(v, "[^一-龥]", ""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
 from ..functions import lexicon as L
-from ..functions.text import hits
+from ..functions.text import hits, preview
 from ..operators import dedupe, grid, matching, merging, sequences, snapshots
 from ..streaming import ingest
 
@@ -500,3 +500,79 @@ def stream_dedupe_available_now(spark, sf_dir):
     """Events that a stream took in once each, by source and type."""
     once = ingest.distinct_within(ingest.read_files(spark, sf_dir, "events"), ["event_id"], "ts")
     return ingest.run_available(once, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+# --- more projections and bookkeeping ----------------------------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+m AS (SELECT *, contains(line, '|') AS is_table FROM l WHERE line <> ''),
+s AS (SELECT *, bool_or(is_table) OVER (PARTITION BY doc_id ORDER BY line_no) AS after_table FROM m)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (is_table) AS table_lines, count(*) FILTER (NOT is_table AND after_table) AS later_text FROM s GROUP BY doc_id""")
+def line_split_sections(spark, sf_dir):
+    """Lines of a text, with whether a table has begun."""
+    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter("line <> ''")
+    marked = lines.withColumn("is_table", F.contains("line", F.lit("|")))
+    flagged = marked.withColumn("after_table", F.bool_or("is_table").over(sequences.W.partitionBy("doc_id").orderBy("line_no")))
+    return flagged.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_table").alias("table_lines"), F.count_if(~F.col("is_table") & F.col("after_table")).alias("later_text"))
+
+
+@query("""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"#]+)"', 1)) AS link FROM pages)
+SELECT link, min(page_id) AS first_page, count(*) AS n FROM l GROUP BY link""")
+def union_dedupe_links(spark, sf_dir):
+    """Links of all pages, each once with the first page that has it."""
+    found = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"#]+)"'), 1)).alias("link"))
+    return found.groupBy("link").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT user_id AS source, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, max(ts) FILTER (event_type <> 'error') AS cursor,
+       CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'error' ELSE 'active' END AS status FROM events GROUP BY user_id""")
+def source_cursor_advance(spark, sf_dir):
+    """Each source's new cursor, only where something came in."""
+    good = F.col("event_type") != "error"
+    return t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n"), F.count_if(~good).alias("failed"), F.max(F.when(good, F.col("ts"))).alias("cursor"), F.when(F.count_if(good) == 0, "error").otherwise("active").alias("status"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 160 THEN left(text, 160) || '…' ELSE text END AS preview FROM documents")
+def text_previews(spark, sf_dir):
+    """The first 160 characters, with an ellipsis where there are more."""
+    return t(spark, sf_dir, "documents").select("doc_id", preview(F.col("text"), 160).alias("preview"))
+
+
+@query(f"""
+SELECT o_orderkey AS posting, CASE WHEN d < 0 THEN 'closed' WHEN d = 0 THEN 'closes today' ELSE d::VARCHAR || ' days left' END AS label
+FROM (SELECT o_orderkey, ceil(date_diff('second', TIMESTAMP '{NOW}', o_orderdate) / 86400.0)::INT AS d FROM orders)""")
+def days_left_label(spark, sf_dir):
+    """Days to the deadline in words."""
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("posting"), dates.days_label(F.col("o_orderdate").cast("timestamp"), now()).alias("label"))
+
+
+@query("""
+SELECT c_custkey AS source, count(o_orderkey) AS postings, count(*) FILTER (o_orderstatus = 'O') AS live, coalesce(bool_or(o_orderstatus = 'O'), false) AS has_live
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def postings_per_source(spark, sf_dir):
+    """Postings of each source, those without any too."""
+    o = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("postings"), F.count_if(F.col("o_orderstatus") == "O").alias("live"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return t(spark, sf_dir, "customer").join(o, "c_custkey", "left").select(F.col("c_custkey").alias("source"), zero("postings"), zero("live"), (F.coalesce("live", F.lit(0)) > 0).alias("has_live"))
+
+
+JUNK = [(1, "某县招聘公告 .nav{color:red} 页脚", "某县招聘公告"), (2, "正常标题", "正常标题"), (3, "标题·", "标题"), (4, None, ""), (5, "公告 中国政府网 | 链接", "公告")]
+
+
+@query(f"SELECT id, kept FROM {values(JUNK, 'id, body, kept')}")
+def junk_cut(spark, sf_dir):
+    """What stands before style rules and footers; the SQL holds the expected texts."""
+    return fixture(spark, JUNK, "id int, body string, expected string").select("id", rules.cut_scrape_junk(F.col("body")).alias("kept"))
+
+
+ADDRESSES = [(1, "https://a.cn/x/notice.PDF?v=1", "pdf"), (2, "https://a.cn/x.html", None), (3, None, None), (4, "list.xlsx#s", "xlsx")]
+
+
+@query(f"SELECT id, kind FROM {values(ADDRESSES, 'id, url, kind')}")
+def attachment_kinds(spark, sf_dir):
+    """Kinds of attachments by their addresses; the SQL holds the expected kinds."""
+    return fixture(spark, ADDRESSES, "id int, url string, expected string").select("id", urls.attachment_kind(F.col("url")).alias("kind"))
