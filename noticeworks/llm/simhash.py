@@ -14,6 +14,7 @@ radius / 2 of the midpoint, and so is its least member.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -39,14 +40,18 @@ def shingles(text: str, width: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The fingerprint as a signed 64-bit integer; 0 for null and for texts without words."""
-    grams = shingles(text or "", width)
-    if not grams:
+def _majority(features: list[bytes]) -> int:
+    """The signed fingerprint of these features; 0 for none."""
+    if not features:
         return 0
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
+    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in features], dtype="<u8")
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The fingerprint as a signed 64-bit integer; 0 for null and for texts without words."""
+    return _majority(shingles(text or "", width))
 
 
 def fingerprint_column(text: Column, width: int) -> Column:
@@ -94,6 +99,12 @@ def hamming_links(prints: DataFrame, radius: int = 2, blocks: int = 4, bucket: i
     return paired.union(starred).select(F.col("fp").alias("u"), F.col("fq").alias("v")).distinct()
 
 
+def word_fingerprint(text: str | None) -> tuple[int, str]:
+    """Fingerprint of a text's distinct words, and a digest of its words in order."""
+    words = (text or "").encode().lower().split()
+    return _majority(sorted(set(words))), hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()
+
+
 def similarity(a: str | None, b: str | None, width: int) -> float:
     """Jaccard similarity of two texts' sets of word shingles; two texts without words are alike."""
     x, y = set(shingles(a or "", width)), set(shingles(b or "", width))
@@ -101,37 +112,49 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
 
 
 def similar_links(links: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts are similar enough; docs: fp and text. One text stands for a fingerprint."""
+    """The links (u, v) whose texts are similar enough; docs: key and text. One text stands for a key."""
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
-    texts = materialize(docs.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "texts")
-    paired = links.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+    ends = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key"))).distinct()
+    texts = materialize(docs.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
+    paired = links.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
     return paired.filter(similar("a", "b") >= least - 1e-12).select("u", "v")
 
 
-def keep_first(docs: DataFrame, width: int = 3, radius: int = 4, blocks: int = 7, verify_width: int = 5, least: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 4, blocks: int = 7, verify_width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates: the one of the least id.
 
-    Links are fingerprints over `width` words within the radius, verified by the similarity of `verify_width`-word
-    shingles. Copies, of case and white space too, share a fingerprint and are one group, as are all texts without
-    words. A row without an id stays only where its group has no id. Of repeated rows one stays. The columns are
-    those of docs, whatever their names.
+    Texts of the same words in the same order, A-Z lower-cased, are copies; so are all texts without words. Others
+    are candidates if the fingerprints of their distinct words are within the radius, which a changed word moves
+    far less than those of shingles, and link if their `verify_width`-word shingles are similar enough. Of several
+    texts with one fingerprint, one is compared with the others and with those of near fingerprints. A row
+    without an id stays only where its group has no id. Of repeated rows one stays. The columns are those of docs,
+    whatever their names.
     """
-    columns = docs.columns
-    held = materialize(docs.select(F.struct(*columns).alias("row"), fingerprint_column(F.col("text"), width).alias("fp")), "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "fp")
-    distinct = materialize(held.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = similar_links(materialize(hamming_links(distinct.select("fp"), radius, blocks), "near"), held, verify_width, least)
-    parts = connected_components(links).withColumnRenamed("node", "fp")
-    placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
-    chosen = materialize(kept.join(held.groupBy("fp", "doc_id").agg(F.count("*").alias("n")), (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("kept_id", "kept_fp", "n"), "kept")
-    same = (F.col("fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+
+    @F.pandas_udf("struct<fp:long,key:string>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([word_fingerprint(t) for t in texts], columns=["fp", "key"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), prints(F.col("text")).alias("print"))
+    held = materialize(rows, "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "print.fp", "print.key")
+    texts = materialize(held.groupBy("fp", "key").agg(F.min("doc_id").alias("first_id")), "distinct")
+    first = materialize(texts.groupBy("fp").agg(F.min("key").alias("rep")), "prints")
+    near = hamming_links(first.select("fp"), radius, blocks)
+    apart = near.join(first.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    within = texts.join(first, "fp").filter("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    links = similar_links(materialize(apart.union(within), "near"), held, verify_width, least)
+
+    parts = connected_components(links).withColumnRenamed("node", "key")
+    placed = texts.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
+    same = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    chosen = materialize(kept.join(held.groupBy("key", "doc_id").agg(F.count("*").alias("n")), same).select("kept_id", "kept_key", "n"), "kept")
     once = held.join(chosen.filter("n = 1"), same, "left_semi").select("row")
-    twice = held.join(chosen.filter("n > 1"), same, "left_semi").groupBy("fp", "doc_id").agg(F.min("row").alias("row")).select("row")
+    twice = held.join(chosen.filter("n > 1"), same, "left_semi").groupBy("key", "doc_id").agg(F.min("row").alias("row")).select("row")
     return once.union(twice).select("row.*")
 
 

@@ -1,11 +1,12 @@
 import re
 
 import corpus_pipeline
+import xxhash
 from pyspark.sql import functions as F
 from test_decontaminate import brute as windows
 from test_decontaminate import grams
 from test_mixing import brute as mixed_sizes
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_components
 from test_token_blocks import brute as token_rows
 
 from noticeworks.llm import simhash, toxicity
@@ -18,13 +19,22 @@ def sets(text, width=5):
 
 def brute_first(rows, radius=4):
     """Ids that stay of (id, text), comparing all pairs."""
-    prints = [(d, brute_fingerprint(t), sets(t)) for d, t in rows]
+
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+
+    def majority(found):
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in found]
+        return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64)) if hashes else 0
+
+    prints = [(d, words(t), majority(set(words(t))), sets(t)) for d, t in rows]
     pairs = []
-    for i, (a, fa, sa) in enumerate(prints):
-        for b, fb, sb in prints[i:]:
-            if fa == fb or (fa ^ fb).bit_count() <= radius and len(sa & sb) / len(sa | sb) >= 0.8:
+    for i, (a, wa, fa, sa) in enumerate(prints):
+        for b, wb, fb, sb in prints[i:]:
+            if wa == wb or (fa ^ fb).bit_count() <= radius and len(sa & sb) / len(sa | sb) >= 0.8:
                 pairs.append((a, b))
-    return sorted({brute_components(pairs)[d] for d, _, _ in prints})
+    least = brute_components(pairs)
+    return sorted({least[d] for d, *_ in prints})
 
 
 def test_stages_equal_brute_force(spark, sf_small):
