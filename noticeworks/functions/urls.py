@@ -39,3 +39,14 @@ def links(html: Column) -> Column:
 
 def title(html: Column) -> Column:
     return F.nullif(F.regexp_extract(text(html), r"<title>([^<]*)</title>", 1), F.lit(""))
+
+
+def page_text(html: Column) -> Column:
+    """A page's text: without scripts, styles, frames, menus, comments and tags, white space collapsed."""
+    out = text(html)
+    for tag in ("script", "style", "noscript", "iframe", "nav", "footer", "header"):
+        out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    out = F.regexp_replace(F.regexp_replace(out, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
+    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(mark))
+    return F.trim(F.regexp_replace(out, r"[\x09-\x0D\x20]+", " "))

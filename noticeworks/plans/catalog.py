@@ -576,3 +576,39 @@ ADDRESSES = [(1, "https://a.cn/x/notice.PDF?v=1", "pdf"), (2, "https://a.cn/x.ht
 def attachment_kinds(spark, sf_dir):
     """Kinds of attachments by their addresses; the SQL holds the expected kinds."""
     return fixture(spark, ADDRESSES, "id int, url string, expected string").select("id", urls.attachment_kind(F.col("url")).alias("kind"))
+
+
+def _stripped(html: str) -> str:
+    for tag in ("script", "style", "noscript", "iframe", "nav", "footer", "header"):
+        html = f"regexp_replace({html}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    html = f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        html = f"replace({html}, '{name}', '{mark}')"
+    return rf"trim(regexp_replace({html}, '[\x09-\x0D\x20]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT page_id, {_stripped('html')} AS body, length(body) >= 80 AS is_long FROM pages")
+def html_page_text(spark, sf_dir):
+    """X53, X54 without selectors: the text of each page, and whether it's long enough to keep."""
+    body = urls.page_text(F.col("html"))
+    return t(spark, sf_dir, "pages").select("page_id", body.alias("body"), (F.length(body) >= 80).alias("is_long"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_type = 'error' AS failed, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+s AS (SELECT user_id, run, count(*) FILTER (failed) AS streak FROM r GROUP BY ALL)
+SELECT user_id AS source, max(streak) AS longest, max(streak) >= 3 AS tripped FROM s GROUP BY 1""")
+def breaker_state(spark, sf_dir):
+    """T4 in a batch: the longest run of failures of each source; three trip its breaker, a success resets the count."""
+    at = sequences.W.partitionBy("user_id").orderBy("ts", "event_id")
+    runs = t(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type") != "error").over(at).alias("run"))
+    streaks = runs.groupBy("user_id", "run").agg(F.count_if("failed").alias("streak"))
+    return streaks.groupBy(F.col("user_id").alias("source")).agg(F.max("streak").alias("longest"), (F.max("streak") >= 3).alias("tripped"))
+
+
+@query("""
+SELECT o_orderkey AS posting, to_json({'success': true, 'data': {'title': o_orderpriority, 'status': o_orderstatus}}) AS envelope FROM orders WHERE o_orderstatus = 'P'""")
+def json_envelopes(spark, sf_dir):
+    """Rows as the response's JSON."""
+    data = F.struct(F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"))
+    return t(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("posting"), F.to_json(F.struct(F.lit(True).alias("success"), data.alias("data"))).alias("envelope"))
