@@ -14,6 +14,10 @@ NO_DEADLINE = "未明确|另行通知|长期|常年|面议|不限|待定|招满
 NO_EDUCATION = "^(?:暂未公布|暂未确定|待定|另行通知|详见(?:公告)?|以公告为准|—|-+|无|暂无|/|NULL|N/A)$"
 ANY_EDUCATION = "无要求|不限学历|学历不限|不作学历要求|无学历要求|学历不作要求|不限"
 EDUCATION = (("博士研究生及以上", "博士"), ("硕士研究生及以上", "硕士|研究生"), ("本科及以上", "本科|学士"), ("大专及以上", "大专|专科|高职"))
+EDUCATION_PHRASE = "(?:全日制)?(?:博士研究生|硕士研究生|大学(?:本科|专科)|研究生|博士|硕士|本科学[历位]|本科|大专|专科|高中|中专|技校|高职)(?:及以上|以上|及以下|以下|学位|学历)?"
+SCRAPE_JUNK = (r"^首页\s", r"(?i)\.[a-zA-Z][\w-]*\s*\{|dropselect|simpleselect|li\.hover", r"\{\s*[^}]{0,120}\}", r"(?:^|[·•.])\s*\.[a-zA-Z_-]")
+SCRAPE_CUT = r"[·•.]\s*\.[a-zA-Z_-]|\.[a-zA-Z_-][\w-]*\s*\{|\s*\{[^}]*\}|\s*中国政府网\s*[|｜]"
+GARBLED = (r"(?i)工作表:\s*sheet", r"^---+\s*\z", "[ÃÂÐÞæœ]|ï¿½|â€")
 ANY_MAJOR = "不限专业|专业不限|无专业要求|不作专业要求|专业不作要求|各类专业|所有专业|不限报考专业|不限制专业|专业不限制|无专业限制|^专业\\s*[:：]?\\s*(?:不限|无)|^(?:不限|无)$"
 PARTY_WORDS = ("中共党员", "中共预备党员", "预备党员", "限党员", "面向党员", "须为中共党员", "须中共党员", "限中共党员")
 ANY_MAJOR_WORDS = ("专业不限", "不限专业", "专业要求不限", "不作限制")

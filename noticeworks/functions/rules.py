@@ -55,27 +55,32 @@ def track(value: Column, tracks=L.TRACKS) -> Column:
 
 def is_scrape_junk(c: Column) -> Column:
     v = text(c)
-    return (trim(v) != "") & (v.rlike(r"^首页\s") | is_navigation(v) | v.rlike(r"(?i)\.[a-zA-Z][\w-]*\s*\{|dropselect|simpleselect|li\.hover") | v.rlike(r"\{\s*[^}]{0,120}\}") | v.rlike(r"(?:^|[·•.])\s*\.[a-zA-Z_-]"))
+    found = is_navigation(v)
+    for pattern in L.SCRAPE_JUNK:
+        found = found | v.rlike(pattern)
+    return (trim(v) != "") & found
 
 
 def cut_scrape_junk(c: Column) -> Column:
     """What stands before the first style rule or footer, unless that is nothing, without closing dots."""
     v = trim(c)
-    junk = r"[·•.]\s*\.[a-zA-Z_-]|\.[a-zA-Z_-][\w-]*\s*\{|\s*\{[^}]*\}|\s*中国政府网\s*[|｜]"
-    at = F.regexp_instr(v, F.lit(junk))
+    at = F.regexp_instr(v, F.lit(L.SCRAPE_CUT))
     return trim(F.regexp_replace(F.when(at > 1, trim(F.left(v, at - 1))).otherwise(v), r"[·•.]+\z", ""))
 
 
 def is_garbled(c: Column, least_cjk: int = 2, longer_than: int = 40) -> Column:
     v = trim(c)
     cjk = F.length(F.regexp_replace(v, "[^一-龥]", ""))
-    return (v == "") | v.rlike(r"(?i)工作表:\s*sheet") | v.rlike(r"^---+\s*\z") | v.rlike("[ÃÂÐÞæœ]|ï¿½|â€") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk))
+    found = (v == "") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk))
+    for pattern in L.GARBLED:
+        found = found | v.rlike(pattern)
+    return found
 
 
 def education(c: Column) -> Column:
     """One of five labels, or empty; the longest phrase of a level decides."""
     v = collapse(c)
-    phrases = F.regexp_extract_all(v, F.lit("((?:全日制)?(?:博士研究生|硕士研究生|大学(?:本科|专科)|研究生|博士|硕士|本科学[历位]|本科|大专|专科|高中|中专|技校|高职)(?:及以上|以上|及以下|以下|学位|学历)?)"), 1)
+    phrases = F.regexp_extract_all(v, F.lit(f"({L.EDUCATION_PHRASE})"), 1)
     longest = F.aggregate(phrases, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
     phrase = F.when(longest == "", v).otherwise(longest)
     out = F.when((v == "") | v.rlike("(?i)" + L.NO_EDUCATION), "").when(v.rlike(L.ANY_EDUCATION), "无要求")
