@@ -42,6 +42,11 @@ def _hashes(grams: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ordered array."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class ItemIndex:
     """The items of one block, by their number of words."""
 
@@ -112,7 +117,7 @@ class ItemIndex:
             if not len(starts):
                 continue
             made = self._keys(ids, width)
-            at = starts[np.isin(made[starts], keys)]
+            at = starts[_among(made[starts], keys)]
             if not len(at):
                 continue
             grams = hashes = None
@@ -120,7 +125,7 @@ class ItemIndex:
                 if own["width"] != width:
                     continue
                 hits = np.zeros(len(words) - width + 2, dtype=np.int64)
-                hits[at[np.isin(made[at], own["keys"])] + 1] = 1
+                hits[at[_among(made[at], own["keys"])] + 1] = 1
                 hits = np.cumsum(hits)
                 long = min(n, len(words)) - width + 1  # shingles of a window
                 # Shared shingles s of window and item make s / (long + item - s), which has to reach the similarity.
