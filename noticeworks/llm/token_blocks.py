@@ -125,33 +125,56 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.spaced, self.bare = pieces, {}, {"": b""}
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: bytes_of(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
+        self.space = bytes_of(" ")[0][0]
         self.line_feed = self._ids(["\n"])[0]
-        self.adjacent = re.compile(f"[{self.BLANKS}][{self.BLANKS}]|^[{self.BLANKS}]|[{self.BLANKS}]$")
+        self.marks = dict(zip(",.!?;:", self._ids(list(",.!?;:")), strict=True))
         self.cut = re.compile(f"(?<![{self.BLANKS}]) (?![{self.BLANKS}]|$)")
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _split(self, text: str) -> list[list[str]] | None:
-        """Lines of pieces; None if the text has to go whole. The first piece of a line has no space before it."""
+    def _pieces_ids(self, prefix: str, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Of pieces that are one run of Latin letters to the pre-tokenizer, by the library's model alone."""
+        tokenize, first, others = self.tokenizer.model.tokenize, self.space if prefix else "", []
+        for p in pieces:
+            if p.isalpha() and (p.isascii() or max(p) <= "ÿ"):
+                yield p, np.array([t.id for t in tokenize(first + (p if p.isascii() else p.translate(self.letters)))], dtype="<u4").tobytes()
+            else:
+                others.append(p)
+        yield from zip(others, self._ids([prefix + p for p in others]), strict=True)
+
+    def _split(self, text: str) -> list[tuple[str, list[str]]] | None:
+        """Lines, each as its first piece and those after a space; None if the text has to go whole."""
         if any(s in text for s in self.special):
             return None
-        if self.adjacent.search(text):
-            return [self.cut.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
-
-    def _learn(self, lines: list[list[list[str]]]) -> None:
-        for known, prefix, new in ((self.spaced, " ", {p for d in lines for line in d for p in line[1:]}), (self.bare, "", {line[0] for d in lines for line in d})):
-            new = [p for p in new if p not in known]
-            if len(known) + len(new) > self.pieces:
-                known.clear()
-                known.update({"": b""} if not prefix else {})
-                new = list({p for d in lines for line in d for p in (line[1:] if prefix else line[:1])} - known.keys())
-            known.update(zip(new, self._ids([prefix + p for p in new]), strict=True))
+        runs = text.split()
+        if len(text) - sum(map(len, runs)) > max(0, len(runs) - 1):  # blanks side by side, or at an end
+            lines = [self.cut.split(text)]
+        else:
+            lines = [line.split(" ") for line in text.split("\n")]
+        return [(line[0], line[1:]) for line in lines]
+
+    def _learn(self, split: list[list[tuple[str, list[str]]]]) -> list[tuple[dict, set]]:
+        """Encodes pieces that aren't known; returns those to forget again, as the memory is full."""
+        forget = []
+        for known, prefix, found in ((self.spaced, " ", set().union(*[rest for d in split for _, rest in d])), (self.bare, "", {first for d in split for first, _ in d})):
+            new = found - known.keys()
+            # A letter and a mark after it are always two pieces to the pre-tokenizer.
+            marked = {p for p in new if p[-1:] in self.marks and p[-2:-1] <= "ÿ" and p[-2:-1].isalpha()}
+            stems = list((new - marked) | ({p[:-1] for p in marked} - known.keys()))
+            room = self.pieces - len(known)
+            known.update(self._pieces_ids(prefix, stems))
+            known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
+            if len(new) + len(stems) > room:
+                forget.append((known, new.union(stems)))
+        return forget
 
     def encode(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[np.ndarray]:
         """Each text's ids, null as the empty text; memory is for about so many characters at a time."""
@@ -166,18 +189,21 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [self._split(t) for t in texts]
-        self._learn([s for s in split if s])
+        forget = self._learn([s for s in split if s])
         for text, lines in zip(texts, split, strict=True):
             if lines is None:
                 yield np.frombuffer(self._ids([text])[0], "<u4")
                 continue
             parts: list[bytes] = []
-            for i, line in enumerate(lines):
+            for i, (first, rest) in enumerate(lines):
                 if i:
                     parts.append(self.line_feed)
-                parts.append(self.bare[line[0]])
-                parts.extend(map(self.spaced.__getitem__, line[1:]))
+                parts.append(self.bare[first])
+                parts.extend(map(self.spaced.__getitem__, rest))
             yield np.frombuffer(b"".join(parts), "<u4")
+        for known, pieces in forget:
+            for p in pieces:
+                known.pop(p, None)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -85,6 +85,35 @@ def gram_counts(texts: DataFrame, order: int, held: int = 250_000) -> DataFrame:
     return texts.select("y", "text").mapInPandas(count, GRAMS).groupBy("y", "ctx", "ch").agg(F.sum("n").alias("n"))
 
 
+def distinct_grams(texts: DataFrame, order: int, held: int = 300_000) -> DataFrame:
+    """(ctx, ch): the distinct ones of gram_counts, over all words of texts (text).
+
+    A task remembers up to `held` pieces that it has taken apart; others are taken apart again, to no effect.
+    """
+
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        found: set[str] = set()
+        for batch in batches:
+            for text in batch["text"].tolist():
+                new = set((text or "").lower().split()) - seen
+                for piece in new:
+                    for word in LETTERS.findall(piece):
+                        s = f"^{word}$"
+                        found.update([s[:i] for i in range(2, min(order, len(s) + 1))])
+                        found.update([s[i : i + order] for i in range(len(s) - order + 1)])
+                if len(seen) < held:
+                    seen |= new
+            if len(found) > held:
+                yield pd.DataFrame({"gram": list(found)})
+                found.clear()
+                seen.clear()
+        yield pd.DataFrame({"gram": list(found)}, dtype=object)
+
+    grams = texts.select("text").mapInPandas(collect, "gram string").distinct()
+    return grams.select(F.expr("left(gram, length(gram) - 1)").alias("ctx"), F.expr("right(gram, 1)").alias("ch"))
+
+
 def shared_probabilities(wanted: DataFrame, corpus: DataFrame, order: int = SHARED_ORDER, discount: float = DISCOUNT) -> DataFrame:
     """(ctx, ch, shared): Kneser-Ney probability of wanted's letters after the last order - 2 characters of their contexts.
 
@@ -219,7 +248,7 @@ def fit(
     counted = materialize(gram_counts(sample.filter(~later), order), "class-grams")
     often = counted.groupBy("ctx", "ch").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_count).drop("all")
     own = materialize(counted.join(often, ["ctx", "ch"]), "class-grams")
-    corpus = gram_counts(docs.select(F.lit(0).alias("y"), "text"), shared_order).select("ctx", "ch")
+    corpus = distinct_grams(docs, shared_order)
     rows = evidence_table(own, materialize(corpus, "corpus-grams"), shared_order, discount).limit(max_entries + 1).toArrow()
     if rows.num_rows > max_entries:
         raise ValueError(f"the model has more than {max_entries} entries: lower order or max_rows")

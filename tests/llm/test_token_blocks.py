@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from noticeworks.llm import queries, token_blocks
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["a", "B", "é", "ß", "中", "😀", "1", "23", ".", ",", "'s", "'ll", "-", "_", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "　", "\x1c", "\x00", "​", "﻿", "<|endoftext|>", " <|endoftext|>", "the", " the"]
+ODD = ["a", "B", "a,", "é.", "é!", ",", "é", "ß", "中", "😀", "1", "23", ".", ",", "'s", "'ll", "-", "_", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "　", "\x1c", "\x00", "​", "﻿", "<|endoftext|>", " <|endoftext|>", "the", " the"]
 
 
 def library(texts):

@@ -47,6 +47,10 @@ def test_counts(spark):
     want = Counter((0, *g) for w in ["ab", "ab", "é", "é", "中"] for g in toxicity.grams(w, 3))
     for held in (1, 1000):
         assert {(r.y, r.ctx, r.ch): r.n for r in toxicity.gram_counts(df, 3, held).collect()} == want
+    for order in (2, 3, 5):
+        alike = {(r.ctx, r.ch) for r in toxicity.gram_counts(df, order).collect()}
+        for held in (1, 1000):
+            assert {(r.ctx, r.ch) for r in toxicity.distinct_grams(df, order, held).collect()} == alike
 
 
 def test_held_out_accuracy(spark, sf):
