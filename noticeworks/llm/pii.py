@@ -74,7 +74,7 @@ def luhn(digits: Column) -> Column:
 
 
 def _part(n: int) -> str:
-    return r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])" + (r"\." if n < 3 else "")
+    return r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?|(?<=0))" + (r"\." if n < 3 else "")
 
 
 IP_PARTS = "^" + "".join(map(_part, range(4))) + r"\z"

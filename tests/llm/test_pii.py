@@ -57,6 +57,17 @@ def test_edge_rows(spark):
     assert pii.report(df.limit(0)).collect() == []
 
 
+def test_zero_parts(spark):
+    """Address parts of zero are numbers up to 255 like any."""
+    rng = random.Random(9)
+    texts = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "203.0.113.7", "8.8.8.0", "0.0.0.0", "00.000.0.1", "0.0.0.256", "0.0.0.", "000256.0.0.1", "1.2.3.0255"]
+    texts += ["".join(rng.choices([*ODD, "0", "00", "10.0.0.1", "0.0.0", "."], k=rng.randint(1, 14))) for _ in range(2000)]
+    rows = list(enumerate(texts))
+    got = sorted(pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    agrees(rows, got)
+    assert [r.n_ip for r in got[:11]] == [1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 1]
+
+
 def test_weak_supervision_adds_likely_spans(spark):
     rng = random.Random(1)
     rows = []
