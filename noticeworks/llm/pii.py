@@ -21,7 +21,7 @@ from .common import materialize
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that Java matches each in time linear in the text. A match
 #: starts where a run does, or where the last match ended; possessive parts are followed by what they can't hold.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,1000}+"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: 13 to 19 digits; of the contract's maximal matches those with fewer or more can't pass.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"

@@ -68,6 +68,13 @@ def test_zero_parts(spark):
     assert [r.n_ip for r in got[:11]] == [1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 1]
 
 
+def test_long_domain(spark):
+    """A domain's labels are all of the match, and what follows is searched from its end."""
+    texts = ["a@" + "b." * 3000 + "c", "a@" + "b." * 60_000 + "c_x@d.e 10.0.0.1", "a@" + "b." * 1001 + "c@d.e"]
+    rows = list(enumerate(texts))
+    agrees(rows, sorted(pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+
+
 def test_weak_supervision_adds_likely_spans(spark):
     rng = random.Random(1)
     rows = []
