@@ -15,6 +15,7 @@ radius / 2 of the midpoint, and so is its least member.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +28,9 @@ from .common import materialize
 from .components import connected_components
 
 SEED = 42
+#: Places of a text's bitmap of shingles, hashes whose least values are kept, and texts that are compared at a time.
+PLACES, HASHES, CHUNK = 1024, 8, 128
+FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -105,6 +109,19 @@ def word_fingerprint(text: str | None) -> tuple[int, str]:
     return _majority(sorted(set(words))), hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()
 
 
+def sketch(text: str | None, width: int) -> tuple[int, bytes, list[int]]:
+    """Number of distinct shingles, a bitmap of how many are odd at a place, and the least values of some hashes.
+
+    Two bitmaps differ in at most as many places as the sets of shingles do in elements.
+    """
+    found = set(shingles(text or "", width))
+    if not found:
+        return 0, bytes(PLACES // 8), []
+    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in found], dtype="<u8")
+    odd = np.bincount((hashes % PLACES).astype(np.int64), minlength=PLACES) & 1
+    return len(found), np.packbits(odd.astype(np.uint8)).tobytes(), [int((hashes * f).min().view(np.int64)) for f in FACTORS]
+
+
 def similarity(a: str | None, b: str | None, width: int) -> float:
     """Jaccard similarity of two texts' sets of word shingles; two texts without words are alike."""
     x, y = set(shingles(a or "", width)), set(shingles(b or "", width))
@@ -124,32 +141,88 @@ def similar_links(links: DataFrame, docs: DataFrame, width: int, least: float) -
     return paired.filter(similar("a", "b") >= least - 1e-12).select("u", "v")
 
 
-def keep_first(docs: DataFrame, radius: int = 4, blocks: int = 7, verify_width: int = 5, least: float = 0.8) -> DataFrame:
+def hub_links(texts: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) from texts to the first of those that share a fingerprint or the least value of a hash.
+
+    texts: fp, key and least. Linear in the texts; only fingerprints within the radius are linked.
+    """
+    marks = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.col("fp").alias("x"))), F.transform("least", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
+    marked = texts.select("fp", "key", F.explode(marks).alias("mark"))
+    hubs = marked.groupBy("mark").agg(F.min(F.struct("key", "fp")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("mark", F.col("hub.key").alias("v"), F.col("hub.fp").alias("fq"))
+    return marked.join(hubs, "mark").filter("key <> v").filter(_near("fp", "fq", radius)).select(F.col("key").alias("u"), "v").distinct()
+
+
+def crossing_pairs(texts: DataFrame, radius: int, blocks: int, least: float, chunk: int = CHUNK) -> DataFrame:
+    """All pairs (u, v) of texts of different components, within the radius, that may be similar enough.
+
+    texts: fp, key, component, n and bits, written already. The members of a bucket are dealt to chunks of about `chunk`
+    texts, and chunks are compared with chunks, so a large bucket is spread over tasks whatever its size. A pair comes
+    from the first bucket it shares. It is left out only if its bitmaps show that the similarity is below `least`.
+    """
+    masks = np.array(block_masks(radius, blocks), dtype=np.int64)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            us, vs = [], []
+            for m, same, *columns in batch.itertuples(index=False, name=None):
+                (fa, ka, ca, na, ba), (fb, kb, cb, nb, bb) = columns[:5], columns[5:]
+                names = {c: i for i, c in enumerate({*ca, *cb})}
+                x = np.asarray(fa, np.int64)[:, None] ^ np.asarray(fb, np.int64)
+                apart = np.array([names[c] for c in ca])[:, None] != np.array([names[c] for c in cb])
+                i, j = np.nonzero(apart & (np.bitwise_count(x.view(np.uint64)) <= radius) & (np.triu(np.ones(x.shape, bool), 1) if same else True))
+                for mask in masks[:m]:
+                    new = (x[i, j] & mask) != 0
+                    i, j = i[new], j[new]
+                if len(i):
+                    bits = [np.frombuffer(b"".join(b), np.uint64).reshape(len(b), -1) for b in (ba, bb)]
+                    differ = np.bitwise_count(bits[0][i] ^ bits[1][j]).sum(axis=1, dtype=np.int64)
+                    both = np.asarray(na, np.int64)[i] + np.asarray(nb, np.int64)[j]
+                    like = (both - differ) / 2 >= least / (1 + least) * both - 1e-6
+                    us += [ka[t] for t in i[like]]
+                    vs += [kb[t] for t in j[like]]
+            yield pd.DataFrame({"u": us, "v": vs}, dtype=object)
+
+    keyed = texts.select("fp", "key", "component", "n", "bits", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(int(m))).alias("k")) for i, m in enumerate(masks)])).alias("b")).select("*", "b.m", "b.k").drop("b")
+    sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    shared = materialize(sizes.select("m", "k", F.ceil(F.col("size") / chunk).cast("int").alias("parts")), "blocks")
+    dealt = keyed.join(shared, ["m", "k"]).withColumn("c", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    chunks = materialize(dealt.groupBy("m", "k", "parts", "c").agg(F.collect_list(F.struct("fp", "key", "component", "n", "bits")).alias("s")), "chunks")
+    alone = chunks.filter("parts = 1").select("m", F.lit(True).alias("same"), F.col("s").alias("a"), F.col("s").alias("b"))
+    left = chunks.filter("parts > 1").select("m", "k", "c", F.col("s").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
+    right = chunks.filter("parts > 1").select("m", "k", F.col("c").alias("d"), F.col("s").alias("b"))
+    met = alone.union(left.join(right, ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", "b"))
+    fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("fp", "key", "component", "n", "bits")]
+    return met.select("m", "same", *fields).mapInPandas(compare, "u string, v string")
+
+
+def keep_first(docs: DataFrame, radius: int = 4, blocks: int = 7, verify_width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each group of near duplicates: the one of the least id.
 
     Texts of the same words in the same order, A-Z lower-cased, are copies; so are all texts without words. Others
     are candidates if the fingerprints of their distinct words are within the radius, which a changed word moves
-    far less than those of shingles, and link if their `verify_width`-word shingles are similar enough. Of several
-    texts with one fingerprint, one is compared with the others and with those of near fingerprints. A row
+    far less than those of shingles, and link if their `verify_width`-word shingles are similar enough. Texts are
+    first linked to hubs, which joins most of a large group in linear time; then all candidates of different
+    components are compared, whatever the sizes of their buckets. A row
     without an id stays only where its group has no id. Of repeated rows one stays. The columns are those of docs,
     whatever their names.
     """
 
-    @F.pandas_udf("struct<fp:long,key:string>")
+    @F.pandas_udf("struct<fp:long,key:string,n:int,bits:binary,least:array<long>>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([word_fingerprint(t) for t in texts], columns=["fp", "key"])
+        return pd.DataFrame([(*word_fingerprint(t), *sketch(t, verify_width)) for t in texts], columns=["fp", "key", "n", "bits", "least"])
+
+    def placed_by(links: DataFrame) -> DataFrame:
+        parts = connected_components(links).withColumnRenamed("node", "key")
+        return texts.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), prints(F.col("text")).alias("print"))
-    held = materialize(rows, "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "print.fp", "print.key")
-    texts = materialize(held.groupBy("fp", "key").agg(F.min("doc_id").alias("first_id")), "distinct")
-    first = materialize(texts.groupBy("fp").agg(F.min("key").alias("rep")), "prints")
-    near = hamming_links(first.select("fp"), radius, blocks)
-    apart = near.join(first.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    within = texts.join(first, "fp").filter("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
-    links = similar_links(materialize(apart.union(within), "near"), held, verify_width, least)
-
-    parts = connected_components(links).withColumnRenamed("node", "key")
-    placed = texts.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    held = materialize(rows, "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "print.*")
+    texts = materialize(held.groupBy("fp", "key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bits", "least")]), "distinct")
+    links = materialize(similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least), "links")
+    apart = materialize(placed_by(links).select("fp", "key", "component", "n", "bits"), "placed")
+    crossing = materialize(crossing_pairs(apart, radius, blocks, least, chunk), "crossing")
+    placed = placed_by(links.union(similar_links(crossing, held, verify_width, least)))
+
     kept = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
     same = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
     chosen = materialize(kept.join(held.groupBy("key", "doc_id").agg(F.count("*").alias("n")), same).select("kept_id", "kept_key", "n"), "kept")

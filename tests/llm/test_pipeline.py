@@ -1,6 +1,8 @@
+import random
 import re
 
 import corpus_pipeline
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from test_decontaminate import brute as windows
@@ -85,3 +87,18 @@ def test_keep_first_edge_rows(spark):
     assert sorted((r.doc_id or -1, (r.text or "")[:12]) for r in got.collect() if r.doc_id != 2) == sorted([(-1, "only here"), *((d, dict(rows)[d][:12] if dict(rows)[d] else "") for d in want)])
     assert sorted(r.text for r in got.collect() if r.doc_id == 2) == ["another text", "x y z"]
     assert simhash.keep_first(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_keep_first_compares_all_pairs_of_a_template(spark, chunk):
+    """Near copies of texts that are all near one template, but not similar enough to it."""
+    rng, base, rows = random.Random(chunk), [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        words = base.copy()
+        for k in rng.sample(range(300), 10):
+            words[k] = f"x{i}.{k}"
+        copy = words.copy()
+        copy[rng.randrange(300)] = f"y{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk=chunk)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == brute_first(rows)
