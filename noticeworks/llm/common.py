@@ -22,14 +22,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df to the shared folder, with options of the writer, and reads it back.
 
     Cuts the lineage at the cost of one computation, and outlives the executors that wrote it.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
