@@ -1,17 +1,19 @@
-"""Toxicity by two class-conditional Kneser-Ney models of how words are spelled.
-
-An expression is a run of letters within what stands between white space, lower-cased. Each class has counts of a
-letter after the nine before it (with marks for a word's ends) from its labelled rows, discounted and backed off
-to shared Kneser-Ney counts of short contexts, which come from the words of all documents, labelled or not. So a
-rare expression, or one seen in neither class, is judged by the parts that were seen, and where neither class knows
-a context both back off to the same counts and nothing is decided.
-
-An expression's evidence is its toxic less its ordinary log-likelihood. Insults are a few words of a long text, and
-a mean over all its words would drown them, so a text's evidence is normalised over its `top` most toxic
-expressions: their mean, missing ones as 0. A logistic curve that is fitted on labelled rows which the models
-haven't seen maps it to a score.
-
-The table that is broadcast has an entry for each context and letter of the bounded sample of labelled rows.
+"""Toxicity by two class-conditional Kneser-Ney models of how expressions are spelled.
+
+An expression is a run of letters within what stands between white space, lower-cased; runs of more than 64 letters
+are taken 64 at a time. Each class has counts of a letter after the seven before it (with marks for an expression's
+ends) from its labelled rows, discounted and backed off to shared Kneser-Ney counts of all documents, labelled or not:
+how often each letter follows the same seven, then in how many of those it follows shorter contexts. So a rare
+expression is judged by the parts that were seen, weighed by how common they are in the corpus, and where neither
+class knows a context both back off to the same counts and nothing is decided.
+
+An expression is compared by its toxic less its ordinary log-likelihood, for each of its letters. Ordinary words
+spread a little around zero and would drown a few insults, so what counts is by how much this exceeds a margin, and a
+text's evidence is the mean of that over all its letters. A logistic curve that is fitted on labelled rows which the
+models haven't seen maps it to a score.
+
+The table that is broadcast has 12 bytes for each context and letter of the sample of labelled rows, which is bounded
+in rows and in characters.
 """
 
 from __future__ import annotations
@@ -20,181 +22,208 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
-from heapq import nlargest
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fold, materialize
 from .labels import labelled
 
-ORDER, SHARED_ORDER, DISCOUNT, TOP = 10, 4, 0.75, 3
-#: Letters after a context that both classes have seen less often in all are left to the shared counts.
-MIN_COUNT = 3
-#: Labelled rows of each class that are learned from, and entries of the model that may be broadcast.
-MAX_ROWS, MAX_ENTRIES = 5_000, 1_000_000
+#: Letters of a gram, context lengths that the shared counts back off through, discount, margin a letter.
+ORDER, BACKOFF, DISCOUNT, MARGIN, LONGEST = 8, (7, 5, 3, 1, 0), 0.75, 0.4, 64
+#: Labelled rows of each class that are learned from, and their characters.
+MAX_ROWS, MAX_CHARS = 5_000, 8_000_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-LETTERS = re.compile(r"[^\W\d_]+")
-GRAMS = "y int, ctx string, ch string, n long"
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+FACTORS = np.random.default_rng(42).integers(1, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def grams(word: str, order: int = ORDER) -> Iterator[tuple[str, str]]:
-    """Each letter, and the end mark, with the order - 1 characters before it."""
-    s = f"^{word}$"
-    return ((s[max(0, i - order + 1) : i], s[i]) for i in range(1, len(s)))
+def word_counts(texts: DataFrame, held: int = 200_000) -> DataFrame:
+    """(y, word, n): counts of the expressions of texts (y, text), aggregated in each task before they are shuffled.
 
-
-def gram_counts(texts: DataFrame, order: int, held: int = 250_000) -> DataFrame:
-    """(y, ctx, ch, n): counts over the words of texts (y, text), aggregated in each task before they are shuffled.
-
-    A task holds at most about `held` pieces of text and twice as many counts at a time.
+    A task holds at most about `held` distinct pieces of text, and one text's, at a time.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces: dict[int, Counter] = {}
-        found: Counter = Counter()
 
-        def learn() -> None:
+        def drain() -> pd.DataFrame:
+            found: Counter = Counter()
             for y, own in pieces.items():
                 for piece, n in own.items():
                     for word in LETTERS.findall(piece.lower()):
-                        for ctx, ch in grams(word, order):
-                            found[y, ctx, ch] += n
+                        found[y, word] += n
             pieces.clear()
-
-        def drain() -> pd.DataFrame:
-            rows = pd.DataFrame([(*g, n) for g, n in found.items()], columns=["y", "ctx", "ch", "n"])
-            found.clear()
-            return rows
+            return pd.DataFrame([(y, w, n) for (y, w), n in found.items()], columns=["y", "word", "n"])
 
         for batch in batches:
             for y, text in zip(batch["y"].tolist(), batch["text"].tolist(), strict=True):
                 own = pieces.setdefault(int(y), Counter())
                 own.update((text or "").split())
-                if len(own) > held // order:
-                    learn()
-                    if len(found) > held:
-                        yield drain()
-        learn()
+                if len(own) > held:
+                    yield drain()
         yield drain()
 
-    return texts.select("y", "text").mapInPandas(count, GRAMS).groupBy("y", "ctx", "ch").agg(F.sum("n").alias("n"))
+    return texts.select("y", "text").mapInPandas(count, "y int, word string, n long").groupBy("y", "word").agg(F.sum("n").alias("n"))
 
 
-def distinct_grams(texts: DataFrame, order: int, held: int = 300_000) -> DataFrame:
-    """(ctx, ch): the distinct ones of gram_counts, over all words of texts (text).
+def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
+    """(y, ctx, ch, n): each letter of words (y, word, n), and the end mark, after the order - 1 characters before it."""
+    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(2), F.length("marked")), lambda i: F.struct(F.substring("marked", F.greatest(F.lit(1), i - (order - 1)), F.least(F.lit(order - 1), i - 1)).alias("ctx"), F.substring("marked", i, F.lit(1)).alias("ch")))
+    return words.select("y", "n", marked.alias("marked")).select("y", "n", F.explode(grams).alias("g")).groupBy("y", "g.ctx", "g.ch").agg(F.sum("n").alias("n"))
 
-    A task remembers up to `held` pieces that it has taken apart; others are taken apart again, to no effect.
-    """
 
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
-        found: set[str] = set()
-        for batch in batches:
-            for text in batch["text"].tolist():
-                new = set((text or "").lower().split()) - seen
-                for piece in new:
-                    for word in LETTERS.findall(piece):
-                        s = f"^{word}$"
-                        found.update([s[:i] for i in range(2, min(order, len(s) + 1))])
-                        found.update([s[i : i + order] for i in range(len(s) - order + 1)])
-                if len(seen) < held:
-                    seen |= new
-            if len(found) > held:
-                yield pd.DataFrame({"gram": list(found)})
-                found.clear()
-                seen.clear()
-        yield pd.DataFrame({"gram": list(found)}, dtype=object)
-
-    grams = texts.select("text").mapInPandas(collect, "gram string").distinct()
-    return grams.select(F.expr("left(gram, length(gram) - 1)").alias("ctx"), F.expr("right(gram, 1)").alias("ch"))
-
-
-def shared_probabilities(wanted: DataFrame, corpus: DataFrame, order: int = SHARED_ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """(ctx, ch, shared): Kneser-Ney probability of wanted's letters after the last order - 2 characters of their contexts.
-
-    corpus has the distinct (ctx, ch) of all documents, letters with the order - 1 characters before them. A shorter context counts the longer ones that a letter was
-    seen after; contexts of each length are aggregated from those one longer and joined on.
+def shared_probabilities(wanted: DataFrame, corpus: DataFrame, lengths: Sequence[int] = BACKOFF, discount: float = DISCOUNT) -> DataFrame:
+    """(ctx, ch, shared): Kneser-Ney probability, in the corpus, of wanted's letters after their contexts.
+
+    corpus: (ctx, ch, n) of all documents, contexts of up to lengths[0] characters; it has all of wanted, whose texts
+    are documents. A shorter context counts the longer ones that a letter was seen after. The tables of contexts stay
+    distributed; only what wanted asks for is joined.
     """
     letters = corpus.select("ch").distinct().count()
     level, found = corpus, wanted.select("ctx", "ch").distinct()
-    steps = []
-    for k in range(order - 2, -1, -1):
-        suffix = F.expr(f"right(ctx, {k})") if k else F.lit("")
-        level = materialize(level.select(suffix.alias("ctx"), "ch").groupBy("ctx", "ch").agg(F.count("*").alias("n")), "contexts")
-        sums = level.groupBy("ctx").agg(F.sum("n").alias(f"t{k}"), F.count("*").alias(f"y{k}"))
-        own = level.select(F.col("ctx").alias(f"x{k}"), F.col("ch").alias(f"c{k}"), F.col("n").alias(f"n{k}"))
-        suffix = F.expr(f"right(ctx, {k})") if k else F.lit("")
-        found = found.withColumn(f"s{k}", suffix)
-        found = found.join(own, (F.col(f"s{k}") == F.col(f"x{k}")) & (F.col("ch") == F.col(f"c{k}")), "left")
-        found = found.join(sums.withColumnRenamed("ctx", f"z{k}"), F.col(f"s{k}") == F.col(f"z{k}"), "left")
-        steps.append(k)
-        level = level.select("ctx", "ch")
+    for k in lengths:
+        if k != lengths[0]:
+            level = level.select(F.expr(f"right(ctx, {k})").alias("ctx"), "ch").groupBy("ctx", "ch").agg(F.count("*").alias("n"))
+        level = materialize(level, "contexts")
+        after = W.partitionBy("ctx")  # at most the alphabet
+        own = level.select(F.col("ctx").alias(f"x{k}"), F.col("ch").alias("ch"), F.col("n").alias(f"n{k}"), F.sum("n").over(after).alias(f"t{k}"), F.count("*").over(after).alias(f"y{k}"))
+        found = found.withColumn(f"x{k}", F.expr(f"right(ctx, {k})")).join(own.hint("merge"), [f"x{k}", "ch"])
     p = F.lit(1.0 / max(1, letters))
-    for k in reversed(steps):
-        n, t, types = F.coalesce(F.col(f"n{k}"), F.lit(0)), F.col(f"t{k}"), F.col(f"y{k}")
-        p = F.when(t.isNull(), p).otherwise(F.greatest(n - discount, F.lit(0.0)) / t + discount * types / t * p)
+    for k in reversed(lengths):
+        p = (F.greatest(F.col(f"n{k}") - discount, F.lit(0.0)) + discount * F.col(f"y{k}") * p) / F.col(f"t{k}")
     return found.select("ctx", "ch", p.alias("shared"))
 
 
-def evidence_table(own: DataFrame, corpus: DataFrame, order: int = SHARED_ORDER, discount: float = DISCOUNT) -> DataFrame:
+def evidence_table(own: DataFrame, corpus: DataFrame, lengths: Sequence[int] = BACKOFF, discount: float = DISCOUNT) -> DataFrame:
     """(ctx, ch, llr): log of toxic over ordinary probability; ch is empty for what a class's own counts lack.
 
     own: (y, ctx, ch, n) of the labelled rows. After a context, a letter that neither class has seen there leaves
     only the two backoff weights to compare, as the shared probability cancels out.
     """
-    by = {y: own.filter(F.col("y") == y) for y in (0, 1)}
-    seen = shared_probabilities(own, corpus, order, discount)
-    contexts = own.select("ctx").distinct()
+    by_letter = own.groupBy("ctx", "ch").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
+    after = W.partitionBy("ctx")
     for y in (0, 1):
-        sums = by[y].groupBy("ctx").agg(F.sum("n").alias(f"t{y}"), F.count("*").alias(f"d{y}"))
-        contexts = contexts.join(sums, "ctx", "left")
-        seen = seen.join(by[y].select("ctx", "ch", F.col("n").alias(f"n{y}")), ["ctx", "ch"], "left")
-    contexts = materialize(contexts, "contexts")
+        by_letter = by_letter.withColumn(f"t{y}", F.sum(f"n{y}").over(after)).withColumn(f"d{y}", F.sum((F.col(f"n{y}") > 0).cast("long")).over(after))
+    seen = materialize(by_letter, "class-contexts")
 
     def weight(y: int) -> Column:
-        return F.coalesce(discount * F.col(f"d{y}") / F.col(f"t{y}"), F.lit(1.0))
+        return F.when(F.col(f"t{y}") > 0, discount * F.col(f"d{y}") / F.col(f"t{y}")).otherwise(1.0)
 
     def probability(y: int) -> Column:
-        first = F.coalesce(F.greatest(F.coalesce(F.col(f"n{y}"), F.lit(0)) - discount, F.lit(0.0)) / F.col(f"t{y}"), F.lit(0.0))
+        first = F.when(F.col(f"t{y}") > 0, F.greatest(F.col(f"n{y}") - discount, F.lit(0.0)) / F.col(f"t{y}")).otherwise(0.0)
         return first + weight(y) * F.col("shared")
 
-    letters = seen.join(contexts, "ctx").select("ctx", "ch", F.log(probability(1) / probability(0)).alias("llr"))
-    return letters.union(contexts.select("ctx", F.lit("").alias("ch"), F.log(weight(1) / weight(0)).alias("llr")))
+    letters = seen.join(shared_probabilities(seen, corpus, lengths, discount).hint("merge"), ["ctx", "ch"]).select("ctx", "ch", F.log(probability(1) / probability(0)).alias("llr"))
+    contexts = seen.select("ctx", F.lit("").alias("ch"), F.log(weight(1) / weight(0)).alias("llr")).distinct()
+    return letters.union(contexts)
 
 
-class Scorer:
-    """Evidence of texts, with a bounded memory of pieces already judged.
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words with their marks, one after another, and how many stand before each within its word."""
+    marked = "".join([f"^{w}$" for w in words])
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return codes, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _gram_keys(codes: np.ndarray, before: np.ndarray, order: int, skip: int = 0) -> np.ndarray:
+    """One number for the last up to `order` characters that end at each place, less the last `skip` of them."""
+    keys = np.zeros(len(codes), dtype=np.uint64)
+    for j in range(skip, order):
+        there = before >= j
+        keys[there] += (codes[np.flatnonzero(there) - j] + np.uint64(1)) * FACTORS[j]
+    return keys ^ (keys >> np.uint64(29))
 
-    letters: by a context and the letter after it, in one string; contexts: by context, for any other letter.
-    """
 
-    def __init__(self, letters: dict[str, float], contexts: dict[str, float], order: int, top: int, limit: int = 300_000):
-        self.letters, self.contexts, self.order, self.top, self.limit, self.known = letters, contexts, order, top, limit, {}
+def _table_keys(ctx: list[str], ch: list[str]) -> np.ndarray:
+    """The same numbers for contexts and letters; an empty letter leaves its place out."""
+    whole = np.array([c + (x or "$") for c, x in zip(ctx, ch, strict=True)], dtype=f"<U{ORDER}")
+    codes = whole.view("<u4").reshape(len(whole), ORDER).astype(np.uint64)
+    sizes, given = np.char.str_len(whole), np.array([bool(x) for x in ch], dtype=bool)
+    keys = np.zeros(len(whole), dtype=np.uint64)
+    for j in range(ORDER):
+        rows = np.flatnonzero((sizes > j) & (given | (j > 0)))
+        keys[rows] += (codes[rows, sizes[rows] - 1 - j] + np.uint64(1)) * FACTORS[j]
+    return keys ^ (keys >> np.uint64(29))
 
-    def word(self, word: str) -> float:
-        s, total = f"^{word}$", 0.0
-        for i in range(1, len(s)):
-            first = max(0, i - self.order + 1)
-            v = self.letters.get(s[first : i + 1])
-            total += self.contexts.get(s[first:i], 0.0) if v is None else v
-        return total
 
-    def piece(self, piece: str) -> float:
-        """The evidence of the most toxic expression in it; 0 without one."""
-        v = self.known.get(piece)
-        if v is None:
-            v = max(map(self.word, LETTERS.findall(piece.lower())), default=0.0)
-            if len(self.known) < self.limit:
-                self.known[piece] = v
-        return v
+def numbered(table: DataFrame) -> DataFrame:
+    """(letter, key, llr): the entries of an evidence table, by number."""
 
-    def text(self, text: str | None) -> float:
-        return sum(nlargest(self.top, map(self.piece, (text or "").split()))) / self.top
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ch = b["ch"].tolist()
+            yield pd.DataFrame({"letter": [bool(x) for x in ch], "key": _table_keys(b["ctx"].tolist(), ch).view(np.int64), "llr": b["llr"].astype("float32")})
+
+    return table.select("ctx", "ch", "llr").mapInPandas(keyed, "letter boolean, key long, llr float")
+
+
+class Scorer:
+    """Evidence of texts by ordered arrays of keys, with a bounded memory of pieces already judged."""
+
+    def __init__(self, letters: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], order: int = ORDER, margin: float = MARGIN, limit: int = 200_000):
+        self.letters, self.contexts, self.order, self.margin, self.limit = letters, contexts, order, margin, limit
+        self.known: dict[str, complex] = {}
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ordered, values = table
+        if not len(ordered):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+        return ordered[at] == keys, values[at]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic less ordinary log-likelihood of each word, and its number of letters with the end mark."""
+        codes, before = _codes(words)
+        hit, llr = self._find(self.letters, _gram_keys(codes, before, self.order))
+        known, weight = self._find(self.contexts, _gram_keys(codes, before, self.order, skip=1))
+        llr = np.where(hit, llr, np.where(known, weight, 0.0)).astype(np.float64)
+        llr[before == 0] = 0.0  # the mark of the start is given
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        return np.add.reduceat(llr, np.cumsum(sizes) - sizes) if words else np.zeros(0), sizes - 1
+
+    def _judge(self, pieces: list[str], chunk: int = 50_000) -> dict[str, complex]:
+        """By piece: what its expressions exceed the margin by, and as the imaginary part their letters."""
+        found = {}
+        for first in range(0, len(pieces), chunk):
+            part = pieces[first : first + chunk]
+            words = [LETTERS.findall(p) for p in part]
+            llr, letters = self.words([w for own in words for w in own])
+            both = np.maximum(0.0, llr - self.margin * letters) + 1j * letters
+            sums = np.concatenate((np.zeros(1, complex), np.cumsum(both)))
+            ends = np.cumsum([len(own) for own in words])
+            found.update(zip(part, (sums[ends] - sums[ends - [len(own) for own in words]]).tolist(), strict=True))
+        return found
+
+    def texts(self, texts: list[str | None], chars: int = 2_000_000) -> list[float]:
+        """Each text's evidence; new pieces of about so many characters of texts are judged together."""
+        out: list[float] = []
+        group: list[list[str]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            group.append((t or "").lower().split())
+            size += len(t or "")
+            if size >= chars or i == len(texts) - 1:
+                new = self._judge(list(set().union(*group) - self.known.keys()))
+                known = self.known
+                for pieces in group:
+                    total = sum([known[p] if p in known else new[p] for p in pieces], 0j)
+                    out.append(total.real / total.imag if total.imag else 0.0)
+                for p, v in new.items():
+                    if len(self.known) >= self.limit:
+                        break
+                    if len(p) <= LONGEST:
+                        self.known[p] = v
+                group, size = [], 0
+        return out
 
 
 _SCORERS: dict = {}
@@ -206,12 +235,16 @@ def evidence(text: Column, model: Broadcast) -> Column:
         m = model.value
         if m["token"] not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[m["token"]] = Scorer(m["letters"], m["contexts"], m["order"], m["top"])
-        return pd.Series([_SCORERS[m["token"]].text(t) for t in texts], dtype="float64")
+            _SCORERS[m["token"]] = Scorer(m["letters"], m["contexts"], m["order"], m["margin"])
+        return pd.Series(_SCORERS[m["token"]].texts(texts.tolist()), dtype="float64")
 
     return judged(text)
 
 
+def _curved(x: np.ndarray) -> np.ndarray:
+    return np.log1p(1000 * x)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> tuple[float, float]:
     """Slope and intercept of y on one feature by Newton steps; the slope is never negative."""
     if not len(x) or y.min() == y.max():
@@ -228,41 +261,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 10
     return slope, float(w[1]) - slope * mean
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    order: int = ORDER,
-    shared_order: int = SHARED_ORDER,
-    discount: float = DISCOUNT,
-    top: int = TOP,
-    min_count: int = MIN_COUNT,
-    max_rows: int = MAX_ROWS,
-    max_entries: int = MAX_ENTRIES,
-) -> dict:
+def _ordered(rows, letter: bool) -> tuple[np.ndarray, np.ndarray]:
+    chosen = rows.filter(rows["letter"] if letter else np.invert(rows["letter"].to_numpy(zero_copy_only=False)))
+    keys, values = chosen["key"].to_numpy().view(np.uint64), chosen["llr"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, margin: float = MARGIN, discount: float = DISCOUNT, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict:
     """The model: a broadcast table, and the slope and intercept of the score.
 
     A quarter of the sampled rows, by a hash of the id, is kept from the counts to fit the curve.
     """
-    sample = materialize(labelled(docs, labels, "toxic", FOLDS, F.col("fold") != HELD_OUT, max_rows), "toxic-sample")
+    sample = materialize(labelled(docs, labels, "toxic", FOLDS, F.col("fold") != HELD_OUT, max_rows, max_chars), "toxic-sample")
     later = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4)) == 0
-    counted = materialize(gram_counts(sample.filter(~later), order), "class-grams")
-    often = counted.groupBy("ctx", "ch").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_count).drop("all")
-    own = materialize(counted.join(often, ["ctx", "ch"]), "class-grams")
-    corpus = distinct_grams(docs, shared_order)
-    rows = evidence_table(own, materialize(corpus, "corpus-grams"), shared_order, discount).limit(max_entries + 1).toArrow()
-    if rows.num_rows > max_entries:
-        raise ValueError(f"the model has more than {max_entries} entries: lower order or max_rows")
-    entries = list(zip(rows["ctx"].to_pylist(), rows["ch"].to_pylist(), rows["llr"].to_pylist(), strict=True))
-    model = {"token": uuid.uuid4().hex, "order": order, "top": top, "letters": {ctx + ch: v for ctx, ch, v in entries if ch}, "contexts": {ctx: v for ctx, ch, v in entries if not ch}}
+    own = materialize(gram_counts(word_counts(sample.filter(~later))), "class-grams")
+    words = materialize(word_counts(docs.select(F.lit(0).alias("y"), "text")), "words")
+    rows = numbered(evidence_table(own, gram_counts(words).select("ctx", "ch", "n"), BACKOFF, discount)).toArrow()
+    model = {"token": uuid.uuid4().hex, "order": ORDER, "margin": margin, "letters": _ordered(rows, True), "contexts": _ordered(rows, False)}
+    del rows
     table = docs.sparkSession.sparkContext.broadcast(model)
     seen = sample.filter(later).select("y", evidence(F.col("text"), table).alias("x")).toPandas()  # bounded by max_rows
-    slope, intercept = logistic(seen["x"].to_numpy(float), seen["y"].to_numpy(float))
+    slope, intercept = logistic(_curved(seen["x"].to_numpy(float)), seen["y"].to_numpy(float))
     return {"table": table, "slope": slope, "intercept": intercept}
 
 
 def score_column(text: Column, model: dict) -> Column:
     """From 0 to 1, higher where a toxic text is likelier."""
-    return 1 / (1 + F.exp(-(F.lit(model["slope"]) * evidence(text, model["table"]) + model["intercept"])))
+    return 1 / (1 + F.exp(-(F.lit(model["slope"]) * F.log1p(1000 * evidence(text, model["table"])) + model["intercept"])))
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

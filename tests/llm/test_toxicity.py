@@ -8,49 +8,74 @@ from pyspark.sql import functions as F
 from noticeworks.llm import queries, toxicity
 
 
-def brute_probability(own, corpus, y, ctx, ch, order, d=0.75):
-    """P of ch after ctx in class y: own counts first, then shared continuation counts of ever shorter contexts."""
-    letters = len({c for _, c in corpus})
-
-    def shared(k, grams):
-        suffix = lambda c: c[-k:] if k else ""
-        n = Counter((suffix(c), x) for c, x in grams)
-        here = [(c, x) for c, x in n if c == suffix(ctx)]
-        lower = shared(k - 1, n.keys()) if k else 1 / letters
-        if not here:
-            return lower
-        t = sum(n[g] for g in here)
-        return max(n[suffix(ctx), ch] - d, 0) / t + d * len(here) / t * lower
-
-    s = shared(order - 2, set(corpus))
-    here = {g: n for (z, *g), n in ((k, v) for k, v in own.items()) for g in [tuple(g)] if z == y and g[0] == ctx}
-    t = sum(here.values())
-    return s if not t else max(here.get((ctx, ch), 0) - d, 0) / t + d * len(here) / t * s
+def grams(word, order=toxicity.ORDER):
+    s = f"^{word}$"
+    return [(s[max(0, i - order + 1) : i], s[i]) for i in range(1, len(s))]
+
+
+def brute_probability(classes, corpus, y, ctx, ch, d=0.75):
+    """P of ch after ctx in class y, of words by class and of all: own counts, then shared ones of ever shorter contexts."""
+
+    def discounted(counts, ctx, lower):
+        here = {x: n for (c, x), n in counts.items() if c == ctx}
+        t = sum(here.values())
+        return max(here.get(ch, 0) - d, 0) / t + d * len(here) / t * lower if t else lower
+
+    counts = [Counter(g for w in corpus for g in grams(w))]
+    for k in toxicity.BACKOFF[1:]:
+        counts.append(Counter((c[-k:] if k else "", x) for c, x in counts[-1]))
+    p = 1 / len({x for _, x in counts[0]})
+    for k, n in zip(reversed(toxicity.BACKOFF), reversed(counts), strict=True):
+        p = discounted(n, ctx[-k:] if k else "", p)
+    return discounted(Counter(g for w in classes[y] for g in grams(w)), ctx, p)
+
+
+def brute_evidence(classes, corpus, text):
+    excess = letters = 0
+    for w in [w for p in (text or "").lower().split() for w in toxicity.LETTERS.findall(p)]:
+        llr = sum(math.log(brute_probability(classes, corpus, 1, *g) / brute_probability(classes, corpus, 0, *g)) for g in grams(w))
+        excess, letters = excess + max(0, llr - toxicity.MARGIN * (len(w) + 1)), letters + len(w) + 1
+    return excess / letters if letters else 0.0
+
+
+CLASSES = {0: ["abc", "abd", "bcd", "bad", "abc", "préambule"], 1: ["abc", "xyz", "xyd", "bad", "préambulesque"]}
+CORPUS = [*CLASSES[0], *CLASSES[1], "zabc", "qq", "abc"]
+
+
+def made_table(spark):
+    def counted(words):
+        rows = [(y, w, n) for y, own in words.items() for w, n in Counter(own).items()]
+        return toxicity.gram_counts(spark.createDataFrame(rows, "y int, word string, n long"))
+
+    return toxicity.evidence_table(counted(CLASSES), counted({0: CORPUS}).select("ctx", "ch", "n"))
 
 
 def test_table_equals_brute_force(spark):
-    words = {0: ["abc", "abd", "bcd", "bad", "abc"], 1: ["abc", "xyz", "xyd", "bad"]}
-    own = Counter((y, *g) for y, w in words.items() for x in w for g in toxicity.grams(x, 4))
-    corpus = sorted({g for w in [*words[0], *words[1], "zabc", "qq"] for g in toxicity.grams(w, 3)})
-    table = toxicity.evidence_table(spark.createDataFrame([(*k, n) for k, n in own.items()], toxicity.GRAMS), spark.createDataFrame(corpus, "ctx string, ch string"), order=3)
-    got = {(r.ctx, r.ch): r.llr for r in table.collect()}
+    got = {(r.ctx, r.ch): r.llr for r in made_table(spark).collect()}
     for (ctx, ch), v in got.items():
-        x = ch or "no such letter"
-        p = [brute_probability(own, corpus, y, ctx, x, 3) for y in (0, 1)]
+        p = [brute_probability(CLASSES, CORPUS, y, ctx, ch or "no such letter") for y in (0, 1)]
         assert v == pytest.approx(math.log(p[1] / p[0])), (ctx, ch)
-    assert {(c, x) for _, c, x in own} | {(c, "") for _, c, _ in own} == got.keys()
+    seen = {g for own in CLASSES.values() for w in own for g in grams(w)}
+    assert seen | {(c, "") for c, _ in seen} == got.keys()
+
+
+def test_evidence_of_whole_texts_equals_brute_force(spark):
+    rows = toxicity.numbered(made_table(spark)).toArrow()
+    texts = [None, "", "xyz xyd", "abc, XYZ! q-xyz; bcd abx", "nothing known 123 here", "préambulesques " * 3, "abc bad " * 500 + "xyz", "xy" * 100]
+    for limit in (0, 2, 1000):
+        scorer = toxicity.Scorer(toxicity._ordered(rows, True), toxicity._ordered(rows, False), limit=limit)
+        for chars in (1, 10_000):
+            assert scorer.texts(texts, chars) == pytest.approx([brute_evidence(CLASSES, CORPUS, t) for t in texts], abs=1e-5)
 
 
 def test_counts(spark):
-    rows = [(0, "Ab, ab!"), (1, None), (1, ""), (0, "é1é 中")]
+    rows = [(0, "Ab, ab!"), (1, None), (1, ""), (0, "é1é 中"), (1, "z" * 200)]
     df = spark.createDataFrame(rows, "y int, text string").repartition(3)
-    want = Counter((0, *g) for w in ["ab", "ab", "é", "é", "中"] for g in toxicity.grams(w, 3))
+    words = {0: ["ab", "ab", "é", "é", "中"], 1: ["z" * 64, "z" * 64, "z" * 64, "z" * 8]}
     for held in (1, 1000):
-        assert {(r.y, r.ctx, r.ch): r.n for r in toxicity.gram_counts(df, 3, held).collect()} == want
-    for order in (2, 3, 5):
-        alike = {(r.ctx, r.ch) for r in toxicity.gram_counts(df, order).collect()}
-        for held in (1, 1000):
-            assert {(r.ctx, r.ch) for r in toxicity.distinct_grams(df, order, held).collect()} == alike
+        found = toxicity.word_counts(df, held)
+        assert {(r.y, r.word): r.n for r in found.collect()} == Counter((y, w) for y, own in words.items() for w in own)
+        assert {(r.y, r.ctx, r.ch): r.n for r in toxicity.gram_counts(found).collect()} == Counter((y, *g) for y, own in words.items() for w in own for g in grams(w))
 
 
 def test_held_out_accuracy(spark, sf):
