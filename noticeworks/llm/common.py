@@ -13,10 +13,16 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows up to which a side that has been counted may be broadcast.
+FEW = 100_000
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one only where the session names none (tests)."""
+    """The folder that all machines share; where the session names none, a local one if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="noticeworks-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -33,6 +39,24 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """left joined with a written table: broadcast if it has few rows, else merged."""
+    return left.join(F.broadcast(right) if right.limit(FEW + 1).count() <= FEW else right.hint("merge"), on, how)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, per: int = 1_000, keys: int = 10_000) -> DataFrame:
+    """many joined with one, which has a row for each key and in `n` how many rows of many there are with it.
+
+    The rows of a key with more than `per` are dealt to parts by a hash, and that row of one is repeated for each part,
+    so that no task gets all of them. This is done for the `keys` most frequent ones, a bounded broadcast; any other has
+    less than 1 in `keys` of the rows. Both sides are read twice and should be written.
+    """
+    hot = F.broadcast(one.filter(F.col("n") > per).orderBy(F.desc("n"), key).limit(keys).select(key, F.ceil(F.col("n") / per).cast("int").alias("_parts")))
+    dealt = many.join(hot, key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_parts")).cast("int")))
+    spread = one.drop("n").join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(spread.drop("_parts").hint("merge"), [key, "_part"]).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@
 
 Each round is two joins and two aggregations whose results are written to the shared folder, so neither the
 edges nor the components ever pass through the driver. The number of rounds grows with the logarithm of the
-longest path. A hub's edges are one key of a sort-merge join, which adaptive execution splits.
+longest path. A hub's edges are one key of these joins, dealt to parts; see spread_join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -22,13 +22,13 @@ def _settled(edges: DataFrame) -> bool:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+    return spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    moved = spread_join(edges, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(links):
             break
-        links = materialize(_small_star(_large_star(links)), "links")
+        links = materialize(_small_star(materialize(_large_star(links), "links")), "links")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -6,10 +6,9 @@ keyed by every choice of that many blocks, joined on the keys, and each candidat
 distance. Copies of a text share one fingerprint and meet before any join.
 
 Buckets of more than `bucket` fingerprints aren't paired. Two fingerprints within the radius have a common
-midpoint at most ceil(radius / 2) flips from either, so each member of such a bucket is keyed by the points that
-near to it; those under one key that are within the radius of its least fingerprint link to that one. This is
-linear in the bucket and, for an even radius, keeps every component whole: both of a close pair are within
-radius / 2 of the midpoint, and so is its least member.
+midpoint at most radius // 2 flips from one and ceil(radius / 2) from the other, so each member of such a bucket is
+keyed by the points that near to it; those under one key link to the least of those within radius // 2 of it. This is
+linear in the bucket and keeps every component whole: both of a close pair link to the least one at their midpoint.
 """
 
 from __future__ import annotations
@@ -22,15 +21,19 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized_join, spread_join
 from .components import connected_components
 
 SEED = 42
-#: Places of a text's bitmap of shingles, hashes whose least values are kept, and texts that are compared at a time.
-PLACES, HASHES, CHUNK = 1024, 8, 128
+#: Fingerprints of a text's words, places of its bitmap of shingles, hashes whose least values are kept, and texts that
+#: are compared at a time.
+PRINTS, PLACES, HASHES, CHUNK = 3, 1024, 8, 128
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Candidates of two components that are verified in each round, then all that are left.
+ROUNDS = (1, 64, None)
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -44,18 +47,30 @@ def shingles(text: str, width: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def _majority(features: list[bytes]) -> int:
-    """The signed fingerprint of these features; 0 for none."""
-    if not features:
+def _hashed(features: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(g, SEED) for g in features], dtype="<u8")
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several hashes that are made of one."""
+    if k:
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * FACTORS[k]
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * FACTORS[-k]
+        hashes = hashes ^ (hashes >> np.uint64(32))
+    return hashes
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The signed fingerprint of features with these hashes; 0 for none."""
+    if not len(hashes):
         return 0
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in features], dtype="<u8")
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: str | None, width: int) -> int:
     """The fingerprint as a signed 64-bit integer; 0 for null and for texts without words."""
-    return _majority(shingles(text or "", width))
+    return _majority(_hashed(shingles(text or "", width)))
 
 
 def fingerprint_column(text: Column, width: int) -> Column:
@@ -96,30 +111,43 @@ def hamming_links(prints: DataFrame, radius: int = 2, blocks: int = 4, bucket: i
     paired = members.join(other, ["m", "k"]).filter("fp < fq").filter(_near("fp", "fq", radius)).select("fp", "fq")
 
     crowded = keys.join(shared.filter(F.col("n") > bucket).select("m", "k"), ["m", "k"], "left_semi").select("fp").distinct()
-    flips = [0, *(_signed(sum(1 << i for i in c)) for n in range(1, -(-radius // 2) + 1) for c in combinations(range(64), n))]
-    around = crowded.select("fp", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("fp").bitwiseXOR(x))).alias("p"))
-    hubs = around.groupBy("p").agg(F.min("fp").alias("fq"), F.count("*").alias("n")).filter("n > 1").select("p", "fq")
+    near = radius // 2
+    around = crowded.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _flipped(n).alias("points")) for n in range(radius - near + 1)])).alias("by")).select("fp", "by.n", F.explode("by.points").alias("p"))
+    hubs = around.groupBy("p").agg(F.min(F.when(F.col("n") <= near, F.col("fp"))).alias("fq"), F.count("*").alias("members")).filter("members > 1 and fq is not null").select("p", "fq")
     starred = around.join(hubs, "p").filter("fp <> fq").filter(_near("fp", "fq", radius)).select("fp", "fq")
     return paired.union(starred).select(F.col("fp").alias("u"), F.col("fq").alias("v")).distinct()
 
 
-def word_fingerprint(text: str | None) -> tuple[int, str]:
-    """Fingerprint of a text's distinct words, and a digest of its words in order."""
-    words = (text or "").encode().lower().split()
-    return _majority(sorted(set(words))), hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()
+def _flipped(n: int, point: Column | None = None, first: Column | None = None) -> Column:
+    """All points that differ from one in just n bits."""
+    point = F.col("fp") if point is None else point
+    if not n:
+        return F.array(point)
+    places = F.sequence(F.lit(0) if first is None else first, F.lit(64 - n))
+    return F.flatten(F.transform(places, lambda i: _flipped(n - 1, point.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), i + 1)))
 
 
-def sketch(text: str | None, width: int) -> tuple[int, bytes, list[int]]:
-    """Number of distinct shingles, a bitmap of how many are odd at a place, and the least values of some hashes.
+def sketch(text: str | None, width: int) -> tuple[list[int], str, int, bytes, list[int]]:
+    """Of a text: the fingerprints of its distinct words by several hashes, a digest of its words in order, the number
+    of its distinct shingles, a bitmap of how many are odd at a place, and the least values of some hashes of them.
 
     Two bitmaps differ in at most as many places as the sets of shingles do in elements.
     """
-    found = set(shingles(text or "", width))
-    if not found:
-        return 0, bytes(PLACES // 8), []
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in found], dtype="<u8")
-    odd = np.bincount((hashes % PLACES).astype(np.int64), minlength=PLACES) & 1
-    return len(found), np.packbits(odd.astype(np.uint8)).tobytes(), [int((hashes * f).min().view(np.int64)) for f in FACTORS]
+    words = (text or "").encode().lower().split()
+    key = hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()
+    if not words:
+        return [0] * PRINTS, key, 0, bytes(PLACES // 8), []
+    distinct = list(set(words))
+    hashes = _hashed(distinct)
+    at = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), np.int64, len(words))
+    last = max(1, len(words) - width + 1)
+    grams = np.zeros(last, dtype=np.uint64)
+    for i in range(min(width, len(words))):
+        grams = (grams ^ (grams >> np.uint64(32))) * FACTORS[0] + hashes[at[i : i + last]]
+    grams = np.unique(_mixed(grams, 1))
+    odd = np.bincount((grams % PLACES).astype(np.int64), minlength=PLACES) & 1
+    least = [int((grams * f).min().view(np.int64)) for f in FACTORS]
+    return [_majority(_mixed(hashes, k)) for k in range(PRINTS)], key, len(grams), np.packbits(odd.astype(np.uint8)).tobytes(), least
 
 
 def similarity(a: str | None, b: str | None, width: int) -> float:
@@ -128,51 +156,65 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def similar_links(links: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links (u, v) whose texts are similar enough; docs: key and text. One text stands for a key."""
+def similar_links(links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The links (u, v), written, whose texts are similar enough; texts: key and text. One text stands for a key."""
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    ends = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key"))).distinct()
-    texts = materialize(docs.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
-    paired = links.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
-    return paired.filter(similar("a", "b") >= least - 1e-12).select("u", "v")
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.lit(1).alias("u")), F.struct(F.col("v").alias("key"), F.lit(0).alias("u")))).alias("e")).groupBy("e.key").agg(F.sum("e.u").alias("us"), F.sum(1 - F.col("e.u")).alias("vs"))
+    own = materialize(sized_join(texts.select("key", "text"), materialize(ends, "ends"), "key").groupBy("key", "us", "vs").agg(F.min("text").alias("text")), "texts")
+    first = materialize(spread_join(links, own.filter("us > 0").select(F.col("key").alias("u"), F.col("text").alias("a"), F.col("us").alias("n")), "u"), "first")
+    both = spread_join(first, own.filter("vs > 0").select(F.col("key").alias("v"), F.col("text").alias("b"), F.col("vs").alias("n")), "v")
+    return materialize(both.filter(similar("a", "b") >= least - 1e-12).select("u", "v"), "links")
+
+
+def _any_near(a: str, b: str, radius: int) -> Column:
+    """Whether two arrays of fingerprints have one at the same place within the radius."""
+    return F.exists(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), lambda p: F.bit_count(p["x"].bitwiseXOR(p["y"])) <= radius)
 
 
 def hub_links(texts: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) from texts to the first of those that share a fingerprint or the least value of a hash.
 
-    texts: fp, key and least. Linear in the texts; only fingerprints within the radius are linked.
+    texts: fp (array), key and least. Linear in the texts; only fingerprints within the radius are linked.
     """
-    marks = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.col("fp").alias("x"))), F.transform("least", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
-    marked = texts.select("fp", "key", F.explode(marks).alias("mark"))
-    hubs = marked.groupBy("mark").agg(F.min(F.struct("key", "fp")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("mark", F.col("hub.key").alias("v"), F.col("hub.fp").alias("fq"))
-    return marked.join(hubs, "mark").filter("key <> v").filter(_near("fp", "fq", radius)).select(F.col("key").alias("u"), "v").distinct()
+    marks = F.concat(F.transform("fp", lambda x, i: F.struct((-1 - i).alias("i"), x.alias("x"))), F.transform("least", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
+    marked = texts.select("fp", "key", F.explode(marks).alias("m")).select("fp", "key", F.xxhash64("m.i", "m.x").alias("mark"))
+    hubs = marked.groupBy("mark").agg(F.min(F.struct("key", "fp")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = materialize(hubs.select("mark", F.col("hub.key").alias("v"), F.col("hub.fp").alias("fq"), "n"), "hubs")
+    return spread_join(marked, hubs, "mark").filter("key <> v").filter(_any_near("fp", "fq", radius)).select(F.col("key").alias("u"), "v").distinct()
 
 
-def crossing_pairs(texts: DataFrame, radius: int, blocks: int, least: float, chunk: int = CHUNK) -> DataFrame:
-    """All pairs (u, v) of texts of different components, within the radius, that may be similar enough.
+def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int, least: float, chunk: int = CHUNK) -> DataFrame:
+    """(u, v, differ): pairs of texts of different components that may be similar enough, and how many places differ.
 
-    texts: fp, key, component, n and bits, written already. The members of a bucket are dealt to chunks of about `chunk`
-    texts, and chunks are compared with chunks, so a large bucket is spread over tasks whatever its size. A pair comes
-    from the first bucket it shares. It is left out only if its bitmaps show that the similarity is below `least`.
+    texts: fp (array), key, component, n and bits, written already. Texts meet if one of their fingerprints agrees in
+    blocks - guaranteed blocks, and fingerprints within the radius count. The members of a bucket are dealt to chunks of
+    about `chunk` texts, and chunks are compared with chunks, so a large bucket is spread over tasks whatever its size. A
+    pair comes from the first bucket it shares. It is left out only if its bitmaps show that the similarity is below `least`.
     """
-    masks = np.array(block_masks(radius, blocks), dtype=np.int64)
+    masks = np.array(block_masks(guaranteed, blocks), dtype=np.int64)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            us, vs = [], []
+            us, vs, ds = [], [], []
             for m, same, *columns in batch.itertuples(index=False, name=None):
                 (fa, ka, ca, na, ba), (fb, kb, cb, nb, bb) = columns[:5], columns[5:]
                 names = {c: i for i, c in enumerate({*ca, *cb})}
-                x = np.asarray(fa, np.int64)[:, None] ^ np.asarray(fb, np.int64)
                 apart = np.array([names[c] for c in ca])[:, None] != np.array([names[c] for c in cb])
-                i, j = np.nonzero(apart & (np.bitwise_count(x.view(np.uint64)) <= radius) & (np.triu(np.ones(x.shape, bool), 1) if same else True))
-                for mask in masks[:m]:
-                    new = (x[i, j] & mask) != 0
-                    i, j = i[new], j[new]
+                i, j = np.nonzero(apart & (np.triu(np.ones(apart.shape, bool), 1) if same else True))
+                if not len(i):
+                    continue
+                # x[p]: where the p-th fingerprints of the pairs differ.
+                x = np.stack(fa).astype(np.int64).T[:, i] ^ np.stack(fb).astype(np.int64).T[:, j]
+                met = np.bitwise_count(x.view(np.uint64)) <= radius
+                new = met[m // len(masks)]
+                for earlier in range(m):
+                    p, mask = divmod(earlier, len(masks))
+                    new &= ~(met[p] & ((x[p] & masks[mask]) == 0))
+                i, j = i[new], j[new]
                 if len(i):
                     bits = [np.frombuffer(b"".join(b), np.uint64).reshape(len(b), -1) for b in (ba, bb)]
                     differ = np.bitwise_count(bits[0][i] ^ bits[1][j]).sum(axis=1, dtype=np.int64)
@@ -180,54 +222,70 @@ def crossing_pairs(texts: DataFrame, radius: int, blocks: int, least: float, chu
                     like = (both - differ) / 2 >= least / (1 + least) * both - 1e-6
                     us += [ka[t] for t in i[like]]
                     vs += [kb[t] for t in j[like]]
-            yield pd.DataFrame({"u": us, "v": vs}, dtype=object)
+                    ds += differ[like].tolist()
+            yield pd.DataFrame({"u": pd.Series(us, dtype=object), "v": pd.Series(vs, dtype=object), "differ": pd.Series(ds, dtype="int64")})
 
-    keyed = texts.select("fp", "key", "component", "n", "bits", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(int(m))).alias("k")) for i, m in enumerate(masks)])).alias("b")).select("*", "b.m", "b.k").drop("b")
-    sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    choices = [F.struct(F.lit(p * len(masks) + i).alias("m"), F.get("fp", p).bitwiseAND(F.lit(int(mask))).alias("k")) for p in range(PRINTS) for i, mask in enumerate(masks)]
+    keyed = texts.select("fp", "key", "component", "n", "bits", F.explode(F.array(*choices)).alias("b")).select("*", "b.m", "b.k").drop("b")
+    place = F.xxhash64("component")
+    sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("size"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi")
     shared = materialize(sizes.select("m", "k", F.ceil(F.col("size") / chunk).cast("int").alias("parts")), "blocks")
-    dealt = keyed.join(shared, ["m", "k"]).withColumn("c", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    dealt = sized_join(keyed, shared, ["m", "k"]).withColumn("c", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     chunks = materialize(dealt.groupBy("m", "k", "parts", "c").agg(F.collect_list(F.struct("fp", "key", "component", "n", "bits")).alias("s")), "chunks")
     alone = chunks.filter("parts = 1").select("m", F.lit(True).alias("same"), F.col("s").alias("a"), F.col("s").alias("b"))
     left = chunks.filter("parts > 1").select("m", "k", "c", F.col("s").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
     right = chunks.filter("parts > 1").select("m", "k", F.col("c").alias("d"), F.col("s").alias("b"))
-    met = alone.union(left.join(right, ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", "b"))
+    met = alone.union(left.join(right.hint("merge"), ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", "b"))
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("fp", "key", "component", "n", "bits")]
-    return met.select("m", "same", *fields).mapInPandas(compare, "u string, v string")
+    return met.select("m", "same", *fields).mapInPandas(compare, "u string, v string, differ long")
 
 
-def keep_first(docs: DataFrame, radius: int = 4, blocks: int = 7, verify_width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: int = 8, verify_width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each group of near duplicates: the one of the least id.
 
-    Texts of the same words in the same order, A-Z lower-cased, are copies; so are all texts without words. Others
-    are candidates if the fingerprints of their distinct words are within the radius, which a changed word moves
-    far less than those of shingles, and link if their `verify_width`-word shingles are similar enough. Texts are
-    first linked to hubs, which joins most of a large group in linear time; then all candidates of different
-    components are compared, whatever the sizes of their buckets. A row
-    without an id stays only where its group has no id. Of repeated rows one stays. The columns are those of docs,
-    whatever their names.
+    Texts of the same words in the same order, A-Z lower-cased, are copies; so are all texts without words. A text has
+    three fingerprints of its distinct words, which a changed word moves far less than those of shingles. Two texts are
+    candidates if in any of these they share blocks - guaranteed of the blocks, which all within `guaranteed` bits do,
+    and are within `radius` bits; they link if their `verify_width`-word shingles are similar enough. Texts are first
+    linked to hubs, which joins most of a large group in linear time. Then all candidates of different components are
+    listed, and the likeliest ones of each two components are verified until every one that still has its texts in
+    different components has been. A row without an id stays only where its group has no id. Of repeated rows one
+    stays. The columns are those of docs, whatever their names.
     """
 
-    @F.pandas_udf("struct<fp:long,key:string,n:int,bits:binary,least:array<long>>")
+    @F.pandas_udf("struct<fp:array<long>,key:string,n:int,bits:binary,least:array<long>>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(*word_fingerprint(t), *sketch(t, verify_width)) for t in texts], columns=["fp", "key", "n", "bits", "least"])
+        return pd.DataFrame([sketch(t, verify_width) for t in texts], columns=["fp", "key", "n", "bits", "least"])
 
     def placed_by(links: DataFrame) -> DataFrame:
         parts = connected_components(links).withColumnRenamed("node", "key")
-        return texts.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        return sized_join(texts, materialize(parts, "parts"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), prints(F.col("text")).alias("print"))
     held = materialize(rows, "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "print.*")
-    texts = materialize(held.groupBy("fp", "key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bits", "least")]), "distinct")
-    links = materialize(similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least), "links")
-    apart = materialize(placed_by(links).select("fp", "key", "component", "n", "bits"), "placed")
-    crossing = materialize(crossing_pairs(apart, radius, blocks, least, chunk), "crossing")
-    placed = placed_by(links.union(similar_links(crossing, held, verify_width, least)))
-
-    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
+    texts = materialize(held.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "least")]), "distinct")
+    links = similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least)
+    placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
+    pairs = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk), "crossing")
+    names = placed.select("key", "component")
+    for most in ROUNDS:
+        if pairs.isEmpty():
+            break
+        apart = pairs.join(names.select(F.col("key").alias("u"), F.col("component").alias("cu")).hint("merge"), "u").join(names.select(F.col("key").alias("v"), F.col("component").alias("cv")).hint("merge"), "v").filter("cu <> cv")
+        ordered = W.partitionBy(F.least("cu", "cv"), F.greatest("cu", "cv")).orderBy("differ", "u", "v")
+        ranked = materialize(apart.withColumn("rank", F.row_number().over(ordered) if most else F.lit(0)).select("u", "v", "differ", "rank"), "crossing")
+        if ranked.isEmpty():
+            break
+        more = similar_links(ranked.filter(F.col("rank") <= (most or 0)).select("u", "v"), held, verify_width, least)
+        links = materialize(links.union(more), "links")
+        names = materialize(placed_by(links).select("key", "component"), "placed")
+        pairs = ranked.filter(F.col("rank") > (most or 0)).select("u", "v", "differ")
+    final = texts.join(names.hint("merge"), "key")
+    kept = final.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
     same = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    chosen = materialize(kept.join(held.groupBy("key", "doc_id").agg(F.count("*").alias("n")), same).select("kept_id", "kept_key", "n"), "kept")
-    once = held.join(chosen.filter("n = 1"), same, "left_semi").select("row")
-    twice = held.join(chosen.filter("n > 1"), same, "left_semi").groupBy("key", "doc_id").agg(F.min("row").alias("row")).select("row")
+    chosen = materialize(kept.join(held.groupBy("key", "doc_id").agg(F.count("*").alias("n")).hint("merge"), same).select("kept_id", "kept_key", "n"), "kept")
+    once = held.join(chosen.filter("n = 1").hint("merge"), same, "left_semi").select("row")
+    twice = held.join(chosen.filter("n > 1").hint("merge"), same, "left_semi").groupBy("key", "doc_id").agg(F.min("row").alias("row")).select("row")
     return once.union(twice).select("row.*")
 
 
@@ -239,10 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name a component unless all ids of it are null. Repeated rows stay repeated. Other columns of docs are not read.
     """
     prints = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     parts = connected_components(hamming_links(distinct.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
-    placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    placed = materialize(distinct.join(parts.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed")
     # A component's least id, without gathering its fingerprints: one partial aggregate, joined back on the label.
-    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialize(placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = materialize(spread_join(placed.withColumnRenamed("n", "rows"), least, "component").select("fp", "component_id", F.col("rows").alias("n")), "named")
+    return spread_join(prints, named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

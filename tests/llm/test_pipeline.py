@@ -1,7 +1,9 @@
+import itertools
 import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,21 +21,28 @@ def sets(text, width=5):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) > width else {tuple(w)} - {()}
 
 
-def brute_first(rows, radius=4):
+def brute_first(rows, guaranteed=3, blocks=5, radius=8):
     """Ids that stay of (id, text), comparing all pairs."""
 
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
 
-    def majority(found):
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in found]
-        return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64)) if hashes else 0
+    def majorities(found):
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in sorted(found)], dtype=np.uint64)
+        mixed = [simhash._mixed(hashes, k).tolist() for k in range(simhash.PRINTS)]
+        return [sum((sum(h >> b & 1 for h in own) * 2 > len(own)) << b for b in range(64)) for own in mixed]
 
-    prints = [(d, words(t), majority(set(words(t))), sets(t)) for d, t in rows]
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+
+    def candidates(x):
+        same = sum(x >> a & (1 << b - a) - 1 == 0 for a, b in itertools.pairwise(cuts))
+        return same >= blocks - guaranteed and x.bit_count() <= radius
+
+    prints = [(d, words(t), majorities(set(words(t))), sets(t)) for d, t in rows]
     pairs = []
     for i, (a, wa, fa, sa) in enumerate(prints):
         for b, wb, fb, sb in prints[i:]:
-            if wa == wb or (fa ^ fb).bit_count() <= radius and len(sa & sb) / len(sa | sb) >= 0.8:
+            if wa == wb or any(candidates(x ^ y) for x, y in zip(fa, fb, strict=True)) and len(sa & sb) / len(sa | sb) >= 0.8:
                 pairs.append((a, b))
     least = brute_components(pairs)
     return sorted({least[d] for d, *_ in prints})

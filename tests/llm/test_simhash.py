@@ -65,7 +65,7 @@ def test_null_ids_stay(spark):
 
 
 @pytest.mark.parametrize("bucket", [1, 3, 1000])
-@pytest.mark.parametrize(("radius", "blocks"), [(2, 4), (2, 3), (4, 7)])
+@pytest.mark.parametrize(("radius", "blocks"), [(1, 3), (2, 4), (2, 3), (3, 5), (4, 7)])
 def test_links_keep_components(spark, radius, blocks, bucket):
     rng = random.Random(bucket)
     bases = [rng.getrandbits(64) for _ in range(4)]
