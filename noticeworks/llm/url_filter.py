@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized_join, spread_join
 from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +62,7 @@ def rule_verdicts(places: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     spread = places.filter("host <> ''").select("host", "path", F.explode(endings).alias("rule_host"))
-    fits = spread.join(by_host, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
+    fits = sized_join(spread, by_host, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
     return best.select("host", "path", "best.rule", "best.action")
 
@@ -71,23 +71,30 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str = "al
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html).
 
     rules: (action, "host/path") with action allow or block. A null url, and one without ://, has an empty host and
-    path and fits no rule; it takes part in no component. Null html has no links. Repeated rows stay repeated. An
+    path and fits no rule; it takes part in no component. An address without a path is the same as with / when it's an
+    alias, though no rule fits the page's own empty path. Null html has no links. Repeated rows stay repeated. An
     empty table gives an empty result. Other columns of pages are not read.
     """
     spark = pages.sparkSession
     listed = spark.createDataFrame([(r, a) for a, r in rules], "rule string, action string")
-    seen = materialize(pages.select("page_id", url_parts(F.col("url")).alias("parts"), targets(F.col("html")).alias("targets")).withColumn("node", node(F.col("parts"))), "pages")
+    seen = pages.select("page_id", url_parts(F.col("url")).alias("parts"), targets(F.col("html")).alias("targets")).withColumn("node", node(F.col("parts")))
+    # A host has no slash and a path begins with one, so these tell places and addresses apart.
+    seen = materialize(seen.withColumn("place", F.concat("parts.host", "parts.path")).withColumn("address", F.concat("place", "parts.query")), "pages")
     links = seen.filter("node is not null").select("parts", "node", F.explode("targets").alias("target")).select("node", url_parts(resolve(F.col("target"), F.col("parts"))).alias("to"))
-    edges = materialize(links.select(F.col("node").alias("u"), node(F.col("to")).alias("v"), "to").filter("v is not null and u <> v"), "edges")
-
-    places = seen.select("parts.host", "parts.path").union(edges.select("to.host", "to.path")).distinct()
-    judged = materialize(rule_verdicts(places, listed), "judged")
-    members = connected_components(edges.select("u", "v"))
-    split = url_parts(F.concat(F.lit("http://"), F.col("node")))
-    own = members.select("component", split.alias("p")).select("component", "p.host", "p.path").join(judged, ["host", "path"])
-    spread = own.groupBy("component").agg(F.when(F.max(F.col("action") == "allow"), "allow").otherwise("block").alias("shared"))
-    aliases = members.join(spread, "component").select(F.col("node").alias("alias"), "shared")
-
-    out = seen.select("page_id", "parts.host", "parts.path", "node").join(judged, ["host", "path"], "left")
-    out = out.join(aliases, F.col("node") == F.col("alias"), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("action", "shared", F.lit(default)).alias("verdict"))
+    members = connected_components(links.select(F.col("node").alias("u"), node(F.col("to")).alias("v")).filter("v is not null"))
+    own = url_parts(F.concat(F.lit("http://"), F.col("node")))
+    members = materialize(members.withColumn("parts", own).withColumn("place", F.concat("parts.host", "parts.path")), "members")
+
+    addresses = materialize(seen.groupBy("address", "place", "node", "parts.host", "parts.path").agg(F.count("*").alias("rows")), "addresses")
+    both = addresses.select("place", "host", "path").union(members.select("place", "parts.host", "parts.path"))
+    places = materialize(both.groupBy("place", "host", "path").agg(F.count("*").alias("n")), "places")
+    judged = materialize(places.join(rule_verdicts(places, listed).hint("merge"), ["host", "path"], "left").select("place", "rule", "action", "n"), "judged")
+
+    voted = materialize(spread_join(members.select("node", "component", "place"), judged, "place").select("node", "component", "action"), "voted")
+    allowed, blocked = (F.max(F.coalesce(F.col("action") == a, F.lit(False))) for a in ("allow", "block"))
+    shared = materialize(voted.groupBy("component").agg(F.when(allowed, "allow").when(blocked, "block").alias("shared"), F.count("*").alias("n")), "shared")
+    aliases = spread_join(voted.select("node", "component"), shared, "component").select("node", "shared")
+
+    ruled = spread_join(addresses, judged, "place").join(aliases.hint("merge"), "node", "left")
+    verdicts = ruled.select("address", "host", "path", "rule", F.coalesce("action", "shared", F.lit(default)).alias("verdict"), F.col("rows").alias("n"))
+    return spread_join(seen.select("page_id", "address"), materialize(verdicts, "verdicts"), "address").select("page_id", "host", "path", "rule", "verdict")

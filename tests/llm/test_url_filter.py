@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,25 @@ def test_aliases(spark):
     assert judge(df.limit(0), queries.URL_RULES).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_links_equal_sql(spark, seed):
+    """Links among few addresses, with and without paths and queries, relative ones too, against the query's SQL."""
+    rng = random.Random(seed)
+    hosts = ["b.com", "net", "x.net", "example.com", "www.example.com", "o.org", "p.org", "q.org", "R.org"]
+    tails = ["", "/", "/es/z", "/en/1", "/fr/", "?k=1", "/p?k=2", "#f", "/es/z#f"]
+    targets = ["/", "?k=1", "#g", "rel", "/es/z", "//q.org", "//net/fr/"] + [f"https://{h}{t}" for h in hosts for t in tails]
+    rows = []
+    for i in range(80):
+        link = rng.choice(targets)
+        tag = rng.choice([f'<link rel="canonical" href="{link}">', f'<meta http-equiv="refresh" content="0; url={link}">', "", ""])
+        rows.append((i, f"https://{rng.choice(hosts)}{rng.choice(tails)}", f"<html>{tag}</html>"))
+    rows += [(90, None, '<link rel="canonical" href="/x">'), (91, "none", ""), (92, "http:///es/z", None), *rows[:3]]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), queries.URL_RULES)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(queries.OP4_SQL).fetchall(), key=repr)
+
+
 @pytest.mark.parametrize(("address", "want"), [("http://x/y", "http://x/y"), ("//x/y", "http://x/y"), ("/y", "http://h.org/y"), ("y", "http://h.org/a/y"), ("?z", "http://h.org/a/b?z"), ("#z", "http://h.org/a/b?q")])
 def test_resolve(spark, address, want):
     df = spark.createDataFrame([("https://h.org/a/b?q#f", address)], "url string, address string")
