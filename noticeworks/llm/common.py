@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+T = TypeVar("T")
 #: Rows up to which a side that has been counted may be broadcast.
 FEW = 100_000
 
@@ -57,6 +60,17 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, per: int = 1_000, key
     return dealt.drop("_parts").join(spread.drop("_parts").hint("merge"), [key, "_part"]).drop("_part")
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing at a time, as Spark hands workers from operator to operator."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

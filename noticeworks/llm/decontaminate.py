@@ -25,6 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
 from .simhash import SEED, fingerprint, shingles
 
 WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
@@ -152,16 +153,9 @@ class ItemIndex:
         return sorted(found.values(), key=lambda x: (x[0] is None, x[0]))
 
 
-_LOADED: dict = {}
-
-
 def _index(items: Broadcast, similarity: float, radius: int) -> ItemIndex:
     """Built once for each Python worker and block."""
-    key = (items.value["token"], similarity, radius)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ItemIndex(items.value["items"], similarity, radius)
-    return _LOADED[key]
+    return resident(("items", items.value["token"], similarity, radius), lambda: ItemIndex(items.value["items"], similarity, radius))
 
 
 def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:

@@ -38,28 +38,45 @@ LABELERS, ROUNDS, LEAST = 5, 25, 0.9
 DIGITS, SEPARATORS, SIDES = 21, 5, 3
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), computed once: an expression within a lambda is evaluated for every element, this one is an element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+
+
 def _matches(text: Column, pattern: str, present: Column) -> Column:
     """array<struct<start, end, m, before, after>> of a pattern's matches, in code points.
 
-    The pieces between the matches give the places; a text without what `present` looks for is not searched.
+    The pieces between the matches give the places: the sum of all before, in blocks of about the square root of their
+    number, so that no match adds up more than two short runs. A text without what `present` looks for is not searched.
     """
     kind = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
-    empty = F.array().cast(kind)
 
-    def spans(once: Column) -> Column:
-        gaps, hits = once["gaps"], once["hits"]
-        start = F.struct(F.length(F.get(gaps, 0)).alias("at"), F.lit(0).alias("i"), empty.alias("found"))
+    def blocks(once: Column) -> Column:
+        sizes = F.transform(once["hits"], lambda m, i: F.length(m) + F.length(F.get(once["gaps"], i)))
+        return F.struct(once["gaps"].alias("gaps"), once["hits"].alias("hits"), sizes.alias("sizes"), F.ceil(F.sqrt(F.size(sizes) + 1)).cast("int").alias("b"))
+
+    def sums(x: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.floor(F.size(x["sizes"]) / x["b"]).cast("int")), lambda k: _sum(F.slice(x["sizes"], k * x["b"] + 1, x["b"])))
+        return F.struct(*[x[c].alias(c) for c in ("gaps", "hits", "sizes", "b")], own.alias("own"))
+
+    def before(x: Column) -> Column:
+        ahead = F.transform(x["own"], lambda _, k: _sum(F.slice(x["own"], F.lit(1), k)))
+        return F.struct(*[x[c].alias(c) for c in ("gaps", "hits", "sizes", "b")], ahead.alias("ahead"))
 
-        def step(acc: Column, m: Column) -> Column:
-            end, i = acc["at"] + F.length(m), acc["i"]
-            span = F.struct(acc["at"].alias("start"), end.alias("end"), m.alias("m"), F.right(F.get(gaps, i), F.lit(30)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"))
-            return F.struct((end + F.length(F.get(gaps, i + 1))).alias("at"), (i + 1).alias("i"), F.concat(acc["found"], F.array(span)).alias("found"))
+    def spans(x: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            k = F.floor(i / x["b"]).cast("int")
+            start = F.get(x["ahead"], k) + _sum(F.slice(x["sizes"], k * x["b"] + 1, i % x["b"])) + F.length(F.get(x["gaps"], i))
+            return _with(start, lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("m"), F.right(F.get(x["gaps"], i), F.lit(30)).alias("before"), F.left(F.get(x["gaps"], i + 1), F.lit(1)).alias("after")))
 
-        return F.aggregate(hits, start, step, lambda acc: acc["found"])
+        return F.transform(x["hits"], one)
 
-    # An expression within a lambda is evaluated for every element, so the pieces are bound by one outer element.
     split = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("hits"))
-    return F.when(present, F.get(F.transform(F.array(split), spans), 0)).otherwise(empty)
+    return F.when(present, _with(_with(_with(_with(split, blocks), sums), before), spans)).otherwise(F.array().cast(kind))
 
 
 def _digits(m: Column) -> Column:

@@ -16,11 +16,15 @@ writes them, any store that Spark reaches can hold them, and a lost executor's s
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -29,10 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_root
+from .common import resident, scratch_root
 
 MAGIC, HEADER, BLOCK_HEADER = b"PFB1", struct.Struct("<4sIIQI"), struct.Struct("<IBH")
 BLOCK, PERCENTILE, SHARD_TOKENS = 1024, 90, 1_000_000
+#: Blocks that are packed or unpacked at a time.
+AT_ONCE = 256
+ID = attrgetter("id")
 SHARDS = "part int, seq int, doc_ids array<long>, n_tokens long, body binary"
 DOCUMENTS = "part int, seq int, place int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -50,32 +57,39 @@ def _unpack(packed: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.packbits(full, axis=2, bitorder="little").view("<u4").reshape(len(packed), count)
 
 
-def encode_shard(documents: list[np.ndarray], block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    """The shard of these documents' ids (unsigned 32-bit)."""
-    lengths = np.array([len(d) for d in documents], dtype="<u4")
-    ids = np.concatenate([np.zeros(0, "<u4"), *documents]).astype("<u4")
+def _encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]:
+    """The blocks of these ids, the last of which may be short."""
     blocks = -(-len(ids) // block)
     rows = np.zeros((blocks, block), dtype="<u4")
     rows.ravel()[: len(ids)] = ids
-    if blocks:
-        rows[-1, len(ids) - (blocks - 1) * block :] = ids[-1]  # what fills the last block adds nothing to its range
+    rows[-1, len(ids) - (blocks - 1) * block :] = ids[-1]  # what fills the last block adds nothing to its range
     least = rows.min(axis=1)
     above = rows - least[:, None]
-    kth = np.partition(above, int((block - 1) * percentile / 100), axis=1)[:, int((block - 1) * percentile / 100)] if blocks else above[:, 0]
-    widths = np.array([int(k).bit_length() for k in kth], dtype=np.int64)
+    at = int((block - 1) * percentile / 100)
+    widths = np.array([int(k).bit_length() for k in np.partition(above, at, axis=1)[:, at]], dtype=np.int64)
     outlier = above >= (np.uint64(1) << widths.astype(np.uint64))[:, None]
     packed: list[bytes] = [b""] * blocks
     kept = np.where(outlier, np.uint32(0), above)
-    for w in np.unique(widths):
+    for w in np.unique(widths[widths > 0]):
         at = np.flatnonzero(widths == w)
-        for i, row in zip(at, _pack(kept[at], int(w)) if w else [np.zeros(0, np.uint8)] * len(at), strict=True):
+        for i, row in zip(at, _pack(kept[at], int(w)), strict=True):
             packed[i] = row.tobytes()
     bodies = []
     for i in range(blocks):
         where = np.flatnonzero(outlier[i])
         bodies.append(BLOCK_HEADER.pack(int(least[i]), int(widths[i]), len(where)) + packed[i] + where.astype("<u2").tobytes() + above[i][where].astype("<u4").tobytes())
+    return bodies
+
+
+def encode_shard(documents: list[np.ndarray], block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
+    """The shard of these documents' ids (unsigned 32-bit), packed some blocks at a time."""
+    lengths = np.array([len(d) for d in documents], dtype="<u4")
+    ids = np.concatenate([np.zeros(0, "<u4"), *documents]).astype("<u4", copy=False)
+    bodies: list[bytes] = []
+    for first in range(0, len(ids), AT_ONCE * block):
+        bodies += _encode_blocks(ids[first : first + AT_ONCE * block], block, percentile)
     starts = np.cumsum([0, *map(len, bodies)])[:-1].astype("<u8")
-    return b"".join([HEADER.pack(MAGIC, block, len(documents), len(ids), blocks), lengths.tobytes(), starts.tobytes(), *bodies])
+    return b"".join([HEADER.pack(MAGIC, block, len(documents), len(ids), len(bodies)), lengths.tobytes(), starts.tobytes(), *bodies])
 
 
 def decode_blocks(body: bytes, first: int, last: int) -> np.ndarray:
@@ -101,6 +115,24 @@ def decode_blocks(body: bytes, first: int, last: int) -> np.ndarray:
     return rows.ravel()[: max(0, min(tokens, last * block) - first * block)]
 
 
+def document_sums(body: bytes) -> tuple[np.ndarray, list[int]]:
+    """Every document's number of ids and their crc32, decoded some blocks at a time."""
+    _, block, documents, tokens, blocks = HEADER.unpack_from(body)
+    lengths = np.frombuffer(body, "<u4", documents, HEADER.size).astype(np.int64)
+    ends, sums, doc, done = np.cumsum(lengths).tolist(), [0] * documents, 0, 0
+    for first in range(0, blocks, AT_ONCE):
+        ids = memoryview(np.ascontiguousarray(decode_blocks(body, first, first + AT_ONCE)).view(np.uint8))
+        until = done + len(ids) // 4
+        while doc < documents:
+            stop = min(ends[doc], until)
+            sums[doc] = zlib.crc32(ids[4 * (max(done, ends[doc] - int(lengths[doc])) - done) : 4 * (stop - done)], sums[doc])
+            if ends[doc] > until:
+                break
+            doc += 1
+        done = until
+    return lengths, sums
+
+
 def decode_shard(body: bytes) -> list[np.ndarray]:
     """Every document's ids."""
     _, _, documents, _, blocks = HEADER.unpack_from(body)
@@ -114,21 +146,25 @@ class Encoder:
     The byte-level pre-tokenizer's pieces begin at a space that a non-space follows and nothing non-blank ends in
     a blank, so a text falls apart into independent pieces before each such space that doesn't follow a blank, and
     around a line feed between two non-blanks. Each piece is encoded by the library once. Texts that hold a special
-    token's string go to the library whole.
+    token's string go to the library whole, and so do all texts if the file's tokenizer is another than a plain
+    byte-level BPE.
     """
 
     #: Unicode white space, and what only Python takes for it: no cuts next to these.
-    BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  -     　"
+    BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Characters of a text that are taken apart at a time, and of the longest piece that is remembered.
+    PART, LONGEST = 1_000_000, 64
 
     def __init__(self, path: str, pieces: int = 500_000):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = self._falls_apart()
+        if not self.apart:
+            return
         self.pieces, self.spaced, self.bare = pieces, {}, {"": b""}
         bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: bytes_of(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
@@ -136,6 +172,15 @@ class Encoder:
         self.line_feed = self._ids(["\n"])[0]
         self.marks = dict(zip(",.!?;:", self._ids(list(",.!?;:")), strict=True))
         self.cut = re.compile(f"(?<![{self.BLANKS}]) (?![{self.BLANKS}]|$)")
+        self.odd = re.compile(f"[{self.BLANKS.replace(' ', '', 1).replace(chr(10), '', 1)}]")
+
+    def _falls_apart(self) -> bool:
+        """Whether the file has the pre-tokenizer and model that the cuts are made for."""
+        made = json.loads(self.tokenizer.to_str())
+        model, before = made["model"], made["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "ignore_merges"))
+        level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        return plain and level and not made["normalizer"] and not made["truncation"] and not made["padding"]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -145,75 +190,75 @@ class Encoder:
         tokenize, first, others = self.tokenizer.model.tokenize, self.space if prefix else "", []
         for p in pieces:
             if p.isalpha() and (p.isascii() or max(p) <= "ÿ"):
-                yield p, np.array([t.id for t in tokenize(first + (p if p.isascii() else p.translate(self.letters)))], dtype="<u4").tobytes()
+                yield p, array("I", map(ID, tokenize(first + (p if p.isascii() else p.translate(self.letters))))).tobytes()
             else:
                 others.append(p)
         yield from zip(others, self._ids([prefix + p for p in others]), strict=True)
 
-    def _split(self, text: str) -> list[tuple[str, list[str]]] | None:
-        """Lines, each as its first piece and those after a space; None if the text has to go whole."""
-        if any(s in text for s in self.special):
-            return None
-        runs = text.split()
-        if len(text) - sum(map(len, runs)) > max(0, len(runs) - 1):  # blanks side by side, or at an end
+    def _split(self, text: str) -> list[tuple[str, list[str]]]:
+        """Lines, each as its first piece and those after a space."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("\n", " ") or text[-1:] in ("\n", " ") or self.odd.search(text):
             lines = [self.cut.split(text)]
         else:
             lines = [line.split(" ") for line in text.split("\n")]
         return [(line[0], line[1:]) for line in lines]
 
-    def _learn(self, split: list[list[tuple[str, list[str]]]]) -> list[tuple[dict, set]]:
-        """Encodes pieces that aren't known; returns those to forget again, as the memory is full."""
-        forget = []
-        for known, prefix, found in ((self.spaced, " ", set().union(*[rest for d in split for _, rest in d])), (self.bare, "", {first for d in split for first, _ in d})):
-            new = found - known.keys()
-            # A letter and a mark after it are always two pieces to the pre-tokenizer.
-            marked = {p for p in new if p[-1:] in self.marks and p[-2:-1] <= "ÿ" and p[-2:-1].isalpha()}
-            stems = list((new - marked) | ({p[:-1] for p in marked} - known.keys()))
-            room = self.pieces - len(known)
-            known.update(self._pieces_ids(prefix, stems))
-            known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-            if len(new) + len(stems) > room:
-                forget.append((known, new.union(stems)))
-        return forget
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text in parts of bounded length, cut before a space; those after the first begin with it."""
+        start = 0
+        while len(text) - start > self.PART and (at := self.cut.search(text, start + self.PART)):
+            yield text[start : at.start()]
+            start = at.start()
+        yield text[start:]
+
+    def _learn(self, known: dict, prefix: str, found: set[str]) -> set[str]:
+        """Encodes pieces that aren't known; returns those to forget again: long ones, and what the memory has no room for."""
+        new = found.difference(known)
+        # A letter and a mark after it are always two pieces to the pre-tokenizer.
+        marked = {p for p in new if p[-1:] in self.marks and p[-2:-1] <= "ÿ" and p[-2:-1].isalpha()}
+        stems = (new - marked).union({p[:-1] for p in marked}.difference(known))
+        room = self.pieces - len(known)
+        known.update(self._pieces_ids(prefix, list(stems)))
+        known.update([(p, known[p[:-1]] + self.marks[p[-1]]) for p in marked])
+        new |= stems
+        return new if len(new) > room else {p for p in new if len(p) > self.LONGEST}
 
     def encode(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[np.ndarray]:
         """Each text's ids, null as the empty text; memory is for about so many characters at a time."""
         group, size = [], 0
         for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= chars:
+            t = t or ""
+            if not self.apart or any(s in t for s in self.special):
+                yield from self._encode(group)
+                yield np.frombuffer(self._ids([t])[0], "<u4")
+                group, size = [], 0
+            elif len(t) > 2 * self.PART:
                 yield from self._encode(group)
+                yield np.concatenate([ids for part in self._parts(t) for ids in self._encode([part])])
                 group, size = [], 0
+            else:
+                group.append(t)
+                size += len(t)
+                if size >= chars:
+                    yield from self._encode(group)
+                    group, size = [], 0
         yield from self._encode(group)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
         split = [self._split(t) for t in texts]
-        forget = self._learn([s for s in split if s])
-        for text, lines in zip(texts, split, strict=True):
-            if lines is None:
-                yield np.frombuffer(self._ids([text])[0], "<u4")
-                continue
-            parts: list[bytes] = []
-            for i, (first, rest) in enumerate(lines):
-                if i:
-                    parts.append(self.line_feed)
-                parts.append(self.bare[first])
-                parts.extend(map(self.spaced.__getitem__, rest))
-            yield np.frombuffer(b"".join(parts), "<u4")
-        for known, pieces in forget:
+        forget = (self._learn(self.spaced, " ", set().union(*[rest for lines in split for _, rest in lines])), self._learn(self.bare, "", {first for lines in split for first, _ in lines}))
+        spaced, bare = self.spaced.__getitem__, self.bare
+        for lines in split:
+            yield np.frombuffer(self.line_feed.join([bare[first] + b"".join(map(spaced, rest)) for first, rest in lines]), "<u4")
+        for known, pieces in zip((self.spaced, self.bare), forget, strict=True):
             for p in pieces:
                 known.pop(p, None)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    """One for each Python worker, which Spark reuses from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return resident(("token blocks", path), lambda: Encoder(path))
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -253,10 +298,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids = decode_shard(r.body)
-                lengths = [len(x) for x in ids]
-                out = pd.DataFrame({"part": r.part, "seq": r.seq, "place": range(len(ids)), "doc_id": pd.array(list(map(lambda x: None if pd.isna(x) else int(x), r.doc_ids)), dtype="Int64"), "before": np.cumsum([0, *lengths])[:-1], "n_tokens": lengths, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
-                yield out
+                lengths, sums = document_sums(r.body)
+                names = pd.array([None if pd.isna(x) else int(x) for x in r.doc_ids], dtype="Int64")
+                yield pd.DataFrame({"part": r.part, "seq": r.seq, "place": range(len(names)), "doc_id": names, "before": np.cumsum(lengths) - lengths, "n_tokens": lengths, "ids_crc32": sums})
 
     shards = spark.read.schema(SHARDS).parquet(path)
     sums = shards.select("part", "seq", "n_tokens")

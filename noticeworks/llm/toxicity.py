@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, materialize, resident
 from .labels import labelled
 
 #: Letters of a gram, context lengths that the shared counts back off through, discount, margin a letter.
@@ -43,7 +43,7 @@ LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 FACTORS = np.random.default_rng(42).integers(1, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_counts(texts: DataFrame, held: int = 200_000) -> DataFrame:
+def word_counts(texts: DataFrame, held: int = 100_000) -> DataFrame:
     """(y, word, n): counts of the expressions of texts (y, text), aggregated in each task before they are shuffled.
 
     A task holds at most about `held` distinct pieces of text, and one text's, at a time.
@@ -86,12 +86,13 @@ def shared_probabilities(wanted: DataFrame, corpus: DataFrame, lengths: Sequence
     are documents. A shorter context counts the longer ones that a letter was seen after. The tables of contexts stay
     distributed; only what wanted asks for is joined.
     """
-    letters = corpus.select("ch").distinct().count()
+    letters = 0
     level, found = corpus, wanted.select("ctx", "ch").distinct()
     for k in lengths:
         if k != lengths[0]:
             level = level.select(F.expr(f"right(ctx, {k})").alias("ctx"), "ch").groupBy("ctx", "ch").agg(F.count("*").alias("n"))
         level = materialize(level, "contexts")
+        letters = letters or level.select("ch").distinct().count()
         after = W.partitionBy("ctx")  # at most the alphabet
         own = level.select(F.col("ctx").alias(f"x{k}"), F.col("ch").alias("ch"), F.col("n").alias(f"n{k}"), F.sum("n").over(after).alias(f"t{k}"), F.count("*").over(after).alias(f"y{k}"))
         found = found.withColumn(f"x{k}", F.expr(f"right(ctx, {k})")).join(own.hint("merge"), [f"x{k}", "ch"])
@@ -168,7 +169,7 @@ def numbered(table: DataFrame) -> DataFrame:
 class Scorer:
     """Evidence of texts by ordered arrays of keys, with a bounded memory of pieces already judged."""
 
-    def __init__(self, letters: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], order: int = ORDER, margin: float = MARGIN, limit: int = 200_000):
+    def __init__(self, letters: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], order: int = ORDER, margin: float = MARGIN, limit: int = 150_000):
         self.letters, self.contexts, self.order, self.margin, self.limit = letters, contexts, order, margin, limit
         self.known: dict[str, complex] = {}
 
@@ -190,7 +191,7 @@ class Scorer:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
         return np.add.reduceat(llr, np.cumsum(sizes) - sizes) if words else np.zeros(0), sizes - 1
 
-    def _judge(self, pieces: list[str], chunk: int = 50_000) -> dict[str, complex]:
+    def _judge(self, pieces: list[str], chunk: int = 20_000) -> dict[str, complex]:
         """By piece: what its expressions exceed the margin by, and as the imaginary part their letters."""
         found = {}
         for first in range(0, len(pieces), chunk):
@@ -203,7 +204,7 @@ class Scorer:
             found.update(zip(part, (sums[ends] - sums[ends - [len(own) for own in words]]).tolist(), strict=True))
         return found
 
-    def texts(self, texts: list[str | None], chars: int = 2_000_000) -> list[float]:
+    def texts(self, texts: Sequence[str | None], chars: int = 1_000_000) -> list[float]:
         """Each text's evidence; new pieces of about so many characters of texts are judged together."""
         out: list[float] = []
         group: list[list[str]] = []
@@ -226,17 +227,12 @@ class Scorer:
         return out
 
 
-_SCORERS: dict = {}
-
-
 def evidence(text: Column, model: Broadcast) -> Column:
     @F.pandas_udf("double")
     def judged(texts: pd.Series) -> pd.Series:
         m = model.value
-        if m["token"] not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[m["token"]] = Scorer(m["letters"], m["contexts"], m["order"], m["margin"])
-        return pd.Series(_SCORERS[m["token"]].texts(texts.tolist()), dtype="float64")
+        scorer = resident(("toxicity", m["token"]), lambda: Scorer(m["letters"], m["contexts"], m["order"], m["margin"]))
+        return pd.Series(scorer.texts(texts), dtype="float64")
 
     return judged(text)
 

@@ -24,6 +24,32 @@ def test_encoder_equals_library():
         assert got == library(texts)
 
 
+def test_long_texts_are_encoded_in_parts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(ODD[:-4], k=400)) for _ in range(60)]
+    encoder = token_blocks.Encoder(PATH)
+    for encoder.PART in (1, 17, 100):
+        assert [x.tolist() for x in encoder.encode(texts)] == library(texts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Some words, and  MORE\nlines", "", None, "a" * 100]
+    encoder = token_blocks.Encoder(path)
+    assert not encoder.apart
+    assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 256])
+def test_document_sums(monkeypatch, at_once):
+    monkeypatch.setattr(token_blocks, "AT_ONCE", at_once)
+    rng = np.random.default_rng(at_once)
+    for sizes in ([], [0], [3], [1, 0, 2500, 0, 7, 1024, 1], [0, 0]):
+        docs = [rng.integers(0, 50_257, n).astype("<u4") for n in sizes]
+        lengths, sums = token_blocks.document_sums(token_blocks.encode_shard(docs, block=64))
+        assert lengths.tolist() == sizes and sums == [zlib.crc32(d.tobytes()) for d in docs]
+
+
 @pytest.mark.parametrize("block", [1, 7, 1024])
 def test_shard_round_trip(block):
     rng = np.random.default_rng(block)
