@@ -109,7 +109,7 @@ class ItemIndex:
         if not words:
             return []
         ids = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), dtype=np.uint64, count=len(words))
-        found: dict[int, tuple[int, int, int, float]] = {}
+        found: dict[tuple[int, int], tuple[int, int, int, float]] = {}
         for width, keys in self.all_keys.items():
             if len(words) < width:
                 continue
@@ -137,20 +137,23 @@ class ItemIndex:
                 if grams is None:
                     grams = shingles(text, width)
                     hashes = _hashes(grams)
-                first = int(windows[0])
-                sums = np.concatenate((np.zeros((1, 64), dtype=np.int32), np.cumsum(_bits(hashes[first : int(windows[-1]) + long]), axis=0, dtype=np.int32)))
-                ones = sums[windows - first + long] - sums[windows - first]
-                prints = np.packbits(2 * ones > long, axis=1, bitorder="little").view("<u8").ravel().tolist()
-                for start, p in zip(windows.tolist(), prints, strict=True):
-                    counts = None
-                    for i, distance in self._candidates(own, p):
-                        counts = counts or Counter(grams[start : start + long])
-                        shared = (counts & own["grams"][i]).total()
-                        similarity = shared / (long + own["grams"][i].total() - shared)
-                        item = own["ids"][i]
-                        if similarity >= self.similarity - 1e-12 and (item not in found or similarity > found[item][3]):
-                            found[item] = (item, start, distance, similarity)
-        return sorted(found.values(), key=lambda x: (x[0] is None, x[0]))
+                for part in self._parts(windows):
+                    first = int(part[0])
+                    sums = np.concatenate((np.zeros((1, 64), dtype=np.int32), np.cumsum(_bits(hashes[first : int(part[-1]) + long]), axis=0, dtype=np.int32)))
+                    prints = np.packbits(2 * (sums[part - first + long] - sums[part - first]) > long, axis=1, bitorder="little").view("<u8").ravel().tolist()
+                    for start, p in zip(part.tolist(), prints, strict=True):
+                        counts = None
+                        for i, distance in self._candidates(own, p):
+                            counts = counts or Counter(grams[start : start + long])
+                            shared = (counts & own["grams"][i]).total()
+                            similarity = shared / (long + own["grams"][i].total() - shared)
+                            if similarity >= self.similarity - 1e-12 and ((n, i) not in found or similarity > found[n, i][3]):
+                                found[n, i] = (own["ids"][i], start, distance, similarity)
+        return sorted(found.values(), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    def _parts(self, windows: np.ndarray, span: int = 20_000) -> list[np.ndarray]:
+        """The windows in parts that begin within `span` words of each other, so that sums are held for one part alone."""
+        return np.split(windows, np.flatnonzero(np.diff((windows - windows[0]) // span)) + 1)
 
 
 def _index(items: Broadcast, similarity: float, radius: int) -> ItemIndex:
@@ -181,9 +184,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
     A-Z are lower-cased and words are what stands between ASCII white space. Items and windows of fewer than five
     words are one shingle, the whole sequence. A document shorter than an item is one window. Null or empty texts,
-    of items or documents, match nothing. Repeated rows of docs give repeated rows; items of the same id count as
-    separate windows but give their best row only within one block. Null ids are carried. Empty tables give an
-    empty result. Only doc_id and text, item_id and text are read.
+    of items or documents, match nothing. Each row of docs gives the best window of each row of benchmark, so repeated
+    rows of either give repeated rows, whatever the blocks. Null ids are carried. Empty tables give an empty result.
+    Only doc_id and text, item_id and text are read. Each further block of items reads docs once more.
     """
     spark = docs.sparkSession
     found = spark.createDataFrame([], SCHEMA)

@@ -1,17 +1,20 @@
 """Host-level quality rules: shrunken failure rates of hosts decide over their documents.
 
-Each document is measured by itself. Failures are summed by host, a beta prior is fitted to the hosts' rates by
-moments, each host's rate is shrunk towards the prior's mean, and the host's verdict is joined back.
+Each document is measured by itself. Failures of each rule are summed by host, a beta prior is fitted to the hosts'
+rates by moments, each host's rate is shrunk towards the prior's mean, and hosts whose rate lies far outside the prior
+are turned away: their verdict is joined back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 MEASURES = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>"
 SPACES, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
@@ -63,28 +66,53 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def host_rates(judged: DataFrame, strongest: float = 1e6) -> DataFrame:
-    """host, n, failures and the posterior mean rate, for judged (host, failed).
-
-    The prior has the mean m and variance v of the hosts' own rates: a + b = m (1 - m) / v - 1, between 1 and
-    `strongest` (also where v is 0 or there is one host). One row per host; the moments are one row.
-    """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"))
-    moments = hosts.agg(F.avg(F.col("failures") / F.col("n")).alias("m"), F.var_pop(F.col("failures") / F.col("n")).alias("v"))
-    strength = F.when(F.col("v") > 0, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(strongest))).otherwise(strongest)
-    prior = moments.select((F.col("m") * strength).alias("a"), strength.alias("strength"), F.lit(1).alias("one"))
-    return hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one").select("host", "n", "failures", ((F.col("failures") + F.col("a")) / (F.col("n") + F.col("strength"))).alias("rate"))
+#: What a document fails by, each judged by host on its own.
+RULES: dict[str, Callable[[], Column]] = {
+    "few_words": lambda: F.col("n_words") < 50,
+    "repeated_words": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
+    "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
+    "repeated_lines": lambda: 10 * F.col("n_dup_lines") > F.col("n_words"),
+}
 
 
-def judge(docs: DataFrame, most: float = 0.5, host_col: str = "source") -> DataFrame:
-    """doc_id, host, the five measures, base_failed, host_rate and kept for every row of docs.
+def host_rates(judged: DataFrame, rules: Sequence[str], beyond: float = 3.0, times: float = 2.0, sure: float = 2.0, strongest: float = 1e6) -> DataFrame:
+    """host, n, and for each rule its posterior mean rate (rate_<rule>) and whether the host stands out by it (bad_<rule>).
 
-    kept: the row itself passes, and its host's shrunken rate of failures is at most `most`. Null and empty texts
-    have no words and fail. Rows without a host are judged together as one. Repeated rows count each time; an
-    empty table gives an empty result. Other columns of docs are not read.
+    judged: host and a boolean column for each rule. A rule's beta prior has the mean m and variance v of the hosts' own
+    rates: a + b = m (1 - m) / v - 1, between 1 and `strongest` (also where v is 0 or there is one host). A host stands
+    out if its shrunken rate, less `sure` standard deviations of its posterior, is more than `beyond` standard deviations
+    of the prior above m, and more than `times` m: few documents prove nothing.
+    One row per host; the moments are one row.
+    """
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(f"f_{r}") for r in rules])
+    raw = [F.col(f"f_{r}") / F.col("n") for r in rules]
+    moments = hosts.agg(*[F.avg(x).alias(f"m_{r}") for r, x in zip(rules, raw, strict=True)], *[F.var_pop(x).alias(f"v_{r}") for r, x in zip(rules, raw, strict=True)])
+    joined = hosts.join(F.broadcast(moments))
+    out = [F.col("host"), F.col("n")]
+    for r in rules:
+        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(strongest))).otherwise(strongest)
+        rate = (F.col(f"f_{r}") + m * strength) / (F.col("n") + strength)
+        surely = rate - sure * F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+        out += [rate.alias(f"rate_{r}"), ((surely > m + beyond * F.sqrt(m * (1 - m) / (strength + 1))) & (surely > times * m)).alias(f"bad_{r}")]
+    return joined.select(*out)
+
+
+def judge(docs: DataFrame, beyond: float = 3.0, times: float = 2.0, host_col: str = "source") -> DataFrame:
+    """doc_id, host, the five measures, base_failed, the host's rates and kept for every row of docs.
+
+    kept: the row itself passes, and its host stands out by no rule; see host_rates. Null and empty texts have no words
+    and fail. Rows without a host are judged together as one. Repeated rows count each time; an empty table gives an
+    empty result. Other columns of docs are not read.
     """
+    names = list(RULES)
     found = docs.select("doc_id", F.col(host_col).alias("host"), measures(F.col("text")).alias("f")).select("doc_id", "host", "f.*")
     rows = materialize(found.withColumn("base_failed", base_failed()), "measures")
-    rates = materialize(host_rates(rows.select("host", F.col("base_failed").alias("failed"))), "hosts")
-    rates = rates.select(F.col("host").alias("of"), F.col("rate").alias("host_rate"))
-    return rows.join(rates, F.col("host").eqNullSafe(F.col("of"))).drop("of").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most))
+    failed = rows.select("host", *[rule().alias(r) for r, rule in RULES.items()])
+    rates = host_rates(failed, names, beyond, times)
+    bad = F.lit(False)
+    for r in names:
+        bad = bad | F.col(f"bad_{r}")
+    place = F.when(F.col("host").isNull(), "").otherwise(F.concat(F.lit("="), "host"))
+    keyed = materialize(rates.select(place.alias("place"), "n", bad.alias("bad"), *[f"rate_{r}" for r in names]), "hosts")
+    return spread_join(rows.withColumn("place", place), keyed, "place").withColumn("kept", ~F.col("base_failed") & ~F.col("bad")).drop("place", "bad")

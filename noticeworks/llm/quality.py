@@ -2,8 +2,8 @@
 
 Preference pairs are made of labelled rows, one of high quality preferred to one of low quality. A weight vector is
 learned by logistic loss on the differences of the pairs' features, which makes weights times features the log odds
-of one document being preferred to another. The cut is the score quantile at the share of low labels, and a logistic
-curve about it gives the score.
+of one document being preferred to another. The cut is the quantile of all documents' ranks at the share of low
+labels, and a logistic curve about it gives the score.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ FEATURES = ("log_words", "word_length", "symbols", "repeated_lines", "repeated_w
 #: Labelled rows of each class that are learned from, and pairs made of them.
 MAX_ROWS, MAX_PAIRS = 20_000, 200_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
+#: Of the quantile, whose place is right to one in so many rows.
+ACCURACY = 100_000
 
 
 def features(text: str | None) -> list[float]:
@@ -66,7 +68,7 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, ro
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> dict:
-    """Means, scales and weights of the features, the cut and the width of the curve; numbers only.
+    """Means, scales and weights of the features, the share of low labels and the width of the curve; numbers only.
 
     Without labels of both classes the weights are zero, and every document has the score at the cut.
     """
@@ -77,35 +79,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pairs:
     z = (x - mean) / scale
     good, bad = z[y == 1], z[y == 0]
     if not len(good) or not len(bad):
-        return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": [0.0] * len(FEATURES), "cut": 0.0, "width": 1.0}
+        return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": [0.0] * len(FEATURES), "low": 0.5, "width": 1.0}
     rng, n = np.random.default_rng(0), min(max_pairs, 20 * max(len(good), len(bad)))
     w = bradley_terry(good[rng.integers(0, len(good), n)], bad[rng.integers(0, len(bad), n)])
-    # The classes were sampled to equal bounds, so the share of low labels is that of all labels.
     totals = {r.y: r.n for r in labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("y").agg(F.count("*").alias("n")).collect() if r.y in (0, 1)}
-    scores = np.concatenate((good @ w, bad @ w))
-    mass = np.concatenate((np.full(len(good), totals[1] / len(good)), np.full(len(bad), totals[0] / len(bad))))
-    order = np.argsort(scores, kind="stable")
-    below = np.cumsum(mass[order])
-    k = min(int(np.searchsorted(below, totals[0] - 1e-6)), len(order) - 2)
-    low, high = scores[order[k]], scores[order[k + 1]]
-    return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist(), "cut": float(low + high) / 2, "width": float(scores.std()) or 1.0}
+    return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist(), "low": totals[0] / (totals[0] + totals[1]), "width": float((z @ w).std()) or 1.0}
 
 
-def score_column(x: Column, model: dict) -> Column:
-    """From 0 to 1, and THRESHOLD at the cut."""
-    terms = [(F.get(x, i) - m) / s * w for i, (m, s, w) in enumerate(zip(model["mean"], model["scale"], model["weights"], strict=True))]
-    rank = sum(terms[1:], terms[0])
-    return 1 / (1 + F.exp(-((rank - model["cut"]) * (4 / model["width"]) + math.log(THRESHOLD / (1 - THRESHOLD)))))
+def rank_column(text: Column, model: dict) -> Column:
+    """Weights times features: the log odds of a text being preferred, up to a constant."""
+
+    @F.pandas_udf("double")
+    def ranked(texts: pd.Series) -> pd.Series:
+        mean, scale, weights = (np.array(model[k]) for k in ("mean", "scale", "weights"))
+        return pd.Series([float((np.array(features(t)) - mean) / scale @ weights) for t in texts], dtype="float64")
+
+    return ranked(text)
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Only texts are scored. Null and empty texts have zeros for features and are scored like any. Repeated rows are
-    scored alike; null ids stay and are not held out. Other columns of docs and labels are not read.
+    The cut is the quantile of all documents' ranks at the share of low labels, and has the score THRESHOLD. Only
+    texts are scored. Null and empty texts have zeros for features and are scored like any. Repeated rows are scored
+    alike; null ids stay and are not held out. Other columns of docs and labels are not read.
     """
     model = fit(docs, labels, **options)
-    # The features are used a dozen times; written, they are computed once.
-    measured = materialize(docs.select("doc_id", feature_column(F.col("text")).alias("x")), "features")
-    scored = measured.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), score_column(F.col("x"), model).alias("score"))
+    ranked = materialize(docs.select("doc_id", rank_column(F.col("text"), model).alias("rank")), "ranks")
+    low = ranked.agg(F.percentile_approx("rank", model["low"], ACCURACY)).first()[0]
+    above = ranked.filter(F.col("rank") > F.lit(low)).agg(F.min("rank")).first()[0]
+    # Between two ranks, so that equal ones fall on one side; on the rank itself where all from there on are equal.
+    cut = 0.0 if low is None else low if above is None else (low + above) / 2
+    scaled = (F.col("rank") - cut) * (4 / model["width"]) + math.log(THRESHOLD / (1 - THRESHOLD))
+    scored = ranked.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-scaled))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -141,7 +141,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return host_rules.judge(docs, most=0.5).select(*columns)
+    return host_rules.judge(docs, beyond=3.0, times=2.0).select(*columns)
 
 
 OP7_SQL = r"""
@@ -168,16 +168,23 @@ measured AS (
   FROM docs d JOIN words w USING (r) LEFT JOIN lines l USING (r) LEFT JOIN repeated p USING (r)),
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+failed AS (
+  SELECT source, unnest(['few', 'repeats', 'symbols', 'lines']) AS rule,
+         unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > n_words]) AS failed FROM judged),
 hosts AS (
-  SELECT source, count(*) AS n, sum(base_failed::BIGINT) AS failures FROM judged GROUP BY source),
+  SELECT source, rule, count(*) AS n, sum(failed::BIGINT) AS failures FROM failed GROUP BY source, rule),
 moments AS (
-  SELECT avg(failures / n) AS m, var_pop(failures / n) AS v FROM hosts),
+  SELECT rule, avg(failures / n) AS m, var_pop(failures / n) AS v FROM hosts GROUP BY rule),
 prior AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM moments),
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM moments),
+posteriors AS (
+  SELECT source, n, m, strength, (failures + m * strength) / (n + strength) AS rate FROM hosts JOIN prior USING (rule)),
+sure AS (
+  SELECT *, rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS least FROM posteriors),
 rates AS (
-  SELECT source, (failures + m * strength) / (n + strength) AS rate FROM hosts, prior)
+  SELECT source, bool_or(least > m + 3 * sqrt(m * (1 - m) / (strength + 1)) AND least > 2 * m) AS bad FROM sure GROUP BY source)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate <= 0.5 AS kept
+       NOT base_failed AND NOT bad AS kept
 FROM judged j JOIN rates h ON j.source IS NOT DISTINCT FROM h.source
 """
 

@@ -41,10 +41,21 @@ def test_bad_hosts_fall_and_small_hosts_are_shrunk(spark):
     got = {r.doc_id: r for r in host_rules.judge(df).collect()}
     assert len(got) == len(rows)
     assert not any(r.kept for r in got.values() if r.host == "farm")
-    assert got[20_001].kept and got[20_001].host_rate < 0.5 and not got[20_000].kept
+    assert got[20_001].kept and got[20_001].rate_few_words < 0.5 and not got[20_000].kept
     assert got[30_000].kept and not got[30_001].kept
     assert all(got[i].kept for i in range(60, 8000))
 
 
+def test_each_rule_counts_for_itself(spark):
+    """Hosts stand out by symbols and by repeated lines, though no document of theirs fails by itself."""
+    plain = [f"w{i}" for i in range(60)]
+    texts = {"plain": " ".join(plain), "marks": " ".join(plain) + " # # # # # # # #", "lines": " ".join(plain) + "\nsame x\nsame x\nsame x" * 3}
+    rows = [(i, f"h{i % 300}", texts["plain"]) for i in range(6000)] + [(7000 + i, k, texts[k]) for i in range(200) for k in ("marks", "lines")]
+    rows += [rows[0], (None, "h1", texts["plain"]), (9000, "h2", texts["marks"])]
+    got = host_rules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert {r.host for r in got if not r.kept} == {"marks", "lines"}
+
+
 def test_empty_table(spark):
     assert host_rules.judge(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
