@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import all_of, any_of, collapse, first_number, hits, text, trim
+from .text import all_of, any_of, bind, collapse, first_number, hits, text, trim
 
 
 def is_navigation(title: Column, words=L.NAV_WORDS, home: str = "首页") -> Column:
     """A menu: starts with the home word, or holds three words of the list, or two and is longer than 36."""
-    v, n = collapse(title), hits(collapse(title), words)
-    return (v != "") & (v.rlike(f"^{home}(?: |\\z)") | (n >= 3) | ((n >= 2) & (F.length(v) > 36)))
+
+    def menu(v: Column) -> Column:
+        return (v != "") & (v.rlike(f"^{home}(?: |\\z)") | bind(hits(v, words), lambda n: (n >= 3) | ((n >= 2) & (F.length(v) > 36))))
+
+    return bind(collapse(title), menu)
 
 
 def has_core_word(title: Column, words=L.CORE_WORDS) -> Column:
@@ -21,19 +24,24 @@ def has_core_word(title: Column, words=L.CORE_WORDS) -> Column:
 
 def is_other_notice(title: Column) -> Column:
     """Results, exam arrangements, health checks and the like."""
-    v = collapse(title)
-    return is_navigation(title) | v.rlike("|".join(f"(?:{p})" for p in L.OTHER_NOTICES))
+    return bind(collapse(title), lambda v: is_navigation(v) | v.rlike("|".join(f"(?:{p})" for p in L.OTHER_NOTICES)))
 
 
 def is_admitted(title: Column, need_core_word: bool = True) -> Column:
-    ok = (F.length(collapse(title)) >= 6) & ~is_other_notice(title)
-    return ok & has_core_word(title) if need_core_word else ok
+    def admitted(v: Column) -> Column:
+        ok = (F.length(v) >= 6) & ~is_other_notice(v)
+        return ok & has_core_word(v) if need_core_word else ok
+
+    return bind(collapse(title), admitted)
 
 
 def content_reason(content: Column, words=L.CONTENT_WORDS, spam=L.SPAM_WORDS, least: int = 150, most_spam: int = 3) -> Column:
     """Why a body is turned away: empty, short, spam or off_topic; null for a good one."""
-    v = collapse(content)
-    return F.when(v == "", "empty").when(F.length(v) < least, "short").when(hits(v, spam) > most_spam, "spam").when(~any_of(v, words), "off_topic")
+
+    def reason(v: Column) -> Column:
+        return F.when(v == "", "empty").when(F.length(v) < least, "short").when(hits(v, spam) > most_spam, "spam").when(~any_of(v, words), "off_topic")
+
+    return bind(collapse(content), reason)
 
 
 def is_result_notice(title: Column, content: Column, words=L.RESULT_WORDS, markers=L.RESULT_MARKERS) -> Column:
@@ -54,27 +62,36 @@ def track(value: Column, tracks=L.TRACKS) -> Column:
 
 
 def is_scrape_junk(c: Column) -> Column:
-    v = text(c)
-    found = is_navigation(v)
-    for pattern in L.SCRAPE_JUNK:
-        found = found | v.rlike(pattern)
-    return (trim(v) != "") & found
+    """Style rules, menus and footers of pages."""
+
+    def junk(v: Column) -> Column:
+        found = is_navigation(v)
+        for pattern in L.SCRAPE_JUNK:
+            found = found | v.rlike(pattern)
+        return (trim(v) != "") & found
+
+    return bind(text(c), junk)
 
 
 def cut_scrape_junk(c: Column) -> Column:
     """What stands before the first style rule or footer, unless that is nothing, without closing dots."""
-    v = trim(c)
-    at = F.regexp_instr(v, F.lit(L.SCRAPE_CUT))
-    return trim(F.regexp_replace(F.when(at > 1, trim(F.left(v, at - 1))).otherwise(v), r"[·•.]+\z", ""))
+
+    def cut(v: Column) -> Column:
+        at = F.regexp_instr(v, F.lit(L.SCRAPE_CUT))
+        return F.when(at > 1, trim(F.left(v, at - 1))).otherwise(v)
+
+    return trim(F.regexp_replace(F.regexp_replace(bind(trim(c), cut), L.FOOTER_CUT, ""), r"[·•.]+\z", ""))
 
 
 def is_garbled(c: Column, least_cjk: int = 2, longer_than: int = 40) -> Column:
-    v = trim(c)
-    cjk = F.length(F.regexp_replace(v, "[^一-龥]", ""))
-    found = (v == "") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk))
-    for pattern in L.GARBLED:
-        found = found | v.rlike(pattern)
-    return found
+    def garbled(v: Column) -> Column:
+        cjk = F.length(F.regexp_replace(v, "[^一-龥]", ""))
+        found = (v == "") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk))
+        for pattern in L.GARBLED:
+            found = found | v.rlike(pattern)
+        return found
+
+    return bind(trim(c), garbled)
 
 
 def education(c: Column) -> Column:

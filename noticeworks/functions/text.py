@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def collapse(c: Column) -> Column:
     return trim(F.regexp_replace(F.replace(text(c), F.lit("​"), F.lit("")), f"{WS}+", " "))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: a rule may name it often, and as a lambda's element it's a variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def hits(c: Column, words: Sequence[str]) -> Column:
     """How many of the words occur."""
     return sum((F.contains(c, F.lit(w)).cast("int") for w in words[1:]), F.contains(c, F.lit(words[0])).cast("int"))

@@ -1 +1,3 @@
+"""Registered queries; importing the package registers all of them."""
 
+from . import board, catalog  # noqa: F401
