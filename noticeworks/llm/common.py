@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,12 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, per: int = 1_000, key
     return dealt.drop("_parts").join(spread.drop("_parts").hint("merge"), [key, "_part"]).drop("_part")
 
 
+def each(values: pa.Array, at_once: int = 256) -> Iterator:
+    """The values one by one; only some of a batch are Python objects at a time."""
+    for i in range(0, len(values), at_once):
+        yield from values.slice(i, at_once).to_pylist()
+
+
 _RESIDENT: dict = {}
 
 

@@ -19,12 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_join, spread_join
+from .common import each, materialize, sized_join, spread_join
 from .components import connected_components
 
 SEED = 42
@@ -74,9 +75,9 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprint_column(text: Column, width: int) -> Column:
-    @F.pandas_udf("long")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t, width) for t in each(texts)], pa.int64())
 
     return prints(text)
 
@@ -159,9 +160,9 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
 def similar_links(links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The links (u, v), written, whose texts are similar enough; texts: key and text. One text stands for a key."""
 
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
+    @F.arrow_udf("double")
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([similarity(x, y, width) for x, y in zip(each(a), each(b), strict=True)], pa.float64())
 
     ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.lit(1).alias("u")), F.struct(F.col("v").alias("key"), F.lit(0).alias("u")))).alias("e")).groupBy("e.key").agg(F.sum("e.u").alias("us"), F.sum(1 - F.col("e.u")).alias("vs"))
     own = materialize(sized_join(texts.select("key", "text"), materialize(ends, "ends"), "key").groupBy("key", "us", "vs").agg(F.min("text").alias("text")), "texts")
@@ -201,7 +202,7 @@ def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int,
         for batch in batches:
             us, vs, ds = [], [], []
             for m, same, *columns in batch.itertuples(index=False, name=None):
-                (fa, ka, ca, na, ba), (fb, kb, cb, nb, bb) = columns[:5], columns[5:]
+                (fa, ka, ca, na, ba), (fb, kb, cb, nb, bb) = columns[:5], columns[:5] if same else columns[5:]
                 names = {c: i for i, c in enumerate({*ca, *cb})}
                 apart = np.array([names[c] for c in ca])[:, None] != np.array([names[c] for c in cb])
                 i, j = np.nonzero(apart & (np.triu(np.ones(apart.shape, bool), 1) if same else True))
@@ -232,10 +233,10 @@ def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int,
     shared = materialize(sizes.select("m", "k", F.ceil(F.col("size") / chunk).cast("int").alias("parts")), "blocks")
     dealt = sized_join(keyed, shared, ["m", "k"]).withColumn("c", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     chunks = materialize(dealt.groupBy("m", "k", "parts", "c").agg(F.collect_list(F.struct("fp", "key", "component", "n", "bits")).alias("s")), "chunks")
-    alone = chunks.filter("parts = 1").select("m", F.lit(True).alias("same"), F.col("s").alias("a"), F.col("s").alias("b"))
+    alone = chunks.filter("parts = 1").select("m", F.lit(True).alias("same"), F.col("s").alias("a"), F.expr("slice(s, 1, 0)").alias("b"))
     left = chunks.filter("parts > 1").select("m", "k", "c", F.col("s").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
     right = chunks.filter("parts > 1").select("m", "k", F.col("c").alias("d"), F.col("s").alias("b"))
-    met = alone.union(left.join(right.hint("merge"), ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", "b"))
+    met = alone.union(left.join(right.hint("merge"), ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b")))
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("fp", "key", "component", "n", "bits")]
     return met.select("m", "same", *fields).mapInPandas(compare, "u string, v string, differ long")
 
@@ -253,9 +254,11 @@ def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: in
     stays. The columns are those of docs, whatever their names.
     """
 
-    @F.pandas_udf("struct<fp:array<long>,key:string,n:int,bits:binary,least:array<long>>")
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t, verify_width) for t in texts], columns=["fp", "key", "n", "bits", "least"])
+    @F.arrow_udf("struct<fp:array<long>,key:string,n:int,bits:binary,least:array<long>>")
+    def prints(texts: pa.Array) -> pa.Array:
+        columns = zip(*[sketch(t, verify_width) for t in each(texts)], strict=True) if len(texts) else [[]] * 5
+        kinds = {"fp": pa.list_(pa.int64()), "key": pa.string(), "n": pa.int32(), "bits": pa.binary(), "least": pa.list_(pa.int64())}
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     def placed_by(links: DataFrame) -> DataFrame:
         parts = connected_components(links).withColumnRenamed("node", "key")

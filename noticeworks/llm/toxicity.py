@@ -22,16 +22,17 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, resident
+from .common import each, fold, materialize, resident
 from .labels import labelled
 
 #: Letters of a gram, context lengths that the shared counts back off through, discount, margin a letter.
@@ -49,27 +50,29 @@ def word_counts(texts: DataFrame, held: int = 100_000) -> DataFrame:
     A task holds at most about `held` distinct pieces of text, and one text's, at a time.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, Counter] = {}
 
-        def drain() -> pd.DataFrame:
-            found: Counter = Counter()
+        def drain() -> pa.RecordBatch:
+            found: dict[int, Counter] = {}
             for y, own in pieces.items():
+                words = found.setdefault(y, Counter())
                 for piece, n in own.items():
                     for word in LETTERS.findall(piece.lower()):
-                        found[y, word] += n
+                        words[word] += n
             pieces.clear()
-            return pd.DataFrame([(y, w, n) for (y, w), n in found.items()], columns=["y", "word", "n"])
+            columns = [pa.array([y for y, own in found.items() for _ in own], pa.int32()), pa.array([w for own in found.values() for w in own], pa.string()), pa.array([n for own in found.values() for n in own.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["y", "word", "n"])
 
         for batch in batches:
-            for y, text in zip(batch["y"].tolist(), batch["text"].tolist(), strict=True):
-                own = pieces.setdefault(int(y), Counter())
+            for y, text in zip(each(batch["y"]), each(batch["text"]), strict=True):
+                own = pieces.setdefault(y, Counter())
                 own.update((text or "").split())
                 if len(own) > held:
                     yield drain()
         yield drain()
 
-    return texts.select("y", "text").mapInPandas(count, "y int, word string, n long").groupBy("y", "word").agg(F.sum("n").alias("n"))
+    return texts.select("y", "text").mapInArrow(count, "y int, word string, n long").groupBy("y", "word").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -204,35 +207,36 @@ class Scorer:
             found.update(zip(part, (sums[ends] - sums[ends - [len(own) for own in words]]).tolist(), strict=True))
         return found
 
-    def texts(self, texts: Sequence[str | None], chars: int = 1_000_000) -> list[float]:
+    def texts(self, texts: Iterable[str | None], chars: int = 1_000_000) -> list[float]:
         """Each text's evidence; new pieces of about so many characters of texts are judged together."""
         out: list[float] = []
         group: list[list[str]] = []
         size = 0
-        for i, t in enumerate(texts):
+        for t in texts:
             group.append((t or "").lower().split())
             size += len(t or "")
-            if size >= chars or i == len(texts) - 1:
-                new = self._judge(list(set().union(*group) - self.known.keys()))
-                known = self.known
-                for pieces in group:
-                    total = sum([known[p] if p in known else new[p] for p in pieces], 0j)
-                    out.append(total.real / total.imag if total.imag else 0.0)
-                for p, v in new.items():
-                    if len(self.known) >= self.limit:
-                        break
-                    if len(p) <= LONGEST:
-                        self.known[p] = v
+            if size >= chars:
+                out += self._sums(group)
                 group, size = [], 0
-        return out
+        return out + self._sums(group)
+
+    def _sums(self, group: list[list[str]]) -> list[float]:
+        known, new = self.known, self._judge(list(set().union(*group) - self.known.keys()))
+        sums = [sum([known[p] if p in known else new[p] for p in pieces], 0j) for pieces in group]
+        for p, v in new.items():
+            if len(known) >= self.limit:
+                break
+            if len(p) <= LONGEST:
+                known[p] = v
+        return [s.real / s.imag if s.imag else 0.0 for s in sums]
 
 
 def evidence(text: Column, model: Broadcast) -> Column:
-    @F.pandas_udf("double")
-    def judged(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def judged(texts: pa.Array) -> pa.Array:
         m = model.value
         scorer = resident(("toxicity", m["token"]), lambda: Scorer(m["letters"], m["contexts"], m["order"], m["margin"]))
-        return pd.Series(scorer.texts(texts), dtype="float64")
+        return pa.array(scorer.texts(each(texts)), pa.float64())
 
     return judged(text)
 
