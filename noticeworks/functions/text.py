@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space with the byte-order mark; Java's \s is ASCII alone.
 WS = r"[\x09-\x0D\x20   -     　﻿]"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: a rule may name it often, and as a lambda's element it's a variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -24,11 +29,6 @@ def collapse(c: Column) -> Column:
     return trim(F.regexp_replace(F.replace(text(c), F.lit("​"), F.lit("")), f"{WS}+", " "))
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once a row: a rule may name it often, and as a lambda's element it's a variable."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def hits(c: Column, words: Sequence[str]) -> Column:
     """How many of the words occur."""
     return sum((F.contains(c, F.lit(w)).cast("int") for w in words[1:]), F.contains(c, F.lit(words[0])).cast("int"))
@@ -50,7 +50,7 @@ def all_of(c: Column, words: Sequence[str]) -> Column:
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """The group's text, or null without a match."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return bind(F.regexp_extract(c, pattern, group), lambda v: F.when(v != "", v))
 
 
 def first_number(c: Column, patterns: Sequence[str], least: int, most: int) -> Column:
@@ -59,5 +59,10 @@ def first_number(c: Column, patterns: Sequence[str], least: int, most: int) -> C
     return F.coalesce(*[F.when(n.between(least, most), n) for n in numbers])
 
 
+def with_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with these columns, computed once a row: filters and selections over them don't repeat what they're made of."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def preview(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("…"))).otherwise(c)

@@ -81,7 +81,7 @@ def picked_title(title: Column, announcement: Column, raw: Column, has_owner: Co
     text, the announcement after all, else a general word."""
 
     def nonempty(c: Column) -> Column:
-        return F.nullif(c, F.lit(""))
+        return bind(c, lambda v: F.when(v != "", v))
 
     stated = clean_title(announcement, "")
     special = bind(stated, lambda v: F.when((v != "") & ~is_generic_title(v), v))

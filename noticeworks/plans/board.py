@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import rules, titles
+from ..functions.text import with_once
 from . import sqlrules as S
 from .catalog import query
 from .generated import POSTINGS
@@ -24,8 +25,9 @@ def _shown(spark, sf_dir):
     """Live postings with the organisation and the card title that are shown."""
     c = F.col
     owner = F.coalesce(F.nullif("organization", F.lit("")), "source")
-    rows = POSTINGS.rows(spark, sf_dir).filter(~c("deleted")).withColumn("owner", titles.organization(owner, c("source")))
-    return rows.withColumn("card_title", titles.card_title(c("title"), c("announcement"), c("raw_text"), F.coalesce(c("source"), F.lit("")) != ""))
+    rows = POSTINGS.rows(spark, sf_dir).filter(~c("deleted"))
+    title = titles.card_title(c("title"), c("announcement"), c("raw_text"), F.coalesce(c("source"), F.lit("")) != "")
+    return with_once(rows, owner=titles.organization(owner, c("source")), card_title=title)
 
 
 def _sql_accept(p: str) -> str:
