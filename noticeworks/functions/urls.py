@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from .text import text
 
 ATTACHMENT = r"(?i)\.(xlsx|xls|pdf|docx)(?:\?|#|$)"
-#: Ordered (pattern on the address in lower case, points).
-SCORES = ((r"\.edu\.cn", 2), (r"rsc\.|rs\.|hr\.|renshi|rlzy|rczp|zpxx|zp\.|zhaopin|rsxx|rszp|招聘", 3), (r"\.(?:pdf|doc|docx|xlsx|xls|zip|rar)(?:\?|#|$)", -5), (r"javascript:|#", -5), (r"login|register|javascript", -3))
+#: Fixed values: (pattern on the address in lower case, points), and those on the title.
+SCORES = ((r"\.edu\.cn", 2), (r"rsc\.|rs\.|hr\.|renshi|rlzy|rczp|zpxx|zp\.|zhaopin|rsxx|rszp|招聘", 3), (r"\.(?:pdf|doc|docx|xlsx|xls|zip|rar)(?:\?|#|$)", -5), ("javascript:|#", -5), ("login|register|javascript", -3), (r"rst\.hunan\.gov\.cn.*/t20[0-9]{6}_[0-9]+\.html", -2))
+TITLE_SCORES = (("招聘|招贤|引才|人才|人事", 2),)
+#: An index page counts where the address also has one of the words.
+INDEX_SCORE = (r"index\.html?(?:\?|#|$)", "zpxx|zp|rsxx|招聘", 1)
+DETAIL = (r"(?i)/info/[0-9]+/[0-9]+\.(?:htm|html|shtml|aspx)(?:\?|#|$)", r"(?i)/content\.jsp|article_[0-9]+|/([0-9]{4})/([0-9]{2})/[0-9]+")
+COLUMN_PAGES = r"(?i)/zczd/|/jgsz/|/bszn/|/zcfg/|column/|list\.(?:htm|html|aspx)$"
 
 
 def normal(url: Column) -> Column:
@@ -27,9 +32,37 @@ def attachment_kind(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(text(url), ATTACHMENT, 1)), F.lit(""))
 
 
-def score(url: Column, scores=SCORES) -> Column:
-    u = F.lower(text(url))
-    return sum((F.when(u.rlike(p), n).otherwise(0) for p, n in scores[1:]), F.when(u.rlike(scores[0][0]), scores[0][1]).otherwise(0))
+def score(url: Column, title: Column | None = None, scores=SCORES, title_scores=TITLE_SCORES, index=INDEX_SCORE) -> Column:
+    """Points of an address and its link's title for being a list of notices."""
+    u, out = F.lower(text(url)), F.lit(0)
+    for pattern, n in scores:
+        out = out + F.when(u.rlike(pattern), n).otherwise(0)
+    for pattern, n in title_scores if title is not None else ():
+        out = out + F.when(F.lower(text(title)).rlike(pattern), n).otherwise(0)
+    if index:
+        out = out + F.when(u.rlike(index[0]) & u.rlike(index[1]), index[2]).otherwise(0)
+    return out
+
+
+def is_list_page(url: Column, title: Column, least: int = 4) -> Column:
+    return score(url, title) >= least
+
+
+def path_and_query(url: Column) -> Column:
+    """From the path up to the fragment, / where there is none; null for what is no absolute address."""
+    return F.when(host(url).isNotNull(), F.regexp_extract(text(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^#]*)", 1))
+
+
+def is_detail_page(url: Column, list_url: Column | None = None) -> Column:
+    """The shape of a notice's own page, on the list's host if one is given."""
+    same = F.lit(True) if list_url is None else F.coalesce((text(list_url) == "") | (host(url) == host(list_url)), F.lit(False))
+    p = path_and_query(url)
+    return F.coalesce(text(url).rlike("(?i)^https?://") & same & (p.rlike(DETAIL[0]) | p.rlike(DETAIL[1])), F.lit(False))
+
+
+def is_column_page(url: Column) -> Column:
+    """The shape of a site's column page."""
+    return F.coalesce(F.lower(F.regexp_replace(path_and_query(url), r"\?.*$", "")).rlike(COLUMN_PAGES), F.lit(False))
 
 
 def links(html: Column) -> Column:

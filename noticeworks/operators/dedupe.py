@@ -10,16 +10,34 @@ from pyspark.sql import functions as F
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The row of each key that comes first in the order, by a partial aggregate: a hot key meets as one row per task."""
+    """The row of each key that comes first in the order, by a partial aggregate: a hot key meets as one row per task.
+
+    Null keys are one key; nulls come first in the order; of rows that are equal in it any one stays, so end it with
+    something unique. An empty table gives an empty result.
+    """
+    return _best(df, keys, order, F.min_by)
+
+
+def pick_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """As pick, but the row that comes last."""
+    return _best(df, keys, order, F.max_by)
+
+
+def _best(df: DataFrame, keys: Sequence[str], order: Sequence[Column], by) -> DataFrame:
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return df.groupBy(*keys).agg(by(F.struct(*df.columns), rank).alias("the row")).select("the row.*")
+
+
+def pick_text(df: DataFrame, text: str, order: Sequence[Column]) -> DataFrame:
+    """The first row of each value of a long text column, by a 256-bit digest of it, so that no text is shuffled as a key."""
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), rank).alias("row"))
-    return best.select("row.*")
+    return df.groupBy(F.sha2(text, 256).alias("digest of the text")).agg(F.min_by(F.struct(*df.columns), rank).alias("the row")).select("the row.*")
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows of each key; Spark limits each group before the shuffle."""
+    """The first n rows of each key; Spark limits each group before the shuffle. Null keys are one key."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+    return df.withColumn("place within the key", rank).filter(F.col("place within the key") <= n).drop("place within the key")
 
 
 def undominated(items: Column, most: int = 8) -> Column:

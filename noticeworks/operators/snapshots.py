@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedupe import pick
+from .dedupe import pick_last
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows of new replace the columns `update` of old rows with their keys, or are added.
 
-    Later rows of new (the last in `order`) win over earlier ones of their key; what isn't updated stays as it was.
+    Of the rows of new with one key the last in `order` wins; of equal ones any. What isn't updated stays as it was.
+    Null keys match nothing, so a new row with one is added, once for each key. Empty tables are allowed on either side.
     """
-    last = pick(new, keys, order)
+    last = pick_last(new, keys, order)
     was, now = F.struct(*old.columns).alias("was"), F.struct(*last.columns).alias("now")
     both = old.select(*keys, was).join(last.select(*keys, now), list(keys), "full")
     return both.select(*[_column(c, c in update).alias(c) for c in old.columns])

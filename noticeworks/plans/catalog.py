@@ -154,8 +154,7 @@ FROM orders FULL JOIN new ON o_orderkey = posting""")
 def upsert_snapshot(spark, sf_dir):
     """K1, K3: a batch whose last row of a key wins sets deadlines and adds postings; deleted ones stay deleted."""
     batch = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 100).alias("posting"), F.col("l_suppkey").alias("source"), F.col("l_shipdate").alias("deadline"), F.lit(False).alias("is_deleted"), F.lit(None).cast("timestamp").alias("deleted_at"), F.struct("l_shipdate", "l_linenumber").alias("at"))
-    last = batch.groupBy("posting").agg(F.max_by(F.struct("source", "deadline", "is_deleted", "deleted_at"), "at").alias("r")).select("posting", "r.*")
-    return snapshots.upsert(_snapshot(spark, sf_dir), last, ["posting"], ["deadline"], [F.col("deadline")])
+    return snapshots.upsert(_snapshot(spark, sf_dir), batch, ["posting"], ["deadline"], [F.col("at")])
 
 
 @query("SELECT s_suppkey, s_name, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_shipdate >= TIMESTAMP '1999-06-01') AS in_use FROM supplier")
@@ -249,9 +248,9 @@ def incomplete_rows(spark, sf_dir):
 
 @query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def first_of_dedupe(spark, sf_dir):
-    """The first document of each text; texts meet by a hash and are then compared."""
+    """The first document of each text; texts meet by a digest."""
     d = t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return dedupe.pick(d, ["text"], [F.col("doc_id")]).select("doc_id", "source", "lang")
+    return dedupe.pick_text(d, "text", [F.col("doc_id")]).select("doc_id", "source", "lang")
 
 
 @query("SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1")
@@ -295,15 +294,6 @@ def url_key_join(spark, sf_dir):
     return t(spark, sf_dir, "pages").groupBy(urls.normal(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
-@query(r"""
-SELECT page_id, (CASE WHEN regexp_matches(lower(url), '\.org') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(url), 'blog\.|www\.') THEN 3 ELSE 0 END
-  + CASE WHEN regexp_matches(lower(url), '\.html?(?:\?|#|$)') THEN -1 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '#') THEN -5 ELSE 0 END) AS score FROM pages""")
-def page_url_score(spark, sf_dir):
-    """Points for what an address looks like."""
-    points = ((r"\.org", 2), (r"blog\.|www\.", 3), (r"\.html?(?:\?|#|$)", -1), ("#", -5))
-    return t(spark, sf_dir, "pages").select("page_id", urls.score(F.col("url"), points).alias("score"))
-
-
 FAMILIES = [("size", "medium"), ("size", "small"), ("size", "large"), ("offer", "promo"), ("offer", "promo pack"), ("plain", "stand")]
 
 
