@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .dedupe import pick_last
@@ -29,6 +30,25 @@ def _column(name: str, updated: bool) -> Column:
     return F.when(was.isNotNull(), was[name]).otherwise(now[name])
 
 
+def upsert_merging(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str], config: str, order: Sequence[Column]) -> DataFrame:
+    """As upsert, and the map column `config` keeps its keys that the new one doesn't have."""
+    last = pick_last(new, keys, order).select(*old.columns)
+    overlaid = old.select(*keys, F.col(config).alias("the old map")).join(last, list(keys), "right")
+    kept = F.map_filter(F.coalesce("the old map", F.create_map().cast(old.schema[config].dataType)), lambda k, _: ~F.map_contains_key(F.col(config), k))
+    laid = overlaid.withColumn(config, F.coalesce(F.map_concat(kept, F.col(config)), F.col(config), F.col("the old map"))).select(*old.columns)
+    return upsert(old, laid, keys, [*update, config], [F.lit(0)])
+
+
+def patch(df: DataFrame, changes: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """df with each named column set where its condition holds; an unknown condition changes nothing."""
+    return df.withColumns({c: F.when(F.coalesce(when, F.lit(False)), value).otherwise(F.col(c)) for c, (when, value) in changes.items()})
+
+
+def everything():
+    """The window over all rows; for tables that are limited already."""
+    return W.partitionBy(F.lit(0))
+
+
 def soft_delete(df: DataFrame, condition: Column, at: Column) -> DataFrame:
     hit = F.coalesce(condition, F.lit(False)) & ~F.col("is_deleted")
     return df.withColumns({"is_deleted": F.col("is_deleted") | hit, "deleted_at": F.when(hit, at).otherwise(F.col("deleted_at"))})
