@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row of each key that comes first in the order, by a partial aggregate: a hot key meets as one row per task.
@@ -41,6 +43,9 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
 
 
 def undominated(items: Column, most: int = 8) -> Column:
-    """Items that aren't part of another, each once, in order, at most so many."""
-    once = F.array_distinct(items)
-    return F.slice(F.filter(once, lambda x: ~F.exists(once, lambda y: (x != y) & F.contains(y, x))), 1, most)
+    """Items that aren't part of another, each once, in order, at most so many; null for null."""
+
+    def whole(once: Column) -> Column:
+        return F.slice(F.filter(once, lambda x: ~F.exists(once, lambda y: (x != y) & F.contains(y, x))), 1, most)
+
+    return bind(F.array_distinct(items), whole)
