@@ -156,3 +156,27 @@ def slots(*candidates: Column) -> Column:
 
 def is_incomplete(deadline: Column, published: Column, n_slots: Column) -> Column:
     return deadline.isNull() & published.isNull() & (F.coalesce(n_slots, F.lit(0)) <= 0)
+
+
+def cell(c: Column) -> Column:
+    return trim(c)
+
+
+def is_post_code(c: Column) -> Column:
+    """A letter and up to three digits, or two to four digits."""
+    return c.rlike(r"^[A-Z][0-9]{1,3}\z|^[0-9]{2,4}\z")
+
+
+def fits_education(c: Column, level: str, everything: str = "全部") -> Column:
+    return F.lit(True) if level == everything else F.contains(text(c), F.lit(level))
+
+
+def shown_field(c: Column, none: str = "—") -> Column:
+    """A field's text, or a dash for empty ones and words for no demand."""
+    return bind(trim(c), lambda v: F.when(v.isin("", "—", "不限", "无"), none).otherwise(v))
+
+
+def slots_label(slots: Column, positions: Column, none: str = "—") -> Column:
+    """The row's number of people, else the notice's, else its words, else a dash."""
+    words = shown_field(positions, none)
+    return F.when(slots > 0, F.concat(slots.cast("string"), F.lit(" 人"))).when(text(positions).rlike(r"^[0-9]+\z"), F.concat(positions, F.lit(" 人"))).otherwise(words)
