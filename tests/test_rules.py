@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from noticeworks.functions import dates, rules, text, urls
+from noticeworks.functions import dates, rules, text, titles, urls
 from noticeworks.operators import dedupe, matching, merging, sequences, snapshots
 
 
@@ -63,9 +63,30 @@ def test_unknown_age_and_membership_pass(spark):
 def test_upsert_last_wins_and_keeps(spark):
     old = spark.createDataFrame([(1, "a", True), (2, "b", False)], "k int, v string, is_deleted boolean")
     new = spark.createDataFrame([(1, "x", False, 1), (1, "y", False, 2), (3, "z", False, 1)], "k int, v string, is_deleted boolean, n int")
-    last = dedupe.pick(new, ["k"], [-F.col("n")]).drop("n")
-    got = snapshots.upsert(old, last, ["k"], ["v"], [F.col("v")])
-    assert sorted(map(tuple, got.collect())) == [(1, "y", True), (2, "b", False), (3, "z", False)]
+    for order in (F.col("n"), F.struct("n", "v")):
+        got = snapshots.upsert(old, new, ["k"], ["v"], [order])
+        assert got.columns == old.columns
+        assert sorted(map(tuple, got.collect())) == [(1, "y", True), (2, "b", False), (3, "z", False)]
+    for nothing in (new.limit(0), new.filter("k > 5")):
+        assert sorted(map(tuple, snapshots.upsert(old, nothing, ["k"], ["v"], [F.col("n")]).collect())) == sorted(map(tuple, old.collect()))
+    assert sorted(map(tuple, snapshots.upsert(old.limit(0), new, ["k"], ["v"], [F.col("n")]).collect())) == [(1, "y", False), (3, "z", False)]
+
+
+def test_pick_with_nulls_ties_and_clashing_names(spark):
+    rows = [(None, 1, "a"), (None, 1, "a"), (None, 2, "b"), (1, None, "c"), (1, 5, None)]
+    df = spark.createDataFrame(rows, "k int, n int, rank string")
+    assert sorted(map(tuple, dedupe.pick(df, ["k"], [F.col("n")]).collect()), key=str) == [(1, None, "c"), (None, 1, "a")]
+    assert sorted(map(tuple, dedupe.pick_last(df, ["k"], [F.col("n")]).collect()), key=str) == [(1, 5, None), (None, 2, "b")]
+    assert sorted(map(tuple, dedupe.ranked(df, ["k"], [F.col("n")], 2).collect()), key=str) == [(1, 5, None), (1, None, "c"), (None, 1, "a"), (None, 1, "a")]
+    assert dedupe.pick(df.limit(0), ["k"], [F.col("n")]).collect() == []
+    assert sorted(r.n or 0 for r in dedupe.pick_text(df, "rank", [F.col("n")]).collect()) == [0, 1, 2, 5]
+
+
+def test_title_rules_of_edge_texts(spark):
+    texts = [None, "", " \u3000 ", "公开招聘公告", "报名表.doc", "x" * 60_000, "公开招聘 | 中国政府网", "·.tab{", "关于公布公开招聘面试分数"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, title string")
+    got = {r.id: r.reason for r in df.select("id", titles.bad_title_reason(F.col("title")).alias("reason")).collect()}
+    assert got == {0: "empty", 1: "empty", 2: "empty", 3: None, 4: "form", 5: "garbled", 6: None, 7: "garbled", 8: "other_notice"}
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
