@@ -58,6 +58,9 @@ NO_EDUCATION = "^(?:暂未公布|暂未确定|待定|另行通知|详见(?:公
 ANY_EDUCATION = "无要求|不限学历|学历不限|不作学历要求|无学历要求|学历不作要求|不限"
 EDUCATION = (("博士研究生及以上", "博士"), ("硕士研究生及以上", "硕士|研究生"), ("本科及以上", "本科|学士"), ("大专及以上", "大专|专科|高职"))
 EDUCATION_PHRASE = "(?:全日制)?(?:博士研究生|硕士研究生|大学(?:本科|专科)|研究生|博士|硕士|本科学[历位]|本科|大专|专科|高中|中专|技校|高职)(?:及以上|以上|及以下|以下|学位|学历)?"
+EDUCATION_LABELS = (r"学历(?:学位)?(?:要求)?[:：]\s*([^\n\r，,；;]{2,48})", r"学位(?:类别|要求)?[:：]\s*([^\n\r，,；;]{2,48})")
+NO_EDUCATION_CELL = "招聘|岗位|计划|一览表|附件|序号|单位名称|用人单位|咨询电话|报名|中学|小学|学院|大学校|专业要求|年龄要求|政治面貌|资格条件|代码|人数"
+SCHOOL_PROSE = "坐落于|占地面积|年历史|追溯到|设有.*(?:学院|专业)|本科专业|湖岸线|美誉|人事管|学位证书原件|学信网|毕业生就业推荐"
 SCRAPE_JUNK = (r"^首页\s", r"(?i)\.[a-zA-Z][\w-]*\s*\{|dropselect|SimpleSelect|li\.hover", r"\{\s*[^}]{0,120}\}", r"[|｜]\s*中国(?:政府网|(?:人民共和国)?[一-龥]{2,24}部)", r"(?:^|[·•.])\s*\.[a-zA-Z_-]")
 SCRAPE_CUT = r"[·•.]\s*\.[a-zA-Z_-]|\.[a-zA-Z_-][\w-]*\s*\{|\s*\{[^}]*\}|\s*中国政府网\s*[|｜]"
 FOOTER_CUT = r"\s*[|｜]\s*中国(?:政府网|(?:人民共和国)?[一-龥]{2,24}部).*$"

@@ -180,3 +180,33 @@ def slots_label(slots: Column, positions: Column, none: str = "—") -> Column:
     """The row's number of people, else the notice's, else its words, else a dash."""
     words = shown_field(positions, none)
     return F.when(slots > 0, F.concat(slots.cast("string"), F.lit(" 人"))).when(text(positions).rlike(r"^[0-9]+\z"), F.concat(positions, F.lit(" 人"))).otherwise(words)
+
+
+def normal_education(c: Column) -> Column:
+    """The label of a labelled part of the text if it has one, else of the text; empty for placeholders."""
+
+    def of(v: Column) -> Column:
+        labelled = [bind(education(F.regexp_extract(v, p, 1)), lambda x: F.when(x != "", x)) for p in L.EDUCATION_LABELS]
+        return F.when((v == "") | v.rlike("(?i)" + L.NO_EDUCATION), "").when(v.rlike(L.ANY_EDUCATION), "无要求").otherwise(F.coalesce(*labelled, education(v)))
+
+    return bind(collapse(c), of)
+
+
+def is_education_cell(c: Column) -> Column:
+    """A short cell with a level, and no piece of prose about a school."""
+
+    def of(v: Column) -> Column:
+        return (v != "") & (F.length(v) <= 48) & ~v.rlike(L.SCHOOL_PROSE) & ~(v.rlike(L.NO_EDUCATION_CELL) & (F.length(v) > 16)) & (normal_education(v) != "")
+
+    return bind(collapse(c), of)
+
+
+def match_label(status: Column, reasons: Column) -> Column:
+    """What a card says of a match; the first reason that isn't blank names a conflict."""
+    first = F.coalesce(F.get(F.filter(F.transform(reasons, lambda r: trim(r)), lambda r: r != ""), 0), F.lit(""))
+    conflict = bind(first, lambda r: F.when(r.rlike("年龄"), "[ ❌ 年龄超限 ]").when(r.rlike("政治|党员|面貌"), "[ ❌ 政治面貌不符 ]").when(r.rlike("专业"), "[ ❌ 专业不符 ]").otherwise("[ ❌ 条件冲突 ]"))
+    return F.when(status == "PERFECT", "[ 🔥 完美匹配 ]").when(status == "CONFLICT", conflict).otherwise("[ · 无冲突 ]")
+
+
+def source_label(status: Column) -> Column:
+    return F.when(status == "active", "正常").when(status == "inactive", "停用").when(status == "error", "异常").when(text(status) != "", status).otherwise("—")

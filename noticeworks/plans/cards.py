@@ -10,7 +10,7 @@ from ..functions.text import with_once
 from ..operators import matching
 from . import sqlrules as S
 from .catalog import query
-from .generated import POSTINGS
+from .generated import POSTINGS, Made
 
 PROFILE = {"age": 32, "major": "法学", "party": False}
 #: Test input: part of a dictionary, in its order.
@@ -109,3 +109,41 @@ def card_fields(spark, sf_dir):
     c = F.col
     cell = rules.cell(c("major"))
     return POSTINGS.rows(spark, sf_dir).select("id", rules.fits_education(c("education"), "本科").alias("for_bachelors"), rules.any_major(c("major")).alias("any_major"), rules.is_post_code(cell).alias("is_code"), rules.slots_label(c("slots"), c("positions")).alias("slots_label"), rules.shown_field(c("age_limit")).alias("age"), rules.shown_field(c("party")).alias("party"))
+
+
+EDUCATION = Made(
+    "orders",
+    "o_orderkey",
+    cell=(["", "学历：", "学历要求: ", "学位要求：", "专业要求法学，", "学校坐落于长沙，", "某学院岗位 "], ["", "全日制", "不限，", "—"], ["本科及以上", "硕士研究生", "研究生（学历）", "博士研究生及以上", "大专以上", "大学专科", "高中", "学士学位", "无要求", "无", "详见公告", "本科或大专学历的毕业生均可参加报名考试与面试", ""], ["", "；学位：硕士", "，经验不限"]),
+    status=(["PERFECT", "CONFLICT", "NORMAL", "active", "inactive", "error", "paused", "", None],),
+    reason=(["", " ", "年龄超限3岁", "限党员", "政治面貌", "专业不符", "其他"],),
+)
+
+
+def _level(v: str) -> str:
+    """The label of a text that is collapsed already."""
+    phrases = f"regexp_extract_all({v}, '{L.EDUCATION_PHRASE}')"
+    longest = f"coalesce(list_filter({phrases}, lambda x: length(x) = list_max(list_transform({phrases}, lambda y: length(y))))[1], {v})"
+    cases = " ".join(f"WHEN regexp_matches({longest}, '{p}'){' AND NOT contains(' + longest + ', ' + repr('专科') + ')' if n.startswith('本科') else ''} THEN '{n}'" for n, p in L.EDUCATION)
+    return f"CASE WHEN {v} = '' OR regexp_matches({v}, '(?i){L.NO_EDUCATION}') THEN '' WHEN regexp_matches({v}, '{L.ANY_EDUCATION}') THEN '无要求' {cases} ELSE '' END"
+
+
+@query(f"""
+WITH a AS (SELECT *, {S.collapse('cell')} AS v FROM {EDUCATION.sql} AS e),
+b AS (SELECT *, {S.collapse(f"regexp_extract(v, '{L.EDUCATION_LABELS[0]}', 1)")} AS l1, {S.collapse(f"regexp_extract(v, '{L.EDUCATION_LABELS[1]}', 1)")} AS l2 FROM a),
+c AS (SELECT *, CASE WHEN v = '' OR regexp_matches(v, '(?i){L.NO_EDUCATION}') THEN '' WHEN regexp_matches(v, '{L.ANY_EDUCATION}') THEN '无要求' ELSE coalesce(nullif({_level('l1')}, ''), nullif({_level('l2')}, ''), {_level('v')}) END AS level FROM b)
+SELECT id, level, v <> '' AND length(v) <= 48 AND NOT regexp_matches(v, '{L.SCHOOL_PROSE}') AND NOT (regexp_matches(v, '{L.NO_EDUCATION_CELL}') AND length(v) > 16) AND level <> '' AS is_cell FROM c""")
+def education_cells(spark, sf_dir):
+    """The level that a cell asks for, and whether it is such a cell at all."""
+    c = F.col("cell")
+    return EDUCATION.rows(spark, sf_dir).select("id", rules.normal_education(c).alias("level"), rules.is_education_cell(c).alias("is_cell"))
+
+
+@query(f"""
+SELECT id, CASE status WHEN 'PERFECT' THEN '[ 🔥 完美匹配 ]' WHEN 'CONFLICT' THEN CASE WHEN contains(reason, '年龄') THEN '[ ❌ 年龄超限 ]' WHEN regexp_matches(reason, '政治|党员|面貌') THEN '[ ❌ 政治面貌不符 ]'
+    WHEN contains(reason, '专业') THEN '[ ❌ 专业不符 ]' ELSE '[ ❌ 条件冲突 ]' END ELSE '[ · 无冲突 ]' END AS match_label,
+  CASE status WHEN 'active' THEN '正常' WHEN 'inactive' THEN '停用' WHEN 'error' THEN '异常' ELSE coalesce(nullif(status, ''), '—') END AS source_label FROM {EDUCATION.sql} AS e""")
+def status_labels(spark, sf_dir):
+    """What cards and lists call a status."""
+    c = F.col
+    return EDUCATION.rows(spark, sf_dir).select("id", rules.match_label(c("status"), F.array(F.lit(" "), c("reason"))).alias("match_label"), rules.source_label(c("status")).alias("source_label"))
