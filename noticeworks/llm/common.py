@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import TypeVar
 
 import pyarrow as pa
@@ -32,13 +34,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is materialized within and not kept is deleted at the end: nothing that is evaluated later may read it."""
+    made: list[str] = []
+    token = _PASSING.set(made)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in made:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """Writes df to the shared folder, with options of the writer, and reads it back.
 
-    Cuts the lineage at the cost of one computation, and outlives the executors that wrote it.
+    Cuts the lineage at the cost of one computation, and outlives the executors that wrote it; see passing.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and _PASSING.get() is not None:
+        _PASSING.get().append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

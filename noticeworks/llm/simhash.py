@@ -13,7 +13,6 @@ linear in the bucket and keeps every component whole: both of a close pair link
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each, materialize, sized_join, spread_join
+from .common import SPACE, each, materialize, passing, sized_join, spread_join
 from .components import connected_components
 
 SEED = 42
@@ -128,16 +127,21 @@ def _flipped(n: int, point: Column | None = None, first: Column | None = None) -
     return F.flatten(F.transform(places, lambda i: _flipped(n - 1, point.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), i + 1)))
 
 
-def sketch(text: str | None, width: int) -> tuple[list[int], str, int, bytes, list[int]]:
-    """Of a text: the fingerprints of its distinct words by several hashes, a digest of its words in order, the number
-    of its distinct shingles, a bitmap of how many are odd at a place, and the least values of some hashes of them.
+def words_key(text: Column) -> Column:
+    """A digest of a text's words in order, A-Z lower-cased; that of the empty string without any."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.regexp_replace(F.regexp_replace(lower, f"{SPACE}+", " "), r"^ | \z", "").cast("binary"))
+
+
+def sketch(text: str | None, width: int) -> tuple[list[int], int, bytes, list[int]]:
+    """Of a text: the fingerprints of its distinct words by several hashes, the number of its distinct shingles, a
+    bitmap of how many are odd at a place, and the least values of some hashes of them.
 
     Two bitmaps differ in at most as many places as the sets of shingles do in elements.
     """
     words = (text or "").encode().lower().split()
-    key = hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()
     if not words:
-        return [0] * PRINTS, key, 0, bytes(PLACES // 8), []
+        return [0] * PRINTS, 0, bytes(PLACES // 8), []
     distinct = list(set(words))
     hashes = _hashed(distinct)
     at = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), np.int64, len(words))
@@ -148,7 +152,7 @@ def sketch(text: str | None, width: int) -> tuple[list[int], str, int, bytes, li
     grams = np.unique(_mixed(grams, 1))
     odd = np.bincount((grams % PLACES).astype(np.int64), minlength=PLACES) & 1
     least = [int((grams * f).min().view(np.int64)) for f in FACTORS]
-    return [_majority(_mixed(hashes, k)) for k in range(PRINTS)], key, len(grams), np.packbits(odd.astype(np.uint8)).tobytes(), least
+    return [_majority(_mixed(hashes, k)) for k in range(PRINTS)], len(grams), np.packbits(odd.astype(np.uint8)).tobytes(), least
 
 
 def similarity(a: str | None, b: str | None, width: int) -> float:
@@ -251,42 +255,44 @@ def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: in
     linked to hubs, which joins most of a large group in linear time. Then all candidates of different components are
     listed, and the likeliest ones of each two components are verified until every one that still has its texts in
     different components has been. A row without an id stays only where its group has no id. Of repeated rows one
-    stays. The columns are those of docs, whatever their names.
+    stays. The columns are those of docs, whatever their names. docs is read several times and should be written.
     """
 
-    @F.arrow_udf("struct<fp:array<long>,key:string,n:int,bits:binary,least:array<long>>")
+    @F.arrow_udf("struct<fp:array<long>,n:int,bits:binary,least:array<long>>")
     def prints(texts: pa.Array) -> pa.Array:
-        columns = zip(*[sketch(t, verify_width) for t in each(texts)], strict=True) if len(texts) else [[]] * 5
-        kinds = {"fp": pa.list_(pa.int64()), "key": pa.string(), "n": pa.int32(), "bits": pa.binary(), "least": pa.list_(pa.int64())}
+        columns = zip(*[sketch(t, verify_width) for t in each(texts)], strict=True) if len(texts) else [[]] * 4
+        kinds = {"fp": pa.list_(pa.int64()), "n": pa.int32(), "bits": pa.binary(), "least": pa.list_(pa.int64())}
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     def placed_by(links: DataFrame) -> DataFrame:
         parts = connected_components(links).withColumnRenamed("node", "key")
         return sized_join(texts, materialize(parts, "parts"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), prints(F.col("text")).alias("print"))
-    held = materialize(rows, "held").select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "print.*")
-    texts = materialize(held.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "least")]), "distinct")
-    links = similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least)
-    placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
-    pairs = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk), "crossing")
-    names = placed.select("key", "component")
-    for most in ROUNDS:
-        if pairs.isEmpty():
-            break
-        apart = pairs.join(names.select(F.col("key").alias("u"), F.col("component").alias("cu")).hint("merge"), "u").join(names.select(F.col("key").alias("v"), F.col("component").alias("cv")).hint("merge"), "v").filter("cu <> cv")
-        ordered = W.partitionBy(F.least("cu", "cv"), F.greatest("cu", "cv")).orderBy("differ", "u", "v")
-        ranked = materialize(apart.withColumn("rank", F.row_number().over(ordered) if most else F.lit(0)).select("u", "v", "differ", "rank"), "crossing")
-        if ranked.isEmpty():
-            break
-        more = similar_links(ranked.filter(F.col("rank") <= (most or 0)).select("u", "v"), held, verify_width, least)
-        links = materialize(links.union(more), "links")
-        names = materialize(placed_by(links).select("key", "component"), "placed")
-        pairs = ranked.filter(F.col("rank") > (most or 0)).select("u", "v", "differ")
-    final = texts.join(names.hint("merge"), "key")
-    kept = final.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
-    same = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    chosen = materialize(kept.join(held.groupBy("key", "doc_id").agg(F.count("*").alias("n")).hint("merge"), same).select("kept_id", "kept_key", "n"), "kept")
+    # Rows are read from docs again rather than written a second time; only what is small about them is.
+    held = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), words_key(F.col("row.text")).alias("key"))
+    with passing(docs.sparkSession):
+        printed = materialize(held.select("doc_id", "key", prints(F.col("text")).alias("print")), "prints")
+        texts = materialize(printed.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(f"print.{c}").alias(c) for c in ("fp", "n", "bits", "least")]), "distinct")
+        links = similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least)
+        placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
+        pairs = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk), "crossing")
+        names = placed.select("key", "component")
+        for most in ROUNDS:
+            if pairs.isEmpty():
+                break
+            apart = pairs.join(names.select(F.col("key").alias("u"), F.col("component").alias("cu")).hint("merge"), "u").join(names.select(F.col("key").alias("v"), F.col("component").alias("cv")).hint("merge"), "v").filter("cu <> cv")
+            ordered = W.partitionBy(F.least("cu", "cv"), F.greatest("cu", "cv")).orderBy("differ", "u", "v")
+            ranked = materialize(apart.withColumn("rank", F.row_number().over(ordered) if most else F.lit(0)).select("u", "v", "differ", "rank"), "crossing")
+            if ranked.isEmpty():
+                break
+            more = similar_links(ranked.filter(F.col("rank") <= (most or 0)).select("u", "v"), held, verify_width, least)
+            links = materialize(links.union(more), "links")
+            names = materialize(placed_by(links).select("key", "component"), "placed")
+            pairs = ranked.filter(F.col("rank") > (most or 0)).select("u", "v", "differ")
+        final = texts.join(names.hint("merge"), "key")
+        kept = final.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
+        same = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+        chosen = materialize(kept.join(printed.groupBy("key", "doc_id").agg(F.count("*").alias("n")).hint("merge"), same).select("kept_id", "kept_key", "n"), "kept", keep=True)
     once = held.join(chosen.filter("n = 1").hint("merge"), same, "left_semi").select("row")
     twice = held.join(chosen.filter("n > 1").hint("merge"), same, "left_semi").groupBy("key", "doc_id").agg(F.min("row").alias("row")).select("row")
     return once.union(twice).select("row.*")

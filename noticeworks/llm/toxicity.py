@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each, fold, materialize, resident
+from .common import each, fold, materialize, passing, resident
 from .labels import labelled
 
 #: Letters of a gram, context lengths that the shared counts back off through, discount, margin a letter.
@@ -273,16 +273,17 @@ def fit(docs: DataFrame, labels: DataFrame, margin: float = MARGIN, discount: fl
 
     A quarter of the sampled rows, by a hash of the id, is kept from the counts to fit the curve.
     """
-    sample = materialize(labelled(docs, labels, "toxic", FOLDS, F.col("fold") != HELD_OUT, max_rows, max_chars), "toxic-sample")
-    later = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4)) == 0
-    own = materialize(gram_counts(word_counts(sample.filter(~later))), "class-grams")
-    words = materialize(word_counts(docs.select(F.lit(0).alias("y"), "text")), "words")
-    rows = numbered(evidence_table(own, gram_counts(words).select("ctx", "ch", "n"), BACKOFF, discount)).toArrow()
-    model = {"token": uuid.uuid4().hex, "order": ORDER, "margin": margin, "letters": _ordered(rows, True), "contexts": _ordered(rows, False)}
-    del rows
-    table = docs.sparkSession.sparkContext.broadcast(model)
-    seen = sample.filter(later).select("y", evidence(F.col("text"), table).alias("x")).toPandas()  # bounded by max_rows
-    slope, intercept = logistic(_curved(seen["x"].to_numpy(float)), seen["y"].to_numpy(float))
+    with passing(docs.sparkSession):
+        sample = materialize(labelled(docs, labels, "toxic", FOLDS, F.col("fold") != HELD_OUT, max_rows, max_chars), "toxic-sample")
+        later = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4)) == 0
+        own = materialize(gram_counts(word_counts(sample.filter(~later))), "class-grams")
+        words = materialize(word_counts(docs.select(F.lit(0).alias("y"), "text")), "words")
+        rows = numbered(evidence_table(own, gram_counts(words).select("ctx", "ch", "n"), BACKOFF, discount)).toArrow()
+        model = {"token": uuid.uuid4().hex, "order": ORDER, "margin": margin, "letters": _ordered(rows, True), "contexts": _ordered(rows, False)}
+        del rows
+        table = docs.sparkSession.sparkContext.broadcast(model)
+        seen = sample.filter(later).select("y", evidence(F.col("text"), table).alias("x")).toPandas()  # bounded by max_rows
+        slope, intercept = logistic(_curved(seen["x"].to_numpy(float)), seen["y"].to_numpy(float))
     return {"table": table, "slope": slope, "intercept": intercept}
 
 
