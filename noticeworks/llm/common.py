@@ -34,6 +34,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
@@ -47,8 +57,7 @@ def passing(spark: SparkSession) -> Iterator[None]:
     finally:
         _PASSING.reset(token)
         for path in made:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
@@ -57,7 +66,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False, **options: str) ->
     Cuts the lineage at the cost of one computation, and outlives the executors that wrote it; see passing.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     if not keep and _PASSING.get() is not None:
         _PASSING.get().append(path)
     df.write.options(**options).parquet(path)

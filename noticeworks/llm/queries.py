@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, mixing, pii, quality, simhash, token_blocks, token_counts, toxicity, url_filter
+from . import decontaminate, host_rules, mixing, pii, quality, simhash, token_blocks, token_counts, toxicity, url_filter, vector_codes
 from .common import table
 
 
@@ -201,6 +201,50 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds spelled out, one codebook after the other."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (
+  SELECT p.r, p.part, min(p.xx - 2 * list_dot_product(p.x, b.c) + list_dot_product(b.c, b.c))::BIGINT AS error,
+         arg_min(b.entry, (p.xx - 2 * list_dot_product(p.x, b.c) + list_dot_product(b.c, b.c)) * 256 + b.entry) AS entry
+  FROM cut p JOIN book{i} b USING (part) GROUP BY p.r, p.part),""")
+        if i < rounds:
+            steps.append(f"""
+sums{i} AS (
+  SELECT part, entry, place, sum(v) AS s, count(*) AS n
+  FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM cut JOIN near{i} USING (r, part))
+  GROUP BY ALL),
+book{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN (
+    SELECT part, entry, list(floor(s / n) ORDER BY place) AS c FROM sums{i} GROUP BY part, entry) m USING (part, entry)),""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = len(embedding)),
+cut AS MATERIALIZED (
+  SELECT r, part, x, list_dot_product(x, x) AS xx FROM (
+    SELECT r, part, c[part * (len(c) // 4) + 1 : (part + 1) * (len(c) // 4)] AS x FROM kept, range(4) AS parts(part))),
+book0 AS MATERIALIZED (
+  SELECT part, r - 1 AS entry, x AS c FROM cut WHERE r <= 256),{"".join(steps)}
+coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM near{rounds} GROUP BY r),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS sha FROM book{rounds})
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, d.sha AS codebooks_sha256
+FROM kept k JOIN coded c USING (r), digest d
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -212,10 +256,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_prefix_token_counts": op10_prefix_token_counts,
+    "op11_vector_code_compression": op11_vector_code_compression,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing_to_target_weights": OP3_SQL,
     "op4_url_filter": OP4_SQL,
     "op7_host_quality_rules": OP7_SQL,
+    "op11_vector_code_compression": OP11_SQL,
 }
