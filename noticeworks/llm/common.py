@@ -91,6 +91,16 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, per: int = 1_000, key
     return dealt.drop("_parts").join(spread.drop("_parts").hint("merge"), [key, "_part"]).drop("_part")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], per: int = 2_000, keys: int = 10_000) -> DataFrame:
+    """left joined with right, where either may have many rows of a key: those of left are dealt to parts of about `per`
+    rows by a hash, and those of right repeated for each part. As in spread_join, the `keys` most frequent keys are."""
+    hot = left.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > per).orderBy(F.desc("_n"), *on).limit(keys)
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col("_n") / per).cast("int").alias("_parts")))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int")))
+    spread = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(spread.drop("_parts").hint("merge"), [*on, "_part"]).drop("_part")
+
+
 def each(values: pa.Array, at_once: int = 256) -> Iterator:
     """The values one by one; only some of a batch are Python objects at a time."""
     for i in range(0, len(values), at_once):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, mixing, pii, quality, simhash, token_blocks, token_counts, toxicity, url_filter, vector_codes
+from . import decontaminate, host_rules, mixing, pii, quality, simhash, spelling, token_blocks, token_counts, toxicity, url_filter, vector_codes
 from .common import table
 
 
@@ -245,6 +245,48 @@ FROM kept k JOIN coded c USING (r), digest d
 OP11_SQL = _op11_sql()
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_length=7, least_count=2, every=31, times=10)
+
+
+# crc32 by half bytes; near words by what is left of them without one code point.
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (
+  SELECT run, times, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x,
+         [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108] AS t
+  FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(len(x)),
+           lambda i: ('0x' || substr(x, ((i // 2) * 2 + 2 - i % 2)::BIGINT, 1))::UBIGINT)), lambda crc, d: xor(crc >> 4, t[((xor(crc, d) & 15) + 1)::BIGINT]::UBIGINT)), 4294967295::UBIGINT)::BIGINT AS h
+  FROM coded),
+words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 : ] ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+without AS MATERIALIZED (
+  SELECT word, n, i, word[1 : i] || word[i + 2 : ] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+placed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+walk(word, root) AS (
+  SELECT word, form FROM placed WHERE form IS NOT NULL
+  UNION ALL SELECT w.word, p.form FROM walk w JOIN placed p ON p.word = w.root WHERE p.form IS NOT NULL),
+ends AS (
+  SELECT w.word, w.root FROM walk w JOIN placed p ON p.word = w.root WHERE p.form IS NULL)
+SELECT p.word, p.form, coalesce(e.root, p.word) AS root, p.n, p.n_near, p.form_n FROM placed p LEFT JOIN ends e USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -257,6 +299,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_prefix_token_counts": op10_prefix_token_counts,
     "op11_vector_code_compression": op11_vector_code_compression,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -264,4 +307,5 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op7_host_quality_rules": OP7_SQL,
     "op11_vector_code_compression": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
