@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, mixing, pii, quality, simhash, spelling, token_blocks, token_counts, toxicity, url_filter, vector_codes
+from . import decontaminate, host_rules, minhash, mixing, pii, quality, simhash, spelling, token_blocks, token_counts, toxicity, url_filter, vector_codes
 from .common import table
 
 
@@ -245,6 +245,32 @@ FROM kept k JOIN coded c USING (r), digest d
 OP11_SQL = _op11_sql()
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i : i + 2], ' ') AS shingle FROM (
+    SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (
+  SELECT w.r, w.doc_id, count(s.r) AS n FROM words w LEFT JOIN shingles s USING (r) GROUP BY w.r, w.doc_id),
+pairs AS MATERIALIZED (
+  SELECT a.r AS u, b.r AS v FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.r <> b.r
+  JOIN sizes x ON x.r = a.r JOIN sizes y ON y.r = b.r
+  GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(u, v) AS (
+  SELECT u, v FROM pairs UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u),
+least AS (
+  SELECT u, min(s.doc_id) AS component_id FROM reach JOIN sizes s ON s.r = v GROUP BY u)
+SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, coalesce(component_id, doc_id)) AS component_id, least(doc_id, coalesce(component_id, doc_id)) = doc_id AS kept
+FROM sizes LEFT JOIN least ON u = r
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_length=7, least_count=2, every=31, times=10)
 
@@ -299,6 +325,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_prefix_token_counts": op10_prefix_token_counts,
     "op11_vector_code_compression": op11_vector_code_compression,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -307,5 +334,6 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op7_host_quality_rules": OP7_SQL,
     "op11_vector_code_compression": OP11_SQL,
+    "op12_minhash_near_dedup": OP12_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
