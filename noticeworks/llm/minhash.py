@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -171,10 +170,11 @@ def crossing_pairs(placed: DataFrame, percent: int, chunk: int) -> DataFrame:
     a pair that shares several keys may come more than once.
     """
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs, ds = [], [], []
-            for same, ca, pa_, na, sa, ba, cb, pb, nb, sb, bb in batch.itertuples(index=False, name=None):
+            found = []
+            for r in range(len(batch)):  # only one pair of chunks is Python objects at a time
+                same, ca, pa_, na, sa, ba, cb, pb, nb, sb, bb = (column[r].as_py() for column in batch.columns)
                 if same:
                     cb, pb, nb, sb, bb = ca, pa_, na, sa, ba
                 na, nb = np.asarray(na, np.int64), np.asarray(nb, np.int64)
@@ -184,10 +184,9 @@ def crossing_pairs(placed: DataFrame, percent: int, chunk: int) -> DataFrame:
                 i, j = np.nonzero(far & may_link(na[:, None], nb[None], 0, percent))
                 differ = _apart(na[i], [sa[x] for x in i], [ba[x] for x in i], nb[j], [sb[x] for x in j], [bb[x] for x in j], percent)
                 near = differ >= 0
-                us += np.asarray(ca)[i[near]].tolist()
-                vs += np.asarray(cb)[j[near]].tolist()
-                ds += differ[near].tolist()
-            yield pd.DataFrame({"u": pd.Series(us, dtype="int64"), "v": pd.Series(vs, dtype="int64"), "differ": pd.Series(ds, dtype="int64")})
+                found.append(np.stack([np.asarray(ca, np.int64)[i[near]], np.asarray(cb, np.int64)[j[near]], differ[near]]))
+            us, vs, ds = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(ds)], ["u", "v", "differ"])
 
     keyed = placed.select("cid", "component", "s", F.explode(chunk_keys(F.col("s.sig"))).alias("k"))
     mixed = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -199,7 +198,7 @@ def crossing_pairs(placed: DataFrame, percent: int, chunk: int) -> DataFrame:
     right = chunks.filter("parts > 1").select("k", F.col("c").alias("d"), F.col("m").alias("b"))
     met = left.join(right.hint("merge"), ["k", "d"]).select((F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b"))
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f.rpartition('.')[2]}") for side in "ab" for f in ("cid", "component", "s.n", "s.sig", "s.bits")]
-    pairs = alone.union(met).select("same", *fields).mapInPandas(compare, "u long, v long, differ long")
+    pairs = alone.union(met).select("same", *fields).mapInArrow(compare, "u long, v long, differ long")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "differ").distinct()
 
 
