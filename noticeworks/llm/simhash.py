@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -202,10 +201,11 @@ def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int,
     """
     masks = np.array(block_masks(guaranteed, blocks), dtype=np.int64)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs, ds = [], [], []
-            for m, same, *columns in batch.itertuples(index=False, name=None):
+            for r in range(len(batch)):  # only one pair of chunks is Python objects at a time
+                m, same, *columns = (column[r].as_py() for column in batch.columns)
                 (fa, ka, ca, na, ba), (fb, kb, cb, nb, bb) = columns[:5], columns[:5] if same else columns[5:]
                 names = {c: i for i, c in enumerate({*ca, *cb})}
                 apart = np.array([names[c] for c in ca])[:, None] != np.array([names[c] for c in cb])
@@ -228,7 +228,7 @@ def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int,
                     us += [ka[t] for t in i[like]]
                     vs += [kb[t] for t in j[like]]
                     ds += differ[like].tolist()
-            yield pd.DataFrame({"u": pd.Series(us, dtype=object), "v": pd.Series(vs, dtype=object), "differ": pd.Series(ds, dtype="int64")})
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(ds, pa.int64())], ["u", "v", "differ"])
 
     choices = [F.struct(F.lit(p * len(masks) + i).alias("m"), F.get("fp", p).bitwiseAND(F.lit(int(mask))).alias("k")) for p in range(PRINTS) for i, mask in enumerate(masks)]
     keyed = texts.select("fp", "key", "component", "n", "bits", F.explode(F.array(*choices)).alias("b")).select("*", "b.m", "b.k").drop("b")
@@ -242,7 +242,7 @@ def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int,
     right = chunks.filter("parts > 1").select("m", "k", F.col("c").alias("d"), F.col("s").alias("b"))
     met = alone.union(left.join(right.hint("merge"), ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b")))
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("fp", "key", "component", "n", "bits")]
-    return met.select("m", "same", *fields).mapInPandas(compare, "u string, v string, differ long")
+    return met.select("m", "same", *fields).mapInArrow(compare, "u string, v string, differ long")
 
 
 def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: int = 8, verify_width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
