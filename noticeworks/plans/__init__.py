@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import board, cards, catalog, fields, legacy, links, prose, signals, tables  # noqa: F401
+from . import board, cards, catalog, fields, legacy, links, prose, signals, subjects, tables  # noqa: F401
