@@ -91,6 +91,13 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, per: int = 1_000, key
     return dealt.drop("_parts").join(spread.drop("_parts").hint("merge"), [key, "_part"]).drop("_part")
 
 
+def few_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """spread_join, but without moving the rows of many where one, written, has few rows."""
+    if one.limit(FEW + 1).count() <= FEW:
+        return many.join(F.broadcast(one.drop("n")), key)
+    return spread_join(many, one, key)
+
+
 def dealt_join(left: DataFrame, right: DataFrame, on: list[str], per: int = 2_000, keys: int = 10_000) -> DataFrame:
     """left joined with right, where either may have many rows of a key: those of left are dealt to parts of about `per`
     rows by a hash, and those of right repeated for each part. As in spread_join, the `keys` most frequent keys are."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each, materialize, passing, sized_join, spread_join
+from .common import each, few_join, materialize, passing, sized_join, spread_join
 from .components import connected_components
 
 SEED = 42
@@ -144,7 +144,7 @@ def confirmed(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     sides = F.array(F.struct(F.col("u").alias("cid"), F.lit(1).alias("us")), F.struct(F.col("v").alias("cid"), F.lit(0).alias("us")))
     ends = materialize(links.select(F.explode(sides).alias("e")).groupBy("e.cid").agg(F.sum("e.us").alias("us"), F.sum(1 - F.col("e.us")).alias("vs")), "ends")
     wanted = materialize(sized_join(classes.select("cid", "at", F.col("copies").alias("n")), ends, "cid"), "wanted")
-    texts = spread_join(docs.select("at", "text"), wanted, "at").groupBy("cid", "us", "vs").agg(F.first("text").alias("text"))
+    texts = few_join(docs.select("at", "text"), wanted, "at").groupBy("cid", "us", "vs").agg(F.first("text").alias("text"))
     sets = materialize(texts.select("cid", "us", "vs", full("text").alias("s")), "sets")
     both = spread_join(links, sets.filter("us > 0").select(F.col("cid").alias("u"), F.col("s").alias("a"), F.col("us").alias("n")), "u")
     both = spread_join(both, sets.filter("vs > 0").select(F.col("cid").alias("v"), F.col("s").alias("b"), F.col("vs").alias("n")), "v")
@@ -155,7 +155,7 @@ def likeliest_hubs(keyed: DataFrame, sketched: DataFrame, percent: int) -> DataF
     """(u, v): for each class the likeliest of the least classes under its keys. keyed: k and cid; sketched: cid and s."""
     hubs = keyed.groupBy("k").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count("*").alias("n")).filter("hub < last")
     hubs = materialize(hubs.select("k", "hub", "n"), "hubs")
-    met = materialize(spread_join(keyed, hubs, "k").filter("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct(), "met")
+    met = materialize(few_join(keyed, hubs, "k").filter("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct(), "met")
     counts = materialize(met.groupBy("v").agg(F.count("*").alias("n")), "counts")
     hub = sized_join(sketched.select(F.col("cid").alias("v"), F.col("s").alias("b")), counts, "v")
     both = spread_join(met, hub, "v").join(sketched.select(F.col("cid").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
@@ -188,10 +188,11 @@ def crossing_pairs(placed: DataFrame, percent: int, chunk: int) -> DataFrame:
             us, vs, ds = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(ds)], ["u", "v", "differ"])
 
-    keyed = placed.select("cid", "component", "s", F.explode(chunk_keys(F.col("s.sig"))).alias("k"))
+    keyed = placed.select("cid", "component", F.explode(chunk_keys(F.col("s.sig"))).alias("k"))
     mixed = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = materialize(mixed.select("k", "n", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "mixed")
-    members = spread_join(keyed, mixed, "k").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    members = few_join(keyed, mixed, "k").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    members = members.join(placed.select("cid", "s").hint("merge"), "cid")
     chunks = materialize(members.groupBy("k", "parts", "c").agg(F.collect_list(F.struct("cid", "component", "s")).alias("m")), "chunks")
     alone = chunks.filter("parts = 1").select(F.lit(True).alias("same"), F.col("m").alias("a"), F.expr("slice(m, 1, 0)").alias("b"))
     left = chunks.filter("parts > 1").select("k", "c", F.col("m").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
