@@ -1,14 +1,14 @@
 """Spelling variants: words within one edit of each other, found by bands of letter-parity masks.
 
 A word's mask has a bit for each letter (letters share bits where there are more of them) that is set if the word holds
-the letter an odd number of times. An inserted or deleted letter flips one bit, a replaced one two at most. The mask is
+the letter an odd number of times. An inserted or deleted letter flips one bit, a replaced one two or none. The mask is
 split into three bands, so near words agree in a whole band; words are joined on an equal band and on lengths that
 differ by one at most, and verified by their edit distance in code points.
 
-A band alone has few values, so a large vocabulary crowds them. The members of a key with more than `crowd` words are
-not paired under it. Whatever an edit flips, there is a band that stays equal while the next one flips one bit at most;
-so under the crowded band, words are keyed by the next band too, one side by its own value and the other by that value
-and each that is one flip away. This finds the same pairs, with keys that are as much finer as the second band is.
+A band alone has few values, so a large vocabulary would crowd them; but whatever is flipped, there is a band that stays
+equal while the next one either stays equal too or, with words of one length, has a single bit flipped. So the key of an
+equal band holds the next band as well: its own value, and, for the word of the two that has the flipped bit set, the value without
+each of its set bits. This finds the same pairs by some twenty keys a word, which are as much finer as a second band is.
 
 All of it is DataFrame functions; only words, never their occurrences, are shuffled.
 """
@@ -60,36 +60,38 @@ def misspelt_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return words.filter(F.char_length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _following(mask: Column) -> Column:
-    """The band after the one that a row is keyed by."""
-    return F.when(F.col("i") == 0, band(mask, 1)).when(F.col("i") == 1, band(mask, 2)).otherwise(band(mask, 0))
+def _key(kind: int, i: int, after: Column, length: Column) -> Column:
+    """The key of an equal band i together with a value of the band after it and a length."""
+    return F.xxhash64(F.lit(kind * BANDS + i), band(F.col("mask"), i), after, length)
 
 
-def _one_edit() -> Column:
-    ordered = (F.col("a_len") != F.col("b_len")) | (F.col("a") < F.col("b"))
-    return (F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask"))) <= 2) & ordered & (F.levenshtein("a", "b", 1) == 1)
+def _after(i: int) -> Column:
+    return band(F.col("mask"), (i + 1) % BANDS)
 
 
-def near_words(words: DataFrame, crowd: int = 500) -> DataFrame:
+def _without_a_bit(i: int) -> Column:
+    """Keys with each set bit of the band after i taken out."""
+    bits = F.filter(F.array(*[F.lit(1 << b).cast("long") for b in range(BITS)]), lambda b: _after(i).bitwiseAND(b) != 0)
+    return F.transform(bits, lambda b: _key(1, i, _after(i).bitwiseXOR(b), F.col("len")))
+
+
+def near_words(words: DataFrame, per: int = 2_000) -> DataFrame:
     """(a, a_n, b, b_n): each two words that one inserted, deleted or replaced code point makes equal, once.
 
-    words: distinct words and a count n of each, which is handed on. b is the longer word, or the later of two equally
-    long ones.
+    words: distinct words and a count n of each, which is handed on. Of two words of unequal length, b is the longer one. Words
+    of a frequent key are dealt to parts of about `per`.
     """
     masked = materialize(words.select("word", "n", F.char_length("word").alias("len"), parity_mask(F.col("word")).alias("mask")), "masks")
-    keyed = masked.select("*", F.posexplode(F.array(*[band(F.col("mask"), i) for i in range(BANDS)])).alias("i", "v"))
-    named = [F.struct("word", "n", "len", "mask").alias("it")]
-    left = keyed.select("i", "v", F.col("len").alias("l"), *named).select("i", "v", "l", *[F.col(f"it.{c}").alias(t) for c, t in zip(("word", "n", "len", "mask"), ("a", "a_n", "a_len", "a_mask"), strict=True)])
-    right = keyed.select("i", "v", F.explode(F.array("len", F.col("len") - 1)).alias("l"), *named).select("i", "v", "l", *[F.col(f"it.{c}").alias(t) for c, t in zip(("word", "n", "len", "mask"), ("b", "b_n", "b_len", "b_mask"), strict=True)])
-    where = ["i", "v", "l"]
-    crowded = materialize(right.groupBy(where).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(where), "crowded")
-    rare = sized_join(left, crowded, where, "left_anti").join(sized_join(right, crowded, where, "left_anti").hint("merge"), where)
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(BITS)])
-    finer_left = sized_join(left, crowded, where, "left_semi").withColumn("w", _following(F.col("a_mask")))
-    finer_right = sized_join(right, crowded, where, "left_semi").withColumn("w", F.explode(F.transform(flips, lambda f: _following(F.col("b_mask")).bitwiseXOR(f))))
-    fine = dealt_join(finer_left, finer_right, [*where, "w"])
-    pairs = [joined.filter(_one_edit()).select("a", "a_n", "b", "b_n") for joined in (rare, fine)]
-    return pairs[0].union(pairs[1]).distinct()
+    bands = range(BANDS)
+    left = F.concat(F.array(*[_key(0, i, _after(i), F.col("len")) for i in bands]), *[_without_a_bit(i) for i in bands])
+    right = F.array(*[_key(0, i, _after(i), F.col("len") - d) for i in bands for d in (0, 1)], *[_key(1, i, _after(i), F.col("len")) for i in bands])
+    a = masked.select(F.explode(left).alias("k"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"))
+    b = masked.select(F.explode(right).alias("k"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"))
+    near = (F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask"))) <= 2) & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
+    found = dealt_join(a, b, ["k"], per).filter(near).select("a", "a_n", "b", "b_n")
+    turned = (F.char_length("a") == F.char_length("b")) & (F.col("a") > F.col("b"))
+    ends = F.when(turned, F.struct(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n"))).otherwise(F.struct("a", "a_n", "b", "b_n"))
+    return found.select(ends.alias("p")).distinct().select("p.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def roots(forms: DataFrame) -> DataFrame:
         reached = materialize(spread_join(reached, steps.drop("on"), "root").select("word", F.col("next").alias("root")), "reached")
 
 
-def variants(words: DataFrame, times: int = 10, crowd: int = 500) -> DataFrame:
+def variants(words: DataFrame, times: int = 10, per: int = 2_000) -> DataFrame:
     """word, form, root, n, n_near and form_n of each word; words: distinct words and their counts n.
 
     form: the near word of the largest n, of equal ones the first in code-point order, if its n is at least `times` that
@@ -114,7 +116,7 @@ def variants(words: DataFrame, times: int = 10, crowd: int = 500) -> DataFrame:
     words of any count. An empty table gives an empty one.
     """
     words = materialize(words.select("word", "n"), "words")
-    pairs = near_words(words, crowd)
+    pairs = near_words(words, per)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")).union(pairs.select("b", "a", "a_n"))
     near = materialize(both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best")), "near")
     fits = -F.col("best.minus") >= times * F.col("n")
@@ -123,6 +125,6 @@ def variants(words: DataFrame, times: int = 10, crowd: int = 500) -> DataFrame:
     return sized_join(placed, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-def spelling_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, every: int = 31, times: int = 10, crowd: int = 500) -> DataFrame:
+def spelling_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, every: int = 31, times: int = 10, per: int = 2_000) -> DataFrame:
     """variants() of the words of all texts that occur at least `least_count` times; see misspelt_runs."""
-    return variants(misspelt_runs(docs, least_length=least_length, every=every).filter(F.col("n") >= least_count), times, crowd)
+    return variants(misspelt_runs(docs, least_length=least_length, every=every).filter(F.col("n") >= least_count), times, per)
