@@ -83,3 +83,30 @@ def page_text(html: Column) -> Column:
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(mark))
     return F.trim(F.regexp_replace(out, r"[\x09-\x0D\x20]+", " "))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its `.` and `..` segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """An address as seen from a page: absolute ones stay, others take what they lack from the page's address.
+
+    Null where the page's address is needed and isn't absolute. Hosts are lower-cased and dot segments resolved.
+    """
+    h, b = F.trim(text(href)), text(base)
+    scheme = F.lower(F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    site = F.concat(scheme, F.lit("://"), F.lower(F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
+    path = F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = F.when(path == "", "/").otherwise(path)
+    tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(h, "^([^?#]*)", 1)
+    absolute = F.concat(F.lower(F.regexp_extract(h, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)), without_dots(F.regexp_replace(F.regexp_extract(h, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^$", "/")), tail)
+    out = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), absolute).when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(scheme == "", None)
+    out = out.when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h == "", F.concat(site, path, F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)))
+    out = out.when(h.startswith("#"), F.concat(site, path, F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1), h)).when(h.startswith("?"), F.concat(site, path, h))
+    return out.when(h.startswith("/"), F.concat(site, without_dots(own), tail)).otherwise(F.concat(site, without_dots(F.concat(F.regexp_replace(path, "[^/]*$", ""), own)), tail))

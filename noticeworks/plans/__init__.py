@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import board, cards, catalog, facts, fields, legacy, links, prose, signals, streams, subjects, tables  # noqa: F401
+from . import board, cards, catalog, facts, fields, legacy, links, pages, prose, signals, streams, subjects, tables  # noqa: F401
