@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,6 +65,26 @@ def purge(df: DataFrame, now: Column, keep_days: int = 7) -> DataFrame:
     return df.filter(~F.coalesce(gone, F.lit(False)))
 
 
+def janitor(df: DataFrame, now: Column, grace_days: Mapping[str, int], kind: str, seen: Observation, keep_days: int = 7) -> DataFrame:
+    """The snapshot after one run: rows past their deadline and their kind's grace are deleted softly, and rows deleted more than
+    `keep_days` ago are left out. Kinds without a grace only lose what was deleted; a null deadline is never past.
+
+    `seen` has, once the result has been written, late_KIND and gone_KIND for each kind of grace_days and gone_ and the name of any other
+    kind together as gone_raw: how many rows that one pass deleted and left out.
+    """
+    grace = F.lit(None).cast("int")
+    for name, days in grace_days.items():
+        grace = F.when(F.col(kind) == name, days).otherwise(grace)
+    late = F.coalesce(~F.col("is_deleted") & (F.timestamp_add("DAY", grace, F.col("deadline")) < now), F.lit(False))
+    gone = F.coalesce(F.col("is_deleted") & (F.col("deleted_at") < F.timestamp_add("DAY", F.lit(-keep_days), now)), F.lit(False))
+    marked = df.withColumns({"the row is late": late, "the row is gone": gone})
+    other = ~F.coalesce(F.col(kind).isin(*grace_days), F.lit(False))
+    counts = [F.count_if(F.col(f"the row is {w}") & (F.col(kind) == name)).alias(f"{w}_{name}") for w in ("late", "gone") for name in grace_days]
+    watched = marked.observe(seen, *counts, F.count_if(F.col("the row is gone") & other).alias("gone_raw"))
+    left = watched.filter(~F.col("the row is gone"))
+    return left.withColumns({"is_deleted": F.col("is_deleted") | F.col("the row is late"), "deleted_at": F.when(F.col("the row is late"), now).otherwise(F.col("deleted_at"))}).select(*df.columns)
+
+
 def without(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
