@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import bind, text, trim
+from .text import bind, text, trim, wide
 
 # What is taken out, in this order.
 CONTROLS = r"[\x{FEFF}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}]"
-SHEET_MARKS = (
+SHEET_MARKS = wide((
     "(?i)---+\\s*发现附件透视文本:[^-]*---+",
     "(?i)---+\\s*工作表:\\s*[^\\n-]+---+",
     "(?im)^---+\\s*工作表:\\s*.+$",
@@ -21,7 +21,7 @@ SHEET_MARKS = (
     "(?m)\\s*---+\\s*$",
     "\\.[A-Za-z0-9_-]+\\s*\\{[^}]*\\}",
     "var\\s+[A-Za-z0-9_]+\\s*=\\s*document\\.[^;]+;",
-)
+))
 TAGS = "<[^>]+>"
 NO_TITLE = "(?i)^工作表:|^Sheet[0-9]+$|^[-—–]{2,}$"
 LEAST_RULE_TEXT, LEAST_RAW_TEXT = 80, 200

@@ -8,41 +8,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import any_of, bind, collapse, extract, text
+from .text import any_of, bind, collapse, extract, text, wide
 
 # Patterns that decide, in their own order.
 PLACEHOLDER = "(?i)" + L.NO_EDUCATION
-FORM_FILE = r"(?:报名|申请|登记|推荐|应聘)(?:表|材料|表\s*[0-9]*)|(?:管理辅助)?岗位招聘报名表|zpbmb|glfzgw"
+FORM_FILE = wide(r"(?:报名|申请|登记|推荐|应聘)(?:表|材料|表\s*[0-9]*)|(?:管理辅助)?岗位招聘报名表|zpbmb|glfzgw")
 INTERNAL = "面向(?:全校|校内)|编制内|管理辅助岗位|任职基本(?:条件|资格)|应聘条件"
 NO_PARTY = "不限.*党员|党员.*不限|不作党员要求"
 GENDERS = (("限男性", "限男性|仅限男|男性"), ("限女性", "限女性|仅限女|女性"), ("不限", "性别不限|不限性别"))
-GENDER_LABEL = r"性别要求[:：]?\s*([^\n\r]{2,20})"
+GENDER_LABEL = wide(r"性别要求[:：]?\s*([^\n\r]{2,20})")
 FRESH = "限(?:应届|当年)毕业生|仅限应届|应届(?:生|毕业生)(?:报考|优先)|须为应届"
 NOT_FRESH = "不限应届|非应届|社会(?:人员|在职)"
-NOTES = (r"其他要求[:：]?\s*([^\n\r]{4,500})", r"备注[:：]?\s*([^\n\r]{4,500})")
-COUNTS = (r"招聘计划\s*([0-9]+)\s*名", r"计划\s*([0-9]+)\s*名", r"(?:拟)?招聘\s*([0-9]+)\s*名", r"名额\s*([0-9]+)", r"岗位\s*([0-9]+)\s*个")
-LABELLED_COUNTS = (
+NOTES = wide((r"其他要求[:：]?\s*([^\n\r]{4,500})", r"备注[:：]?\s*([^\n\r]{4,500})"))
+COUNTS = wide((r"招聘计划\s*([0-9]+)\s*名", r"计划\s*([0-9]+)\s*名", r"(?:拟)?招聘\s*([0-9]+)\s*名", r"名额\s*([0-9]+)", r"岗位\s*([0-9]+)\s*个"))
+LABELLED_COUNTS = wide((
     r"(?:招聘|计划(?:招录|招聘)|拟招|招录)(?:人数|计划数|名额|岗位数)?[:：]?\s*([0-9]+|若干)",
     r"(?:招聘人数|计划招录|招录人数|岗位数|名额|计划数)[:：]?\s*([0-9]+|若干)",
     r"(?:人数|名额|岗位数)[:：]?\s*([0-9]+|若干)",
     r"(?:共|合计|总计)\s*([0-9]+)\s*(?:名|人|个(?:岗位|名额)?)",
-)
-INLINE_COUNT = r"(?:招聘|拟招|计划招聘|计划招录)\s*([0-9]+)\s*(?:名|人)"
+))
+INLINE_COUNT = wide(r"(?:招聘|拟招|计划招聘|计划招录)\s*([0-9]+)\s*(?:名|人)")
 SEVERAL = "(?:招聘|招录|名额|岗位).*若干|若干(?:名|人|个)"
 HOUR = "(?:[0-9]{1,2}时)?"
 DAY, ISO_DAY = "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日" + HOUR, "([0-9]{4})[-./]([0-9]{1,2})[-./]([0-9]{1,2})"
-TO = r"\s*[至到—\-~]\s*"
+TO = wide(r"\s*[至到—\-~]\s*")
 #: The end of a range: pattern and the groups of its year, month and day.
-RANGES = (
+RANGES = wide((
     (DAY + TO + DAY, (4, 5, 6)),
     (DAY + TO + "([0-9]{1,2})月([0-9]{1,2})日" + HOUR, (1, 4, 5)),
     (ISO_DAY + TO + ISO_DAY, (4, 5, 6)),
     (r"[至到]\s*" + DAY, (1, 2, 3)),
     (r"[至到]\s*" + ISO_DAY, (1, 2, 3)),
-)
+))
 SINGLE_DAYS = ((DAY, (1, 2, 3)), (ISO_DAY, (1, 2, 3)))
-SIGN_UP = (r"(?s)(?:网上)?报名时间\s*[:：]?\s*.{0,800}?[至到]\s*" + DAY, r"(?s)(?:网上)?报名时间.{0,600}?[至到]\s*" + ISO_DAY, "(?s)报名截止.{0,200}?" + DAY)
-DEADLINE_LABEL = r"(?:报名(?:时间|期限)|报名截止|截止时间?)[:：]?\s*([^\n\r。；;]{4,200})"
+SIGN_UP = wide((r"(?s)(?:网上)?报名时间\s*[:：]?\s*.{0,800}?[至到]\s*" + DAY, r"(?s)(?:网上)?报名时间.{0,600}?[至到]\s*" + ISO_DAY, "(?s)报名截止.{0,200}?" + DAY))
+DEADLINE_LABEL = wide(r"(?:报名(?:时间|期限)|报名截止|截止时间?)[:：]?\s*([^\n\r。；;]{4,200})")
 
 
 def is_placeholder(c: Column) -> Column:
@@ -118,4 +118,4 @@ def deadline_in(c: Column) -> Column:
     """The closing day that a text states: end of the sign-up, cut-off, labelled line, then any range's end."""
     v = text(c)
     labelled = deadline_text(extract(v, DEADLINE_LABEL))
-    return F.coalesce(_days(v, [(p, (1, 2, 3)) for p in SIGN_UP]), labelled, _days(v, [(r"[至到]\s*" + DAY, (1, 2, 3))]), range_end(c))
+    return F.coalesce(_days(v, [(p, (1, 2, 3)) for p in SIGN_UP]), labelled, _days(v, [RANGES[3]]), range_end(c))

@@ -6,18 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import WS, bind, text, trim
+from .text import WS, bind, text, trim, wide
 
 # Patterns that decide results.
-LIST_MARK = r"[（(]\s*[0-9]{1,2}\s*[)）]"
-CATALOG_NUMBER = r"[（(【\[]\s*0?[0-9]{3,6}\s*[)）\]】]"
+LIST_MARK = wide(r"[（(]\s*[0-9]{1,2}\s*[)）]")
+CATALOG_NUMBER = wide(r"[（(【\[]\s*0?[0-9]{3,6}\s*[)）\]】]")
 CODE = r"(?:0?[0-9]{3,4}|[A-Z][0-9]{1,3})"
 LEADING_CODES = ("^[A-Z][0-9]{3,6}([一-龥])", "^[0-9]{4,6}([一-龥])")
 SEPARATORS = "[、,，;；/|]+"
 NAME = "[一-龥]{2,20}"
 NO_NAME = "^(?:详见|附件|同上|无|不限)$"
 NO_MAJOR_CELL = "试用期满|获得职称|专技岗位|年龄可放宽|周岁|职称者|资格证书|面试|实操|直接考核|咨询电话|举报电话|方案发布"
-NUMBERED_PROSE = (r"^[0-9]+[、.．]\s*", r"；\s*[0-9]+[、.]")
+NUMBERED_PROSE = wide((r"^[0-9]+[、.．]\s*", r"；\s*[0-9]+[、.]"))
 UNSTATED, UNLIMITED = "无要求", "不限专业"
 
 

@@ -6,20 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fields, rules, titles
-from .text import WS, bind, extract, text, trim
+from .text import WS, bind, extract, text, trim, wide
 
 # Patterns that decide. A section ends where the next one, the sign-up, a contact or an annex begins.
 ENDS = "报名(?:方式|时间|截止|须知)|联系(?:方式|电话)|附件|附：|$"
-POSTS = (r"(?:一、)?(?:招聘岗位及人数|招聘岗位及岗位职责|招聘岗位(?:及人数)?)\s*", "二、|三、|四、|五、|六、|" + ENDS)
+POSTS = wide((r"(?:一、)?(?:招聘岗位及人数|招聘岗位及岗位职责|招聘岗位(?:及人数)?)\s*", "二、|三、|四、|五、|六、|" + ENDS))
 CONDITIONS = ("(?:二、|三、)?(?:任职基本条件|应聘条件|任职资格|报名条件)(?:及?(?:任职资格|条件))?", "[三四五六七八九十]、|" + ENDS)
 DUTIES = ("(?:三、)?岗位职责", "[四五]、|" + ENDS)
-TABLE = r"岗位名称\s+职数"
-TABLE_HEAD = r"^.*?岗位名称\s+职数\s*(?:岗位职责|岗位概述\s*)?"
-TABLE_COUNT = r"[一-龥（）()A-Za-z·、0-9]{2,28}(?:员|师|秘书|专员|管理|工程|科员|助理)\s+([0-9]+)"
-TABLE_ROW = r"([一-龥（）()A-Za-z·、]+(?:员|师|秘书|专员|管理|工程|科员|助理))\s+([0-9]+)\s*(?:名|\s+[0-9.]|$)"
-PAIR = r"([一-龥（）()·、A-Za-z0-9]{2,32}?)([0-9]+)\s*名"
-LEADS = (r"(?:公开)?招聘(?:管理|专技|技术)?(?:人员|工作人员|(?:管理)?(?:人员|专员|教师|科员))?([0-9]+)\s*名", r"面向(?:全校|校内).*?招聘[一-龥]{0,12}(?:人员|专员|教师|科员|管理)?([0-9]+)\s*名")
-OPEN_POST = r"(?:公开)?招聘([一-龥]{2,24}(?:人员|教师|专员|秘书|科员|工程师|管理))([0-9]+)\s*名"
+TABLE = wide(r"岗位名称\s+职数")
+TABLE_HEAD = wide(r"^.*?岗位名称\s+职数\s*(?:岗位职责|岗位概述\s*)?")
+TABLE_COUNT = wide(r"[一-龥（）()A-Za-z·、0-9]{2,28}(?:员|师|秘书|专员|管理|工程|科员|助理)\s+([0-9]+)")
+TABLE_ROW = wide(r"([一-龥（）()A-Za-z·、]+(?:员|师|秘书|专员|管理|工程|科员|助理))\s+([0-9]+)\s*(?:名|\s+[0-9.]|$)")
+PAIR = wide(r"([一-龥（）()·、A-Za-z0-9]{2,32}?)([0-9]+)\s*名")
+LEADS = wide((r"(?:公开)?招聘(?:管理|专技|技术)?(?:人员|工作人员|(?:管理)?(?:人员|专员|教师|科员))?([0-9]+)\s*名", r"面向(?:全校|校内).*?招聘[一-龥]{0,12}(?:人员|专员|教师|科员|管理)?([0-9]+)\s*名"))
+OPEN_POST = wide(r"(?:公开)?招聘([一-龥]{2,24}(?:人员|教师|专员|秘书|科员|工程师|管理))([0-9]+)\s*名")
 NO_POST = "岗位名称|职数|岗位职责|序号|岗位概述"
 SCOPES = (("学校编制内在岗教职工", "学校编制内(?:在)?(?:岗)?(?:职工|教职工)"), ("面向校内教职工", "面向(?:全校|校内)(?:教职工|职工)"), ("须符合学校跨部门流动条件", "符合学校跨部门流动条件"), ("本校编制内人员", "本校(?:在编|编制内)"))
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import undominated
-from .text import any_of, bind, text, trim
+from .text import any_of, bind, text, trim, wide
 
 # Names and patterns that decide, in their own order.
 CATALOG = ("法律职业资格证书", "国家统一法律职业资格证书", "医师资格证", "医师执业证", "护士执业证", "教师资格证", "会计专业技术资格证", "会计从业资格证", "注册会计师", "注册建造师", "一级建造师", "二级建造师", "监理工程师", "造价工程师", "注册消防工程师", "电工证", "焊工证", "特种设备作业证", "驾驶证", "C1驾驶证", "计算机等级证书", "全国计算机等级考试", "出版专业技术人员职业资格", "新闻记者职业资格", "翻译专业资格", "社会工作者职业水平证书")
-PATTERNS = (
+PATTERNS = wide((
     "(?:正|副)?(?:高|中|初)级(?:及以上|以上)(?:专业)?(?:技术)?职称",
     "(?:正高|副高|助理)级(?:及以上|以上)?(?:专业)?(?:技术)?职称",
     "(?:会计|审计|经济|统计|工程|教师|医师|护师|药师)系列(?:中|高|初)级(?:及以上|以上)职称",
@@ -24,7 +24,7 @@ PATTERNS = (
     "普通话(?:水平)?(?:测试)?(?:等级)?(?:证书)?二级[一-龥]*等(?:及以上|以上)?",
     "普通话(?:水平)?(?:测试)?(?:等级)?(?:证书)?三级[一-龥]*等(?:及以上|以上)?",
     r"[0-9]+\s*年(?:以上)?(?:相关)?(?:工作|从教|从业|基层)?经验",
-)
+))
 SCOPE = ("学校编制内(?:在)?(?:岗)?(?:职工|教职工)", "面向(?:全校|校内)(?:教职工|职工)", "须符合学校跨部门流动条件", "本校(?:编制内|在编)(?:人员|职工|教职工)?")
 LEAD = "^(?:须|应|需|必须|应当|须具备|需具备|应具有|具有|持有|取得|持|具备)"
 FRAGMENT = "^(?:及|或|等|的|和|与|须|应|需|具有|具备|以上|以下|及以上|及以下|中级|高级|初级|职称|专业|技术|系列|资格|学历|学位)$"

@@ -7,15 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bind, collapse, text
+from .text import bind, collapse, text, wide
 
 # Fixed values.
 MUNICIPALITIES = ("北京", "天津", "上海", "重庆")
 PROVINCE_END = "(?:特别行政区|壮族自治区|回族自治区|维吾尔自治区|自治区|省|市)$"
 CITY_END = "(?:市|区|县|州|盟|地区)$"
 NO_CITY = "大学|学院|中学|小学|学校|医院|研究|公司|有限|集团|厅|局|部|委|中心|所|馆|队|站|办|处|科|室|湖南|湖北|广东|山东|江苏|浙江|四川|河南|河北|山西|陕西|甘肃|云南|贵州|福建|安徽|江西|辽宁|吉林|黑龙江|广西|内蒙古|宁夏|新疆|西藏|青海|海南"
-ADMINISTRATIVE = r"([一-龥]{2,10}(?:省|自治区|特别行政区))[\s，,]?([一-龥]{2,10}?)(?:市|地区|州|盟)"
-WORKPLACE = r"(?:工作地点|工作地|单位地址|地址|位于)[:：\s]*([一-龥]{2,12}?)(?:市|区|县)"
+ADMINISTRATIVE = wide(r"([一-龥]{2,10}(?:省|自治区|特别行政区))[\s，,]?([一-龥]{2,10}?)(?:市|地区|州|盟)")
+WORKPLACE = wide(r"(?:工作地点|工作地|单位地址|地址|位于)[:：\s]*([一-龥]{2,12}?)(?:市|区|县)")
 
 Regions = Mapping[str, Sequence[str]]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import all_of, any_of, bind, collapse, first_number, hits, text, trim
+from .text import WS, all_of, any_of, bind, collapse, first_number, hits, text, trim
 
 
 def is_navigation(title: Column, words=L.NAV_WORDS, home: str = "首页") -> Column:
@@ -88,7 +88,7 @@ def is_garbled(c: Column, least_cjk: int = 2, longer_than: int = 40) -> Column:
         cjk = F.length(F.regexp_replace(v, "[^一-龥]", ""))
         found = (v == "") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk))
         for pattern in L.GARBLED:
-            found = found | v.rlike(pattern)
+            found = found | v.rlike(pattern.replace("(?i)", "(?iu)"))  # the letters aren't all ASCII
         return found
 
     return bind(trim(c), garbled)
@@ -133,7 +133,7 @@ def needs_party(c: Column, words=L.PARTY_WORDS) -> Column:
 
 
 def region_token(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(trim(c), L.REGION_ENDINGS, ""), r"\s+", "")
+    return F.regexp_replace(F.regexp_replace(trim(c), L.REGION_ENDINGS, ""), f"{WS}+", "")
 
 
 def region_matches(place: Column, province: Column, city: Column, everything: str = "全部") -> Column:

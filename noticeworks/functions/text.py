@@ -11,6 +11,29 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0D\x20   -     　﻿]"
 
 
+#: What white space is beyond ASCII, as both engines write it in patterns.
+BLANKS = r"\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def wide(pattern):
+    """A pattern, or each one of a tuple, with its \\s standing for Unicode white space; it's ASCII alone in both engines."""
+    if isinstance(pattern, tuple):
+        return tuple(map(wide, pattern))
+    if not isinstance(pattern, str):
+        return pattern
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        pair = pattern[i : i + 2]
+        if pair[0] == "\\":
+            out.append((BLANKS if inside else f"[{BLANKS}]") if pair == r"\s" else pair)
+            i += 2
+            continue
+        inside = pair[0] != "]" and (inside or pair[0] == "[")
+        out.append(pair[0])
+        i += 1
+    return "".join(out)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once a row: a rule may name it often, and as a lambda's element it's a variable."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import majors, rules, titles
-from ..functions.text import WS, bind, text, trim, with_once
+from ..functions.text import WS, bind, text, trim, wide, with_once
 from ..sources.shared import new_folder
 from .sequences import running_number
 
@@ -41,14 +41,14 @@ COLUMNS = {
 }
 LOOSE_MAJOR, NO_LOOSE_MAJOR = "专业", "代码|目录|类别|编号|岗位"
 CONTINUED_TAIL = r"周岁|限高校|实操|面试|1:[0-9]|咨询电话|举报电话"
-INTERVIEW = r"^(.+?)\s+(实操|面试|直接考核)\s*$"
+INTERVIEW = wide(r"^(.+?)\s+(实操|面试|直接考核)\s*$")
 NO_ROW = "^合计|总计|小计|备注[:：]|说明[:：]|注[:：]"
 NO_FIRST_CELL = "^序号$|^计划数$|^专业要求$"
 NO_POST_CODE, POST_CODE = "专技岗位|^(?:岗位|专技|教师|学位|无)$", "^(?i:[A-Z]{1,3})?[0-9]{1,4}$"
 NO_POST_NAME, PROSE_POST_NAME = "^(?:学历|年龄|专业|学位|其他要求)$", "周岁|硕士|博士|研究生|本科"
 OTHER_SIGNAL = "限高校|职称|放宽|应届|经验|优先|户籍|定向|留学|海归|资格"
 NO_OTHER, NO_OTHER_UNLESS = "网站|咨询电话|举报电话", "限|职称|高校"
-AGE_CELLS = (r"([0-9]{1,3})\s*周岁\s*及?\s*以[下内]", r"([0-9]{1,3})\s*周岁以下", r"不超过\s*([0-9]{1,3})\s*周岁", r"年龄\s*(?:在\s*)?([0-9]{1,3})\s*周岁")
+AGE_CELLS = wide((r"([0-9]{1,3})\s*周岁\s*及?\s*以[下内]", r"([0-9]{1,3})\s*周岁以下", r"不超过\s*([0-9]{1,3})\s*周岁", r"年龄\s*(?:在\s*)?([0-9]{1,3})\s*周岁"))
 OWNER_CELL = "(?:学院|大学|学校|研究院|单位)$"
 
 

@@ -36,7 +36,7 @@ def _sql_accept(p: str) -> str:
 
 LINE = S.cut(S.trim("x"))
 SHOWN = f"""a AS (
-  SELECT *, {S.trim('title')} AS t, {S.trim('announcement')} AS an, coalesce(raw_text, '') AS raw, regexp_replace(coalesce(raw_text, ''), '\\s+', ' ', 'g') AS blob,
+  SELECT *, {S.trim('title')} AS t, {S.trim('announcement')} AS an, coalesce(raw_text, '') AS raw, regexp_replace(coalesce(raw_text, ''), '{S.BLANKS}+', ' ', 'g') AS blob,
          {S.trim("coalesce(nullif(organization, ''), source)")} AS own FROM {POSTINGS.sql} AS p WHERE NOT deleted),
 b AS (
   SELECT *, {S.cut('t')} AS v, {S.cut('an')} AS av, {S.cut('own')} AS ov, {S.cut(S.trim(f"regexp_extract(blob, '{L.POST_NAMES[0]}', 1)"))} AS p1,

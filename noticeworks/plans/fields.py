@@ -13,10 +13,10 @@ from .generated import Made
 TEXTS = Made(
     "orders",
     "o_orderkey",
-    dates=(["", "报名时间：", "网上报名时间 ", "报名截止：", "截止时间:", "发布于"], ["2026年3月1日至2026年3月9日", "2026年12月30日8时至1月5日17时", "2026年2月28日 - 3月2日", "2026-03-01至2026-03-09", "2026.3.1 ~ 2026/3/9", "2026年3月5日", "2026/3/7", "即日起至2026年4月1日", "即日起到2026-4-2", "另行通知", "待定", "3月9日", ""], ["", "。逾期不候", "；附件"]),
-    people=(["", "招聘计划 12 名", "计划招录:若干", "拟招聘3名", "名额 1200", "名额：5", "岗位 7 个", "招聘若干人员", "合计 30 人", "共2026年", "招聘人数：待定", "拟招 8人"],),
+    dates=(["", "报名时间：", "网上报名时间 ", "报名截止：", "截止时间:", "发布于"], ["2026年3月1日至2026年3月9日", "2026年12月30日8时至1月5日17时", "2026年2月28日 - 3月2日", "2026-03-01　至 2026-03-09", "2026-03-01至2026-03-09", "2026.3.1 ~ 2026/3/9", "2026年3月5日", "2026/3/7", "即日起至2026年4月1日", "即日起到2026-4-2", "另行通知", "待定", "3月9日", ""], ["", "。逾期不候", "；附件"]),
+    people=(["", "招聘计划 12 名", "计划招录:若干", "拟招聘3名", "名额 1200", "名额：5", "岗位 7 个", "招聘若干人员", "合计 30 人", "共2026年", "招聘人数：待定", "拟招 8人", "招聘计划　12 名", "名额： 5"],),
     cell=(["3", "12名", "约 5 人", "0", "若干", "2026年", "—", "暂无", "1000", "3-5", "", None],),
-    demands=(["", "中共党员优先", "限党员", "不限是否党员", "党员不限", "群众"], ["", "，男性", "，限女性", "，性别不限", "，性别要求：男\n", "，性别要求:  "], ["", "，限应届毕业生", "，不限应届", "，社会人员", "，须为应届"], ["", "\n其他要求：能适应夜班工作", "\n备注: 见附件说明", "\n备注：略"]),
+    demands=(["", "中共党员优先", "限党员", "不限是否党员", "党员不限", "群众"], ["", "，男性", "，限女性", "，性别不限", "，性别要求：男\n", "，性别要求:  "], ["", "，限应届毕业生", "，不限应届", "，社会人员", "，须为应届"], ["", "\n其他要求：能适应夜班工作", "\n备注: 见附件说明", "\n备注：略", "\n备注：　须能适应夜班"]),
     quals=(["", "具有教师资格证", "须持有会计从业资格证书", "持C1驾驶证", "中级及以上职称", "职称", "副高级以上专业技术职称", "主治医师资格"], ["", "，英语六级及以上", "、大学英语四级", "；CET-6", "，普通话水平二级甲等及以上", "、cet4"], ["", "；3年以上工作经验", "，学历证书", "，身份证明", "；法律职业资格证书、一级建造师", "|讲师职称", "/副教授以上"], ["", "；面向全校教职工", "，本校在编人员", "；学校编制内在岗职工"]),
     file=(["报名表.docx", "岗位表.xlsx", "zpbmb.pdf", "附件1 应聘登记表", "计划.xls"], ["", " 推荐材料"]),
 )

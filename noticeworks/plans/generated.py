@@ -39,9 +39,9 @@ class Made:
 
 
 HEADS = ["", "", "某大学", "湖南某学院", "[南方大学] ", "长沙市人社局", "首页 ", "附件：", "某中心"]
-BODIES = ["2026年公开招聘专任教师公告", "公开招聘工作人员一览表", "公开招聘岗位、计划数及要求一览表", "岗位计划一览表", "报名表", "拟聘用人员公示", "关于公布公开招聘面试分数", "公开招聘资格复核通过人员", "公开招聘资格复核合格人员公告", "公开招聘公示笔试分数", "辅导员", "研究生秘书", "因工作需要，拟招聘若干名", "根据《条例》规定", "是经教育部批准的高校", "工作表:Sheet1", "Sheet2 岗位", "-- 1 of 3 --", "及名额 3", "序号 岗位名称 招聘单位", "序号 联系人", "·.tab{color:red}", "招聘公告 {color:red} 页面", "招聘公告 | 中国政府网", "招聘公告｜中国教育部 网站地图", "nánh tuổi", "Ã¤ 招聘", "---", "abcdefghijklmnopqrstuvwxyz abcdefghijklmnop 字", "abcdefghijklmnopqrstuvwxyz abcdefghijklmnop 字文", "机构设置 职能简介", "为做好招聘工作", "体检和政审安排", "校内招聘管理人员公告", "公开招聘管理人员公告", "非事业编制实验员招聘", "学院位于岳麓山下，公开招聘岗位若干；请符合条件的人员及时报名，具体要求如下：见附件。", "学院位于岳麓山下公开招聘岗位若干请符合条件的人员及时报名具体要求见后文所列各项内容"]
+BODIES = ["2026年公开招聘专任教师公告", "公开招聘工作人员一览表", "公开招聘岗位、计划数及要求一览表", "岗位计划一览表", "报名表", "拟聘用人员公示", "关于公布公开招聘面试分数", "公开招聘资格复核通过人员", "公开招聘资格复核合格人员公告", "公开招聘公示笔试分数", "辅导员", "研究生秘书", "因工作需要，拟招聘若干名", "根据《条例》规定", "是经教育部批准的高校", "工作表:Sheet1", "Sheet2 岗位", "-- 1 of 3 --", "及名额 3", "序号 岗位名称 招聘单位", "序号 联系人", "·.tab{color:red}", "招聘公告 {color:red} 页面", "招聘公告 | 中国政府网", "招聘公告｜中国教育部 网站地图", "nánh tuổi", "Ã¤ 招聘", "---", "abcdefghijklmnopqrstuvwxyz abcdefghijklmnop 字", "abcdefghijklmnopqrstuvwxyz abcdefghijklmnop 字文", "机构设置 职能简介", "为做好招聘工作", "体检和政审安排", "校内招聘管理人员公告", "公开招聘管理人员公告", "非事业编制实验员招聘", "附件　1 招聘岗位", "某校　岗位表　下载", "NÁNH TUỔI", "首页　招聘", "学院位于岳麓山下，公开招聘岗位若干；请符合条件的人员及时报名，具体要求如下：见附件。", "学院位于岳麓山下公开招聘岗位若干请符合条件的人员及时报名具体要求见后文所列各项内容"]
 TAILS = ["", "", "公告", "·", "（第二批）", ".pdf", "。"]
-RAWS = ["招聘岗位及人数：实验室管理员2名。要求本科及以上", "一、招聘岗位 行政秘书 1 名", "岗位职责 教学秘书 3 名 年龄35周岁以下", "某学院面向全校公开招聘科研管理人员", "第一行\n某大学公开招聘辅导员岗位\n第三行", "", "---", "非事业编制人员招聘，专业不限，限党员，年龄不超过30周岁", "abcdefghijklmnopqrstuvwxyz abcdefghijklmnop 字", "湖南省长沙市某单位招聘岗位", "工作地点：株洲市 岗位名称见附件", "招聘 {color:red} 岗位", "序号 岗位名称\n公开招聘辅导员和教师的公告", None]
+RAWS = ["招聘岗位及人数：实验室管理员2名。要求本科及以上", "一、招聘岗位 行政秘书 1 名", "岗位职责 教学秘书 3 名 年龄35周岁以下", "某学院面向全校公开招聘科研管理人员", "第一行\n某大学公开招聘辅导员岗位\n第三行", "", "---", "非事业编制人员招聘，专业不限，限党员，年龄不超过30周岁", "abcdefghijklmnopqrstuvwxyz abcdefghijklmnop 字", "湖南省长沙市某单位招聘岗位", "工作地点：株洲市 岗位名称见附件", "招聘 {color:red} 岗位", "序号 岗位名称\n公开招聘辅导员和教师的公告", "招聘岗位：　宿管员 2　名，年龄　35 周岁以下", "教师 1 名，年龄不超过　28 周岁", None]
 PROVINCES = ["湖南", "湖南省", "广西壮族自治区", "北京市", "新疆", "", None, "火星"]
 CITIES = ["长沙市", "长沙", "株", "某大学", "", None, "海淀区", "桂林市", "小城"]
 

@@ -20,7 +20,7 @@ NOTICES = Made(
     ),
 )
 N = "(?s:.*?)"
-BLOB = "regexp_replace(text, '\\s+', ' ', 'g')"
+BLOB = f"regexp_replace(text, '{S.BLANKS}+', ' ', 'g')"
 COND, DUTY = prose.CONDITIONS, prose.DUTIES
 
 
