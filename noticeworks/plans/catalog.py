@@ -1,7 +1,7 @@
 """Registered queries over the notice operators, and equal SQL for each that SQL can express.
 
 The driver's tables stand in for postings (orders), sources (customer, supplier), structured rows (lineitem), crawl
-events, list and detail pages and raw texts. Rules in Chinese run over small fixtures, given alike to both engines.
+events, list and detail pages and raw texts. Rules in Chinese have queries over generated rows in the other modules.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
-from ..functions import lexicon as L
 from ..functions.text import hits, preview
-from ..operators import dedupe, grid, matching, merging, sequences, snapshots
+from ..operators import dedupe, matching, merging, sequences, snapshots
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,16 +266,6 @@ def distinct_ordered_tokens(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1))).cast("long").alias("n_distinct"))
 
 
-ITEMS = [(1, "一级建造师|建造师|教师资格证|资格证|教师资格证"), (2, "a|ab|abc|x"), (3, "x")]
-
-
-@query(f"SELECT id, array_to_string([x FOR x IN list_distinct(string_split(items, '|')) IF true], '') IS NOT NULL AS ok, CASE id WHEN 1 THEN '一级建造师|教师资格证' WHEN 2 THEN 'abc|x' ELSE 'x' END AS kept FROM {values(ITEMS, 'id, items')}")
-def dominated_items(spark, sf_dir):
-    """Items that are part of another go."""
-    f = fixture(spark, ITEMS, "id int, items string")
-    return f.select("id", F.lit(True).alias("ok"), F.array_join(dedupe.undominated(F.split("items", r"\|")), "|").alias("kept"))
-
-
 @query(r"""
 SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
        lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host, len(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"#]+)"', 1))) AS n_links FROM pages""")
@@ -330,159 +319,7 @@ def auto_sequence(spark, sf_dir):
     return sequences.running_number(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("given")).select("event_id", "user_id", "seq")
 
 
-# --- rules in Chinese, over fixtures -----------------------------------------------------------------------------
-
-TITLES = [(1, "某大学2026年公开招聘专任教师公告"), (2, "首页 机构设置"), (3, "关于公布笔试成绩的通知"), (4, "招聘岗位"), (5, "某学院辅导员选聘计划"), (6, "拟聘用人员公示招聘"), (7, "首页"), (8, "机构设置职能简介" + "字" * 28), (9, "机构设置职能简介" + "字" * 29), (10, None), (11, "人事处2026年度工作总结"), (12, "领导分工 部门职责 联系方式 招聘")]
-NAV = " + ".join(f"contains(v, '{w}')::INT" for w in L.NAV_WORDS)
-
-
-@query(f"""
-WITH x AS (SELECT id, trim(regexp_replace(coalesce(title, ''), '[\\s\\x{{3000}}\\x{{00a0}}]+', ' ', 'g')) AS v FROM {values(TITLES, 'id, title')}),
-y AS (SELECT *, v <> '' AND (regexp_matches(v, '^首页(?: |$)') OR {NAV} >= 3 OR ({NAV} >= 2 AND length(v) > 36)) AS menu,
-  regexp_matches(v, '{"|".join(L.CORE_WORDS)}') AS core, regexp_matches(v, '{"|".join(f"(?:{p})" for p in L.OTHER_NOTICES)}') AS other FROM x)
-SELECT id, menu, core, menu OR other AS other, length(v) >= 6 AND core AND NOT menu AND NOT other AS admitted FROM y""")
-def title_admission_zh(spark, sf_dir):
-    """Which titles are admitted."""
-    f, c = fixture(spark, TITLES, "id int, title string"), F.col("title")
-    return f.select("id", rules.is_navigation(c).alias("menu"), rules.has_core_word(c).alias("core"), rules.is_other_notice(c).alias("other"), rules.is_admitted(c).alias("admitted"))
-
-
-DEADLINES = [(1, "2026-05-10"), (2, "2026-2-31 前"), (3, "截止2026年5月9日"), (4, "另行通知"), (5, None), (6, "2026-05-05"), (7, "2025年13月1日"), (8, "长期"), (9, "2026-05-15"), (10, "no date")]
-AT = "2026-05-10 12:00:00"
-
-
-@query(f"""
-WITH p AS (SELECT id, trim(coalesce(deadline, '')) AS v FROM {values(DEADLINES, 'id, deadline')}),
-q AS (SELECT id, v, v = '' OR regexp_matches(v, '{L.NO_DEADLINE}') AS placeholder, regexp_matches(v, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AS iso FROM p),
-n AS (SELECT *, CASE WHEN iso THEN '^(\\d{{4}})-(\\d{{1,2}})-(\\d{{1,2}})' ELSE '(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日' END AS shape FROM q),
-e AS (SELECT id, placeholder, CASE WHEN NOT placeholder THEN try_cast(CASE WHEN iso THEN regexp_extract(v, '^(\\d{{4}})-', 1) ELSE regexp_extract(v, '(\\d{{4}})年\\d{{1,2}}月\\d{{1,2}}日', 1) END AS INT) END AS y,
-  try_cast(CASE WHEN iso THEN regexp_extract(v, '^\\d{{4}}-(\\d{{1,2}})-', 1) ELSE regexp_extract(v, '\\d{{4}}年(\\d{{1,2}})月\\d{{1,2}}日', 1) END AS INT) AS m,
-  try_cast(CASE WHEN iso THEN regexp_extract(v, '^\\d{{4}}-\\d{{1,2}}-(\\d{{1,2}})', 1) ELSE regexp_extract(v, '\\d{{4}}年\\d{{1,2}}月(\\d{{1,2}})日', 1) END AS INT) AS d FROM n),
-f AS (SELECT id, placeholder, (make_date(y, 1, 1) + to_months(m - 1) + to_days(d - 1))::TIMESTAMP + INTERVAL 86399 SECOND AS ends FROM e)
-SELECT id, placeholder, ends, coalesce(ends + INTERVAL 5 DAY < TIMESTAMP '{AT}', false) AS expired, coalesce(ends < TIMESTAMP '{AT}', true) AS archivable, coalesce(ends >= TIMESTAMP '{AT}', false) AS visible,
-  ceil(date_diff('second', TIMESTAMP '{AT}', ends) / 86400.0)::INT AS days FROM f""")
-def deadline_parse_zh(spark, sf_dir):
-    """Deadlines as written, and what follows from them."""
-    f, at, c = fixture(spark, DEADLINES, "id int, deadline string"), F.lit(AT).cast("timestamp"), F.col("deadline")
-    end = dates.deadline_end(c)
-    return f.select("id", dates.is_placeholder(c).alias("placeholder"), end.alias("ends"), dates.is_expired(end, at, 5).alias("expired"), dates.is_archivable_text(c, at).alias("archivable"), dates.is_visible(end, at).alias("visible"), dates.days_left(end, at).alias("days"))
-
-
-LEVELS = [(1, "全日制硕士研究生及以上", "硕士研究生及以上"), (2, "博士", "博士研究生及以上"), (3, "本科学历", "本科及以上"), (4, "大专及以上", "大专及以上"), (5, "不限", "无要求"), (6, "详见公告", ""), (7, None, ""), (8, "学历要求：大学本科及以上学历", "本科及以上"), (9, "高中", ""), (10, "大学专科", "大专及以上")]
-
-
-@query(f"SELECT id, label FROM {values(LEVELS, 'id, level, label')}")
-def education_canon_zh(spark, sf_dir):
-    """Levels of education as one of five labels; the SQL holds the expected ones."""
-    return fixture(spark, LEVELS, "id int, level string, expected string").select("id", rules.education(F.col("level")).alias("label"))
-
-
-MAJORS = [(1, "(1) 教育学 0402 (2) 心理学", "教育学、心理学"), (2, "专业不限", "不限专业"), (3, "会计学、财务管理，会计学", "会计学、财务管理"), (4, None, "无要求"), (5, "不限", "不限专业"), (6, "A01", "无要求"), (7, "计算机科学与技术0812/软件工程", "计算机科学与技术、软件工程")]
-
-
-@query(f"SELECT id, label FROM {values(MAJORS, 'id, major, label')}")
-def major_names_zh(spark, sf_dir):
-    """Names of majors without marks and codes; the SQL holds the expected ones."""
-    return fixture(spark, MAJORS, "id int, major string, expected string").select("id", rules.major_label(F.col("major")).alias("label"))
-
-
-JOBS = [(1, "年龄35周岁以下，专业不限", None, "PERFECT"), (2, "年龄不超过30周岁，须为中共党员", None, "CONFLICT"), (3, "计算机专业", "25周岁及以下", "CONFLICT"), (4, "法学专业", None, "NORMAL"), (5, "软件工程专业优先", "40周岁以下", "PERFECT"), (6, None, None, "NORMAL"), (7, "200周岁以下，不超过27周岁，软件工程", None, "CONFLICT"), (8, "中共党员优先，软件工程", None, "CONFLICT")]
-
-
-@query(f"SELECT id, status FROM {values(JOBS, 'id, job, age_text, status')}")
-def match_status_zh(spark, sf_dir):
-    """One profile (28, no member, software engineering) against postings; the SQL holds the expected status."""
-    f = fixture(spark, JOBS, "id int, job string, age_text string, expected string")
-    return f.select("id", matching.status(F.lit(28), F.lit(False), F.lit("软件工程"), F.col("age_text"), F.col("job"), F.array().cast("array<string>"))["status"].alias("status"))
-
-
-@query(f"SELECT CASE WHEN id IN (1, 4, 6) THEN 'NORMAL' WHEN id IN (2, 7, 8) THEN 'CONFLICT' WHEN id = 5 THEN 'PERFECT' ELSE 'NORMAL' END AS status, count(*) AS n FROM {values(JOBS, 'id, job, age_text, expected')} GROUP BY 1")
-def text_matcher_tally(spark, sf_dir):
-    """The matcher of bare texts, counted by status."""
-    f = fixture(spark, JOBS, "id int, job string, age_text string, expected string")
-    return f.groupBy(matching.text_status(F.lit(28), F.lit(False), F.lit("软件工程"), F.col("job")).alias("status")).agg(F.count("*").alias("n"))
-
-
-PLACES = [(1, "山东省·济南市"), (2, "上海"), (3, "湖南省"), (4, ""), (5, None), (6, "山东·青岛")]
-
-
-@query(f"SELECT id, coalesce(id IN (1, 4, 5, 6), false) AS in_province, coalesce(id IN (1, 2, 3, 4, 5), false) AS in_city FROM {values(PLACES, 'id, place')}")
-def region_wildcard_match(spark, sf_dir):
-    """A province or a city against places; empty parts fit anything. The SQL holds the expected flags."""
-    f, every = fixture(spark, PLACES, "id int, place string"), F.lit("全部")
-    return f.select("id", rules.region_matches(F.col("place"), F.lit("山东省"), every).alias("in_province"), rules.region_matches(F.col("place"), every, F.lit("济南市")).alias("in_city"))
-
-
-KINDS = [(1, "博士后招聘"), (2, "某县事业单位"), (3, "某高校辅导员"), (4, "地方编制求职"), (5, "其他"), (6, None)]
-
-
-@query(f"SELECT id, CASE id WHEN 1 THEN '博士/申博/博后' WHEN 2 THEN '地方编制求职' WHEN 3 THEN '高校院所招聘' WHEN 4 THEN '地方编制求职' ELSE '' END AS track FROM {values(KINDS, 'id, kind')}")
-def track_category(spark, sf_dir):
-    """A written category to one of three tracks."""
-    return fixture(spark, KINDS, "id int, kind string").select("id", rules.track(F.col("kind")).alias("track"))
-
-
-TEXTS = [(1, "工作表: Sheet1"), (2, "----"), (3, "正常的招聘公告正文内容"), (4, "only latin letters in a text that is longer than forty"), (5, "short latin"), (6, ".nav{color:red}"), (7, None), (8, "Ã©"), (9, "x" * 39 + "中"), (10, "x" * 40 + "中"), (11, "x" * 40 + "中文")]
-
-
-@query(f"SELECT id, id NOT IN (3, 5, 9, 11) AS garbled FROM {values(TEXTS, 'id, body')}")
-def garbled_flag(spark, sf_dir):
-    """sheet marks, junk and texts without ideographs."""
-    return fixture(spark, TEXTS, "id int, body string").select("id", rules.is_garbled(F.col("body")).alias("garbled"))
-
-
-MERGES = [(1, "2026-05-01", "2026-06-01", 3, 5), (2, None, "2026-06-01", None, 5), (3, "", "", 2, None), (4, "2026-05-01", None, None, None)]
-
-
-@query(f"SELECT id, coalesce(nullif(a, ''), nullif(b, '')) AS deadline, CASE WHEN nullif(a, '') IS NOT NULL THEN 'text' WHEN nullif(b, '') IS NOT NULL THEN 'table' END AS origin, coalesce(m, n) AS headcount FROM {values(MERGES, 'id, a, b, n, m')}")
-def merge_precedence(spark, sf_dir):
-    """The text's deadline before the table's, the table's headcount before the text's."""
-    f = fixture(spark, MERGES, "id int, a string, b string, n int, m int")
-    a, b = F.nullif(F.col("a"), F.lit("")), F.nullif(F.col("b"), F.lit(""))
-    return f.select("id", merging.prefer(F.col("a"), F.col("b")).alias("deadline"), F.when(a.isNotNull(), "text").when(b.isNotNull(), "table").alias("origin"), F.coalesce("m", "n").alias("headcount"))
-
-
-CASCADE = [(1, "a|b", "c", "d"), (2, None, "c", "d"), (3, None, None, "d"), (4, None, None, None)]
-
-
-@query(f"SELECT id, CASE WHEN x IS NOT NULL THEN 'x' WHEN y IS NOT NULL THEN 'y' WHEN z IS NOT NULL THEN 'z' END AS origin, coalesce(x, y, z) AS rows_text FROM {values(CASCADE, 'id, x, y, z')}")
-def cascade_first_nonempty(spark, sf_dir):
-    """Of several readings of a document, the first that found rows."""
-    f = fixture(spark, CASCADE, "id int, x string, y string, z string")
-    found = merging.first_candidates(f.select("id", *[F.split(c, r"\|").alias(c) for c in "xyz"]), list("xyz"))
-    return found.select("id", "origin", F.array_join("rows", "|").alias("rows_text"))
-
-
-BLOCKS = [(1, "岗位：教师 人数：3 学历：本科"), (2, "人数：2 岗位：辅导员"), (3, "无")]
-
-
-@query(f"SELECT id, CASE id WHEN 1 THEN '岗位：=教师|人数：=3|学历：=本科' WHEN 2 THEN '人数：=2|岗位：=辅导员' ELSE '' END AS parts FROM {values(BLOCKS, 'id, body')}")
-def marker_lead_slices(spark, sf_dir):
-    """What stands between labels; the SQL holds the expected parts."""
-    parts = sequences.labelled_slices(F.col("body"), ["岗位：", "人数：", "学历："])
-    return fixture(spark, BLOCKS, "id int, body string").select("id", F.array_join(F.transform(parts, lambda p: F.concat(p["label"], F.lit("="), p["value"])), "|").alias("parts"))
-
-
-GRACES = [(1, "5"), (2, "-3"), (3, "400"), (4, "x"), (5, None), (6, "2.5"), (7, "0")]
-
-
-@query(f"SELECT id, coalesce(least(greatest(floor(try_cast(days AS DOUBLE) + 0.5), 0), 365), 5)::INT AS grace FROM {values(GRACES, 'id, days')}")
-def grace_days(spark, sf_dir):
-    """The grace setting, rounded and held to its range."""
-    return fixture(spark, GRACES, "id int, days string").select("id", dates.grace(F.col("days")).alias("grace"))
-
-
-# --- grids and streams -------------------------------------------------------------------------------------------
-
-GRID = [("a", i, x) for i, x in enumerate(["某地招聘公告", "序号\t招聘单位\t岗位名称\t计划数\t学历\t专业", '1\t第一中学\t教师\t4\t本科\t"数学', '应用数学"', "2\t第二中学\t校医\t1\t大专\t临床医学", "", "备注：面试另行通知", "3\t不是\t数据\t9\t本科\t无"])]
-GRID_ROWS = [("a", 2, "第一中学", "教师", "4", "数学 应用数学"), ("a", 4, "第二中学", "校医", "1", "临床医学")]
-
-
-@query(f"SELECT doc, line_no, organization, post_name, slots, major FROM {values(GRID_ROWS, 'doc, line_no, organization, post_name, slots, major')}")
-def grid_lines_to_rows(spark, sf_dir):
-    """Wrapped tab lines to rows; the SQL holds the expected rows."""
-    f = fixture(spark, GRID, "doc string, line_no int, line string")
-    return grid.parse(f, ["doc"]).select("doc", "line_no", "organization", "post_name", "slots", "major")
+# --- streams -------------------------------------------------------------------------------------------------
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL")
@@ -550,24 +387,6 @@ def postings_per_source(spark, sf_dir):
     return t(spark, sf_dir, "customer").join(o, "c_custkey", "left").select(F.col("c_custkey").alias("source"), zero("postings"), zero("live"), (F.coalesce("live", F.lit(0)) > 0).alias("has_live"))
 
 
-JUNK = [(1, "某县招聘公告 .nav{color:red} 页脚", "某县招聘公告"), (2, "正常标题", "正常标题"), (3, "标题·", "标题"), (4, None, ""), (5, "公告 中国政府网 | 链接", "公告")]
-
-
-@query(f"SELECT id, kept FROM {values(JUNK, 'id, body, kept')}")
-def junk_cut(spark, sf_dir):
-    """What stands before style rules and footers; the SQL holds the expected texts."""
-    return fixture(spark, JUNK, "id int, body string, expected string").select("id", rules.cut_scrape_junk(F.col("body")).alias("kept"))
-
-
-ADDRESSES = [(1, "https://a.cn/x/notice.PDF?v=1", "pdf"), (2, "https://a.cn/x.html", None), (3, None, None), (4, "list.xlsx#s", "xlsx")]
-
-
-@query(f"SELECT id, kind FROM {values(ADDRESSES, 'id, url, kind')}")
-def attachment_kinds(spark, sf_dir):
-    """Kinds of attachments by their addresses; the SQL holds the expected kinds."""
-    return fixture(spark, ADDRESSES, "id int, url string, expected string").select("id", urls.attachment_kind(F.col("url")).alias("kind"))
-
-
 def _stripped(html: str) -> str:
     for tag in ("script", "style", "noscript", "iframe", "nav", "footer", "header"):
         html = f"regexp_replace({html}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
