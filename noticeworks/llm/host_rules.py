@@ -1,8 +1,9 @@
 """Host-level quality rules: shrunken failure rates of hosts decide over their documents.
 
-Each document is measured by itself. Failures of each rule are summed by host, a beta prior is fitted to the hosts'
-rates by moments, each host's rate is shrunk towards the prior's mean, and hosts whose rate lies far outside the prior
-are turned away: their verdict is joined back.
+Each document is measured by itself. Failures of each rule are summed by host, a beta prior is fitted to the middle of
+the hosts' rates, each host's rate is shrunk towards it, and hosts whose rate lies far outside the prior are turned away:
+their verdict is joined back. The prior comes from the median of the rates and the median distance from it, so that bad
+hosts, up to nearly half of all, can't widen the prior that judges them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, spread_join
@@ -75,27 +77,42 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def host_rates(judged: DataFrame, rules: Sequence[str], beyond: float = 3.0, times: float = 2.0, sure: float = 2.0, strongest: float = 1e6) -> DataFrame:
+#: Steps of a rate whose middle is looked for: at most so many rows are ordered, however many hosts there are.
+STEPS = 10_000
+
+
+def _middle(bins: DataFrame, name: str) -> DataFrame:
+    """rule and the lower median of `bin`, of which there are `c` each."""
+    of = W.partitionBy("rule")
+    counted = bins.select("rule", "bin", F.sum("c").over(of.orderBy("bin")).alias("upto"), F.sum("c").over(of).alias("all"))
+    return counted.filter(2 * F.col("upto") >= F.col("all")).groupBy("rule").agg(F.min("bin").alias(name))
+
+
+def host_rates(judged: DataFrame, rules: Sequence[str], beyond: float = 3.0, times: float = 2.0, sure: float = 2.0, least: float = 0.01, strongest: float = 100.0) -> DataFrame:
     """host, n, and for each rule its posterior mean rate (rate_<rule>) and whether the host stands out by it (bad_<rule>).
 
-    judged: host and a boolean column for each rule. A rule's beta prior has the mean m and variance v of the hosts' own
-    rates: a + b = m (1 - m) / v - 1, between 1 and `strongest` (also where v is 0 or there is one host). A host stands
-    out if its shrunken rate, less `sure` standard deviations of its posterior, is more than `beyond` standard deviations
-    of the prior above m, and more than `times` m: few documents prove nothing.
-    One row per host; the moments are one row.
+    judged: host and a boolean column for each rule. A rule's beta prior has as its mean m the median of the hosts' own rates, in
+    whole steps of 1 / 10,000, or `least` if that is more, and a spread s of 1.4826 times the median distance from that
+    median: a + b = m (1 - m) / s^2 - 1, between 1 and `strongest` documents (also where s is 0 or there is one host). A
+    host stands out if its shrunken rate, less `sure` standard deviations of its posterior, is more than `beyond` standard
+    deviations of the prior above m, and more than `times` m: few documents prove nothing. Of two middle hosts the one with the
+    lower rate counts. One row per host.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(f"f_{r}") for r in rules])
-    raw = [F.col(f"f_{r}") / F.col("n") for r in rules]
-    moments = hosts.agg(*[F.avg(x).alias(f"m_{r}") for r, x in zip(rules, raw, strict=True)], *[F.var_pop(x).alias(f"v_{r}") for r, x in zip(rules, raw, strict=True)])
-    joined = hosts.join(F.broadcast(moments))
-    out = [F.col("host"), F.col("n")]
-    for r in rules:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(strongest))).otherwise(strongest)
-        rate = (F.col(f"f_{r}") + m * strength) / (F.col("n") + strength)
-        surely = rate - sure * F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
-        out += [rate.alias(f"rate_{r}"), ((surely > m + beyond * F.sqrt(m * (1 - m) / (strength + 1))) & (surely > times * m)).alias(f"bad_{r}")]
-    return joined.select(*out)
+    counted = judged.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(f"f_{r}") for r in rules])
+    hosts = materialize(counted.select("host", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"f_{r}").alias("f")) for r in rules])).alias("x")).select("host", "n", "x.*"), "hosts")
+    bins = hosts.groupBy("rule", F.floor(F.col("f") * STEPS / F.col("n")).alias("bin")).agg(F.count("*").alias("c"))
+    medians = _middle(bins, "median")
+    apart = bins.join(F.broadcast(medians), "rule").groupBy("rule", F.abs(F.col("bin") - F.col("median")).alias("bin")).agg(F.sum("c").alias("c"))
+    prior = medians.join(_middle(apart, "apart"), "rule")
+    m, s = F.greatest(F.col("median") / STEPS, F.lit(least)), 1.4826 * F.col("apart") / STEPS
+    strength = F.when(F.col("apart") > 0, F.least(F.greatest(m * (1 - m) / (s * s) - 1, F.lit(1.0)), F.lit(strongest))).otherwise(strongest)
+    joined = hosts.join(F.broadcast(prior.select("rule", m.alias("m"), strength.alias("strength"))), "rule")
+    judged_hosts = joined.withColumn("rate", (F.col("f") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength")))
+    rate = F.col("rate")
+    surely = rate - sure * F.sqrt(rate * (1 - rate) / (F.col("n") + F.col("strength") + 1))
+    bad = (surely > F.col("m") + beyond * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("strength") + 1))) & (surely > times * F.col("m"))
+    own = [F.max(F.when(F.col("rule") == r, x)).alias(f"{name}_{r}") for r in rules for name, x in (("rate", rate), ("bad", bad))]
+    return judged_hosts.groupBy("host").agg(F.max("n").alias("n"), *own)
 
 
 def judge(docs: DataFrame, beyond: float = 3.0, times: float = 2.0, host_col: str = "source") -> DataFrame:

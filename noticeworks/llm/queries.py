@@ -173,10 +173,19 @@ failed AS (
          unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > n_words]) AS failed FROM judged),
 hosts AS (
   SELECT source, rule, count(*) AS n, sum(failed::BIGINT) AS failures FROM failed GROUP BY source, rule),
-moments AS (
-  SELECT rule, avg(failures / n) AS m, var_pop(failures / n) AS v FROM hosts GROUP BY rule),
+bins AS (
+  SELECT rule, (failures * 10000) // n AS bin, count(*) AS c FROM hosts GROUP BY ALL),
+medians AS (
+  SELECT rule, min(bin) FILTER (2 * upto >= whole) AS median
+  FROM (SELECT *, sum(c) OVER (PARTITION BY rule ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY rule) AS whole FROM bins) GROUP BY rule),
+gaps AS (
+  SELECT rule, median, abs(bin - median) AS gap, sum(c) AS c FROM bins JOIN medians USING (rule) GROUP BY ALL),
+spreads AS (
+  SELECT rule, any_value(median) AS median, min(gap) FILTER (2 * upto >= whole) AS apart
+  FROM (SELECT *, sum(c) OVER (PARTITION BY rule ORDER BY gap) AS upto, sum(c) OVER (PARTITION BY rule) AS whole FROM gaps) GROUP BY rule),
 prior AS (
-  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM moments),
+  SELECT rule, m, CASE WHEN s > 0 THEN least(greatest(m * (1 - m) / (s * s) - 1, 1.0::DOUBLE), 100.0::DOUBLE) ELSE 100.0::DOUBLE END AS strength
+  FROM (SELECT rule, greatest(median / 10000, 0.01::DOUBLE) AS m, 1.4826::DOUBLE * apart / 10000 AS s FROM spreads)),
 posteriors AS (
   SELECT source, n, m, strength, (failures + m * strength) / (n + strength) AS rate FROM hosts JOIN prior USING (rule)),
 sure AS (

@@ -46,6 +46,24 @@ def test_bad_hosts_fall_and_small_hosts_are_shrunk(spark):
     assert all(got[i].kept for i in range(60, 8000))
 
 
+def test_bad_hosts_among_few(spark):
+    """One to eight bad hosts of twenty fall, and one of three; half failing, or failing altogether; a small host stays."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    for hosts, wrong in ((20, 1), (20, 2), (20, 5), (20, 8), (3, 1)):
+        for share in (2, 1):
+            rows = [(h * 1000 + i, f"h{h}", bad if (i % share == 0 if h < wrong else i % 20 == h % 3) else good) for h in range(hosts) for i in range(120 + h)]
+            rows += [(90_000 + i, "tiny", bad if i < 2 else good) for i in range(3)]
+            df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+            got = host_rules.judge(df).filter("not base_failed").groupBy("host").agg({"kept": "max"}).collect()
+            kept = {r[0] for r in got if r[1]}
+            assert kept == {f"h{h}" for h in range(wrong, hosts)} | {"tiny"}, (hosts, wrong, share)
+            con = duckdb.connect()
+            documents = df.toPandas()  # noqa: F841
+            want = con.execute(queries.OP7_SQL).fetchall()
+            names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+            assert sorted(map(tuple, host_rules.judge(df).select(*names).collect())) == sorted(want)
+
+
 def test_each_rule_counts_for_itself(spark):
     """Hosts stand out by symbols and by repeated lines, though no document of theirs fails by itself."""
     plain = [f"w{i}" for i in range(60)]
