@@ -121,6 +121,7 @@ def resident(key: tuple, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task: one thing at a time, as Spark hands workers from operator to operator."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        pa.default_memory_pool().release_unused()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 

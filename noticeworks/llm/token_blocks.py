@@ -23,17 +23,18 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import attrgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import resident, scratch_root
+from .common import each, resident, scratch_root
 
 MAGIC, HEADER, BLOCK_HEADER = b"PFB1", struct.Struct("<4sIIQI"), struct.Struct("<IBH")
 BLOCK, PERCENTILE, SHARD_TOKENS = 1024, 90, 1_000_000
@@ -223,7 +224,7 @@ class Encoder:
         new |= stems
         return new if len(new) > room else {p for p in new if len(p) > self.LONGEST}
 
-    def encode(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[np.ndarray]:
         """Each text's ids, null as the empty text; memory is for about so many characters at a time."""
         group, size = [], 0
         for t in texts:
@@ -264,19 +265,20 @@ def _encoder(path: str) -> Encoder:
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the ids of all texts, each with end_id appended, in ascending doc_id order (null ids first, equal ids by text)."""
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         size, end = 0, np.array([end_id], dtype="<u4")
 
-        def shard() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [names], "n_tokens": [size], "body": [encode_shard(ids)]})
+        def shard() -> pa.RecordBatch:
+            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([encode_shard(ids)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_ids", "n_tokens", "body"])
 
-        for batch in batches:
-            for doc_id, found in zip(batch["doc_id"].array, encoder.encode(batch["text"].tolist()), strict=True):
+        for batch in batches:  # only some of a batch's texts are Python objects at a time
+            for doc_id, found in zip(each(batch["doc_id"]), encoder.encode(each(batch["text"])), strict=True):
                 ids.append(np.concatenate((found, end)))
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                names.append(doc_id)
                 size += len(ids[-1])
                 if size >= shard_tokens:
                     yield shard()
@@ -285,7 +287,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             yield shard()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(shards, SHARDS).write.parquet(path)
+    ordered.mapInArrow(shards, SHARDS).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
