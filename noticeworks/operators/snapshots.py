@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules, titles
+from ..functions.text import trim, with_once
 from .dedupe import pick_last
 
 
@@ -30,6 +32,38 @@ def _column(name: str, updated: bool) -> Column:
     return F.when(was.isNotNull(), was[name]).otherwise(now[name])
 
 
+def upsert_postings(old: DataFrame, new: DataFrame, keys: Sequence[str], title: str, raw: str, update: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The columns of old, and outcome (kept, updated or created), after the readable rows of new were taken in, in their order.
+
+    A row of new is skipped if its cleaned title or its text is empty or garbled. It updates the old row of its keys and title; else
+    the only old row of its keys if that has a title that is none, which this replaces; else it's added. Of rows of new with the
+    same keys and title the last one's values count. Only one row replaces a title; what isn't in `update` stays as it was,
+    and is null in added rows unless new has it. Null keys match nothing; such rows are added.
+    """
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    clean = with_once(new, **{"the title": titles.clean_title(F.col(title))})
+    good = clean.filter((F.col("the title") != "") & ~rules.is_garbled(F.col("the title")) & (trim(F.col(raw)) != "") & ~rules.is_garbled(F.col(raw)))
+    group = [*keys, "the title"]
+    fresh = good.withColumn("the place", at).groupBy(*group).agg(F.min("the place").alias("first"), F.max_by(F.struct(*new.columns), "the place").alias("now"))
+    was = F.struct(*old.columns).alias("was")
+    exact = fresh.join(old.select(*keys, F.col(title).alias("the title"), F.lit(True).alias("the same")).distinct(), group, "left")
+    alone = old.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(title).alias("only")).filter("rows = 1")
+    alone = alone.filter(titles.is_bad_title(F.col("only"))).select(*keys, "only")
+    firsts = exact.filter("`the same` is null").groupBy(*keys).agg(F.min_by("the title", "first").alias("the title"))
+    replacing = firsts.join(alone, list(keys)).select(*group, "only")
+    placed = exact.join(replacing, group, "left").withColumn("target", F.when(F.col("the same"), F.col("the title")).otherwise(F.col("only")))
+    changes = placed.filter("target is not null").select(*keys, F.col("target").alias(title), F.col("the title").alias("to"), "now")
+    # A row that is both named and replaced takes the replacing one's values, which come later.
+    changes = changes.groupBy(*keys, title).agg(F.max_by(F.struct("to", "now"), F.col("to") != F.col(title)).alias("c"))
+    joined = old.select(*keys, title, was).join(changes, [*keys, title], "left")
+    value = lambda c: F.when(F.col("c").isNotNull(), F.col("c.to") if c == title else F.col(f"c.now.{c}")).otherwise(F.col(f"was.{c}")) if c in (title, *update) else F.col(f"was.{c}")
+    kept = joined.select(*[value(c).alias(c) for c in old.columns], F.when(F.col("c").isNull(), "kept").otherwise("updated").alias("outcome"))
+    there = set(new.columns)
+    fill = lambda c: F.col("the title") if c == title else F.col(f"now.{c}") if c in there else F.lit(None).cast(old.schema[c].dataType)
+    added = placed.filter("target is null").select(*[fill(c).alias(c) for c in old.columns], F.lit("created").alias("outcome"))
+    return kept.union(added)
+
+
 def upsert_merging(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str], config: str, order: Sequence[Column]) -> DataFrame:
     """As upsert, and the map column `config` keeps its keys that the new one doesn't have."""
     last = pick_last(new, keys, order).select(*old.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, legacy, rules
 from ..functions import lexicon as L
 from ..functions.text import bind, preview, trim, with_once
-from ..operators import snapshots
+from ..operators import dedupe, snapshots
 from . import sqlrules as S
 from .catalog import query
 from .generated import NOW, POSTINGS, Made
@@ -181,3 +181,27 @@ def settings_read(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     kept = F.coalesce(F.max(F.when(F.col("s_suppkey") < 0, F.col("s_acctbal"))).cast("string"), F.lit(""))
     return s.agg(kept.alias("a"), (F.max("s_acctbal") / 1000).cast("decimal(12,3)").cast("string").alias("b")).select(dates.grace(F.col("a")).alias("absent"), dates.grace(F.col("b")).alias("present"))
+
+
+STORED = Made("customer", "c_custkey", source=([1, 2, 3],), url=(["/a", "/b", "/c", "/d", None], ["", "1", "2", "3", "4", "5", "6", "7"]), title=(["公开招聘辅导员公告", "某大学公开招聘教师公告", "报名表", "Sheet1", "首页", "", None],), raw_text=(["旧文一段", "旧文"],), status=(["PERFECT", None],), deleted=([True, False, False],))
+COMING = Made("orders", "o_orderkey", source=([1, 2, 3, 3],), url=(["/a", "/b", "/c", "/e", None], ["", "1", "2", "3", "4", "5", "6", "7"]), title=(["公开招聘辅导员公告", "某大学公开招聘教师公告", "某大学公开招聘教师公告 {color:red}", "·.tab{", "报名表", "招聘启事", None],), raw_text=(["新文第", "", "---", "某县招聘"], ["一段", "二段", ""]))
+
+
+@query(f"""
+WITH old AS (SELECT id, source, url, title, raw_text, status, deleted FROM {STORED.sql} AS s QUALIFY row_number() OVER (PARTITION BY source, url, title ORDER BY id) = 1),
+cut AS (SELECT id, source, url, {S.cut(S.trim('title'))} AS v, raw_text, {S.trim('raw_text')} AS raw FROM {COMING.sql} AS c),
+clean AS (SELECT *, CASE WHEN ({S.bad_reason('v')}) IS NOT NULL THEN '未命名岗位' ELSE left(v, 120) END AS t FROM cut),
+good AS (SELECT * FROM clean WHERE t <> '' AND NOT {S.garbled('t')} AND raw <> '' AND NOT {S.garbled('raw')}),
+fresh AS (SELECT source, url, t, min(id) AS first, arg_max(raw_text, id) AS raw_text, max(id) AS id FROM good GROUP BY ALL),
+alone AS (SELECT source, url, any_value(v) AS v, any_value(title) AS lone FROM (SELECT *, {S.cut(S.trim('title'))} AS v FROM old) WHERE url IS NOT NULL GROUP BY source, url HAVING count(*) = 1),
+bad AS (SELECT * FROM alone WHERE lone IS NOT NULL AND ({S.bad_reason('v')}) IS NOT NULL),
+exact AS (SELECT f.*, o.title IS NOT NULL AS same FROM fresh f LEFT JOIN (SELECT DISTINCT source, url, title FROM old) o ON o.source = f.source AND o.url = f.url AND o.title = f.t),
+placed AS (SELECT e.*, CASE WHEN same THEN t WHEN b.lone IS NOT NULL AND row_number() OVER (PARTITION BY e.source, e.url, same ORDER BY first) = 1 THEN b.lone END AS target FROM exact e LEFT JOIN bad b ON b.source = e.source AND b.url = e.url),
+changes AS (SELECT *, row_number() OVER (PARTITION BY source, url, target ORDER BY (t <> target) DESC) AS k FROM placed WHERE target IS NOT NULL)
+SELECT o.id, o.source, o.url, coalesce(c.t, o.title) AS title, coalesce(c.raw_text, o.raw_text) AS raw_text, o.status, o.deleted, CASE WHEN c.t IS NULL THEN 'kept' ELSE 'updated' END AS outcome
+FROM old o LEFT JOIN changes c ON c.source = o.source AND c.url = o.url AND c.target = o.title AND c.k = 1
+UNION ALL SELECT id, source, url, t, raw_text, NULL, NULL, 'created' FROM placed WHERE target IS NULL""")
+def postings_upsert(spark, sf_dir):
+    """K1: readable postings update those of their title, replace a lone title that is none, or are added."""
+    old = dedupe.pick(STORED.rows(spark, sf_dir), ["source", "url", "title"], [F.col("id")])
+    return snapshots.upsert_postings(old, COMING.rows(spark, sf_dir), ["source", "url"], "title", "raw_text", ["raw_text"], [F.col("id")])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import majors as M
+from ..operators import requirements as R
 from ..operators import tables as T
 from . import sqlrules as S
 from .catalog import query
@@ -275,7 +276,7 @@ def _other_at(d: int) -> str:
 LIKELY = f"{_any('x', T.OTHER_SIGNAL)} AND length(x) <= 120"
 AGE_CASES = " ".join(f"WHEN {_any('a', p)} THEN regexp_extract(a, '{p}', 1) || '周岁以下'" for p in T.AGE_CELLS)
 JOBS = f"""picked AS (
-  SELECT id, row_no, r, m, {CODE} AS code, coalesce(nullif({_at('r', 'm.unit')}, ''), {_at('r', 'm.supervisor')}) AS unit, {_at('r', 'm.dept')} AS dept,
+  SELECT id, row_no, r, m, headers, {CODE} AS code, coalesce(nullif({_at('r', 'm.unit')}, ''), {_at('r', 'm.supervisor')}) AS unit, {_at('r', 'm.dept')} AS dept,
          coalesce(nullif({_at('r', 'm.post_name')}, ''), '岗位') AS post, {_at('r', 'm.major')} AS direct, {_at('r', 'm.age')} AS age_cell, {_at('r', 'm.education')} AS edu, {_at('r', 'm.slots')} AS slots_cell,
          [{', '.join(_other_at(d) for d in range(-2, 3))}] AS near FROM mended),
 found AS (
@@ -284,7 +285,7 @@ found AS (
         THEN 1 + 5 * {_any('r[i + 1]', '不限专业|专业不限')}::INT + 3 * {_any('r[i + 1]', M.LIST_MARK)}::INT + 2 * {_any('r[i + 1]', CJK + '{2,}')}::INT ELSE 0 END, 'minus': -i, 'v': r[i + 1]}}).list_sort('DESC'), lambda b: b.points > 0)[1].v, direct) END AS major_cell,
       trim(regexp_replace(age_cell, '\\s*(?:实操|面试|直接考核)\\s*$', '')) AS a FROM picked),
 named AS (
-  SELECT id, row_no, CASE WHEN code <> '' THEN code ELSE 'job-' || r[1] END AS job_id, CASE WHEN code <> '' THEN post || ' · ' || code ELSE post END AS title,
+  SELECT id, row_no, r, headers, CASE WHEN code <> '' THEN code ELSE 'job-' || r[1] END AS job_id, CASE WHEN code <> '' THEN post || ' · ' || code ELSE post END AS title,
          CASE WHEN unit <> '' AND dept <> '' THEN unit || ' · ' || dept ELSE unit || dept END AS owner,
          coalesce(try_cast(regexp_extract(slots_cell, '^[+]?(-?[0-9]+)', 1) AS INT), 0) AS slots,
          CASE WHEN {_level('edu')} <> '' AND length(edu) <= 16 THEN {_level('edu')} ELSE '' END AS education,
@@ -304,3 +305,39 @@ def sheet_jobs(spark, sf_dir):
     rows = T.mended_rows(T.collect_rows(_sheets(spark, sf_dir), ["id"]), ["id"])
     made = T.jobs(rows.withColumnRenamed("id", "sheet"))
     return made.select(F.col("sheet").alias("id"), F.col("row_no").cast("int").alias("row_no"), F.col("id").alias("job_id"), "title", "organization", "slots", "slots_label", "education", "major", "age", "other", "text")
+
+
+SHEETS_EACH = 3
+ONCE = f"""shown AS (
+  SELECT id // {SHEETS_EACH} AS doc, id AS sheet, row_no, job_id, title, CASE WHEN {S.garbled(S.cut('owner'))} THEN '' ELSE left({S.cut('owner')}, 60) END AS organization, slots, nullif(education, '') AS education, major, nullif(age, '') AS age, other,
+         len(list_distinct(list_filter(list_transform(range(len(headers)), lambda i: CASE WHEN headers[i + 1] <> '' AND coalesce(r[i + 1], '') <> '' THEN headers[i + 1] END), lambda h: h IS NOT NULL))) AS n_columns FROM named),
+keyed AS (SELECT *, CASE WHEN job_id <> 'job-' || row_no AND NOT regexp_matches(job_id, '^[0-9]+$') THEN 'code:' || job_id ELSE sheet || '|' || title || '|' || organization || '|' || row_no END AS key FROM shown),
+ranked AS (SELECT *, min((sheet, row_no)) OVER (PARTITION BY doc, key) AS place, row_number() OVER (PARTITION BY doc, key ORDER BY length(major) + n_columns DESC, sheet, row_no) AS k FROM keyed),
+each_once AS MATERIALIZED (SELECT * FROM ranked WHERE k = 1)"""
+
+
+def _jobs_once(spark, sf_dir):
+    rows = R.with_columns_count(T.mended_rows(T.collect_rows(_sheets(spark, sf_dir), ["id"]), ["id"]))
+    jobs = T.jobs(rows.withColumnRenamed("id", "sheet")).withColumn("doc", F.expr(f"sheet div {SHEETS_EACH}"))
+    return R.once_each(jobs, ["doc"], "sheet", "row_no")
+
+
+@query(f"""
+WITH RECURSIVE {LINES}, {LAYOUT}, {MEND}, {JOBS}, {ONCE},
+lists AS (SELECT doc, place, CASE WHEN {_is_major('major')} THEN CASE WHEN major = '不限专业' THEN [major] ELSE {_names('major')} END ELSE [] END AS names, title || chr(9) || organization || chr(9) || major || chr(9) || coalesce(education, '') || chr(9) || coalesce(age, '') || chr(9) || slots || chr(9) || other AS line, slots, age, education, nullif(other, '') AS other FROM each_once),
+flat AS (SELECT doc, flatten(list(names ORDER BY place)) AS names, count(*) AS n_jobs, nullif(sum(slots), 0)::BIGINT AS positions, first(age ORDER BY place) FILTER (age IS NOT NULL) AS age, first(education ORDER BY place) FILTER (education IS NOT NULL) AS education, first(other ORDER BY place) FILTER (other IS NOT NULL) AS notes,
+  string_agg(line, chr(10) ORDER BY place) AS lines FROM lists GROUP BY doc)
+SELECT doc, n_jobs, array_to_string(list_filter(list_transform(range(len(names)), lambda i: CASE WHEN list_position(names, names[i + 1]) = i + 1 THEN names[i + 1] END), lambda n: n IS NOT NULL), '|') AS majors, positions, age, education, notes, '{chr(9).join(R.HEAD)}' || chr(10) || lines AS tab_text FROM flat""")
+def sheet_requirements(spark, sf_dir):
+    """The jobs of all sheets of a notice, once each, rolled up and as lines."""
+    jobs = _jobs_once(spark, sf_dir)
+    rolled = R.rolled_up(jobs, ["doc"]).join(R.as_lines(jobs, ["doc"]), "doc")
+    return rolled.select("doc", "n_jobs", F.array_join("majors", "|").alias("majors"), "positions", "age", "education", "notes", "tab_text")
+
+
+@query(f"""
+WITH RECURSIVE {LINES}, {LAYOUT}, {MEND}, {JOBS}, {ONCE}
+SELECT doc, CASE WHEN NOT regexp_matches(job_id, '^[0-9]+$') THEN job_id END AS code, title, nullif(organization, '') AS organization, major, age, education, nullif(other, '') AS other, slots, concat_ws(' ', title, nullif(organization, ''), major, age, education, nullif(other, '')) AS text FROM each_once""")
+def sheet_items(spark, sf_dir):
+    """The jobs of notices as rows that are stored."""
+    return R.crawler_items(_jobs_once(spark, sf_dir), ["doc"])
