@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import text, trim
+
 LINES = "sourceUrl string, lineCount long, fetchedAt string, lines array<string>"
 CELLS = "path string, sheet string, row int, cells array<string>, error string"
 
@@ -50,7 +52,10 @@ def _place(ref: str) -> tuple[int, int]:
 
 
 def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
-    """Every sheet's rows, blank ones too, padded to the widest; a merged area has its value in its first cell."""
+    """Every sheet's rows, blank ones too, as wide as its cells, merged areas and stated dimension reach.
+
+    A merged area has its value in its first cell. A sheet of no more than its first cell, and without a dimension, has no rows.
+    """
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
@@ -60,11 +65,16 @@ def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
         files = sorted((f for f in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", f)), key=lambda f: int(re.search(r"\d+", f)[0]))
         for name, file in zip(names, files, strict=False):
             found: dict[tuple[int, int], str] = {}
-            for c in ElementTree.fromstring(z.read(file)).iter(f"{{{ns['m']}}}c"):
+            sheet = ElementTree.fromstring(z.read(file))
+            for c in sheet.iter(f"{{{ns['m']}}}c"):
                 v, inline = c.find("m:v", ns), c.find("m:is", ns)
                 value = "".join(x.text or "" for x in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else (v.text or "") if v is not None else ""
                 found[_place(c.get("r"))] = shared[int(value)] if c.get("t") == "s" and value else value
-            rows, columns = (max((p[i] for p in found), default=-1) + 1 for i in (0, 1))
+            areas = [a.get("ref") for tag in ("dimension", "mergeCell") for a in sheet.iter(f"{{{ns['m']}}}{tag}") if a.get("ref")]
+            reached = [*found, *[_place(a.rpartition(":")[2].replace("$", "")) for a in areas]]
+            rows, columns = (max((p[i] for p in reached), default=-1) + 1 for i in (0, 1))
+            if (rows, columns) == (1, 1) and sheet.find("m:dimension", ns) is None:
+                rows = 0
             yield name, [[found.get((r, c), "") for c in range(columns)] for r in range(rows)]
 
 
@@ -75,7 +85,20 @@ def _paragraphs(content: bytes) -> list[str]:
 
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row, cells, error: the rows of spreadsheets and the paragraphs (one cell) of documents.
+    """parse_office of all files at a path."""
+    return parse_office(spark.read.format("binaryFile").load(path))
+
+
+def sheet_texts(rows: DataFrame) -> DataFrame:
+    """path, sheet, text: each sheet's rows as lines of cells between tabs, tabs at the end of a line left out."""
+    cells = F.transform("cells", lambda c: trim(F.regexp_replace(text(c), r'^"|"\z', "")))
+    line = F.regexp_replace(F.array_join(cells, "\t"), "\t+\\z", "")
+    lines = F.array_sort(F.collect_list(F.struct("row", line.alias("line"))))
+    return rows.filter("error is null").groupBy("path", "sheet").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+def parse_office(files: DataFrame) -> DataFrame:
+    """path, sheet, row, cells, error: the rows of spreadsheets and the paragraphs (one cell) of documents; files: path and content.
 
     A file that can't be read gives one row with the reason; older binary formats and PDF are unsupported_format.
     """
@@ -94,4 +117,4 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(r.path, None, None, None, type(e).__name__)]
                 yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, CELLS)
+    return files.select("path", "content").mapInPandas(parse, CELLS)
