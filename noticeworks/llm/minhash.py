@@ -151,11 +151,16 @@ def confirmed(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return materialize(both.filter(similar("a", "b")).select("u", "v"), "links")
 
 
-def likeliest_hubs(keyed: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """(u, v): for each class the likeliest of the least classes under its keys. keyed: k and cid; sketched: cid and s."""
+def shared_keys(sketched: DataFrame) -> DataFrame:
+    """(k, cid, hub), written: the classes under each key that several classes have, with the least of them. sketched: cid and s."""
+    keyed = sketched.select("cid", F.explode(chunk_keys(F.col("s.sig"))).alias("k"))
     hubs = keyed.groupBy("k").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count("*").alias("n")).filter("hub < last")
-    hubs = materialize(hubs.select("k", "hub", "n"), "hubs")
-    met = materialize(few_join(keyed, hubs, "k").filter("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct(), "met")
+    return materialize(few_join(keyed, materialize(hubs.select("k", "hub", "n"), "hubs"), "k").select("k", "cid", "hub"), "members")
+
+
+def likeliest_hubs(members: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(u, v): for each class the likeliest of the least classes under its keys. members: see shared_keys; sketched: cid and s."""
+    met = materialize(members.filter("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct(), "met")
     counts = materialize(met.groupBy("v").agg(F.count("*").alias("n")), "counts")
     hub = sized_join(sketched.select(F.col("cid").alias("v"), F.col("s").alias("b")), counts, "v")
     both = spread_join(met, hub, "v").join(sketched.select(F.col("cid").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
@@ -163,10 +168,10 @@ def likeliest_hubs(keyed: DataFrame, sketched: DataFrame, percent: int) -> DataF
     return near.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
 
 
-def crossing_pairs(placed: DataFrame, percent: int, chunk: int) -> DataFrame:
+def crossing_pairs(members: DataFrame, placed: DataFrame, percent: int, chunk: int) -> DataFrame:
     """(u, v, differ): pairs of classes of different components that share a key and may be similar enough.
 
-    placed: cid, component and s, written. Members of a key are dealt to chunks of about `chunk`, which are compared pairwise;
+    members: see shared_keys; placed: cid, component and s, written. Members of a key are dealt to chunks of about `chunk`, which are compared pairwise;
     a pair that shares several keys may come more than once.
     """
 
@@ -188,12 +193,12 @@ def crossing_pairs(placed: DataFrame, percent: int, chunk: int) -> DataFrame:
             us, vs, ds = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(ds)], ["u", "v", "differ"])
 
-    keyed = placed.select("cid", "component", F.explode(chunk_keys(F.col("s.sig"))).alias("k"))
+    keyed = members.select("k", "cid").join(placed.select("cid", "component").hint("merge"), "cid")
     mixed = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = materialize(mixed.select("k", "n", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "mixed")
-    members = few_join(keyed, mixed, "k").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    members = members.join(placed.select("cid", "s").hint("merge"), "cid")
-    chunks = materialize(members.groupBy("k", "parts", "c").agg(F.collect_list(F.struct("cid", "component", "s")).alias("m")), "chunks")
+    dealt = few_join(keyed, mixed, "k").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    dealt = dealt.join(placed.select("cid", "s").hint("merge"), "cid")
+    chunks = materialize(dealt.groupBy("k", "parts", "c").agg(F.collect_list(F.struct("cid", "component", "s")).alias("m")), "chunks")
     alone = chunks.filter("parts = 1").select(F.lit(True).alias("same"), F.col("m").alias("a"), F.expr("slice(m, 1, 0)").alias("b"))
     left = chunks.filter("parts > 1").select("k", "c", F.col("m").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
     right = chunks.filter("parts > 1").select("k", F.col("c").alias("d"), F.col("m").alias("b"))
@@ -219,15 +224,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("at").alias("at"), F.count("*").alias("copies"), F.first("s").alias("s"))
         classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         small = classes.select("cid", "s")
-        keyed = small.select("cid", F.explode(chunk_keys(F.col("s.sig"))).alias("k"))
-        links = confirmed(materialize(likeliest_hubs(keyed, small, percent), "near"), classes, located, width, percent)
+        members = shared_keys(small)
+        links = confirmed(materialize(likeliest_hubs(members, small, percent), "near"), classes, located, width, percent)
 
         def named() -> DataFrame:
             parts = materialize(connected_components(links).withColumnRenamed("node", "cid"), "parts")
             return materialize(sized_join(classes.select("cid"), parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")), "named")
 
         names = named()
-        pairs = materialize(crossing_pairs(materialize(names.join(small.hint("merge"), "cid"), "placed"), percent, chunk), "crossing")
+        pairs = materialize(crossing_pairs(members, materialize(names.join(small.hint("merge"), "cid"), "placed"), percent, chunk), "crossing")
         for most in ROUNDS:
             if pairs.isEmpty():
                 break
