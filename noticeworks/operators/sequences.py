@@ -14,21 +14,33 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 20) ->
     return df.orderBy(*order).limit(number * size).offset((number - 1) * size)
 
 
+def clamped_page(df: DataFrame, order: Sequence[Column], number: int, size: int = 20) -> tuple[DataFrame, int, int]:
+    """The page, its number held to those there are, and how many those are: one at least, which is empty if df is."""
+    pages = max(1, -(-df.count() // size))
+    held = min(max(1, number), pages)
+    return page(df, order, held, size), held, pages
+
+
 def running_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], explicit: Column, name: str = "seq") -> DataFrame:
     """A number that is written restarts the count; rows without one count on from it, or from 0."""
     w = W.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("_run", F.count(explicit).over(w)).withColumn("_given", explicit)
-    since = W.partitionBy(*keys, "_run").orderBy(*order)
-    n = F.coalesce(F.first("_given").over(since), F.lit(0)) + F.row_number().over(since) - F.when(F.col("_run") > 0, 1).otherwise(0)
-    return marked.withColumn(name, n.cast("long")).drop("_run", "_given")
+    run, given = "the run of numbers", "the number given"
+    marked = df.withColumn(run, F.count(explicit).over(w)).withColumn(given, explicit)
+    since = W.partitionBy(*keys, F.col(f"`{run}`")).orderBy(*order)
+    n = F.coalesce(F.first(given).over(since), F.lit(0)) + F.row_number().over(since) - F.when(F.col(run) > 0, 1).otherwise(0)
+    return marked.withColumn(name, n.cast("long")).drop(run, given)
 
 
 def merge_continuations(df: DataFrame, keys: Sequence[str], order: str, starts: Column, value: str, glue: str = "\n") -> DataFrame:
-    """keys, first, n, merged: each row that starts with those that follow until the next one."""
+    """keys, first, n, merged: each row that starts with those that follow until the next one.
+
+    A null `starts` doesn't start. Rows before the first one that starts are one row together; of equal orders the value decides.
+    """
     w = W.partitionBy(*keys).orderBy(order)
-    grouped = df.withColumn("_row", F.sum(starts.cast("int")).over(w)).groupBy(*keys, "_row")
+    row = "the row begun"
+    grouped = df.withColumn(row, F.coalesce(F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w), F.lit(0))).groupBy(*keys, row)
     lines = F.array_sort(F.collect_list(F.struct(order, value)))
-    return grouped.agg(F.min(order).alias("first"), F.count("*").alias("n"), F.array_join(F.transform(lines, lambda x: x[value]), glue).alias("merged")).drop("_row")
+    return grouped.agg(F.min(order).alias("first"), F.count("*").alias("n"), F.array_join(F.transform(lines, lambda x: x[value]), glue).alias("merged")).drop(row)
 
 
 def labelled_slices(c: Column, labels: Sequence[str]) -> Column:

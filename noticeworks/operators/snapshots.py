@@ -125,6 +125,7 @@ def without(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def after_cursor(df: DataFrame, cursors: DataFrame, key: str, published: str, last: str, overlap_hours: int = 48) -> DataFrame:
     """Rows published since their source's cursor less the overlap; rows without a date, or a cursor, stay."""
-    joined = df.join(cursors.select(key, last), key, "left")
-    fresh = F.col(published) >= F.timestamp_add("HOUR", F.lit(-overlap_hours), F.col(last))
-    return joined.filter(F.coalesce(fresh, F.lit(True))).drop(last)
+    own = cursors.select(F.col(key), F.col(last).alias("the source's cursor"))
+    joined = df.join(own, key, "left")
+    fresh = F.col(published) >= F.timestamp_add("HOUR", F.lit(-overlap_hours), F.col("the source's cursor"))
+    return joined.filter(F.coalesce(fresh, F.lit(True))).select(*df.columns)
