@@ -5,10 +5,9 @@ the letter an odd number of times. An inserted or deleted letter flips one bit,
 split into three bands, so near words agree in a whole band; words are joined on an equal band and on lengths that
 differ by one at most, and verified by their edit distance in code points.
 
-A band alone has few values, so a large vocabulary would crowd them; but whatever is flipped, there is a band that stays
-equal while the next one either stays equal too or, with words of one length, has a single bit flipped. So the key of an
-equal band holds the next band as well: its own value, and, for the word of the two that has the flipped bit set, the value without
-each of its set bits. This finds the same pairs by some twenty keys a word, which are as much finer as a second band is.
+A band alone has few values, so a large vocabulary would crowd them; but an edit leaves the first or the last half of the
+shorter word's letters as they are. So the key of an equal band is split by that half: each word is keyed by each of its
+bands with its first half and with its last half, which finds the same pairs by keys of few words.
 
 All of it is DataFrame functions; only words, never their occurrences, are shuffled.
 """
@@ -60,38 +59,36 @@ def misspelt_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return words.filter(F.char_length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _key(kind: int, i: int, after: Column, length: Column) -> Column:
-    """The key of an equal band i together with a value of the band after it and a length."""
-    return F.xxhash64(F.lit(kind * BANDS + i), band(F.col("mask"), i), after, length)
+def _keys(length: Column) -> Column:
+    """tag and k of a word for each band and each half, by the length of the shorter word of a pair."""
+    half = F.floor(length / 2).cast("int")
+    halves = (F.left("word", half), F.right("word", half))
+    tagged = [(2 * i + e, band(F.col("mask"), i), ends) for i in range(BANDS) for e, ends in enumerate(halves)]
+    return F.array(*[F.struct(F.lit(tag).alias("tag"), F.xxhash64(F.lit(tag), own, length, ends).alias("k")) for tag, own, ends in tagged])
 
 
-def _after(i: int) -> Column:
-    return band(F.col("mask"), (i + 1) % BANDS)
-
-
-def _without_a_bit(i: int) -> Column:
-    """Keys with each set bit of the band after i taken out."""
-    bits = F.filter(F.array(*[F.lit(1 << b).cast("long") for b in range(BITS)]), lambda b: _after(i).bitwiseAND(b) != 0)
-    return F.transform(bits, lambda b: _key(1, i, _after(i).bitwiseXOR(b), F.col("len")))
+def _one_edit() -> Column:
+    """Whether words a and b are one edit apart and their key is the first that they share."""
+    apart, half = F.col("a_mask").bitwiseXOR(F.col("b_mask")), F.floor(F.char_length("a") / 2).cast("int")
+    first = F.lit(True)
+    for i in range(BANDS):
+        first = first & ((F.col("tag") < 2 * i + 2) | (band(apart, i) != 0))
+    first = first & ((F.col("tag") % 2 == 0) | (F.left("a", half) != F.left("b", half)))
+    ordered = (F.char_length("a") != F.char_length("b")) | (F.col("a") < F.col("b"))
+    return (F.bit_count(apart) <= 2) & ordered & first & (F.levenshtein("a", "b", 1) == 1)
 
 
 def near_words(words: DataFrame, per: int = 2_000) -> DataFrame:
     """(a, a_n, b, b_n): each two words that one inserted, deleted or replaced code point makes equal, once.
 
-    words: distinct words and a count n of each, which is handed on. Of two words of unequal length, b is the longer one. Words
-    of a frequent key are dealt to parts of about `per`.
+    words: distinct words and a count n of each, which is handed on. b is the longer word, or the later of two equally
+    long ones. Words of a frequent key are dealt to parts of about `per`.
     """
     masked = materialize(words.select("word", "n", F.char_length("word").alias("len"), parity_mask(F.col("word")).alias("mask")), "masks")
-    bands = range(BANDS)
-    left = F.concat(F.array(*[_key(0, i, _after(i), F.col("len")) for i in bands]), *[_without_a_bit(i) for i in bands])
-    right = F.array(*[_key(0, i, _after(i), F.col("len") - d) for i in bands for d in (0, 1)], *[_key(1, i, _after(i), F.col("len")) for i in bands])
-    a = masked.select(F.explode(left).alias("k"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"))
-    b = masked.select(F.explode(right).alias("k"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"))
-    near = (F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask"))) <= 2) & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    found = dealt_join(a, b, ["k"], per).filter(near).select("a", "a_n", "b", "b_n")
-    turned = (F.char_length("a") == F.char_length("b")) & (F.col("a") > F.col("b"))
-    ends = F.when(turned, F.struct(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n"))).otherwise(F.struct("a", "a_n", "b", "b_n"))
-    return found.select(ends.alias("p")).distinct().select("p.*")
+    a = masked.select(F.explode(_keys(F.col("len"))).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"))
+    b = masked.select(F.explode(F.concat(_keys(F.col("len")), _keys(F.col("len") - 1))).alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"))
+    joined = dealt_join(a.select("key.*", "a", "a_n", "a_mask"), b.select("key.k", "b", "b_n", "b_mask"), ["k"], per)
+    return joined.filter(_one_edit()).select("a", "a_n", "b", "b_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
