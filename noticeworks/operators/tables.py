@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import majors, rules, titles
 from ..functions.text import WS, bind, text, trim, wide, with_once
 from ..sources.shared import new_folder
@@ -23,6 +24,7 @@ from .sequences import running_number
 # Patterns that decide results.
 HEADER_RULES = (("序号", "专业|岗位"), ("专业", "人数|岗位|学历|年龄"), ("招聘人数|计划数|名额|岗位名称", "学历"))
 HEADER_ROW = "序号|计划数|学历|专业要求|年龄要求|其他要求|岗位代码|岗位名称|笔试|主管部门|招聘单位"
+LEVEL_WORDS = "|".join([L.ANY_EDUCATION, *(p for _, p in L.EDUCATION)])
 SUB_SLOTS, SUB_SLOTS_CELL = "计划数|人数|名额", "^[1-9][0-9]{0,2}$"
 SUB_MAJOR, SUB_NO_MAJOR, SUB_MAJOR_CELL = "专业", "代码|类别", r"不限专业|\([0-9]{1,2}\)|[一-龥]{2,}(?:学|类|技术|医学|康复)"
 #: Logical columns: patterns in order of precedence, and what a header of them must not hold.
@@ -167,13 +169,17 @@ def _sub_start(sample: Column, sub: Column, n_main: Column) -> Column:
     """The column that the last header row starts in, by what the first data row holds in the columns beyond the first one's."""
 
     def by(index: Column, fits) -> Column:
-        places = F.transform(sample, lambda c, i: F.when((i >= F.greatest(n_main, F.lit(1))) & (i - index >= 1) & fits(c), i - index))
-        return F.when(index >= 0, F.get(F.filter(places, lambda p: p.isNotNull()), 0))
+        def of(ix: Column) -> Column:
+            places = F.transform(sample, lambda c, i: F.when((i >= F.greatest(n_main, F.lit(1))) & (i - ix >= 1) & fits(c), i - ix))
+            return F.when(ix >= 0, F.get(F.filter(places, lambda p: p.isNotNull()), 0))
+
+        return bind(index, of)
 
     education = _first_index(F.transform(sub, lambda h: h.rlike("学历|学位")))
     slots = _first_index(F.transform(sub, lambda h: h.rlike(SUB_SLOTS)))
     major = _first_index(F.transform(sub, lambda h: h.rlike(SUB_MAJOR) & ~h.rlike(SUB_NO_MAJOR)))
-    found = [by(education, lambda c: rules.normal_education(c) != ""), by(slots, lambda c: c.rlike(SUB_SLOTS_CELL)), by(major, lambda c: c.rlike(SUB_MAJOR_CELL))]
+    # Any label needs one of these words; most cells have none.
+    found = [by(education, lambda c: F.when(c.rlike(LEVEL_WORDS), rules.normal_education(c) != "").otherwise(False)), by(slots, lambda c: c.rlike(SUB_SLOTS_CELL)), by(major, lambda c: c.rlike(SUB_MAJOR_CELL))]
     return F.when(sample.isNull(), n_main).otherwise(F.coalesce(*found, F.greatest(n_main, F.size(sample) - F.size(sub))))
 
 
@@ -191,24 +197,29 @@ def _laid_over(headers: Column, labels: Column, start: Column) -> Column:
 
 def _folded(block: Column, sample: Column) -> Column:
     """One header of the rows of a header block: the last row placed by the sample, those between laid over by their post name."""
-    main, tail = F.get(block, 0), F.element_at(block, -1)
-    post = _first_index(F.transform(main, lambda h: h.rlike("岗位") & ~h.rlike("代码|类别|等级|计划")))
-    start = F.greatest(_sub_start(sample, tail, F.size(main)), F.lit(0))
-    size = F.greatest(F.size(main), start + F.size(tail))
 
-    def placed(i: Column) -> Column:
-        sub = F.coalesce(F.when(i >= start, F.get(tail, i - start)), F.lit(""))
-        return F.when(sub != "", sub).otherwise(F.coalesce(F.get(main, i), F.lit("")))
+    def measured(x: Column) -> Column:
+        post = _first_index(F.transform(x["main"], lambda h: h.rlike("岗位") & ~h.rlike("代码|类别|等级|计划")))
+        start = F.greatest(_sub_start(sample, x["tail"], F.size(x["main"])), F.lit(0))
+        return F.struct(x["main"].alias("main"), x["tail"].alias("tail"), post.alias("post"), start.alias("start"))
+
+    def whole(x: Column) -> Column:
+        main, tail, start = x["main"], x["tail"], x["start"]
+
+        def placed(i: Column) -> Column:
+            sub = F.coalesce(F.when(i >= start, F.get(tail, i - start)), F.lit(""))
+            return bind(sub, lambda s: F.when(s != "", s).otherwise(F.coalesce(F.get(main, i), F.lit(""))))
 
-    extended = F.transform(F.sequence(F.lit(0), size - 1), placed)
-    middle = F.when(F.size(block) == 2, F.slice(block, 2, 1)).otherwise(F.slice(block, 2, F.greatest(F.size(block) - 2, F.lit(0))))
+        def over(headers: Column, row: Column) -> Column:
+            name = _first_index(F.transform(row, lambda h: h.rlike("名称") & ~h.rlike("单位|岗位代码|部门")))
+            offset = bind(name, lambda n: F.when((n >= 0) & (x["post"] >= 0), x["post"] - n).otherwise(F.size(main) - 1))
+            return bind(F.greatest(offset, F.lit(0)), lambda o: _laid_over(headers, row, o))
 
-    def over(headers: Column, row: Column) -> Column:
-        name = _first_index(F.transform(row, lambda h: h.rlike("名称") & ~h.rlike("单位|岗位代码|部门")))
-        offset = F.when((name >= 0) & (post >= 0), post - name).otherwise(F.size(main) - 1)
-        return bind(F.greatest(offset, F.lit(0)), lambda o: _laid_over(headers, row, o))
+        extended = F.transform(F.sequence(F.lit(0), F.greatest(F.size(main), start + F.size(tail)) - 1), placed)
+        middle = F.when(F.size(block) == 2, F.slice(block, 2, 1)).otherwise(F.slice(block, 2, F.greatest(F.size(block) - 2, F.lit(0))))
+        return F.aggregate(middle, extended, over)
 
-    return F.aggregate(middle, extended, over)
+    return bind(bind(F.struct(F.get(block, 0).alias("main"), F.element_at(block, -1).alias("tail")), measured), whole)
 
 
 def header_layout(rows: DataFrame, keys: Sequence[str], order: str = "row_no", cells: str = "cells") -> DataFrame:
