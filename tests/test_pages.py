@@ -67,3 +67,14 @@ def test_tables_in_cells_and_short_tables(spark):
     # The inner table's row is one of the outer table, too.
     assert sorted((r.key, r.title, r.slots) for r in jobs) == [(1, "3 人", None), (1, "教师", 3)]
     assert {r.key: r.summary for r in pages.table_summary(pages.recruitment_tables(pages.table_rows(e, t))).collect()} == {1: "岗位：教师 人数：3\n岗位：3 人"}
+
+
+def test_short_main_texts(spark):
+    """Where all selected texts are short, the body stands in, unless the selectors alone decide."""
+    html = '<body>' + "menu " * 30 + '<div class="v_news_content">short</div><article>a longer one</article></body>'
+    e, t = found(spark, html, None)
+    df = spark.createDataFrame([(0,), (1,)], "id long")
+    got = {r.id: (r.selector, r.main_text) for r in pages.main_text(df, e, t, "id").collect()}
+    assert got[0][0] is None and got[0][1].startswith("menu menu") and got[1] == (None, "")
+    alone = {r.id: (r.selector, r.main_text) for r in pages.main_text(df, e, t, "id", whole=None).collect()}
+    assert alone == {0: ("article", "a longer one"), 1: (None, "")}
