@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import text, trim, with_once
+from ..sources.shared import written
 
 TOKEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|noscript|iframe)\b[^>]*+>.*?(?:</(?:script|style|noscript|iframe)\s*>|\z)|<[/!]?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]++|<"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -46,7 +47,8 @@ def elements(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFram
     """The elements of pages (key, name, tag, start, end, t0, t1, first_child, last_child) and their texts (key, page_text).
 
     start, end: numbers of the tag that opens an element and of what ends it; t0, t1: where its text starts and ends in page_text.
-    A tag without an end lasts to the page's end. Null and empty pages have no elements. Keys must be distinct.
+    A tag without an end lasts to the page's end. Null and empty pages have no elements. Keys must be distinct. Both are written
+    once, since every selector reads them.
     """
     tokens = pages.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(text(F.col(html)), F.lit(f"({TOKEN})"), 1)).alias("at", "token"))
     tag = F.col("token").rlike("(?is)^<[/!]?[a-z].*>\\z|^<!")
@@ -57,7 +59,8 @@ def elements(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFram
     depth = lambda names: F.coalesce(F.sum(F.when(F.col("name").isin(*names), F.when(closes, -1).otherwise(1))).over(page), F.lit(0))
     placed = named.withColumn("closes", closes).withColumn("void", void)
     placed = placed.withColumns({"t0": F.coalesce(F.sum(F.length("plain")).over(before), F.lit(0)), "lists": depth(OPEN_KINDS["item"][2]), "tables": depth(("table",))})
-    texts = placed.filter("plain is not null").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "plain"))), lambda x: x["plain"]), "").alias("page_text"))
+    placed = written(placed, "page-tokens")
+    texts = written(placed.filter("plain is not null").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "plain"))), lambda x: x["plain"]), "").alias("page_text")), "page-texts")
     tags = placed.filter("name is not null")
     tags = tags.withColumns({"next_closes": F.coalesce(F.lead("closes").over(page), F.lit(True)), "after_open": F.coalesce(F.lag(~F.col("closes") & ~F.col("void")).over(page), F.lit(True))})
 
@@ -81,7 +84,8 @@ def elements(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFram
         sibling = sibling | ((F.col("kind") == kind) & F.col("next.name").isin(*own))
     last = F.when(F.col("next").isNull(), True).when(own_end, F.col("next.next_closes")).otherwise(F.col("next.closes") | ~sibling)
     found = ended.join(texts.select("key", F.length("page_text").alias("size")), "key", "left")
-    return found.select("key", "name", F.col("token").alias("tag"), F.col("at").alias("start"), end.alias("end"), F.col("t0").cast("int").alias("t0"), F.coalesce(F.col("next.t0"), F.col("size"), F.lit(0)).cast("int").alias("t1"), F.col("after_open").alias("first_child"), last.alias("last_child")), texts
+    listed = found.select("key", "name", F.col("token").alias("tag"), F.col("at").alias("start"), end.alias("end"), F.col("t0").cast("int").alias("t0"), F.coalesce(F.col("next.t0"), F.col("size"), F.lit(0)).cast("int").alias("t1"), F.col("after_open").alias("first_child"), last.alias("last_child"))
+    return written(listed, "page-elements"), texts
 
 
 def _compound(selector: str) -> Column:

@@ -28,10 +28,15 @@ LABELS = {"age": ("年龄要求", "年龄"), "education": ("学历学位", "学
 SCRIPTS = (r"(?i)\bfunction\s+\w+\s*\([^)]*\)\s*\{[\s\S]*?\}", r"(?i)\bvar\s+\w+\s*=\s*function\s*\([^)]*\)\s*\{[\s\S]*?\};?")
 
 
-def without_scripts(c: Column) -> Column:
+LEFTOVERS = (*signals.CODE, *SCRIPTS)
+#: A text that is nothing but one call of a script.
+BARE_CALL = r"^\s*[\w$]+(?:\.[\w$]+)+\([^()]*\)\s*;?\s*\z"
+
+
+def without_scripts(c: Column, patterns: Sequence[str] = LEFTOVERS) -> Column:
     """A text without what is left of scripts, on one line."""
     v = text(c)
-    for p in (*signals.CODE, *SCRIPTS):
+    for p in patterns:
         v = F.regexp_replace(v, p, " ")
     return collapse(v)
 
@@ -66,18 +71,19 @@ def list_items(pages: DataFrame, found: DataFrame, texts: DataFrame, key: str, u
     return placed.filter(F.col("place") <= most).select(F.col("key").alias(key), "place", "title", "url", "date")
 
 
-def main_text(pages: DataFrame, found: DataFrame, texts: DataFrame, key: str, selectors: Sequence[str] = CONTENT, least: int = 80, whole: str | None = "body") -> DataFrame:
+def main_text(pages: DataFrame, found: DataFrame, texts: DataFrame, key: str, selectors: Sequence[str] = CONTENT, least: int = 80, whole: str | None = "body", leftovers: Sequence[str] = LEFTOVERS) -> DataFrame:
     """key, selector and main_text of each page: the first selector whose first element has a readable text of `least` letters,
     else its longest text, else that of `whole`; selector is null for the latter. Pages without text have an empty one.
 
-    whole: what stands in for pages whose selected texts are all short; None leaves it to the selectors alone."""
+    whole: what stands in for pages whose selected texts are all short; None leaves it to the selectors alone.
+    leftovers: patterns of what is left of scripts, which is no text."""
     each = [E.select(found, s).groupBy("key").agg(F.min_by(F.struct("t0", "t1"), "start").alias("x")).select("key", F.lit(i).alias("i"), F.lit(s).alias("selector"), "x.*") for i, s in enumerate(selectors)]
     if whole:
         each.append(E.select(found, whole).groupBy("key").agg(F.min_by(F.struct("t0", "t1"), "start").alias("x")).select("key", F.lit(len(selectors)).alias("i"), F.lit(None).cast("string").alias("selector"), "x.*"))
     rows = each[0]
     for e in each[1:]:
         rows = rows.union(e)
-    read = with_once(E.with_text(rows, texts), v=without_scripts(F.col("text")))
+    read = with_once(E.with_text(rows, texts), v=without_scripts(F.col("text"), leftovers))
     read = with_once(read, heavy=signals.is_heavy_code(F.col("v")), garbled=rules.is_garbled(F.col("v")), n=F.length("v"))
     own, good = F.col("selector").isNotNull(), ~F.col("heavy") & ~F.col("garbled") & (F.col("n") >= least)
     best = read.groupBy("key").agg(

@@ -78,3 +78,13 @@ def test_short_main_texts(spark):
     assert got[0][0] is None and got[0][1].startswith("menu menu") and got[1] == (None, "")
     alone = {r.id: (r.selector, r.main_text) for r in pages.main_text(df, e, t, "id", whole=None).collect()}
     assert alone == {0: ("article", "a longer one"), 1: (None, "")}
+    e, t = found(spark, '<div class="v_news_content">window.openx(1)</div><article>Éaux.</article>')
+    assert [r.main_text for r in pages.main_text(df.limit(1), e, t, "id", whole=None, leftovers=(*pages.LEFTOVERS, pages.BARE_CALL)).collect()] == ["Éaux."]
+
+
+def test_elements_are_written_once(spark, monkeypatch):
+    names, plain = [], elements.written
+    monkeypatch.setattr(elements, "written", lambda df, name: names.append(name) or plain(df, name))
+    e, t = found(spark, "<ul><li>a</ul><p>b</p>")
+    assert elements.select(e, "li, p").count() == 2 and t.count() == 1
+    assert sorted(names) == ["page-elements", "page-texts", "page-tokens"]
