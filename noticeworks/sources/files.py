@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import text, trim
 
 LINES = "sourceUrl string, lineCount long, fetchedAt string, lines array<string>"
+#: Rows that a parser hands over at once; a table for each file costs more than its parsing.
+AT_ONCE = 5_000
 CELLS = "path string, sheet string, row int, cells array<string>, error string"
 
 
@@ -103,7 +105,11 @@ def parse_office(files: DataFrame) -> DataFrame:
     A file that can't be read gives one row with the reason; older binary formats and PDF are unsupported_format.
     """
 
+    def table(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["path", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
         for batch in batches:
             for r in batch.itertuples(index=False):
                 try:
@@ -115,6 +121,11 @@ def parse_office(files: DataFrame) -> DataFrame:
                         rows = [(r.path, None, None, None, "unsupported_format")]
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError, IndexError) as e:
                     rows = [(r.path, None, None, None, type(e).__name__)]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
+                held += rows
+                if len(held) >= AT_ONCE:
+                    yield table(held)
+                    held = []
+        if held:
+            yield table(held)
 
     return files.select("path", "content").mapInPandas(parse, CELLS)
