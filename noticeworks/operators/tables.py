@@ -2,9 +2,9 @@
 
 A table's rows are rows of a DataFrame with the table's keys, a number and an array of cells. What depends on the rows
 before is a window over the table: which row is open, the number last written, the longest row so far. The latter is
-needed to mend a row, and is itself the longest of the mended ones; it is settled by repeating the pass until no
-row's reference changes. A row's reference only depends on rows above, so each pass settles at least one more row; two
-passes do for nearly all tables.
+needed to mend a row, and is itself the longest of the mended ones; it is settled by repeating the pass over a table until
+no reference in it changes. A row's reference only depends on rows above, so each pass settles at least one more row; two
+passes do for nearly all tables. They are one job, and only what isn't settled by them goes into the next one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import majors, rules, titles
 from ..functions.text import WS, bind, text, trim, wide, with_once
-from ..sources.shared import new_folder
+from ..sources.shared import written
 from .sequences import running_number
 
 # Patterns that decide results.
@@ -55,8 +55,8 @@ OWNER_CELL = "(?:学院|大学|学校|研究院|单位)$"
 
 
 def clean_cell(c: Column) -> Column:
-    """A cell without its outer quotes and with white space collapsed; null is empty."""
-    return majors.one_line(F.regexp_replace(text(c), r'^"|"\z', ""))
+    """A cell without its outer quotes and with white space collapsed; null is empty. Most cells hold neither."""
+    return F.when(text(c).rlike(f'["{WS[1:]}'), majors.one_line(F.regexp_replace(text(c), r'^"|"\z', ""))).otherwise(text(c))
 
 
 def cells_of(line: Column) -> Column:
@@ -123,7 +123,7 @@ def collect_rows(lines: DataFrame, keys: Sequence[str], order: str = "line_no",
     """
     v = F.col("_v")
     at = W.partitionBy(*keys).orderBy(order)
-    kept = lines.select(*keys, order, _spaced_number(trim(F.col(line))).alias("_v"))
+    kept = with_once(lines.select(*keys, order, F.col(line).alias("_line")), _v=_spaced_number(trim(F.col("_line")))).drop("_line")
     kept = kept.filter((v != "") & ~v.startswith("---") & ~(F.contains(v, F.lit("附件")) & F.contains(v, F.lit("透视"))))
     kept = kept.withColumn("_end", F.max(v.rlike(r"^注[:：]?\z|^结构化岗位表")).over(at)).filter("not _end")
     header, tabs = _is_header_line(v), _tabs(v)
@@ -139,8 +139,8 @@ def collect_rows(lines: DataFrame, keys: Sequence[str], order: str = "line_no",
     numbered = marked.filter(F.col("_open") | first).withColumn("_first", first).withColumn("_data", starts).withColumn("_n", F.count_if("_first").over(at))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), (~F.col("_first")).alias("later"), F.col("_data").alias("data"), v.alias("line"))))
     rows = numbered.groupBy(*keys, "_n").agg(F.min(order).alias("row_no"), parts.alias("_parts"))
-    head = F.get("_parts", 0)
-    base = F.when(head["data"], _leading_number(cells_of(head["line"]))).otherwise(cells_of(head["line"]))
+    rows = with_once(rows, _head=cells_of(F.get("_parts", 0)["line"]))
+    base = F.when(F.get("_parts", 0)["data"], _leading_number(F.col("_head"))).otherwise(F.col("_head"))
     return rows.select(*keys, "row_no", F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), base, lambda row, p: _continued(row, p["line"])).alias("cells"))
 
 
@@ -314,28 +314,34 @@ def mended_rows(rows: DataFrame, keys: Sequence[str], order: str = "row_no", cel
     Rows that can't be a job's are left out; a number that is written restarts the count, and one that is missing is counted on.
     Tables without a header give no rows. Null cells are empty.
     """
-    spark = rows.sparkSession
-    clean = rows.select(*keys, F.col(order).alias("row_no"), F.transform(F.coalesce(F.col(cells), F.array().cast("array<string>")), clean_cell).alias("_cells"))
+    cleaned = rows.select(*keys, F.col(order).alias("row_no"), F.transform(F.coalesce(F.col(cells), F.array().cast("array<string>")), clean_cell).alias("_cells"))
+    clean = written(cleaned, "cells")
     layout = header_layout(clean, keys, "row_no", "_cells")
     data = clean.join(layout, list(keys)).filter(F.col("row_no") >= F.col("data_start")).drop("data_start")
     none = F.lit(None).cast("struct<size:int,minus:bigint,a:string,b:string>")
-    state = with_once(data, _row=_leading_number(F.col("_cells"))).drop("_cells").withColumn("_ref", none)
-    before = W.partitionBy(*keys).orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
+    state = with_once(data, _row=_leading_number(F.col("_cells"))).drop("_cells").withColumns({"_ref": none, "_whole": F.col("_row")})
+    state = with_once(state, _p=_prepared(F.col("_row"), F.col("columns")))
+    whole = W.partitionBy(*keys)
+    before = whole.orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
     found = F.col("_p.cells")
     longest = F.max(F.when(found.isNotNull(), F.struct(F.size(found).alias("size"), (-F.col("row_no").cast("long")).alias("minus"), F.coalesce(F.get(found, 1), F.lit("")).alias("a"), F.coalesce(F.get(found, 2), F.lit("")).alias("b")))).over(before)
+    own = [*keys, "row_no", "headers", "columns"]
+    settled = None
     for _ in range(most_passes):
-        passed = with_once(state, _p=_prepared(_aligned(F.col("_row"), F.col("_ref"), F.col("columns")), F.col("columns")))
-        passed = passed.withColumn("_next", longest)
-        path = new_folder(spark, "mended")
-        passed.write.parquet(path)
-        passed = spark.read.schema(passed.schema).parquet(path)
-        if passed.filter(~F.col("_next").eqNullSafe(F.col("_ref"))).isEmpty():
+        for _ in range(2):  # a row that its reference leaves as it was stays prepared
+            aligned = with_once(state.withColumn("_ref", longest), _aligned=_aligned(F.col("_row"), F.col("_ref"), F.col("columns")))
+            fresh = F.when(F.col("_aligned") == F.col("_whole"), F.col("_p")).otherwise(_prepared(F.col("_aligned"), F.col("columns")))
+            state = with_once(aligned, _new=fresh).select(*own, "_row", "_ref", F.col("_aligned").alias("_whole"), F.col("_new").alias("_p"))
+        moved = ~F.col("_next").eqNullSafe(F.col("_ref"))
+        passed = written(state.withColumn("_next", longest).withColumn("_moved", F.max(moved).over(whole)).drop("_next"), "mended")
+        done = passed.filter("not _moved and _p is not null").select(*own, F.col("_p.cells").alias("cells"), F.col("_p.given").alias("given"))
+        settled = done if settled is None else settled.union(done)
+        state = passed.filter("_moved").drop("_moved")
+        if state.isEmpty():
             break
-        state = passed.withColumn("_ref", F.col("_next")).drop("_next", "_p")
     else:
-        raise RuntimeError(f"rows weren't settled in {most_passes} passes")
-    good = passed.filter("_p is not null").select(*keys, "row_no", "headers", "columns", F.col("_p.cells").alias("cells"), F.col("_p.given").alias("given"))
-    counted = running_number(good, keys, [F.col("row_no")], F.col("given").cast("long"), "n")
+        raise RuntimeError(f"rows weren't settled in {2 * most_passes} passes")
+    counted = running_number(settled, keys, [F.col("row_no")], F.col("given").cast("long"), "n")
     first = F.coalesce("given", F.col("n").cast("string"))
     return counted.select(*keys, "row_no", "headers", "columns", F.transform("cells", lambda c, i: F.when(i == 0, first).otherwise(c)).alias("cells"))
 

@@ -51,3 +51,12 @@ def test_jobs_keep_keys_and_clashing_names(spark):
     rows = tables.mended_rows(tables.collect_rows(lines(spark, [HEAD, FULL]), ["doc"]), ["doc"])
     job = tables.jobs(rows).first()
     assert (job.doc, job.id, job.title, job.slots, job.education, job.major, job.age, job.other) == (0, "A01", "教师 · A01", 2, "硕士研究生及以上", "教育学", "35周岁以下", "限高校")
+
+
+def test_two_passes_are_one_job(spark, monkeypatch):
+    """Rows are made once, and tables that two passes settle are written once."""
+    names, plain = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: names.append(name) or plain(df, name))
+    rows = [HEAD, FULL, "2\t湖南学院\t辅导员\tA02\t1\t本科\t法学\t40周岁以下\t面试\t1:2"]
+    assert len(mended(spark, rows, rows)) == 4
+    assert names == ["cells", "mended"]
