@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, titles
 from ..functions.text import trim, with_once
+from ..sources.shared import written
 from .dedupe import pick_last
 
 
@@ -38,13 +39,15 @@ def upsert_postings(old: DataFrame, new: DataFrame, keys: Sequence[str], title:
     A row of new is skipped if its cleaned title or its text is empty or garbled. It updates the old row of its keys and title; else
     the only old row of its keys if that has a title that is none, which this replaces; else it's added. Of rows of new with the
     same keys and title the last one's values count. Only one row replaces a title; what isn't in `update` stays as it was,
-    and is null in added rows unless new has it. Null keys match nothing; such rows are added.
+    and is null in added rows unless new has it. Null keys match nothing; such rows are added. What comes again with the same
+    keys, title and text is cleaned once; what is readable is written to the shared folder, since several steps read it.
     """
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    clean = with_once(new, **{"the title": titles.clean_title(F.col(title))})
+    came = new.groupBy(*dict.fromkeys([*keys, title, raw])).agg(F.min(at).alias("the first"), F.max(at).alias("the last"), F.max_by(F.struct(*new.columns), at).alias("the row"))
+    clean = with_once(came, **{"the title": titles.clean_title(F.col(title))})
     good = clean.filter((F.col("the title") != "") & ~rules.is_garbled(F.col("the title")) & (trim(F.col(raw)) != "") & ~rules.is_garbled(F.col(raw)))
     group = [*keys, "the title"]
-    fresh = good.withColumn("the place", at).groupBy(*group).agg(F.min("the place").alias("first"), F.max_by(F.struct(*new.columns), "the place").alias("now"))
+    fresh = written(good.groupBy(*group).agg(F.min("the first").alias("first"), F.max_by("the row", "the last").alias("now")), "readable")
     was = F.struct(*old.columns).alias("was")
     exact = fresh.join(old.select(*keys, F.col(title).alias("the title"), F.lit(True).alias("the same")).distinct(), group, "left")
     alone = old.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(title).alias("only")).filter("rows = 1")

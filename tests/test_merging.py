@@ -69,3 +69,11 @@ def test_janitor_counts_what_it_does(spark):
     got = {r.id: r for r in snapshots.janitor(df, F.lit(now), {"jobs": 5}, "kind", seen).collect()}
     assert set(got) == {1, 3, 4, 6} and got[1].is_deleted and got[1].deleted_at == now and not got[3].is_deleted
     assert seen.get == {"late_jobs": 1, "gone_jobs": 1, "gone_raw": 2}
+
+
+def test_what_comes_again_is_cleaned_once_and_the_last_counts(spark):
+    old = spark.createDataFrame([(1, "/a", "旧公告招聘教师", "旧")], "id long, url string, title string, raw string")
+    new = spark.createDataFrame([(i, "/a", "旧公告招聘教师", "新文甲" if i % 2 else "新文乙") for i in range(2, 9)] + [(20, "/b", "某县公开招聘", "文"), (21, "/b", "某县公开招聘", "文")], "id long, url string, title string, raw string")
+    out = snapshots.upsert_postings(old, new, ["url"], "title", "raw", ["raw"], [F.col("id")])
+    assert sorted((r.id, r.url, r.raw, r.outcome) for r in out.collect()) == [(1, "/a", "新文乙", "updated"), (21, "/b", "文", "created")]
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
