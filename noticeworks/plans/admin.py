@@ -15,10 +15,14 @@ from .catalog import query, t
 from .generated import POSTINGS, Made
 
 
-def _listed(spark, sf_dir, deleted: bool):
+def _rows(spark, sf_dir, deleted: bool):
+    c = F.col
+    return POSTINGS.rows(spark, sf_dir).filter(c("deleted") if deleted else ~c("deleted"))
+
+
+def _listed(rows):
     c = F.col
     owner = F.coalesce(F.nullif("organization", F.lit("")), "source")
-    rows = POSTINGS.rows(spark, sf_dir).filter(c("deleted") if deleted else ~c("deleted"))
     title = titles.card_title(c("title"), c("announcement"), c("raw_text"), F.coalesce(c("source"), F.lit("")) != "")
     return with_once(rows, owner=titles.organization(owner, c("source")), card_title=title)
 
@@ -32,16 +36,15 @@ SELECT id, card_title AS title, source, owner AS organization, province, deadlin
 def admin_rows(spark, sf_dir):
     """Live postings as the administration lists them, newest first."""
     c = F.col
-    rows = _listed(spark, sf_dir, False)
+    rows = _listed(sequences.numbered(_rows(spark, sf_dir, False), [F.desc("id")]))
     slots = F.coalesce(c("slots"), c("positions").try_cast("int"), F.lit(0))
-    place = F.row_number().over(snapshots.everything().orderBy(F.desc("id"))).cast("long")
-    return rows.select("id", c("card_title").alias("title"), "source", c("owner").alias("organization"), "province", "deadline", "published", slots.alias("slots"), majors.label(c("major")).alias("majors"), place.alias("place"))
+    return rows.select("id", c("card_title").alias("title"), "source", c("owner").alias("organization"), "province", "deadline", "published", slots.alias("slots"), majors.label(c("major")).alias("majors"), "place")
 
 
 @query(f"""WITH {SHOWN.replace('WHERE NOT deleted', 'WHERE deleted')} SELECT id, card_title AS title, source, coalesce(deadline, '') AS deadline FROM shown""")
 def trash_rows(spark, sf_dir):
     """Deleted postings as the trash lists them."""
-    return _listed(spark, sf_dir, True).select("id", F.col("card_title").alias("title"), "source", F.coalesce("deadline", F.lit("")).alias("deadline"))
+    return _listed(_rows(spark, sf_dir, True)).select("id", F.col("card_title").alias("title"), "source", F.coalesce("deadline", F.lit("")).alias("deadline"))
 
 
 ASKED = Made("orders", "o_orderkey", match=([None, None, "1", "0"],), age=([None, "35", " 40岁", "x", "", "-3"],), major=([None, "", " 法学 "],), member=([None, None, "1", "true", "0"],), politics=([None, "", "党员", "中共党员", "非党员", "群众", "预备党员 "],))

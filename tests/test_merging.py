@@ -4,7 +4,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from noticeworks.functions import institutions
-from noticeworks.operators import discovery, facts, snapshots, subjects
+from noticeworks.operators import discovery, facts, sequences, snapshots, subjects
 
 READING = "id int, kind string, rank int, " + ", ".join(f"{f} {t}" for f, t in facts.FACTS.items())
 
@@ -71,6 +71,16 @@ def test_janitor_counts_what_it_does(spark):
     assert seen.get == {"late_jobs": 1, "gone_jobs": 1, "gone_raw": 2}
 
 
+def test_places_over_all_rows_meet_in_no_one_task(spark):
+    rows = [(i * 7919 % 1009, "x") for i in range(1009)] + [(2000, "y")] * 3 + [(None, "z")]
+    df = spark.createDataFrame(rows, "n long, v string").repartition(5)
+    placed = sequences.numbered(df, [F.desc("n")])
+    got = sorted((r.place, r.n, r.v) for r in placed.collect())
+    assert [p for p, _, _ in got] == list(range(1, len(rows) + 1))
+    assert [n for _, n, _ in got] == sorted((n for n, _ in rows if n is not None), reverse=True) + [None]
+    assert sequences.numbered(df.limit(0), [F.col("n")]).collect() == []
+
+
 def test_what_comes_again_is_cleaned_once_and_the_last_counts(spark):
     old = spark.createDataFrame([(1, "/a", "旧公告招聘教师", "旧")], "id long, url string, title string, raw string")
     new = spark.createDataFrame([(i, "/a", "旧公告招聘教师", "新文甲" if i % 2 else "新文乙") for i in range(2, 9)] + [(20, "/b", "某县公开招聘", "文"), (21, "/b", "某县公开招聘", "文")], "id long, url string, title string, raw string")
