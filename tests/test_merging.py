@@ -87,3 +87,11 @@ def test_what_comes_again_is_cleaned_once_and_the_last_counts(spark):
     out = snapshots.upsert_postings(old, new, ["url"], "title", "raw", ["raw"], [F.col("id")])
     assert sorted((r.id, r.url, r.raw, r.outcome) for r in out.collect()) == [(1, "/a", "新文乙", "updated"), (21, "/b", "文", "created")]
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_link_on_many_pages_is_scored_once_at_its_least_depth(spark):
+    links = spark.createDataFrame([(f"p{i}", "https://rsc.hnu.edu.cn/zpxx/index.htm", "湖南大学招聘") for i in range(50)], "page string, url string, title string")
+    visited = spark.createDataFrame([(f"p{i}", 1 + i % 3) for i in range(50)], "url string, depth int")
+    found = discovery.candidates(links.union(links), visited, F.lit(True))
+    assert found.count() >= 1 and found.filter("depth <> 1").isEmpty()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
