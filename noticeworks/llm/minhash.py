@@ -11,8 +11,9 @@ Texts of the same set are one class, and only classes are compared. Under each k
 least one, of which each keeps its likeliest; this is linear, and settles most of a group of near copies whatever its size. Then
 only keys that still hold several components are looked into: their members are dealt to chunks of bounded size that are
 compared with each other within tasks, and pairs of different components come out only if neither their sizes, their signatures
-nor their bitmaps rule the similarity out. Of those of each two components, the likeliest are confirmed first, until
-every pair that is left lies within a component.
+nor their bitmaps rule the similarity out, each pair under the first key it shares. Each component's likeliest pairs are listed and
+confirmed first, a few more in each round, so that a group of near copies grows together before its pairs are listed; the last
+round takes all pairs of components that are still apart.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 #: A pair that differs in more slots isn't taken for a candidate: 0.85 similar ones do so once in 10**10 times.
 MOST_APART = 26
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Candidates of two components that are confirmed in each round, then all that are left.
-ROUNDS = (1, 16, None)
+#: Candidates of each component that are listed and confirmed in each round, then all that are left.
+ROUNDS = (1, 4, None)
+#: A key's lowest bits tell its chunk and the slot left out.
+INDEX = 63
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -86,17 +89,45 @@ def chunk_keys(sig: Column) -> Column:
         for s in range(CHUNK_SLOTS):
             before = F.substring(sig, c * wide + 1, s * SLOT_BYTES)
             after = F.substring(sig, c * wide + (s + 1) * SLOT_BYTES + 1, wide - (s + 1) * SLOT_BYTES)
-            keys.append(F.xxhash64(F.lit(c * CHUNK_SLOTS + s), before, after))
+            n = c * CHUNK_SLOTS + s
+            keys.append(F.xxhash64(F.lit(n), before, after).bitwiseAND(F.lit(~INDEX)).bitwiseOR(F.lit(n)))
     return F.array(*keys)
 
 
+def _rows(values: list[bytes], kind: str | type) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
+def first_shared(siga: list[bytes], sigb: list[bytes]) -> np.ndarray:
+    """The place among chunk_keys of the first key that pairs of signatures share; -1 if they share none."""
+    if not siga:
+        return np.zeros(0, np.int64)
+    unequal = (_rows(siga, "<u2") != _rows(sigb, "<u2")).reshape(-1, CHUNKS, CHUNK_SLOTS)
+    shared = unequal.sum(axis=2) <= 1
+    chunk = shared.argmax(axis=1)
+    slot = unequal[np.arange(len(chunk)), chunk].argmax(axis=1)  # the only unequal one, or the first of five that may be left out
+    return np.where(shared.any(axis=1), chunk * CHUNK_SLOTS + slot, -1)
+
+
+def likeliest(differ: np.ndarray, pa_: np.ndarray, pb: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` of least difference of one of their two components."""
+    order = np.argsort(differ, kind="stable")
+    ends = np.concatenate((pa_[order], pb[order]))
+    at = np.tile(np.arange(len(order)), 2)
+    by = np.lexsort((at, ends))
+    first = np.flatnonzero(np.r_[True, ends[by][1:] != ends[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+    place = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+    kept = np.zeros(len(order), bool)
+    kept[order[at[by[place < most]]]] = True
+    return kept
+
+
 def _apart(na: np.ndarray, siga: list[bytes], bitsa: list[bytes], nb: np.ndarray, sigb: list[bytes], bitsb: list[bytes], percent: int) -> np.ndarray:
     """How many bits of their bitmaps pairs of sets differ in; -1 if they can't or hardly can be similar enough."""
     if not len(na):
         return np.zeros(0, np.int64)
-    as_rows = lambda values, kind: np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
-    slots = (as_rows(siga, "<u2") != as_rows(sigb, "<u2")).sum(axis=1)
-    differ = np.bitwise_count(as_rows(bitsa, np.uint64) ^ as_rows(bitsb, np.uint64)).sum(axis=1, dtype=np.int64)
+    slots = (_rows(siga, "<u2") != _rows(sigb, "<u2")).sum(axis=1)
+    differ = np.bitwise_count(_rows(bitsa, np.uint64) ^ _rows(bitsb, np.uint64)).sum(axis=1, dtype=np.int64)
     return np.where((slots <= MOST_APART) & may_link(na, nb, differ, percent), differ, -1)
 
 
@@ -168,44 +199,57 @@ def likeliest_hubs(members: DataFrame, sketched: DataFrame, percent: int) -> Dat
     return near.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
 
 
-def crossing_pairs(members: DataFrame, placed: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(u, v, differ): pairs of classes of different components that share a key and may be similar enough.
+def mixed_members(members: DataFrame, placed: DataFrame, chunk: int) -> DataFrame:
+    """k, parts, cid, component, written: the members of keys that hold several components, and how many chunks they make.
 
-    members: see shared_keys; placed: cid, component and s, written. Members of a key are dealt to chunks of about `chunk`, which are compared pairwise;
-    a pair that shares several keys may come more than once.
+    members: k and cid; placed: cid and component, written.
+    """
+    keyed = members.select("k", "cid").join(placed.select("cid", "component").hint("merge"), "cid")
+    mixed = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    mixed = materialize(mixed.select("k", "n", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "mixed")
+    return materialize(few_join(keyed, mixed, "k").select("k", "parts", "cid", "component"), "mixed")
+
+
+def crossing_pairs(mixed: DataFrame, placed: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(u, v, differ, cu, cv): pairs of classes of different components that share a key and may be similar enough, each once.
+
+    mixed: see mixed_members; placed: cid, component and s, written. Members of a key are dealt to its chunks, which are compared
+    pairwise; of each two chunks come only the `most` likeliest pairs of each component, if that is given.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for r in range(len(batch)):  # only one pair of chunks is Python objects at a time
-                same, ca, pa_, na, sa, ba, cb, pb, nb, sb, bb = (column[r].as_py() for column in batch.columns)
+                k, same, ca, pa_, na, sa, ba, cb, pb, nb, sb, bb = (column[r].as_py() for column in batch.columns)
                 if same:
                     cb, pb, nb, sb, bb = ca, pa_, na, sa, ba
-                na, nb = np.asarray(na, np.int64), np.asarray(nb, np.int64)
-                far = np.asarray(pa_)[:, None] != np.asarray(pb)[None]
+                ca, cb, pa_, pb, na, nb = (np.asarray(x, np.int64) for x in (ca, cb, pa_, pb, na, nb))
+                far = pa_[:, None] != pb[None]
                 if same:
                     far &= np.triu(np.ones(far.shape, bool), 1)
                 i, j = np.nonzero(far & may_link(na[:, None], nb[None], 0, percent))
+                here = first_shared([sa[x] for x in i], [sb[x] for x in j]) == (k & INDEX)
+                i, j = i[here], j[here]
                 differ = _apart(na[i], [sa[x] for x in i], [ba[x] for x in i], nb[j], [sb[x] for x in j], [bb[x] for x in j], percent)
                 near = differ >= 0
-                found.append(np.stack([np.asarray(ca, np.int64)[i[near]], np.asarray(cb, np.int64)[j[near]], differ[near]]))
-            us, vs, ds = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(ds)], ["u", "v", "differ"])
-
-    keyed = members.select("k", "cid").join(placed.select("cid", "component").hint("merge"), "cid")
-    mixed = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    mixed = materialize(mixed.select("k", "n", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "mixed")
-    dealt = few_join(keyed, mixed, "k").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    dealt = dealt.join(placed.select("cid", "s").hint("merge"), "cid")
+                i, j, differ = i[near], j[near], differ[near]
+                if most:
+                    near = likeliest(differ, pa_[i], pb[j], most)
+                    i, j, differ = i[near], j[near], differ[near]
+                u, v, cu, cv = ca[i], cb[j], pa_[i], pb[j]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v), differ, np.where(u < v, cu, cv), np.where(u < v, cv, cu)]))
+            columns = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "differ", "cu", "cv"])
+
+    dealt = mixed.select("k", "parts", "cid", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("c")).join(placed.select("cid", "component", "s").hint("merge"), "cid")
     chunks = materialize(dealt.groupBy("k", "parts", "c").agg(F.collect_list(F.struct("cid", "component", "s")).alias("m")), "chunks")
-    alone = chunks.filter("parts = 1").select(F.lit(True).alias("same"), F.col("m").alias("a"), F.expr("slice(m, 1, 0)").alias("b"))
+    alone = chunks.filter("parts = 1").select("k", F.lit(True).alias("same"), F.col("m").alias("a"), F.expr("slice(m, 1, 0)").alias("b"))
     left = chunks.filter("parts > 1").select("k", "c", F.col("m").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
     right = chunks.filter("parts > 1").select("k", F.col("c").alias("d"), F.col("m").alias("b"))
-    met = left.join(right.hint("merge"), ["k", "d"]).select((F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b"))
+    met = left.join(right.hint("merge"), ["k", "d"]).select("k", (F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b"))
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f.rpartition('.')[2]}") for side in "ab" for f in ("cid", "component", "s.n", "s.sig", "s.bits")]
-    pairs = alone.union(met).select("same", *fields).mapInArrow(compare, "u long, v long, differ long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "differ").distinct()
+    return alone.union(met).select("k", "same", *fields).mapInArrow(compare, "u long, v long, differ long, cu long, cv long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, chunk: int = 128) -> DataFrame:
@@ -227,27 +271,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = shared_keys(small)
         links = confirmed(materialize(likeliest_hubs(members, small, percent), "near"), classes, located, width, percent)
 
-        def named() -> DataFrame:
-            parts = materialize(connected_components(links).withColumnRenamed("node", "cid"), "parts")
-            return materialize(sized_join(classes.select("cid"), parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")), "named")
+        def renamed(names: DataFrame, links: DataFrame) -> DataFrame:
+            """names after components that links (u, v) join have become one."""
+            parts = materialize(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("to")), "parts")
+            return materialize(sized_join(names, parts, "component", "left").select("cid", F.coalesce("to", "component").alias("component")), "named")
 
-        names = named()
-        pairs = materialize(crossing_pairs(members, materialize(names.join(small.hint("merge"), "cid"), "placed"), percent, chunk), "crossing")
+        names, left, tried = renamed(classes.select("cid", F.col("cid").alias("component")), links), members, None
         for most in ROUNDS:
+            placed = materialize(names.join(small.hint("merge"), "cid"), "placed")
+            left = mixed_members(left, placed, chunk)  # keys that hold one component go on doing so
+            pairs = materialize(crossing_pairs(left, placed, percent, most), "crossing")
             if pairs.isEmpty():
                 break
-            for end, part in (("u", "cu"), ("v", "cv")):
-                pairs = pairs.join(names.select(F.col("cid").alias(end), F.col("component").alias(part)).hint("merge"), end)
-            ordered = W.partitionBy(F.least("cu", "cv"), F.greatest("cu", "cv")).orderBy("differ", "u", "v")
-            ranked = materialize(pairs.filter("cu <> cv").withColumn("rank", F.row_number().over(ordered) if most else F.lit(0)).select("u", "v", "differ", "rank"), "ranked")
-            now = materialize(ranked.filter(F.col("rank") <= (most or 0)).select("u", "v"), "now")
+            if most:
+                of = W.partitionBy("c").orderBy("differ", "u", "v")
+                sides = pairs.withColumn("c", F.explode(F.array("cu", "cv")))
+                pairs = sides.withColumn("place", F.row_number().over(of)).filter(F.col("place") <= most)
+            now = pairs.select("u", "v", "cu", "cv").distinct()
+            now = materialize(now.join(tried, ["u", "v"], "left_anti") if tried else now, "now")
+            tried = tried.union(now.select("u", "v")) if tried else now.select("u", "v")
             if now.isEmpty():
-                break
-            more = confirmed(now, classes, located, width, percent)
+                continue
+            more = confirmed(now.select("u", "v"), classes, located, width, percent)
             if not more.isEmpty():
-                links = materialize(links.union(more), "links")
-                names = named()
-            pairs = ranked.filter(F.col("rank") > (most or 0)).select("u", "v", "differ")
+                names = renamed(names, materialize(now.join(more, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "links"))
         placed = materialize(classes.join(names.hint("merge"), "cid").select("digest", "first_id", "copies", "component"), "placed")
         least = materialize(placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "least")
         named_classes = materialize(spread_join(placed, least, "component").select("digest", "component_id", F.col("copies").alias("n")), "components", keep=True)

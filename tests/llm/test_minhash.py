@@ -106,3 +106,45 @@ def test_signatures_within_the_radius_share_a_key(spark):
         rows.append((i, bytearray(sig.tobytes()), bytearray(other.tobytes())))
     df = spark.createDataFrame(rows, "i int, a binary, b binary")
     assert df.filter(~F.arrays_overlap(minhash.chunk_keys(F.col("a")), minhash.chunk_keys(F.col("b")))).count() == 0
+
+
+def test_first_shared_key_and_likeliest_pairs(spark):
+    """A pair comes under the first key that it shares, and a limit leaves each component its likeliest pairs."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    for _ in range(200):
+        sig = rng.integers(0, 1 << 16, minhash.SLOTS).astype("<u2")
+        other = sig.copy()
+        other[rng.choice(minhash.SLOTS, int(rng.integers(0, 30)), replace=False)] ^= 1
+        pairs.append((sig.tobytes(), other.tobytes()))
+    df = spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(pairs)], "i int, a binary, b binary")
+    rows = df.orderBy("i").select(minhash.chunk_keys(F.col("a")).alias("a"), minhash.chunk_keys(F.col("b")).alias("b")).collect()
+    expected = [next((n for n, (x, y) in enumerate(zip(r.a, r.b, strict=True)) if x == y), -1) for r in rows]
+    assert minhash.first_shared(*map(list, zip(*pairs, strict=True))).tolist() == expected
+    assert all(k & minhash.INDEX == n for r in rows for n, k in enumerate(r.a))
+    kept = minhash.likeliest(np.array([5, 1, 3, 2]), np.array([1, 1, 2, 9]), np.array([2, 3, 3, 1]), 1)
+    assert kept.tolist() == [False, True, True, True]  # of 1 and 3: the second; of 2: the third; of 9: the last
+
+
+def test_groups_of_near_copies_list_few_pairs(spark, monkeypatch):
+    """Most of a group's pairs are never listed: they lie within a component by the time that all are."""
+    rng, listed = random.Random(2), []
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        own = list(words)
+        for _ in range(rng.randrange(2, 7)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    kept = minhash.materialize
+
+    def counted(df, name, *args, **options):
+        out = kept(df, name, *args, **options)
+        if name == "crossing":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(minhash.near_duplicates(df, chunk=32)) == brute(rows)
+    assert sum(listed) < 1500
