@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, each, materialize, passing, sized_join, spread_join
 from .components import connected_components
+from .minhash import likeliest
 
 SEED = 42
 #: Fingerprints of a text's words, places of its bitmap of shingles, hashes whose least values are kept, and texts that
 #: are compared at a time.
 PRINTS, PLACES, HASHES, CHUNK = 3, 1024, 8, 128
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Candidates of two components that are verified in each round, then all that are left.
-ROUNDS = (1, 64, None)
+#: Candidates of each component that are listed and verified in each round, then all that are left.
+ROUNDS = (1, 8, None)
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -191,24 +192,28 @@ def hub_links(texts: DataFrame, radius: int) -> DataFrame:
     return spread_join(marked, hubs, "mark").filter("key <> v").filter(_any_near("fp", "fq", radius)).select(F.col("key").alias("u"), "v").distinct()
 
 
-def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int, least: float, chunk: int = CHUNK) -> DataFrame:
-    """(u, v, differ): pairs of texts of different components that may be similar enough, and how many places differ.
+def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int, least: float, chunk: int = CHUNK, most: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(m, k, u, v, differ, cu, cv): pairs of texts of different components cu and cv that may be similar enough, and how many
+    places differ.
 
     texts: fp (array), key, component, n and bits, written already. Texts meet if one of their fingerprints agrees in
     blocks - guaranteed blocks, and fingerprints within the radius count. The members of a bucket are dealt to chunks of
     about `chunk` texts, and chunks are compared with chunks, so a large bucket is spread over tasks whatever its size. A
-    pair comes from the first bucket it shares. It is left out only if its bitmaps show that the similarity is below `least`.
+    pair comes from the first bucket it shares. It is left out only if its bitmaps show that the similarity is below `least`,
+    or, where `most` is given, if it isn't among the `most` likeliest pairs of one of its components in these two chunks: a row
+    without u and v then names the bucket. Only the buckets (m, k) of `only`, written, are looked into, if that is given.
     """
     masks = np.array(block_masks(guaranteed, blocks), dtype=np.int64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs, ds = [], [], []
+            found = {"m": [], "k": [], "u": [], "v": [], "differ": [], "cu": [], "cv": []}
             for r in range(len(batch)):  # only one pair of chunks is Python objects at a time
-                m, same, *columns = (column[r].as_py() for column in batch.columns)
+                m, k, same, *columns = (column[r].as_py() for column in batch.columns)
                 (fa, ka, ca, na, ba), (fb, kb, cb, nb, bb) = columns[:5], columns[:5] if same else columns[5:]
                 names = {c: i for i, c in enumerate({*ca, *cb})}
-                apart = np.array([names[c] for c in ca])[:, None] != np.array([names[c] for c in cb])
+                pa_, pb = (np.array([names[c] for c in x]) for x in (ca, cb))
+                apart = pa_[:, None] != pb
                 i, j = np.nonzero(apart & (np.triu(np.ones(apart.shape, bool), 1) if same else True))
                 if not len(i):
                     continue
@@ -225,24 +230,36 @@ def crossing_pairs(texts: DataFrame, guaranteed: int, blocks: int, radius: int,
                     differ = np.bitwise_count(bits[0][i] ^ bits[1][j]).sum(axis=1, dtype=np.int64)
                     both = np.asarray(na, np.int64)[i] + np.asarray(nb, np.int64)[j]
                     like = (both - differ) / 2 >= least / (1 + least) * both - 1e-6
-                    us += [ka[t] for t in i[like]]
-                    vs += [kb[t] for t in j[like]]
-                    ds += differ[like].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(ds, pa.int64())], ["u", "v", "differ"])
+                    i, j, differ = i[like], j[like], differ[like]
+                    if most:
+                        kept = likeliest(differ, pa_[i], pb[j], most)
+                        cut = not kept.all()
+                        i, j, differ = i[kept], j[kept], differ[kept]
+                    else:
+                        cut = False
+                    none = [None] * cut
+                    found["m"] += [m] * (len(i) + cut)
+                    found["k"] += [k] * (len(i) + cut)
+                    for name, values in (("u", [ka[t] for t in i]), ("v", [kb[t] for t in j]), ("differ", differ.tolist()), ("cu", [ca[t] for t in i]), ("cv", [cb[t] for t in j])):
+                        found[name] += values + none
+            kinds = {"m": pa.int32(), "k": pa.int64(), "differ": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in found.items()], list(found))
 
     choices = [F.struct(F.lit(p * len(masks) + i).alias("m"), F.get("fp", p).bitwiseAND(F.lit(int(mask))).alias("k")) for p in range(PRINTS) for i, mask in enumerate(masks)]
     keyed = texts.select("fp", "key", "component", "n", "bits", F.explode(F.array(*choices)).alias("b")).select("*", "b.m", "b.k").drop("b")
+    if only is not None:
+        keyed = sized_join(keyed, only, ["m", "k"], "left_semi")
     place = F.xxhash64("component")
     sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("size"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi")
     shared = materialize(sizes.select("m", "k", F.ceil(F.col("size") / chunk).cast("int").alias("parts")), "blocks")
     dealt = sized_join(keyed, shared, ["m", "k"]).withColumn("c", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     chunks = materialize(dealt.groupBy("m", "k", "parts", "c").agg(F.collect_list(F.struct("fp", "key", "component", "n", "bits")).alias("s")), "chunks")
-    alone = chunks.filter("parts = 1").select("m", F.lit(True).alias("same"), F.col("s").alias("a"), F.expr("slice(s, 1, 0)").alias("b"))
+    alone = chunks.filter("parts = 1").select("m", "k", F.lit(True).alias("same"), F.col("s").alias("a"), F.expr("slice(s, 1, 0)").alias("b"))
     left = chunks.filter("parts > 1").select("m", "k", "c", F.col("s").alias("a"), F.explode(F.sequence(F.col("c"), F.col("parts") - 1)).alias("d"))
     right = chunks.filter("parts > 1").select("m", "k", F.col("c").alias("d"), F.col("s").alias("b"))
-    met = alone.union(left.join(right.hint("merge"), ["m", "k", "d"]).select("m", (F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b")))
+    met = alone.union(left.join(right.hint("merge"), ["m", "k", "d"]).select("m", "k", (F.col("c") == F.col("d")).alias("same"), "a", F.when(F.col("c") == F.col("d"), F.expr("slice(b, 1, 0)")).otherwise(F.col("b")).alias("b")))
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("fp", "key", "component", "n", "bits")]
-    return met.select("m", "same", *fields).mapInArrow(compare, "u string, v string, differ long")
+    return met.select("m", "k", "same", *fields).mapInArrow(compare, "m int, k long, u string, v string, differ long, cu string, cv string")
 
 
 def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: int = 8, verify_width: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
@@ -252,9 +269,10 @@ def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: in
     three fingerprints of its distinct words, which a changed word moves far less than those of shingles. Two texts are
     candidates if in any of these they share blocks - guaranteed of the blocks, which all within `guaranteed` bits do,
     and are within `radius` bits; they link if their `verify_width`-word shingles are similar enough. Texts are first
-    linked to hubs, which joins most of a large group in linear time. Then all candidates of different components are
-    listed, and the likeliest ones of each two components are verified until every one that still has its texts in
-    different components has been. A row without an id stays only where its group has no id. Of repeated rows one
+    linked to hubs, which joins most of a large group in linear time. Then the likeliest candidates of each component are
+    listed and verified, a few more in each round, so that a group grows together before its pairs are listed; the last round
+    takes all that still have their texts in different components. Later rounds look only into buckets of which pairs were
+    left out. A row without an id stays only where its group has no id. Of repeated rows one
     stays. The columns are those of docs, whatever their names. docs is read several times and should be written.
     """
 
@@ -275,20 +293,24 @@ def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: in
         texts = materialize(printed.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(f"print.{c}").alias(c) for c in ("fp", "n", "bits", "least")]), "distinct")
         links = similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least)
         placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
-        pairs = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk), "crossing")
-        names = placed.select("key", "component")
+        only, tried = None, None
         for most in ROUNDS:
-            if pairs.isEmpty():
-                break
-            apart = pairs.join(names.select(F.col("key").alias("u"), F.col("component").alias("cu")).hint("merge"), "u").join(names.select(F.col("key").alias("v"), F.col("component").alias("cv")).hint("merge"), "v").filter("cu <> cv")
-            ordered = W.partitionBy(F.least("cu", "cv"), F.greatest("cu", "cv")).orderBy("differ", "u", "v")
-            ranked = materialize(apart.withColumn("rank", F.row_number().over(ordered) if most else F.lit(0)).select("u", "v", "differ", "rank"), "crossing")
-            if ranked.isEmpty():
+            listed = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk, most, only), "crossing")
+            now = listed.filter("u is not null")
+            if most:
+                sides = now.withColumn("c", F.explode(F.array("cu", "cv")))
+                now = sides.withColumn("rank", F.row_number().over(W.partitionBy("c").orderBy("differ", "u", "v"))).filter(F.col("rank") <= most)
+            now = materialize(now.select("u", "v").distinct(), "likeliest")
+            only = materialize(listed.join(now, ["u", "v"], "left_anti").select("m", "k").distinct(), "left")
+            fresh = now.join(tried, ["u", "v"], "left_anti") if tried else now
+            tried = tried.union(now) if tried else now
+            more = similar_links(materialize(fresh, "fresh"), held, verify_width, least)
+            if not more.isEmpty():
+                links = materialize(links.union(more), "links")
+                placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
+            if only.isEmpty():
                 break
-            more = similar_links(ranked.filter(F.col("rank") <= (most or 0)).select("u", "v"), held, verify_width, least)
-            links = materialize(links.union(more), "links")
-            names = materialize(placed_by(links).select("key", "component"), "placed")
-            pairs = ranked.filter(F.col("rank") > (most or 0)).select("u", "v", "differ")
+        names = placed.select("key", "component")
         final = texts.join(names.hint("merge"), "key")
         kept = final.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("k")).select(F.col("k.first_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
         same = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))

@@ -111,3 +111,24 @@ def test_keep_first_compares_all_pairs_of_a_template(spark, chunk):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk=chunk)
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == brute_first(rows)
+
+
+def test_keep_first_lists_few_pairs_of_a_group(spark, monkeypatch):
+    """A group whose texts are about as similar as they must be: pairs are listed by component, not for each two texts."""
+    rng, base, rows, listed = random.Random(5), [f"w{i}" for i in range(300)], [], []
+    for i in range(160):
+        words = base.copy()
+        for k in range(rng.choice((3, 4, 5))):
+            words[rng.randrange(300)] = f"x{i}.{k}"
+        rows.append((i, " ".join(words)))
+
+    def written(df, name, *args, **options):
+        out = materialize(df, name, *args, **options)
+        listed.extend([out.count()] if name == "crossing" else [])
+        return out
+
+    materialize = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", written)
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == brute_first(rows)
+    assert 0 < max(listed) <= 8 * len(rows)
