@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import WS, all_of, any_of, bind, collapse, first_number, hits, text, trim
+from .text import WS, ZERO_WIDTH, all_of, any_of, bind, collapse, first_number, hits, text, trim
+
+
+def either(patterns: Sequence[str]) -> str:
+    """One pattern that fits where any of these does; their flags stay their own. A text is decoded once for all of them."""
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def is_navigation(title: Column, words=L.NAV_WORDS, home: str = "首页") -> Column:
-    """A menu: starts with the home word, or holds three words of the list, or two and is longer than 36."""
+    """A menu: starts with the home word, or holds three words of the list, or two and is longer than 36.
+
+    Words without blanks are the same in a text and in the collapsed one, so only texts with just two of them are collapsed.
+    """
+    if any(c.isspace() for w in (*words, home) for c in w):
+        return bind(collapse(title), lambda v: (v != "") & (v.rlike(f"^{home}(?: |\\z)") | bind(hits(v, words), lambda n: (n >= 3) | ((n >= 2) & (F.length(v) > 36)))))
 
     def menu(v: Column) -> Column:
-        return (v != "") & (v.rlike(f"^{home}(?: |\\z)") | bind(hits(v, words), lambda n: (n >= 3) | ((n >= 2) & (F.length(v) > 36))))
+        return bind(hits(v, words), lambda n: (n >= 3) | v.rlike(f"^{WS}*{home}(?:{WS}|\\z)") | ((n == 2) & (F.length(collapse(v)) > 36)))
 
-    return bind(collapse(title), menu)
+    return bind(F.replace(text(title), F.lit(ZERO_WIDTH), F.lit("")), menu)
 
 
 def has_core_word(title: Column, words=L.CORE_WORDS) -> Column:
@@ -54,21 +66,21 @@ def on_track(title: Column, content: Column, words=L.TRACK_WORDS) -> Column:
 
 def track(value: Column, tracks=L.TRACKS) -> Column:
     """The track's own name, else the first whose pattern fits, else empty."""
-    v = trim(value)
-    out = F.when(v.isin(*[n for n, _ in tracks]), v)
-    for name, pattern in tracks:
-        out = out.when(v.rlike(pattern), name)
-    return out.otherwise("")
+
+    def of(v: Column) -> Column:
+        out = F.when(v.isin(*[n for n, _ in tracks]), v)
+        for name, pattern in tracks:
+            out = out.when(v.rlike(pattern), name)
+        return out.otherwise("")
+
+    return bind(trim(value), of)
 
 
 def is_scrape_junk(c: Column) -> Column:
     """Style rules, menus and footers of pages."""
 
     def junk(v: Column) -> Column:
-        found = is_navigation(v)
-        for pattern in L.SCRAPE_JUNK:
-            found = found | v.rlike(pattern)
-        return (trim(v) != "") & found
+        return (trim(v) != "") & (is_navigation(v) | v.rlike(either(L.SCRAPE_JUNK)))
 
     return bind(text(c), junk)
 
@@ -86,25 +98,29 @@ def cut_scrape_junk(c: Column) -> Column:
 def is_garbled(c: Column, least_cjk: int = 2, longer_than: int = 40) -> Column:
     def garbled(v: Column) -> Column:
         cjk = F.length(F.regexp_replace(v, "[^一-龥]", ""))
-        found = (v == "") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk))
-        for pattern in L.GARBLED:
-            found = found | v.rlike(pattern.replace("(?i)", "(?iu)"))  # the letters aren't all ASCII
-        return found
+        odd = v.rlike(either([p.replace("(?i)", "(?iu)") for p in L.GARBLED]))  # the letters aren't all ASCII
+        return (v == "") | is_scrape_junk(v) | ((F.length(v) > longer_than) & (cjk < least_cjk)) | odd
 
     return bind(trim(c), garbled)
 
 
 def education(c: Column) -> Column:
     """One of five labels, or empty; the longest phrase of a level decides."""
-    v = collapse(c)
-    phrases = F.regexp_extract_all(v, F.lit(f"({L.EDUCATION_PHRASE})"), 1)
-    longest = F.aggregate(phrases, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
-    phrase = F.when(longest == "", v).otherwise(longest)
-    out = F.when((v == "") | v.rlike("(?i)" + L.NO_EDUCATION), "").when(v.rlike(L.ANY_EDUCATION), "无要求")
-    for label, pattern in L.EDUCATION:
-        fits = phrase.rlike(pattern)
-        out = out.when(fits & ~phrase.rlike("专科") if label.startswith("本科") else fits, label)
-    return out.otherwise("")
+
+    def labelled(phrase: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for label, pattern in L.EDUCATION:
+            fits = phrase.rlike(pattern)
+            out = out.when(fits & ~phrase.rlike("专科") if label.startswith("本科") else fits, label)
+        return out.otherwise("")
+
+    def of(v: Column) -> Column:
+        phrases = F.regexp_extract_all(v, F.lit(f"({L.EDUCATION_PHRASE})"), 1)
+        longest = F.aggregate(phrases, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
+        phrase = bind(longest, lambda p: F.when(p == "", v).otherwise(p))
+        return F.when((v == "") | v.rlike("(?i)" + L.NO_EDUCATION), "").when(v.rlike(L.ANY_EDUCATION), "无要求").otherwise(bind(phrase, labelled))
+
+    return bind(collapse(c), of)
 
 
 def any_major(c: Column) -> Column:
