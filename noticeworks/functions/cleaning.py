@@ -22,6 +22,8 @@ SHEET_MARKS = wide((
     "\\.[A-Za-z0-9_-]+\\s*\\{[^}]*\\}",
     "var\\s+[A-Za-z0-9_]+\\s*=\\s*document\\.[^;]+;",
 ))
+#: What any of these marks needs.
+MARKED = "(?i)[-—–]{2}|sheet|[{]|var"
 TAGS = "<[^>]+>"
 NO_TITLE = "(?i)^工作表:|^Sheet[0-9]+$|^[-—–]{2,}$"
 LEAST_RULE_TEXT, LEAST_RAW_TEXT = 80, 200
@@ -34,12 +36,19 @@ def without_controls(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Lines that aren't blank, each trimmed, of a text without marks of sheets, style rules and tags; null is empty."""
-    v = without_controls(c)
-    for pattern in SHEET_MARKS:
-        v = F.regexp_replace(v, pattern, "")
-    v = F.regexp_replace(F.translate(F.regexp_replace(v, TAGS, " "), "　", " "), "[ \\t]{2,}", " ")
-    lines = F.filter(F.transform(F.split(v, "\n"), trim), lambda x: (x != "") & ~x.rlike(r"^[-—–]{2,}\z"))
-    return trim(F.array_join(lines, "\n"))
+
+    def unmarked(v: Column) -> Column:
+        for pattern in SHEET_MARKS:
+            v = F.regexp_replace(v, pattern, "")
+        return v
+
+    def of(v: Column) -> Column:
+        v = F.when(v.rlike(MARKED), unmarked(v)).otherwise(v)
+        v = F.regexp_replace(F.translate(F.regexp_replace(v, TAGS, " "), "　", " "), "[ \\t]{2,}", " ")
+        lines = F.filter(F.transform(F.split(v, "\n"), trim), lambda x: (x != "") & ~x.rlike(r"^[-—–]{2,}\z"))
+        return trim(F.array_join(lines, "\n"))
+
+    return bind(without_controls(c), of)
 
 
 def clean_title(c: Column) -> Column:
