@@ -2,7 +2,8 @@
 
 Each round is two joins and two aggregations whose results are written to the shared folder, so neither the
 edges nor the components ever pass through the driver. The number of rounds grows with the logarithm of the
-longest path. A hub's edges are one key of these joins, dealt to parts; see spread_join.
+longest path. A hub's edges are one key of these joins, dealt to parts; see spread_join. Where the nodes are few, they are
+broadcast instead, so that a small table isn't cut into many small tasks and files.
 """
 
 from __future__ import annotations
@@ -10,25 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join
+from .common import few_join, materialize
 
 
 def _settled(edges: DataFrame) -> bool:
-    """Whether the edges are stars already: no node has two parents, and no parent has one."""
-    parents = edges.groupBy("u").agg(F.count("*").alias("n"))
-    chained = edges.select(F.col("v").alias("u")).distinct().withColumn("parent", F.lit(True))
-    return parents.join(chained, "u", "left").filter("n > 1 or parent").isEmpty()
+    """Whether the edges, each there once, are stars already: no node has two parents, and no parent has one."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    at = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return at.filter("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-    return spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return few_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    moved = spread_join(edges, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = few_join(edges, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

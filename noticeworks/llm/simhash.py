@@ -282,32 +282,37 @@ def keep_first(docs: DataFrame, guaranteed: int = 3, blocks: int = 5, radius: in
         kinds = {"fp": pa.list_(pa.int64()), "n": pa.int32(), "bits": pa.binary(), "least": pa.list_(pa.int64())}
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    def placed_by(links: DataFrame) -> DataFrame:
-        parts = connected_components(links).withColumnRenamed("node", "key")
-        return sized_join(texts, materialize(parts, "parts"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    def renamed(placed: DataFrame, links: DataFrame) -> DataFrame:
+        """placed after components that links (u, v) join have become one."""
+        parts = materialize(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("to")), "parts")
+        joined = sized_join(placed, parts, "component", "left").withColumn("component", F.coalesce("to", "component"))
+        return materialize(joined.select("first_id", "fp", "key", "component", "n", "bits"), "placed", keep=True)
 
     # Rows are read from docs again rather than written a second time; only what is small about them is.
     held = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), words_key(F.col("row.text")).alias("key"))
     with passing(docs.sparkSession):
         printed = materialize(held.select("doc_id", "key", prints(F.col("text")).alias("print")), "prints")
         texts = materialize(printed.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(f"print.{c}").alias(c) for c in ("fp", "n", "bits", "least")]), "distinct")
-        links = similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least)
-        placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
+        with passing(docs.sparkSession):  # the tables of a round go at its end, but for what the next one reads
+            links = similar_links(materialize(hub_links(texts, radius), "near"), held, verify_width, least)
+            placed = renamed(texts.withColumn("component", F.col("key")), links)
         only, tried = None, None
         for most in ROUNDS:
-            listed = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk, most, only), "crossing")
-            now = listed.filter("u is not null")
-            if most:
-                sides = now.withColumn("c", F.explode(F.array("cu", "cv")))
-                now = sides.withColumn("rank", F.row_number().over(W.partitionBy("c").orderBy("differ", "u", "v"))).filter(F.col("rank") <= most)
-            now = materialize(now.select("u", "v").distinct(), "likeliest")
-            only = materialize(listed.join(now, ["u", "v"], "left_anti").select("m", "k").distinct(), "left")
-            fresh = now.join(tried, ["u", "v"], "left_anti") if tried else now
-            tried = tried.union(now) if tried else now
-            more = similar_links(materialize(fresh, "fresh"), held, verify_width, least)
-            if not more.isEmpty():
-                links = materialize(links.union(more), "links")
-                placed = materialize(placed_by(links).select("first_id", "fp", "key", "component", "n", "bits"), "placed")
+            with passing(docs.sparkSession):
+                listed = materialize(crossing_pairs(placed, guaranteed, blocks, radius, least, chunk, most, only), "crossing")
+                now = listed.filter("u is not null")
+                if most:
+                    sides = now.withColumn("c", F.explode(F.array("cu", "cv")))
+                    now = sides.withColumn("rank", F.row_number().over(W.partitionBy("c").orderBy("differ", "u", "v"))).filter(F.col("rank") <= most)
+                now = materialize(now.select("u", "v", "cu", "cv").distinct(), "likeliest", keep=True)
+                only = materialize(listed.join(now, ["u", "v"], "left_anti").select("m", "k").distinct(), "left", keep=True)
+                fresh = materialize(now.join(tried, ["u", "v"], "left_anti") if tried else now, "fresh")
+                tried = tried.union(now.select("u", "v")) if tried else now.select("u", "v")
+                if not fresh.isEmpty():
+                    more = similar_links(fresh.select("u", "v"), held, verify_width, least)
+                    if not more.isEmpty():
+                        links = fresh.join(more, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+                        placed = renamed(placed, links)
             if only.isEmpty():
                 break
         names = placed.select("key", "component")
