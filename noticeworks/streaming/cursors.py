@@ -7,7 +7,7 @@ same version and adds nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -114,9 +114,12 @@ def run_breakers(stream: DataFrame, root: str) -> DataFrame:
     return states.groupBy("source").agg(newest).select("s.*")
 
 
-def in_parts(rows: DataFrame, part: str, parts: int, name: str) -> str:
-    """Writes rows to a folder of the shared one, part after part, so that a stream of its files takes them in that order."""
+def in_parts(rows: DataFrame, part: str, parts: int, name: str, then: Callable[[str], object] | None = None) -> str:
+    """Writes rows to a folder of the shared one, part after part; `then` is called with the folder after each, so that a stream
+    of its files takes a whole part, of any number of files, as its next batch."""
     root = new_folder(rows.sparkSession, name)
     for i in range(parts):
-        rows.filter(F.col(part) == i).drop(part).coalesce(1).write.parquet(f"{root}/part={i}")
+        rows.filter(F.col(part) == i).drop(part).write.parquet(f"{root}/part={i}")
+        if then:
+            then(root)
     return root
