@@ -19,6 +19,7 @@ from ..functions import lexicon as L
 from ..functions import majors, rules, titles
 from ..functions.text import WS, bind, text, trim, wide, with_once
 from ..sources.shared import written
+from .dedupe import per_text
 from .sequences import running_number
 
 # Patterns that decide results.
@@ -84,8 +85,11 @@ def _leading_number(cells: Column) -> Column:
     return F.when(c0.rlike(r"^[0-9]{1,3}\s+.+$"), two).otherwise(cells)
 
 
-def _continued(base: Column, line: Column) -> Column:
-    """A row with what a wrapped line adds: text without tabs goes to the last cell, cells to empty places or the end."""
+def _continued(base: Column, line: Column, pieces: Column) -> Column:
+    """A row with what a wrapped line adds: text without tabs goes to the last cell, cells to empty places or the end.
+
+    pieces: the cells of a line with tabs, null for one without.
+    """
 
     def put(row: Column, piece: Column, least: int) -> Column:
         empty = F.filter(F.transform(row, lambda c, i: F.when((c == "") & (i >= least), i)), lambda i: i.isNotNull())
@@ -101,9 +105,8 @@ def _continued(base: Column, line: Column) -> Column:
         row = F.when(piece == "", state["row"]).when(tail, put(state["row"], piece, 5)).when(marked, last(state["row"], piece)).otherwise(put(state["row"], piece, 0))
         return F.struct(row.alias("row"), tail.alias("tail"))
 
-    pieces = cells_of(_spaced_number(line))
     start = F.struct(F.transform(base, clean_cell).alias("row"), F.lit(False).alias("tail"))
-    return F.when(F.contains(line, F.lit("\t")), F.aggregate(pieces, start, add)["row"]).otherwise(last(base, line))
+    return F.when(pieces.isNotNull(), F.aggregate(pieces, start, add)["row"]).otherwise(last(base, line))
 
 
 def _is_header_line(v: Column) -> Column:
@@ -114,6 +117,24 @@ def _tabs(v: Column) -> Column:
     return F.length(v) - F.length(F.replace(v, F.lit("\t"), F.lit("")))
 
 
+def _line_facts(line: Column) -> Column:
+    """struct of what a line is by itself: its text v, whether it is skipped or closes the table, its kind, whether it is a row where
+    none is open, its cells as a row's head, and as pieces that go on a row (null without tabs)."""
+
+    def of(v: Column) -> Column:
+        skipped = (v == "") | v.startswith("---") | (F.contains(v, F.lit("附件")) & F.contains(v, F.lit("透视")))
+        header, tabs = _is_header_line(v), _tabs(v)
+        new = ~header & ((v.rlike("^[0-9]+\t") & (tabs >= 1)) | (v.rlike(rf"^[0-9]+{WS}+[^{WS[1:]}") & (tabs >= 2)) | (v.rlike("^\t[一-龥]") & (tabs >= 2)))
+        continues = v.rlike(rf"^[（(]{WS}*[0-9]{{1,2}}{WS}*[)）]") | ((tabs == 0) & v.rlike("^[一-龥(0-9（]"))
+        alone = ~continues & ~header & (tabs >= 2) & (v.rlike("^[0-9]+\t|^\t[一-龥]") | (_filled(cells_of(v)) >= 4))
+        kind = F.when(header, "header").when(new, "new").when(alone, "alone").otherwise("rest")
+        tabbed = F.contains(v, F.lit("\t"))
+        facts = {"v": v, "skipped": skipped, "closes": v.rlike(r"^注[:：]?\z|^结构化岗位表"), "kind": kind, "lone": tabbed & v.rlike("计划数|专业要求"), "head": cells_of(v), "pieces": F.when(tabbed, cells_of(_spaced_number(v)))}
+        return F.struct(*[c.alias(n) for n, c in facts.items()])
+
+    return bind(_spaced_number(trim(line)), of)
+
+
 def collect_rows(lines: DataFrame, keys: Sequence[str], order: str = "line_no", line: str = "line") -> DataFrame:
     """keys, row_no (order of a row's first line) and cells: the rows of tables whose cells wrap over lines.
 
@@ -121,27 +142,21 @@ def collect_rows(lines: DataFrame, keys: Sequence[str], order: str = "line_no",
     Before a row is open, only header lines and those with a header's words are rows. Lines after a closing note don't
     count. Null lines are empty, and empty ones are skipped. Repeated rows of one order are taken in any order.
     """
-    v = F.col("_v")
     at = W.partitionBy(*keys).orderBy(order)
-    kept = with_once(lines.select(*keys, order, F.col(line).alias("_line")), _v=_spaced_number(trim(F.col("_line")))).drop("_line")
-    kept = kept.filter((v != "") & ~v.startswith("---") & ~(F.contains(v, F.lit("附件")) & F.contains(v, F.lit("透视"))))
-    kept = kept.withColumn("_end", F.max(v.rlike(r"^注[:：]?\z|^结构化岗位表")).over(at)).filter("not _end")
-    header, tabs = _is_header_line(v), _tabs(v)
-    new = ~header & ((v.rlike("^[0-9]+\t") & (tabs >= 1)) | (v.rlike(rf"^[0-9]+{WS}+[^{WS[1:]}") & (tabs >= 2)) | (v.rlike("^\t[一-龥]") & (tabs >= 2)))
-    continues = v.rlike(rf"^[（(]{WS}*[0-9]{{1,2}}{WS}*[)）]") | ((tabs == 0) & v.rlike("^[一-龥(0-9（]"))
-    alone = ~continues & ~header & (tabs >= 2) & (v.rlike("^[0-9]+\t|^\t[一-龥]") | (_filled(cells_of(v)) >= 4))
-    kinds = with_once(kept, _kind=F.when(header, "header").when(new, "new").when(alone, "alone").otherwise("rest"))
-    opened = F.last(F.when(F.col("_kind").isin("header", "new"), F.col("_kind")), ignorenulls=True).over(at.rowsBetween(W.unboundedPreceding, -1)) == "new"
-    marked = kinds.withColumn("_open", F.coalesce(opened, F.lit(False)))
-    starts = (F.col("_kind") == "new") | ((F.col("_kind") == "alone") & F.col("_open"))
-    lone = ~F.col("_open") & F.contains(v, F.lit("\t")) & v.rlike("计划数|专业要求")
-    first = (F.col("_kind") == "header") | starts | lone
+    read = per_text(lines.select(*keys, order, F.col(line).alias("_line")), "_line", _f=_line_facts)
+    kept = read.drop("_line").filter("not _f.skipped")
+    kept = kept.withColumn("_end", F.max("_f.closes").over(at)).filter("not _end")
+    kind = F.col("_f.kind")
+    opened = F.last(F.when(kind.isin("header", "new"), kind), ignorenulls=True).over(at.rowsBetween(W.unboundedPreceding, -1)) == "new"
+    marked = kept.withColumn("_open", F.coalesce(opened, F.lit(False)))
+    starts = (kind == "new") | ((kind == "alone") & F.col("_open"))
+    first = (kind == "header") | starts | (~F.col("_open") & F.col("_f.lone"))
     numbered = marked.filter(F.col("_open") | first).withColumn("_first", first).withColumn("_data", starts).withColumn("_n", F.count_if("_first").over(at))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), (~F.col("_first")).alias("later"), F.col("_data").alias("data"), v.alias("line"))))
-    rows = numbered.groupBy(*keys, "_n").agg(F.min(order).alias("row_no"), parts.alias("_parts"))
-    rows = with_once(rows, _head=cells_of(F.get("_parts", 0)["line"]))
-    base = F.when(F.get("_parts", 0)["data"], _leading_number(F.col("_head"))).otherwise(F.col("_head"))
-    return rows.select(*keys, "row_no", F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), base, lambda row, p: _continued(row, p["line"])).alias("cells"))
+    part = F.struct(F.col(order).alias("at"), (~F.col("_first")).alias("later"), F.col("_data").alias("data"), F.col("_f.v").alias("line"), F.col("_f.pieces").alias("pieces"), F.col("_f.head").alias("head"))
+    rows = numbered.groupBy(*keys, "_n").agg(F.min(order).alias("row_no"), F.array_sort(F.collect_list(part)).alias("_parts"))
+    begun = F.get("_parts", 0)
+    base = F.when(begun["data"], _leading_number(begun["head"])).otherwise(begun["head"])
+    return rows.select(*keys, "row_no", F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), base, lambda row, p: _continued(row, p["line"], p["pieces"])).alias("cells"))
 
 
 def _first_index(flags: Column) -> Column:
@@ -241,8 +256,12 @@ def header_layout(rows: DataFrame, keys: Sequence[str], order: str = "row_no", c
     in_head = F.col("_after").isNull() | (o < F.col("_after"))
     sorted_rows = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(o.alias("o"), F.col("_c").alias("c"))))), lambda x: x["c"])
     heads = block.groupBy(*keys).agg(sorted_rows(in_head).alias("_block"), F.get(sorted_rows(~in_head), 0).alias("_sample"), F.min("_data").alias("data_start"))
-    folded = with_once(heads, headers=_folded(F.col("_block"), F.col("_sample")))
-    return folded.select(*keys, "headers", column_map(F.col("headers")).alias("columns"), "data_start")
+
+    def layout(x: Column) -> Column:
+        return bind(_folded(x["block"], x["sample"]), lambda h: F.struct(h.alias("headers"), column_map(h).alias("columns")))
+
+    shaped = heads.select(*keys, "data_start", F.struct(F.col("_block").alias("block"), F.col("_sample").alias("sample")).alias("_shape"))
+    return per_text(shaped, "_shape", hold=True, _layout=layout).select(*keys, "_layout.headers", "_layout.columns", "data_start")
 
 
 def _pick(row: Column, at: Column) -> Column:
