@@ -11,6 +11,8 @@ from ..functions import lexicon as L
 from ..functions import majors as M
 from ..operators import requirements as R
 from ..operators import tables as T
+from ..operators.dedupe import alike
+from ..sources.shared import written
 from . import sqlrules as S
 from .catalog import query
 from .generated import Made
@@ -48,10 +50,21 @@ SHEETS = Made("orders", "o_orderkey", body=(TITLES, HEADERS, ROWS, ROWS, ROWS, R
 TAB, MARK = "chr(9)", "chr(1)"
 
 
-def _sheets(spark, sf_dir):
-    """Lines of the sheets; some of their blanks are wide ones."""
-    body = F.when(F.col("id") % 3 == 0, F.translate("body", " ", "　")).when(F.col("id") % 3 == 1, F.translate("body", " ", " ")).otherwise(F.col("body"))
-    return SHEETS.rows(spark, sf_dir).select("id", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+def _sheets(spark, sf_dir, group="o_orderkey"):
+    """group, id and table, a digest, of each sheet; and the lines of each distinct table. Some of their blanks are wide ones.
+
+    What is made of a sheet depends on its lines alone, so it's made for each distinct table and joined to the sheets. The lines of a
+    sheet whose key comes several times are as many times there.
+    """
+    body = F.when(F.col("id") % 3 == 0, F.replace("body", F.lit(" "), F.lit("\u3000"))).when(F.col("id") % 3 == 1, F.replace("body", F.lit(" "), F.lit("\u00a0"))).otherwise(F.col("body"))
+    sheets, tables = alike(SHEETS.once(spark, sf_dir, group).withColumn("body", body), ["copies", "body"], "table")
+    lines = tables.select("table", "copies", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    return sheets, lines.select("table", "line_no", F.explode(F.array_repeat("line", F.col("copies").cast("int"))).alias("line"))
+
+
+def _of_each(sheets, made):
+    """Rows that were made of tables, for each sheet."""
+    return sheets.select("id", "table").join(written(made, "made"), "table")
 
 
 # --- the SQL's parts ---------------------------------------------------------------------------------------------
@@ -165,7 +178,9 @@ sheet_rows AS MATERIALIZED (
 @query(f"WITH RECURSIVE {LINES} SELECT id, row_no::INT AS row_no, array_to_string(cells, '|') AS cells FROM sheet_rows")
 def sheet_rows(spark, sf_dir):
     """Lines of sheets to rows, with cells that wrap over several lines."""
-    return T.collect_rows(_sheets(spark, sf_dir), ["id"]).select("id", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+    sheets, lines = _sheets(spark, sf_dir)
+    rows = T.collect_rows(lines, ["table"]).select("table", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+    return _of_each(sheets, rows).drop("table")
 
 
 def _place(flags: str) -> str:
@@ -229,8 +244,9 @@ columns AS MATERIALIZED (
 @query(f"WITH RECURSIVE {LINES}, {LAYOUT} SELECT id, d::INT AS data_start, array_to_string(headers, '|') AS headers, {', '.join(f'm.{n}::INT AS {n}' for n in T.COLUMNS)} FROM columns")
 def sheet_headers(spark, sf_dir):
     """Headers of one to three rows folded into one, and the columns that they name."""
-    rows = T.collect_rows(_sheets(spark, sf_dir), ["id"])
-    return T.header_layout(rows, ["id"]).select("id", F.col("data_start").cast("int").alias("data_start"), F.array_join("headers", "|").alias("headers"), "columns.*")
+    sheets, lines = _sheets(spark, sf_dir)
+    layouts = T.header_layout(T.collect_rows(lines, ["table"]), ["table"])
+    return _of_each(sheets, layouts).select("id", F.col("data_start").cast("int").alias("data_start"), F.array_join("headers", "|").alias("headers"), "columns.*")
 
 
 CODE = f"""(CASE WHEN {_at('r', 'm.post_code')} <> '' THEN {_at('r', 'm.post_code')} WHEN m.post_name >= 0 AND regexp_matches(coalesce(r[m.post_name + 2], ''), '^[0-9]{{2,4}}$') THEN r[m.post_name + 2] ELSE '' END)"""
@@ -264,8 +280,9 @@ mended AS MATERIALIZED (
 @query(f"WITH RECURSIVE {LINES}, {LAYOUT}, {MEND} SELECT id, row_no::INT AS row_no, array_to_string(r, '|') AS cells FROM mended")
 def sheet_rows_mended(spark, sf_dir):
     """Rows aligned by the longest one so far, with running numbers; what can't be a job is left out."""
-    rows = T.collect_rows(_sheets(spark, sf_dir), ["id"])
-    return T.mended_rows(rows, ["id"]).select("id", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+    sheets, lines = _sheets(spark, sf_dir)
+    rows = T.mended_rows(T.collect_rows(lines, ["table"]), ["table"]).select("table", F.col("row_no").cast("int").alias("row_no"), F.array_join("cells", "|").alias("cells"))
+    return _of_each(sheets, rows).drop("table")
 
 
 def _other_at(d: int) -> str:
@@ -302,9 +319,10 @@ SELECT id, row_no::INT AS row_no, job_id, title, CASE WHEN {S.garbled(S.cut('own
   coalesce(nullif(education, ''), '—') AS education, major, coalesce(nullif(age, ''), '—') AS age, other, concat_ws(' ', nullif(title, ''), nullif(major, ''), nullif(age, ''), nullif(education, ''), nullif(other, '')) AS text FROM named""")
 def sheet_jobs(spark, sf_dir):
     """Rows of sheets as jobs with their fields."""
-    rows = T.mended_rows(T.collect_rows(_sheets(spark, sf_dir), ["id"]), ["id"])
-    made = T.jobs(rows.withColumnRenamed("id", "sheet"))
-    return made.select(F.col("sheet").alias("id"), F.col("row_no").cast("int").alias("row_no"), F.col("id").alias("job_id"), "title", "organization", "slots", "slots_label", "education", "major", "age", "other", "text")
+    sheets, lines = _sheets(spark, sf_dir)
+    jobs = T.jobs(T.mended_rows(T.collect_rows(lines, ["table"]), ["table"]))
+    made = jobs.select("table", F.col("row_no").cast("int").alias("row_no"), F.col("id").alias("job_id"), "title", "organization", "slots", "slots_label", "education", "major", "age", "other", "text")
+    return _of_each(sheets, made).drop("table")
 
 
 SHEETS_EACH = 3
@@ -317,9 +335,10 @@ each_once AS MATERIALIZED (SELECT * FROM ranked WHERE k = 1)"""
 
 
 def _jobs_once(spark, sf_dir):
-    rows = R.with_columns_count(T.mended_rows(T.collect_rows(_sheets(spark, sf_dir), ["id"]), ["id"]))
-    jobs = T.jobs(rows.withColumnRenamed("id", "sheet")).withColumn("doc", F.expr(f"sheet div {SHEETS_EACH}"))
-    return R.once_each(jobs, ["doc"], "sheet", "row_no")
+    sheets, lines = _sheets(spark, sf_dir)
+    jobs = T.jobs(R.with_columns_count(T.mended_rows(T.collect_rows(lines, ["table"]), ["table"])))
+    each = _of_each(sheets, jobs.withColumnRenamed("id", "job")).drop("table").withColumnsRenamed({"id": "sheet", "job": "id"})
+    return R.once_each(each.withColumn("doc", F.expr(f"sheet div {SHEETS_EACH}")), ["doc"], "sheet", "row_no")
 
 
 @query(f"""
