@@ -335,10 +335,16 @@ each_once AS MATERIALIZED (SELECT * FROM ranked WHERE k = 1)"""
 
 
 def _jobs_once(spark, sf_dir):
-    sheets, lines = _sheets(spark, sf_dir)
-    jobs = T.jobs(R.with_columns_count(T.mended_rows(T.collect_rows(lines, ["table"]), ["table"])))
-    each = _of_each(sheets, jobs.withColumnRenamed("id", "job")).drop("table").withColumnsRenamed({"id": "sheet", "job": "id"})
-    return R.once_each(each.withColumn("doc", F.expr(f"sheet div {SHEETS_EACH}")), ["doc"], "sheet", "row_no")
+    """doc and sheets, a digest, of each notice; and the jobs of each distinct list of sheets, once each.
+
+    Of a sheet only its place among those of its notice counts here.
+    """
+    sheets, lines = _sheets(spark, sf_dir, f"o_orderkey div {SHEETS_EACH}")
+    jobs = written(T.jobs(R.with_columns_count(T.mended_rows(T.collect_rows(lines, ["table"]), ["table"]))), "jobs")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("id", "table"))), lambda x: x["table"])
+    docs, lists = alike(sheets.groupBy(F.col("group").alias("doc")).agg(in_order.alias("tables")), ["tables"], "sheets", hold=True)
+    each = lists.select("sheets", F.posexplode("tables").alias("sheet", "table")).join(jobs, "table").drop("table")
+    return docs, R.once_each(each, ["sheets"], "sheet", "row_no")
 
 
 @query(f"""
@@ -349,9 +355,10 @@ flat AS (SELECT doc, flatten(list(names ORDER BY place)) AS names, count(*) AS n
 SELECT doc, n_jobs, array_to_string(list_filter(list_transform(range(len(names)), lambda i: CASE WHEN list_position(names, names[i + 1]) = i + 1 THEN names[i + 1] END), lambda n: n IS NOT NULL), '|') AS majors, positions, age, education, notes, '{chr(9).join(R.HEAD)}' || chr(10) || lines AS tab_text FROM flat""")
 def sheet_requirements(spark, sf_dir):
     """The jobs of all sheets of a notice, once each, rolled up and as lines."""
-    jobs = _jobs_once(spark, sf_dir)
-    rolled = R.rolled_up(jobs, ["doc"]).join(R.as_lines(jobs, ["doc"]), "doc")
-    return rolled.select("doc", "n_jobs", F.array_join("majors", "|").alias("majors"), "positions", "age", "education", "notes", "tab_text")
+    docs, once = _jobs_once(spark, sf_dir)
+    jobs = written(once, "once")
+    rolled = R.rolled_up(jobs, ["sheets"]).join(R.as_lines(jobs, ["sheets"]), "sheets")
+    return docs.join(written(rolled, "rolled"), "sheets").select("doc", "n_jobs", F.array_join("majors", "|").alias("majors"), "positions", "age", "education", "notes", "tab_text")
 
 
 @query(f"""
@@ -359,4 +366,5 @@ WITH RECURSIVE {LINES}, {LAYOUT}, {MEND}, {JOBS}, {ONCE}
 SELECT doc, CASE WHEN NOT regexp_matches(job_id, '^[0-9]+$') THEN job_id END AS code, title, nullif(organization, '') AS organization, major, age, education, nullif(other, '') AS other, slots, concat_ws(' ', title, nullif(organization, ''), major, age, education, nullif(other, '')) AS text FROM each_once""")
 def sheet_items(spark, sf_dir):
     """The jobs of notices as rows that are stored."""
-    return R.crawler_items(_jobs_once(spark, sf_dir), ["doc"])
+    docs, jobs = _jobs_once(spark, sf_dir)
+    return docs.join(R.crawler_items(jobs, ["sheets"]), "sheets").drop("sheets")
