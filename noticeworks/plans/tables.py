@@ -367,4 +367,4 @@ SELECT doc, CASE WHEN NOT regexp_matches(job_id, '^[0-9]+$') THEN job_id END AS
 def sheet_items(spark, sf_dir):
     """The jobs of notices as rows that are stored."""
     docs, jobs = _jobs_once(spark, sf_dir)
-    return docs.join(R.crawler_items(jobs, ["sheets"]), "sheets").drop("sheets")
+    return docs.join(written(R.crawler_items(jobs, ["sheets"]), "items"), "sheets").drop("sheets")
